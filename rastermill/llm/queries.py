@@ -6,18 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import decontaminate, langid, mixing, sharding, simhash
 from ._spark import table
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the four folds that are not held out."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op3_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of 150 % of all words takes of every document; sources weigh 3, 1, 2, repeating."""
+    return mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or one within a fifth of its words, with the item."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of nearly equal bytes; equal texts stay together."""
+    return sharding.assign(table(spark, sf_dir, "documents"), shards=16)
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document (links at 4 or fewer differing bits)."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, radius=4)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_simhash_dedup,)}
+    return {f.__name__: f for f in (op2_language_id, op3_weighted_fair_mix, op5_decontaminate, op8_bin_packing, op9_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_weighted_fair_mix": mixing.ORACLE_SQL}
