@@ -5,11 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, sharding, simhash
+from . import decontaminate, html, langid, lines, mixing, neighbours, sharding, simhash, urls
 from ._spark import table
 
 
+#: (host, path, verdict), decided before the template tree.
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the four folds that are not held out."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -25,6 +35,16 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page, by rules or by its path template; labels are those of the same id."""
+    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), RULES)
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of every hundredth id."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes; equal texts stay together."""
     return sharding.assign(table(spark, sf_dir, "documents"), shards=16)
@@ -35,9 +55,14 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, radius=4)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without later copies of runs of two lines or more."""
+    return lines.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.md5(F.col("kept").cast("binary")).alias("kept_md5"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_weighted_fair_mix, op5_decontaminate, op8_bin_packing, op9_simhash_dedup)}
+    return {f.__name__: f for f in (op1_html_main_text, op2_language_id, op3_weighted_fair_mix, op5_decontaminate, op6_url_filter, op7_nearest_neighbours, op8_bin_packing, op9_simhash_dedup, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_weighted_fair_mix": mixing.ORACLE_SQL}
+    return {"op3_weighted_fair_mix": mixing.ORACLE_SQL, "op10_line_dedup": lines.ORACLE_SQL}
