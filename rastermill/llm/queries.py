@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, langid, lines, mixing, neighbours, sharding, simhash, urls
+from . import decontaminate, html, langid, lines, mixing, neighbours, sharding, simhash, substrings, urls
 from ._spark import table
 
 
@@ -30,6 +30,11 @@ def op3_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without later copies of passages of 20 words or more."""
+    return substrings.deduplicate(table(spark, sf_dir, "documents"), span=20)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, or one within a fifth of its words, with the item."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -61,7 +66,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_main_text, op2_language_id, op3_weighted_fair_mix, op5_decontaminate, op6_url_filter, op7_nearest_neighbours, op8_bin_packing, op9_simhash_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_html_main_text, op2_language_id, op3_weighted_fair_mix, op4_substring_dedup, op5_decontaminate, op6_url_filter, op7_nearest_neighbours, op8_bin_packing, op9_simhash_dedup, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
