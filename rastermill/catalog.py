@@ -14,7 +14,7 @@ _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 
 #: End of the SQL of queries that return cells, from a common table ``result``.
-CELLS = "SELECT raster_id, h::INTEGER AS h, w::INTEGER AS w, band::INTEGER AS band, y::INTEGER AS y, x::INTEGER AS x, floor(v * 10000::DOUBLE + 0.5::DOUBLE) / 10000::DOUBLE AS v FROM result"
+CELLS = "SELECT raster_id, h::INTEGER AS h, w::INTEGER AS w, band::INTEGER AS band, y::INTEGER AS y, x::INTEGER AS x, floor(v * 10000::DOUBLE + 0.500001::DOUBLE) / 10000::DOUBLE AS v FROM result"
 
 
 def query(sql: str | None = None, source: str = "cells", cells: bool = True):

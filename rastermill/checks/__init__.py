@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("geometry",)
+_MODULES = ("geometry", "seams")
 
 
 def load() -> None:

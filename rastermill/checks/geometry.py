@@ -162,7 +162,7 @@ def reorder_bands(spark, sf):
 
 
 @query("""scaled AS (SELECT raster_id, s.scale, band, y // s.f AS y, x // s.f AS x, avg(v) AS v FROM cells, (VALUES (0.125::DOUBLE, 8), (0.5::DOUBLE, 2), (1.0::DOUBLE, 1)) s(scale, f) GROUP BY ALL)
-SELECT raster_id, scale, band::INTEGER AS band, y::INTEGER AS y, x::INTEGER AS x, floor(v * 10000::DOUBLE + 0.5::DOUBLE) / 10000::DOUBLE AS v FROM scaled""", cells=False)
+SELECT raster_id, scale, band::INTEGER AS band, y::INTEGER AS y, x::INTEGER AS x, floor(v * 10000::DOUBLE + 0.500001::DOUBLE) / 10000::DOUBLE AS v FROM scaled""", cells=False)
 def multi_scale_request(spark, sf):
     """An eighth, a half and the full size."""
     return g.multi_scale(lineitem_cells(spark, sf)).select("raster_id", "scale", "band", "y", "x", rounded("v").alias("v"))

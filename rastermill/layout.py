@@ -26,8 +26,8 @@ def sized(cells: DataFrame) -> DataFrame:
 
 
 def rounded(x, digits: int = 4) -> Column:
-    """Half up at a number of decimals, with the same floating-point steps in every engine."""
-    return F.floor(col(x) * float(10**digits) + 0.5) / float(10**digits)
+    """Half up at a number of decimals, by the same floating-point steps in every engine; a millionth below half counts as half."""
+    return F.floor(col(x) * float(10**digits) + 0.500001) / float(10**digits)
 
 
 def planes(cells: DataFrame) -> DataFrame:
