@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("geometry", "seams")
+_MODULES = ("geometry", "seams", "tone")
 
 
 def load() -> None:
