@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("geometry", "seams", "tone")
+_MODULES = ("geometry", "seams", "tone", "stencils")
 
 
 def load() -> None:

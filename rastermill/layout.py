@@ -6,6 +6,8 @@ order blue, green, red, alpha. Samples are doubles, by default from 0 to 255.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +56,14 @@ def bands_long(wide: DataFrame, bands: int = 3) -> DataFrame:
     """Back from ``bands_wide``; bands that are null are left out."""
     each = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(f"b{b}").alias("v")) for b in range(bands)]))
     return wide.withColumn("each", each).where("each.v is not null").select("raster_id", "h", "w", "each.band", "y", "x", "each.v")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows, written to the folder in spark.checkpoint.dir and cut from what made them; for results that several branches use.
+
+    Only where that setting is absent, as in tests on one machine, a folder of its own is set.
+    """
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint(eager=True)

@@ -3,10 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import geometry, seams
+from ..functions import color
+from ..layout import COLUMNS, saved, sized
+from ..operators import geometry, seams, stencil, tone
 
 
 def offset_crossfade(cells: DataFrame, strength: float = 1.0) -> DataFrame:
     """Borders moved to the middle by half the size, faded into each other there, and moved back."""
     return geometry.offset(seams.linear_crossfade(geometry.offset(cells), strength), back=True)
+
+
+def seamless(cells: DataFrame, jobs: DataFrame, light: dict | None = None, overlap: float = 0.2, falloff: float = 0.1, strength: float = 0.5) -> DataFrame:
+    """Each raster by the method of its row in jobs (raster_id, method): overlap, offset_crossfade or mirror; others stay as they are.
+
+    Rasters are joined to their method once; each method's branch sees only its own.
+    """
+    if light:
+        cells = stencil.delight(cells, **light)
+    chosen = cells.join(jobs.select("raster_id", "method"), "raster_id")
+    of = lambda m: chosen.where(F.col("method") == m).select(*COLUMNS)
+    out = seams.overlap_synthesis(of("overlap"), overlap, overlap, falloff).unionByName(offset_crossfade(of("offset_crossfade"), strength)).unionByName(geometry.mirror_tile(of("mirror")))
+    return out.unionByName(chosen.where(~F.col("method").isin("overlap", "offset_crossfade", "mirror")).select(*COLUMNS))
+
+
+def pbr_maps(gray: DataFrame, depth: float = 0.5, smooth: float = 0.1, rough: float = 0.5, scale: float = 4.266, kind: str = "4_sample", ao: float = 0.5, spread: float = 0.3, threshold: float = 1.0, softness: float = 0.0) -> DataFrame:
+    """Rows (map, cells) of Normal (whole 16-bit) and Displacement, Roughness, AO and Opacity (whole 8-bit, three bands) of heights from 0 to 1.
+
+    Branches share the height field and the displacement, which are saved for them.
+    """
+    gray = saved(sized(gray))
+    height = saved(stencil.displacement_map(gray, depth, smooth))
+    normal = stencil.normal_map(gray, kind, scale)
+    shade = stencil.ao_map(height, normal, radius=round(4 + spread * 28), strength=ao)
+    scalar = {"Displacement": height, "Roughness": tone.point(gray, lambda v: color.roughness(v, rough)), "AO": shade, "Opacity": tone.point(gray, lambda v: color.opacity(v, threshold, softness))}
+    out = normal.withColumn("map", F.lit("Normal"))
+    for name, cells in scalar.items():
+        whole = tone.gray_to_bgr_u8(tone.point(cells, lambda v: v + 1e-9))
+        out = out.unionByName(whole.withColumn("map", F.lit(name)))
+    return out
+
+
+def chunked_overlap(cells: DataFrame, chunk: int, overlap: int, share: float = 0.2, falloff: float = 0.1) -> DataFrame:
+    """Overlap synthesis of each chunk by itself, merged back with feathered edges; a chunk's number is part of its raster's key."""
+    parts = geometry.split_tiles(cells, chunk, overlap)
+    keyed = parts.withColumn("raster_id", F.struct("raster_id", "cy", "cx", "y0", "x0"))
+    done = seams.overlap_synthesis(keyed.select(*COLUMNS), share, share, falloff)
+    names = ("raster_id", "cy", "cx", "y0", "x0")
+    return geometry.merge_feathered(done.select(*[F.col(f"raster_id.{n}").alias(n) for n in names], "h", "w", "band", "y", "x", "v"), cells, overlap)
