@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("geometry", "seams", "tone", "stencils")
+_MODULES = ("geometry", "seams", "tone", "stencils", "files", "requests", "synthesis")
 
 
 def load() -> None:

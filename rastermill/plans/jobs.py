@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import color
-from ..layout import COLUMNS, saved, sized
-from ..operators import geometry, seams, stencil, tone
+from ..layout import COLUMNS, clip, saved, sized
+from ..operators import geometry, masks, seams, stencil, tone
+from ..sources.files import RENDERERS
 
 
 def offset_crossfade(cells: DataFrame, strength: float = 1.0) -> DataFrame:
@@ -52,3 +53,55 @@ def chunked_overlap(cells: DataFrame, chunk: int, overlap: int, share: float = 0
     done = seams.overlap_synthesis(keyed.select(*COLUMNS), share, share, falloff)
     names = ("raster_id", "cy", "cx", "y0", "x0")
     return geometry.merge_feathered(done.select(*[F.col(f"raster_id.{n}").alias(n) for n in names], "h", "w", "band", "y", "x", "v"), cells, overlap)
+
+
+def seam_fill(cells: DataFrame, width: int = 30, radius: int = 5, largest: int = 2048) -> DataFrame:
+    """The centre cross filled from around it; rasters above ``largest`` are filled at that size, enlarged, and mixed in by a softened mask."""
+    size = cells.agg(F.max(F.greatest("h", "w"))).first()[0] or 0
+    mask = masks.over(cells, masks.seam(width))
+    if size <= largest:
+        return stencil.gap_fill(cells, mask, radius)
+    scale = largest / size
+    down = lambda e: F.greatest(F.lit(1), F.floor(F.col(e) * scale))
+    small = stencil.gap_fill(geometry.resize_area(cells, down), geometry.resize_nearest(mask, down), radius)
+    # sizes to go back to ride along as the raster's key
+    keyed = small.join(cells.groupBy("raster_id").agg(F.max("h").alias("to_h"), F.max("w").alias("to_w")), "raster_id").withColumn("raster_id", F.struct("raster_id", F.col("to_h").alias("h"), F.col("to_w").alias("w")))
+    large = geometry.resize_linear(keyed.select(*COLUMNS), lambda e: F.col(f"raster_id.{e}"))
+    large = large.select("raster_id.raster_id", "h", "w", "band", "y", "x", "v")
+    return seams.alpha_blend(cells, large, stencil.gaussian_blur(mask, 5))
+
+
+def multi_scale_fill(cells: DataFrame, width: int = 30, radius: int = 5, scales: tuple[float, ...] = (1.0, 0.5, 0.25)) -> DataFrame:
+    """The centre cross filled at each scale and mixed in from the largest on, a smaller scale with a smaller share; one fold by pixel."""
+    mask, steps = masks.over(cells, masks.seam(width)), None
+    for i, scale in enumerate(scales):
+        down = lambda e, s=scale: F.greatest(F.lit(1), F.floor(F.col(e) * s))
+        small = stencil.gap_fill(geometry.resize_area(cells, down), geometry.resize_nearest(mask, down), radius)
+        keyed = small.join(cells.groupBy("raster_id").agg(F.max("h").alias("to_h"), F.max("w").alias("to_w")), "raster_id").withColumn("raster_id", F.struct("raster_id", F.col("to_h").alias("h"), F.col("to_w").alias("w")))
+        up = geometry.resize_cubic(keyed.select(*COLUMNS), lambda e: F.col(f"raster_id.{e}"))
+        one = up.select("raster_id.raster_id", "band", "y", "x", F.struct(F.lit(i).alias("i"), F.lit(0.3 * scale).alias("k"), F.col("v").alias("s")).alias("step"))
+        steps = one if steps is None else steps.unionByName(one)
+    gathered = steps.groupBy("raster_id", "band", "y", "x").agg(F.array_sort(F.collect_list("step")).alias("steps"))
+    met = cells.join(gathered, ["raster_id", "band", "y", "x"])
+    return sized(met.withColumn("v", F.aggregate("steps", F.col("v"), lambda acc, s: (1 - s["k"]) * acc + s["k"] * s["s"])))
+
+
+def export_package(cells: DataFrame, edge: int, renderer: str = "generic", source: str = "average_rgb", smooth: float = 0.0) -> DataFrame:
+    """Cells of all maps of an export with a column ``map``: resized so that the longest edge is ``edge``, green turned and depth set for the renderer.
+
+    Write them with ``files.write_png``, named by ``files.export_manifest``.
+    """
+    _, fmt, convention, bits = RENDERERS[renderer]
+    scale = edge / F.greatest("h", "w")
+    longest = cells.agg(F.max(F.greatest("h", "w"))).first()[0] or edge
+    resize = geometry.resize_cubic if edge > longest else geometry.resize_area
+    base = saved(resize(cells, lambda e: F.greatest(F.lit(1), F.floor(F.col(e) * scale + 1e-9))))
+    maps = pbr_maps(tone.gray(tone.point(base, lambda v: v / 255), source), smooth=smooth)
+    normal = maps.where("map = 'Normal'").select(*COLUMNS)
+    if convention.startswith("DirectX"):
+        normal = tone.flip_green(normal)
+    out = tone.export_depth(tone.point(base, lambda v: clip(v, 0, 255)), "float32", fmt, bits).withColumn("map", F.lit("BaseColor"))
+    out = out.unionByName(tone.export_depth(normal, "uint16", fmt, bits).withColumn("map", F.lit("Normal")))
+    rest = maps.where("map <> 'Normal'").withColumn("raster_id", F.struct("raster_id", "map")).select(*COLUMNS)
+    rest = tone.export_depth(rest, "uint8", fmt, bits)
+    return out.unionByName(rest.select("raster_id.raster_id", "h", "w", "band", "y", "x", "v", "raster_id.map"))
