@@ -74,22 +74,27 @@ def pad_border(cells: DataFrame, pad: int, border: str = "wrap") -> DataFrame:
 Size = int | Callable[[str], Column]
 
 
-def _resample_axis(cells: DataFrame, axis: str, edge: str, size: Size, reach: float, kernel: Callable[[Column], Column], border: str) -> DataFrame:
-    """One axis: each cell, and each of its images past the border, goes to the targets within ``reach`` with its weight.
+def _targets(cells: DataFrame, size: Size) -> DataFrame:
+    """Adds the sizes to come, ``__mh`` and ``__mw``, both from the sizes that are."""
+    return cells.withColumns({f"__m{e}": (F.lit(size) if isinstance(size, int) else size(e)).cast("int") for e in ("h", "w")})
+
+
+def _resample(cells: DataFrame, size: Size, reach: int, kernel: Callable[[Column], Column], border: str) -> DataFrame:
+    """One axis after the other: each cell, and each of its images past the border, goes to the targets within ``reach`` with its weight.
 
     No join: which targets a cell reaches follows from the sizes. Sums are partial before the shuffle.
     """
-    n, m = F.col(edge), (F.lit(size) if isinstance(size, int) else size(edge)).cast("int")
-    place = images(F.col(axis), n, int(reach), border)
-    spread = cells.withColumn("__m", m).withColumn("__u", F.explode(place))
-    first = F.greatest(F.lit(0), F.floor((F.col("__u") - reach + 0.5) * F.col("__m") / n - 0.5)).cast("int")
-    last = F.least(F.col("__m") - 1, F.ceil((F.col("__u") + reach + 0.5) * F.col("__m") / n - 0.5)).cast("int")
-    spread = spread.where(first <= last).withColumn("__t", F.explode(F.sequence(first, last)))
-    weight = kernel((F.col("__t") + 0.5) * n / F.col("__m") - 0.5 - F.col("__u"))
-    spread = spread.withColumn("__k", weight).where("__k <> 0")
-    keep = [c for c in COLUMNS if c not in (axis, edge, "v")]
-    out = spread.groupBy(*keep, F.col("__m").alias(edge), F.col("__t").alias(axis)).agg(F.sum(F.col("v") * F.col("__k")).alias("v"))
-    return out.select(*COLUMNS)
+    cells = _targets(cells, size)
+    for axis, edge in (("y", "h"), ("x", "w")):
+        n, m = F.col(edge), F.col(f"__m{edge}")
+        spread = cells.withColumn("__u", F.explode(images(F.col(axis), n, reach, border)))
+        first = F.greatest(F.lit(0), F.floor((F.col("__u") - reach + 0.5) * m / n - 0.5)).cast("int")
+        last = F.least(m - 1, F.ceil((F.col("__u") + reach + 0.5) * m / n - 0.5)).cast("int")
+        spread = spread.where(first <= last).withColumn("__t", F.explode(F.sequence(first, last)))
+        spread = spread.withColumn("__k", kernel((F.col("__t") + 0.5) * n / m - 0.5 - F.col("__u"))).where("__k <> 0")
+        keep = [c for c in (*COLUMNS, "__mh", "__mw") if c not in (axis, "v")]
+        cells = spread.groupBy(*keep, F.col("__t").alias(axis)).agg(F.sum(F.col("v") * F.col("__k")).alias("v"))
+    return cells.select("raster_id", F.col("__mh").alias("h"), F.col("__mw").alias("w"), "band", "y", "x", "v")
 
 
 def _linear(d: Column) -> Column:
@@ -105,41 +110,41 @@ def _cubic(d: Column, a: float = -0.75) -> Column:
 
 def resize_linear(cells: DataFrame, size: Size) -> DataFrame:
     """Bilinear, half-pixel centres, border cells repeated."""
-    return _resample_axis(_resample_axis(cells, "y", "h", size, 1, _linear, "replicate"), "x", "w", size, 1, _linear, "replicate")
+    return _resample(cells, size, 1, _linear, "replicate")
 
 
 def resize_wrapped(cells: DataFrame, size: Size) -> DataFrame:
     """Bilinear, half-pixel centres, sampling across the wrap, so that a seamless raster stays seamless."""
-    return _resample_axis(_resample_axis(cells, "y", "h", size, 1, _linear, "wrap"), "x", "w", size, 1, _linear, "wrap")
+    return _resample(cells, size, 1, _linear, "wrap")
 
 
 def resize_cubic(cells: DataFrame, size: Size) -> DataFrame:
     """Bicubic (a = -0.75), half-pixel centres, border cells repeated."""
-    return _resample_axis(_resample_axis(cells, "y", "h", size, 2, _cubic, "replicate"), "x", "w", size, 2, _cubic, "replicate")
+    return _resample(cells, size, 2, _cubic, "replicate")
 
 
 def resize_nearest(cells: DataFrame, size: Size) -> DataFrame:
     """Target t takes source floor(t * n / m): the targets of source s are those from ceil(s * m / n) on."""
+    cells = _targets(cells, size)
     for axis, edge in (("y", "h"), ("x", "w")):
-        n, m = F.col(edge), (F.lit(size) if isinstance(size, int) else size(edge)).cast("int")
+        n, m = F.col(edge), F.col(f"__m{edge}")
         first, last = F.ceil(F.col(axis) * m / n).cast("int"), (F.ceil((F.col(axis) + 1) * m / n) - 1).cast("int")
-        spread = cells.where(first <= last).withColumns({"__m": m, "__t": F.explode(F.sequence(first, last))})
-        cells = spread.select(*[F.col({axis: "__t", edge: "__m"}.get(c, c)).alias(c) for c in COLUMNS])
-    return cells
+        cells = cells.where(first <= last).withColumn("__t", F.explode(F.sequence(first, last))).withColumn(axis, F.col("__t"))
+    return cells.select("raster_id", F.col("__mh").alias("h"), F.col("__mw").alias("w"), "band", "y", "x", "v")
 
 
 def resize_area(cells: DataFrame, size: Size) -> DataFrame:
     """Shrinks by the mean over each target's footprint, source cells weighted by their overlap with it."""
-    spread = cells
+    spread = _targets(cells, size)
     for axis, edge in (("y", "h"), ("x", "w")):
-        m = (F.lit(size) if isinstance(size, int) else size(edge)).cast("int")
+        m = F.col(f"__m{edge}")
         step = F.col(edge) / m
         first, last = F.floor(F.col(axis) / step).cast("int"), F.least(m - 1, F.ceil((F.col(axis) + 1) / step) - 1).cast("int")
         t = F.col(f"__t{axis}")
-        spread = spread.withColumn(f"__m{axis}", m).withColumn(f"__t{axis}", F.explode(F.sequence(first, F.greatest(first, last))))
+        spread = spread.withColumn(f"__t{axis}", F.explode(F.sequence(first, F.greatest(first, last))))
         spread = spread.withColumn(f"__k{axis}", F.least(F.col(axis) + 1.0, (t + 1) * step) - F.greatest(F.col(axis) + 0.0, t * step))
     weight = F.col("__ky") * F.col("__kx")
-    out = spread.where("__ky > 1e-9 and __kx > 1e-9").groupBy("raster_id", F.col("__my").alias("h"), F.col("__mx").alias("w"), "band", F.col("__ty").alias("y"), F.col("__tx").alias("x"))
+    out = spread.where("__ky > 1e-9 and __kx > 1e-9").groupBy("raster_id", F.col("__mh").alias("h"), F.col("__mw").alias("w"), "band", F.col("__ty").alias("y"), F.col("__tx").alias("x"))
     return out.agg((F.sum(F.col("v") * weight) / F.sum(weight)).alias("v")).select(*COLUMNS)
 
 
