@@ -50,7 +50,7 @@ def _binary(column) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_binary()), b"")
 
 
-def pieces(batches, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches cut between rows so that each has about ``most`` bytes of text (a longer text stands alone)."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -2,11 +2,12 @@
 
 A window is ``span`` words. Each window picks the smallest hash among its runs of ``GRAM`` words; neighbouring windows with
 one choice form a segment, and equal windows make equal choices, so that only segments of one chosen run (an anchor) can
-share a window. Segments that are equal as a whole are settled by a count: all but the first are later copies. Where
-an anchor has several different segments, its shard is a suffix automaton of those that come earlier: each segment is
-streamed through it, and windows that end where the matching statistic reaches ``span`` are later copies. Every passage
-visits one shard, that of its anchor, instead of all shards of the corpus. Shards of more than ``shard`` segments are
-settled window by window with partial aggregates instead, which no group's size can hold up.
+share a window. Of segments that are equal as a whole, all but the first are later copies: repeats in one document are
+seen where it is read, others by the smallest document of each segment. Where an anchor has several different segments,
+its shard is a suffix automaton of those that come earlier: each segment is streamed through it, and windows that end
+where the matching statistic reaches ``span`` are later copies. Every passage visits one shard, that of its anchor, instead
+of all shards of the corpus. Shards of more than ``shard`` segments are settled window by window with partial aggregates
+instead, which no group's size can hold up. Segments travel as hashes and are found again where their text is read.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import saved, shuffles
@@ -118,71 +119,140 @@ def _covered(matches: list[int], span: int) -> list[tuple[int, int]]:
 
 
 def _later(span: int):
-    """Rows (key, no, start, n) of windows that a segment earlier in its shard holds; input sorted by anchor and place."""
+    """Rows (key, start, n) of windows that a segment earlier in its shard holds; input sorted by anchor, key and start."""
 
     def run(batches):
         anchor, automaton = None, None
         for batch in batches:
             out = []
-            columns = [batch.column(c).to_pylist() for c in ("anchor", "key", "no", "start", "words")]
-            for own, key, no, start, sequence in zip(*columns):
+            for own, key, start, sequence in zip(*[batch.column(c).to_pylist() for c in ("anchor", "key", "start", "words")]):
                 if own != anchor:
                     anchor, automaton = own, SuffixAutomaton()
                 else:
-                    out += [(key, no, start + a, n) for a, n in _covered(automaton.matching(sequence), span)]
+                    out += [(key, start + a, n) for a, n in _covered(automaton.matching(sequence), span)]
                 automaton.add(sequence)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["key", "no", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["key", "start", "n"])
 
     return run
 
 
-def repeats(rows: DataFrame, span: int, shard: int) -> DataFrame:
-    """Rows (key, no, start, n): n windows from word start on, each of which starts earlier too. rows: (key, no, text)."""
+def _first_in_row(row: np.ndarray, anchor: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """For each segment, whether it is the first of its kind in its document."""
+    order = np.lexsort((np.arange(len(row)), anchor, whole, row))
+    first = np.ones(len(row), bool)
+    a, b = order[1:], order[:-1]
+    first[a[(row[a] == row[b]) & (whole[a] == whole[b]) & (anchor[a] == anchor[b])]] = False
+    return first
+
+
+def _tag(anchor: np.ndarray) -> np.ndarray:
+    """16 bits of the anchor; with them, 80 bits tell segments apart."""
+    return (anchor >> U64(48)).astype(np.int32)
+
+
+def _longs(hashes: np.ndarray) -> pa.Array:
+    return pa.array(hashes.view(np.int64))
+
+
+def _kinds(rows: DataFrame, span: int) -> DataFrame:
+    """Rows (anchor, whole, first, docs, kinds) of the segments that have a copy in another document, or whose anchor has another segment.
+
+    first: the smallest key. A task sends one row for each kind of segment in a megabyte of text, so that a passage
+    with any number of copies reaches the task of its anchor as few rows.
+    """
 
     def cut(batches):
         for batch in pieces(batches, "text"):
-            row, start, n, anchor, whole = segments(*_hashed(batch.column("text")), span)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("no").take(at), pa.array(start), pa.array(n), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))], ["key", "no", "start", "n", "anchor", "whole"])
+            row, _, _, anchor, whole = segments(*_hashed(batch.column("text")), span)
+            key = batch.column("key").to_numpy()[row]
+            order = np.lexsort((key, whole, anchor))
+            row, anchor, whole, key = row[order], anchor[order], whole[order], key[order]
+            new = np.r_[True, (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])] if len(row) else np.zeros(0, bool)
+            begin = np.flatnonzero(new)
+            last = np.r_[begin[1:], len(key)] - 1
+            yield pa.RecordBatch.from_arrays([_longs(anchor[begin]), _longs(whole[begin]), pa.array(key[begin]), pa.array(np.where(key[begin] != key[last[: len(begin)]], 2, 1).astype(np.int32))], ["anchor", "whole", "key", "docs"])
 
-    parts = rows.mapInArrow(cut, "key long, no int, start long, n long, anchor long, whole long")
-    place = F.struct("key", "no", "start")
-    distinct = parts.groupBy("anchor", "whole").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("n").alias("n"))
-    # one row for each segment that has a copy or whose anchor has another segment
-    distinct = saved(distinct.join(distinct.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor").where("kinds > 1 or first < last"))
-    copied = distinct.where("first < last").select("anchor", "whole", "first")
-    copies = saved(parts.join(copied, ["anchor", "whole"]).where(F.struct("key", "no", "start") > F.col("first")).select("key", "no", "start", "n"))
+    parts = rows.mapInArrow(cut, "anchor long, whole long, key long, docs int").repartition(shuffles(rows.sparkSession), "anchor")
+    kinds = parts.groupBy("anchor", "whole").agg(F.min("key").alias("first"), F.sum("docs").alias("docs"))
+    return kinds.withColumn("kinds", F.count("*").over(Window.partitionBy("anchor"))).where("kinds > 1 or docs > 1")
 
-    mixed = distinct.where("kinds > 1").select("anchor", "kinds", "first.*", "n")
-    asked = mixed.groupBy("key", "no").agg(F.collect_list(F.struct("anchor", "kinds", "start", "n")).alias("asked"))
+
+def repeats(rows: DataFrame, span: int, shard: int) -> DataFrame:
+    """Rows (key, wholes, spans): segments of document key that are later copies, and (start, n) of later windows in others.
+
+    rows: (key, text), keys unique but for equal rows. Repeats within one document are not told.
+    """
+    kinds = saved(_kinds(rows, span))
+    tag = F.shiftrightunsigned("anchor", 48).cast("int").alias("tag")
+
+    def every(batches):
+        for batch in pieces(batches, "text"):
+            row, _, _, anchor, whole = segments(*_hashed(batch.column("text")), span)
+            one = _first_in_row(row, anchor, whole)
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row[one])), _longs(whole[one]), pa.array(_tag(anchor[one]))], ["key", "whole", "tag"])
+
+    copied = kinds.where("docs > 1").select("whole", tag, "first")
+    copies = rows.mapInArrow(every, "key long, whole long, tag int").join(copied, ["whole", "tag"]).where("key > first").select("key", "whole")
 
     def quote(batches):
         for batch in pieces(batches, "text"):
             hashes, first = _hashed(batch.column("text"))
-            values = hashes.view(np.int64)
-            for i, (key, no, wanted) in enumerate(zip(batch.column("key").to_pylist(), batch.column("no").to_pylist(), batch.column("asked").to_pylist())):
-                begin = [first[i] + w["start"] for w in wanted]
-                yield pa.RecordBatch.from_pydict({
-                    "anchor": [w["anchor"] for w in wanted], "kinds": [w["kinds"] for w in wanted], "key": [key] * len(wanted), "no": pa.array([no] * len(wanted), pa.int32()),
-                    "start": [w["start"] for w in wanted], "words": pa.array([values[a : a + w["n"] + span - 1] for a, w in zip(begin, wanted)], pa.list_(pa.int64())),
-                })
-
-    passages = saved(rows.join(asked, ["key", "no"]).mapInArrow(quote, "anchor long, kinds long, key long, no int, start long, words array<long>"))
-    small = passages.where(F.col("kinds") <= shard).repartition(shuffles(rows.sparkSession), "anchor").sortWithinPartitions("anchor", "key", "no", "start")
-    spans = small.mapInArrow(_later(span), "key long, no int, start long, n long")
-
-    def windows(batches):
-        for batch in batches:
-            for anchor, key, no, start, sequence in zip(*[batch.column(c).to_pylist() for c in ("anchor", "key", "no", "start", "words")]):
-                found = gram_hashes(np.array(sequence, np.int64).view(U64), span).view(np.int64)
-                n = len(found)
-                yield pa.RecordBatch.from_pydict({"anchor": [anchor] * n, "window": found, "key": [key] * n, "no": pa.array([no] * n, pa.int32()), "start": np.arange(start, start + n)})
-
-    each = passages.where(F.col("kinds") > shard).mapInArrow(windows, "anchor long, window long, key long, no int, start long")
-    first = each.groupBy("anchor", "window").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last")
-    late = each.join(first, ["anchor", "window"]).where(F.struct("key", "no", "start") > F.col("first"))
-    return copies.unionByName(spans).unionByName(late.select("key", "no", "start", F.lit(1).cast("long").alias("n")))
+            row, start, n, anchor, whole = segments(hashes, first, span)
+            one, wanted = _first_in_row(row, anchor, whole), batch.column("wanted")
+            ask = np.zeros(len(row), bool)
+            begin = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            for i in range(batch.num_rows):
+                at = slice(begin[i], begin[i + 1])
+                ask[at] = np.isin(whole[at].view(np.int64), wanted[i].values.to_numpy()) & one[at]
+            chosen = np.flatnonzero(ask)
+            size = n[chosen] + span - 1
+            offsets = np.r_[0, np.cumsum(size)]
+            at = np.arange(offsets[-1]) - np.repeat(offsets[:-1], size) + np.repeat((first[row] + start)[chosen], size)
+            words_ = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _longs(hashes[at]))
+            yield pa.RecordBatch.from_arrays([_longs(anchor[chosen]), batch.column("key").take(pa.array(row[chosen])), pa.array(start[chosen]), words_], ["anchor", "key", "start", "words"])
+
+    def passages(of: DataFrame) -> DataFrame:
+        asked = of.groupBy(F.col("first").alias("key")).agg(F.collect_list("whole").alias("wanted"))
+        return rows.join(asked, "key")
+
+    small = passages(kinds.where((F.col("kinds") > 1) & (F.col("kinds") <= shard))).mapInArrow(quote, "anchor long, key long, start long, words array<long>")
+    small = small.repartition(shuffles(rows.sparkSession), "anchor").sortWithinPartitions("anchor", "key", "start")
+    spans = small.mapInArrow(_later(span), "key long, start long, n long")
+
+    large = kinds.where(F.col("kinds") > shard)
+    if not large.isEmpty():
+
+        def windows(batches):
+            for batch in quote(batches):
+                for anchor, key, start, sequence in zip(*[batch.column(c).to_pylist() for c in ("anchor", "key", "start", "words")]):
+                    found = gram_hashes(np.array(sequence, np.int64).view(U64), span)
+                    n = len(found)
+                    yield pa.RecordBatch.from_pydict({"anchor": [anchor] * n, "window": found.view(np.int64), "key": [key] * n, "start": np.arange(start, start + n)})
+
+        each = passages(large).mapInArrow(windows, "anchor long, window long, key long, start long")
+        place = F.struct("key", "start")
+        first = each.groupBy("anchor", "window").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last")
+        late = each.join(first, ["anchor", "window"]).where(place > F.col("first"))
+        spans = spans.unionByName(late.select("key", "start", F.lit(1).cast("long").alias("n")))
+    told = copies.select("key", "whole", F.lit(None).cast("struct<start:long,n:long>").alias("span"))
+    told = told.unionByName(spans.select("key", F.lit(None).cast("long").alias("whole"), F.struct("start", "n").alias("span")))
+    return told.groupBy("key").agg(F.collect_list("whole").alias("wholes"), F.collect_list("span").alias("spans"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (key, text) and, where keys are not the ids, the ids of keys. A null id is the smallest key, a null text empty.
+
+    Where different texts share an id, keys are numbers in the order of (id, hash of the text) instead of ids.
+    """
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    no = F.xxhash64("text")
+    if rows.groupBy("key").agg(F.min(no).alias("a"), F.max(no).alias("b")).where("a <> b").isEmpty():
+        return rows, None
+    pairs = rows.select(F.col("key").alias("id"), no.alias("no")).distinct()
+    order = pairs.repartitionByRange(shuffles(docs.sparkSession), "id", "no").sortWithinPartitions("id", "no")
+    numbers = saved(order.withColumn("key", F.monotonically_increasing_id()))
+    return rows.select(F.col("key").alias("id"), no.alias("no"), "text").join(numbers, ["id", "no"]).select("key", "text"), numbers.select("key", "id")
 
 
 def deduplicate(docs: DataFrame, span: int = 20, shard: int = 4096, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
@@ -194,25 +264,34 @@ def deduplicate(docs: DataFrame, span: int = 20, shard: int = 4096, id_col: str
     have one outcome; different texts under one id stand side by side in the order of a hash. Null ids come before all
     others. An empty table gives an empty one; other columns are ignored.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("key", F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int").alias("no"), "text")
-    spans = repeats(rows, span, shard).groupBy("key", "no").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    rows, ids = _keyed(docs, id_col, text_col)
 
     def remove(batches):
         for batch in pieces(batches, "text"):
+            hashes, first = _hashed(batch.column("text"))
+            row, start, n, anchor, whole = segments(hashes, first, span)
+            gone = ~_first_in_row(row, anchor, whole)
+            begin = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            edge = np.zeros(len(hashes) + 1, np.int64)
+            for i, (wholes, spans) in enumerate(zip(batch.column("wholes"), batch.column("spans"))):
+                if wholes.is_valid and len(wholes.values):
+                    at = slice(begin[i], begin[i + 1])
+                    gone[at] |= np.isin(whole[at].view(np.int64), wholes.values.to_numpy())
+                if spans.is_valid and len(spans.values):
+                    a = first[i] + spans.values.field("start").to_numpy()
+                    np.add.at(edge, a, 1)
+                    np.add.at(edge, a + spans.values.field("n").to_numpy() + span - 1, -1)
+            a = (first[row] + start)[gone]
+            np.add.at(edge, a, 1)
+            np.add.at(edge, a + n[gone] + span - 1, -1)
+            keep = np.cumsum(edge[:-1]) == 0
             out = []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                own = text.encode().split()
-                if found:
-                    edge = np.zeros(len(own) + 1, np.int64)
-                    np.add.at(edge, [s["start"] for s in found], 1)
-                    np.add.at(edge, [s["start"] + s["n"] + span - 1 for s in found], -1)
-                    kept = b" ".join([own[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()])
-                    removed = int((np.cumsum(edge[:-1]) > 0).sum())
-                else:
-                    kept, removed = b" ".join(own), 0
-                out.append((len(own), removed, hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None))
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                own, kept = text.encode().split(), keep[first[i] : first[i + 1]]
+                left = b" ".join(own if kept.all() else [own[j] for j in np.flatnonzero(kept).tolist()])
+                out.append((len(own), len(own) - int(kept.sum()), hashlib.sha256(left).hexdigest(), left.decode() if texts else None))
             yield pa.RecordBatch.from_arrays([batch.column("key"), *[pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))]], ["key", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    done = rows.join(spans, ["key", "no"], "left").mapInArrow(remove, "key long, n_words long, n_removed long, kept_sha256 string, kept string")
-    return done.select(F.when(F.col("key") != _NONE, F.col("key")).alias(id_col), "n_words", "n_removed", "kept_sha256", *["kept"] * texts)
+    done = rows.join(repeats(rows, span, shard), "key", "left").mapInArrow(remove, "key long, n_words long, n_removed long, kept_sha256 string, kept string")
+    done = done.withColumn("id", F.col("key")) if ids is None else done.join(ids, "key")
+    return done.select(F.when(F.col("id") != _NONE, F.col("id")).alias(id_col), "n_words", "n_removed", "kept_sha256", *["kept"] * texts)
