@@ -44,9 +44,9 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     counted, at most ``most`` times its size. Sources in code point order, null last as a source of its own. Running sums
     are dealt out by source and the first ``digits`` hex digits of the hash, so that no task holds a whole source. Repeated
     rows follow each other in the order and share an outcome between them; an empty table gives an empty one. Columns of
-    docs that have the names of added ones are replaced.
+    docs that have the names of added ones, or of those used within, are replaced.
     """
-    added = {"size", "source_size", "target", "before", "taken"}
+    added = {"size", "source_size", "target", "before", "taken", *_INNER}
     docs = docs.select(*[c for c in docs.columns if c not in added])
     sized = docs.withColumns({
         "size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"),
@@ -74,14 +74,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     """The mix itself: rows of docs in the global order of virtual finish time, a row once for each round that takes it.
 
     A document in service when the budget ends stays whole where at least half of it was served, and goes otherwise. See
-    ``plan`` for nulls, repeats and clashing names.
+    ``plan`` for nulls and repeats. All columns of docs are kept as they are.
     """
-    planned = plan(docs, weights, share, most, id_col, text_col, source_col)
+    whole = docs.select(F.struct(*docs.columns).alias("__row"), *dict.fromkeys([id_col, text_col, source_col]))
+    planned = plan(whole, weights, share, most, id_col, text_col, source_col)
     rounds = F.explode(F.array(*[F.struct(F.lit(p).alias("round"), _served(p).alias("served")) for p in range(most)]))
     rows = planned.withColumn("__round", rounds).where("__round.served > 0 and 2 * __round.served >= size")
     finish = (F.col("__round.round") * F.col("source_size") + F.col("before") + F.col("size")) / F.col("target")
     ordered = rows.withColumn("__finish", finish).repartitionByRange(shuffles(docs.sparkSession), "__finish", id_col).sortWithinPartitions("__finish", id_col)
-    return ordered.select(*docs.columns)
+    return ordered.select("__row.*")
 
 
 #: DuckDB's form of the plan over the documents table.
