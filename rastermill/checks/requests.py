@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..fixtures import embedding_cells, lineitem_cells, requests, table
+from ..fixtures import embedding_cells, lineitem_cells, requests, requests_of, table
 from ..operators import geometry, store
 from ..streaming import requests as stream
 
@@ -66,6 +69,18 @@ def latest_wins_batch(spark, sf):
     return store.latest_wins(requests(spark, sf)).select("image_id", "generation", "method", "strength")
 
 
+@query("ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY generation DESC) AS n FROM requests)\nSELECT image_id, generation, method, strength FROM ranked WHERE n = 1", source="requests", cells=False)
+def latest_wins_stream(spark, sf):
+    """The newest request of every image, from the events as a stream; stale ones are dropped by state."""
+    folder = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp(prefix='spark-stream-')}/requests-{uuid4().hex}"
+    kinds = table(spark, sf, "events").schema
+    events = spark.readStream.schema(kinds).option("pathGlobFilter", "events.parquet").parquet(sf)
+    newest = stream.latest_wins(requests_of(events).select("image_id", "generation", "method", "strength"))
+    write = newest.writeStream.foreachBatch(lambda rows, batch: rows.write.mode("append").parquet(f"{folder}/out")).outputMode("append")
+    write.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return store.latest_wins(spark.read.parquet(f"{folder}/out"))
+
+
 @query("""marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY image_id ORDER BY ts, generation) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM requests),
 bursts AS (SELECT *, sum(new) OVER (PARTITION BY image_id ORDER BY ts, generation) AS burst FROM marked)
 SELECT image_id, min(ts) AS first_ts, max(ts) + INTERVAL 30 MINUTE AS due_ts, count(*)::BIGINT AS n_requests, arg_max(generation, (ts, generation)) AS generation, arg_max(method, (ts, generation)) AS method FROM bursts GROUP BY image_id, burst""", source="requests", cells=False)

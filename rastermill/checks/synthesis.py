@@ -9,7 +9,8 @@ from ..fixtures import embedding_cells, lineitem_cells
 from ..layout import rasters, rounded
 from ..operators import quality, splat, stencil
 from ..plans import jobs
-from .seams import q4
+from .seams import clip, q4
+from .stencils import blur
 
 _U = "(('0x' || substr(md5('3:' || raster_id || ':' || splat_id || ':{0}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 _PLACED = f"""spots AS (SELECT DISTINCT raster_id, s AS splat_id, s // 5 AS gy, s % 5 AS gx FROM cells, range(25) r(s)),
@@ -120,7 +121,10 @@ def chunked_job(spark, sf):
     return jobs.chunked_overlap(lineitem_cells(spark, sf), 8, 2, 0.25, 0.5)
 
 
-@query()
+@query("""known AS (SELECT * FROM cells WHERE NOT (x BETWEEN 6 AND 9 OR y BETWEEN 6 AND 9)),
+fill AS (SELECT t.raster_id, t.band, t.y, t.x, sum(k.v / ((t.y - k.y) * (t.y - k.y) + (t.x - k.x) * (t.x - k.x))::DOUBLE) / sum(1 / ((t.y - k.y) * (t.y - k.y) + (t.x - k.x) * (t.x - k.x))::DOUBLE) AS f
+  FROM cells t JOIN known k ON k.raster_id = t.raster_id AND k.band = t.band AND (t.y - k.y) * (t.y - k.y) + (t.x - k.x) * (t.x - k.x) BETWEEN 1 AND 9 GROUP BY ALL),
+result AS (SELECT c.raster_id, h, w, c.band, c.y, c.x, CASE WHEN c.x BETWEEN 6 AND 9 OR c.y BETWEEN 6 AND 9 THEN coalesce(f, v) ELSE v END AS v FROM cells c LEFT JOIN fill USING (raster_id, band, y, x))""")
 def seam_fill(spark, sf):
     """The centre cross filled from around it."""
     return jobs.seam_fill(lineitem_cells(spark, sf), 4, 3)
@@ -132,13 +136,22 @@ def multi_scale_fill(spark, sf):
     return jobs.multi_scale_fill(lineitem_cells(spark, sf), 4, 3)
 
 
-@query()
+def _light(detail: float) -> str:
+    """Light removal of strength a half: kernels of 45, 15 and 7 taps follow from an edge of 8."""
+    blurs = [blur("far", "cells", stencil.gaussian_kernel(45, 15.0), 8, "reflect"), blur("mid", "cells", stencil.gaussian_kernel(15, 5.0), 8, "reflect"), blur("fine", "cells", stencil.gaussian_kernel(7, 2.0), 8, "reflect")]
+    lit = f"c.v / {clip('a.v * 0.6::DOUBLE + b.v * 0.4::DOUBLE', '1', '255')} * m.m" + (f" + (c.v - f.v) * (1 + {detail}::DOUBLE * 0.5::DOUBLE) * 0.5::DOUBLE" if detail else "")
+    mean = "means AS (SELECT raster_id, band, greatest(avg(v), 1) AS m FROM cells GROUP BY ALL)"
+    joined = "cells c JOIN far a USING (raster_id, band, y, x) JOIN mid b USING (raster_id, band, y, x) JOIN fine f USING (raster_id, band, y, x) JOIN means m USING (raster_id, band)"
+    return ",\n".join([*blurs, mean, f"result AS (SELECT c.raster_id, c.h, c.w, c.band, c.y, c.x, {clip(f'c.v * 0.5::DOUBLE + ({lit}) * 0.5::DOUBLE', high='255')} AS v FROM {joined})"])
+
+
+@query(_light(0.0), source="embedding")
 def delight_light(spark, sf):
     """Low frequencies divided out of every vector's raster."""
     return stencil.remove_light(embedding_cells(spark, sf), 0.5, detail=0.0)
 
 
-@query()
+@query(_light(0.75), source="embedding")
 def delight_detail(spark, sf):
     """The same with detail put back."""
     return stencil.remove_light(embedding_cells(spark, sf), 0.5, detail=0.75)

@@ -43,10 +43,15 @@ def embedding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Processing requests from the event stream: one image for each user, the event id as generation."""
+    """Processing requests from the event table: one image for each user, the event id as generation."""
+    return requests_of(table(spark, sf_dir, "events"))
+
+
+def requests_of(events: DataFrame) -> DataFrame:
+    """Requests of events, as a table or as a stream."""
     methods = F.create_map(*[F.lit(x) for kv in METHODS.items() for x in kv])
     strength = F.least(F.greatest(F.col("value") / 100, F.lit(0.0)), F.lit(1.0))
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("image_id"), F.col("event_id").alias("generation"), "ts", methods[F.col("event_type")].alias("method"), strength.alias("strength"), "props")
+    return events.select(F.col("user_id").alias("image_id"), F.col("event_id").alias("generation"), "ts", methods[F.col("event_type")].alias("method"), strength.alias("strength"), "props")
 
 
 #: The method that each event type stands for.
