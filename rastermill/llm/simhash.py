@@ -4,10 +4,14 @@ Every pair within the radius is found: the 64 bits are cut into ``radius + pick`
 differ in at most ``radius`` bits agree on at least ``pick`` whole blocks. Each choice of ``pick`` blocks deals the
 distinct fingerprints into shards of equal block values; a shard's BK-tree is searched with the shard's own
 fingerprints. ``pick`` grows with the number of fingerprints (1 to 4) so that shards stay small; the links are the same.
+
+For a similarity instead of a radius, fingerprints have 256 bits, which tells 0.8 from 0.7; a radius that wide has no
+whole blocks in common, so shards are of equal sampled bits, in as many samples as the recall asks for.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -18,55 +22,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import saved, shuffles
-from ._words import packed, pieces
+from ._words import mix, packed, pieces
 from .graph import components
 
 #: Fingerprints in a part of a shard: larger shards are cut, and every pair of parts is searched apart.
 SHARD = 4096
 
 
-def fingerprint(raw: bytes, size: int = 4) -> int:
-    """The 64-bit SimHash of one text: A-Z lower-cased, shingles of ``size`` words with repeats, XXH64 with seed 42."""
+def fingerprint(raw: bytes, size: int = 4, parts: int = 1) -> np.ndarray:
+    """SimHash of one text as 64-bit words: A-Z lower-cased, shingles of ``size`` words with repeats, XXH64 with seed 42.
+
+    Words after the first are of bijections of the same hashes.
+    """
     text = b" ".join(raw.lower().split())
     if not text:
-        return 0
+        return np.zeros(parts, np.uint64)
     gaps = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
     starts, ends = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(text)]
     k, digest = min(size, len(starts)), xxhash.xxh64_intdigest
     hashes = np.array([digest(text[a:b], 42) for a, b in zip(starts, ends[k - 1 :])], "<u8")
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    out = np.zeros(parts, np.uint64)
+    for part in range(parts):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), 1 << 16):
+            some = hashes[at : at + (1 << 16)]
+            some = some if not part else mix(some + np.uint64(part))
+            ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[part] = np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
+    return out
 
 
-def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, fingerprint as long), one for each row of docs; null, empty or blank texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text", parts: int = 1) -> DataFrame:
+    """Rows (doc_id, fingerprint as long), one for each row of docs; null, empty or blank texts have fingerprint 0.
+
+    More parts: columns fingerprint, fingerprint1, fingerprint2, ...
+    """
+    names = ["fingerprint", *[f"fingerprint{i}" for i in range(1, parts)]]
 
     def run(batches):
         for batch in pieces(batches, "text"):
             data, off = packed(batch.column("text"))
             raw = data.tobytes()
-            out = np.array([fingerprint(raw[a:b], size) for a, b in zip(off.tolist(), off[1:].tolist())], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out.view(np.int64))], ["id", "fingerprint"])
+            out = np.array([fingerprint(raw[a:b], size, parts) for a, b in zip(off.tolist(), off[1:].tolist())], np.uint64).reshape(-1, parts).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(np.ascontiguousarray(c)) for c in out.T]], ["id", *names])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(rows.dtypes)["id"]
-    return rows.mapInArrow(run, f"id {kind}, fingerprint long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names)).withColumnRenamed("id", id_col)
 
 
 class BkForest:
     """BK-trees of many shards at once: a node's children are keyed by their integer Hamming distance to it."""
 
     def __init__(self, prints: np.ndarray, group: np.ndarray):
-        """group: ascending numbers, one tree each. Equal fingerprints must not be in one group."""
-        self.prints = prints
+        """prints: (rows, words). group: ascending numbers, one tree each. Equal fingerprints must not be in one group."""
+        self.prints, self.bits = prints, 64 * prints.shape[1]
         first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
         self.root = np.repeat(first, np.diff(np.r_[first, len(group)]))
         members = np.flatnonzero(self.root != np.arange(len(group)))
         parent, keys, child = self.root[members], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         while len(members):
-            key = parent * 65 + np.bitwise_count(prints[members] ^ prints[parent])
+            key = parent * (self.bits + 1) + self._far(members, parent)
             order = np.argsort(key, kind="stable")
             key, members = key[order], members[order]
             new = np.r_[True, key[1:] != key[:-1]]
@@ -77,15 +93,18 @@ class BkForest:
         order = np.argsort(np.concatenate(keys))
         self.keys, self.child = np.concatenate(keys)[order], np.concatenate(child)[order]
 
+    def _far(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.prints[a] ^ self.prints[b]).sum(1, dtype=np.int64)
+
     def within(self, asked: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (asked, other) of positions in one tree whose fingerprints differ in at most radius bits."""
         found, node = [(np.zeros(0, np.int64),) * 2], self.root[asked]
         while len(asked):
-            far = np.bitwise_count(self.prints[asked] ^ self.prints[node]).astype(np.int64)
+            far = self._far(asked, node)
             hit = (far <= radius) & (asked != node)
             found.append((asked[hit], node[hit]))
-            low = np.searchsorted(self.keys, node * 65 + np.maximum(far - radius, 1))
-            count = np.searchsorted(self.keys, node * 65 + np.minimum(far + radius, 64), "right") - low
+            low = np.searchsorted(self.keys, node * (self.bits + 1) + np.maximum(far - radius, 1))
+            count = np.searchsorted(self.keys, node * (self.bits + 1) + np.minimum(far + radius, self.bits), "right") - low
             asked = np.repeat(asked, count)
             node = self.child[np.arange(len(asked)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
         return tuple(np.concatenate(x) for x in zip(*found))
@@ -107,16 +126,18 @@ def _forest_links(prints: np.ndarray, group: np.ndarray, radius: int) -> tuple[n
             if (old == label).all():
                 break
     own = np.flatnonzero(label != np.arange(len(label)))
-    return prints[own], prints[label[own]]
+    return own, label[own]
 
 
-def _search(radius: int):
+def _search(radius: int, node: str, names: list[str]):
+    """Links (a, b), values of column ``node``, within groups of rows that come sorted; names: words of the fingerprint."""
     keys = ["combo", "part", "i", "j"]
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
         number = (rows[keys].ne(rows[keys].shift())).any(axis=1).cumsum().to_numpy()
-        a, b = _forest_links(rows["fingerprint"].to_numpy().view(np.uint64), number, radius)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+        a, b = _forest_links(rows[names].to_numpy().view(np.uint64), number, radius)
+        value = rows[node].to_numpy()
+        return pd.DataFrame({"a": value[a], "b": value[b]})
 
     def run(frames):
         rest = None
@@ -133,20 +154,56 @@ def _search(radius: int):
     return run
 
 
+def _joined(dealt: DataFrame, radius: int, node: str, names: list[str], shard: int) -> DataFrame:
+    """Links within the shards (combo, part) of dealt; shards of more than ``shard`` rows are cut, and each pair of cuts is searched."""
+    sizes = dealt.groupBy("combo", "part").count().where("count > 1").select("combo", "part", F.ceil(F.col("count") / shard).cast("int").alias("cuts"))
+    cut = dealt.join(sizes, ["combo", "part"]).withColumn("own", F.pmod(F.xxhash64(node), F.col("cuts")).cast("int"))
+    kept = list(dict.fromkeys([node, *names]))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select(*kept, "combo", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    cut = cut.repartition(shuffles(dealt.sparkSession), "combo", "part", "i", "j").sortWithinPartitions("combo", "part", "i", "j")
+    return cut.mapInPandas(_search(radius, node, names), "a long, b long")
+
+
 def links(nodes: DataFrame, radius: int = 4, shard: int = SHARD) -> DataFrame:
     """Links (a, b) between distinct fingerprints of ``nodes`` that join exactly what the Hamming radius joins."""
-    spark, count = nodes.sparkSession, nodes.count()
+    count = nodes.count()
     pick = next((p for p in (1, 2, 3) if count >> (64 * p // (radius + p)) <= 64), 4)
     blocks = radius + pick
     edges = [64 * i // blocks for i in range(blocks + 1)]
     masks = [sum((1 << edges[x + 1]) - (1 << edges[x]) for x in chosen) for chosen in combinations(range(blocks), pick)]
     signed = lambda x: x - 2**64 if x >= 2**63 else x
-    dealt = nodes.select("fingerprint", F.explode(F.array(*[F.struct(F.lit(c).alias("combo"), F.col("fingerprint").bitwiseAND(F.lit(signed(m))).alias("part")) for c, m in enumerate(masks)])).alias("x")).select("fingerprint", "x.*")
-    sizes = dealt.groupBy("combo", "part").count().where("count > 1").select("combo", "part", F.ceil(F.col("count") / shard).cast("int").alias("parts"))
-    cut = dealt.join(sizes, ["combo", "part"]).withColumn("own", F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("fingerprint", "combo", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    cut = cut.repartition(shuffles(spark), "combo", "part", "i", "j").sortWithinPartitions("combo", "part", "i", "j")
-    return cut.mapInPandas(_search(radius), "a long, b long")
+    parts = F.explode(F.array(*[F.struct(F.lit(c).alias("combo"), F.col("fingerprint").bitwiseAND(F.lit(signed(m))).alias("part")) for c, m in enumerate(masks)]))
+    return _joined(nodes.select("fingerprint", parts.alias("x")).select("fingerprint", "x.*"), radius, "fingerprint", ["fingerprint"], shard)
+
+
+def differing(similarity: float) -> float:
+    """Share of bits in which SimHashes of texts differ whose shingle sets have this Jaccard similarity, sizes being equal."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float = 0.9, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
+    """Rows (doc_id, component_id), one for each row of docs: near-duplicates by shingles of ``size`` words at a similarity.
+
+    Fingerprints of 256 bits link at so many differing bits as the similarity gives, and half a deviation more. Shards
+    share k sampled bits; k follows the number of fingerprints, so that unlike ones rarely meet, and the number of
+    samples follows k, so that a pair at the similarity meets in one with probability ``recall``, a closer one more
+    surely. Equal texts always link. See ``near_duplicates`` for nulls, repeats and empty tables.
+    """
+    names = ["fingerprint", "fingerprint1", "fingerprint2", "fingerprint3"]
+    prints = saved(fingerprints(docs, size, id_col, text_col, len(names)).withColumn("node", F.xxhash64(*names)))
+    nodes = saved(prints.groupBy("node", *names).agg(F.min(id_col).alias("least")))
+    p = differing(similarity)
+    radius = round(256 * p + 0.5 * math.sqrt(256 * p * (1 - p)))
+    k = max(12, min(28, nodes.count().bit_length() - 2))
+    samples = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** k))
+    draw = np.random.default_rng(9)
+    bits = [[divmod(int(b), 64) for b in draw.choice(256, k, replace=False)] for _ in range(samples)]
+    part = lambda chosen: sum((F.shiftleft(F.shiftrightunsigned(names[w], at).bitwiseAND(F.lit(1)), i) for i, (w, at) in enumerate(chosen)), F.lit(0).cast("long"))
+    parts = F.explode(F.array(*[F.struct(F.lit(c).alias("combo"), part(chosen).alias("part")) for c, chosen in enumerate(bits)]))
+    found = _joined(nodes.select("node", *names, parts.alias("x")).select("node", *names, "x.*"), radius, "node", names, shard)
+    labels = saved(nodes.join(components(found), "node", "left").select("node", "least", F.coalesce("label", "node").alias("label")))
+    groups = labels.join(labels.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
+    return prints.select(id_col, "node").join(groups, "node").select(id_col, "component_id")
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
