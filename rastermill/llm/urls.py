@@ -40,7 +40,8 @@ def templates(urls: DataFrame, children: int = 16, share: float = 0.1, depth: in
     for level in range(levels):
         at = tree.withColumn("segment", F.get("segments", F.lit(level)))
         branch = at.where("segment is not null").groupBy("host", "template", "segment").agg(*[F.sum(c).alias(c) for c in ("n", "good", "bad")])
-        node = branch.groupBy("host", "template").agg(F.count("*").alias("k"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "good", "bad")])
+        # written, so that the join with it is a plain one of which Spark can split a large host's side
+        node = saved(branch.groupBy("host", "template").agg(F.count("*").alias("k"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "good", "bad")]))
         extension = F.regexp_extract("segment", r"\.[A-Za-z]{1,5}$", 0)
         met = branch.join(node, ["host", "template"])
         own, rest = F.col("good") + F.col("bad"), F.col("all_good") + F.col("all_bad") - F.col("good") - F.col("bad")
