@@ -198,9 +198,16 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: flo
     samples = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** k))
     draw = np.random.default_rng(9)
     bits = [[divmod(int(b), 64) for b in draw.choice(256, k, replace=False)] for _ in range(samples)]
-    part = lambda chosen: sum((F.shiftleft(F.shiftrightunsigned(names[w], at).bitwiseAND(F.lit(1)), i) for i, (w, at) in enumerate(chosen)), F.lit(0).cast("long"))
-    parts = F.explode(F.array(*[F.struct(F.lit(c).alias("combo"), part(chosen).alias("part")) for c, chosen in enumerate(bits)]))
-    found = _joined(nodes.select("node", *names, parts.alias("x")).select("node", *names, "x.*"), radius, "node", names, shard)
+
+    def deal(batches):
+        for batch in batches:
+            prints_ = np.stack([batch.column(n).to_numpy().view(np.uint64) for n in names])
+            for combo, chosen in enumerate(bits):
+                part = sum(((prints_[w] >> np.uint64(at)) & np.uint64(1)) << np.uint64(i) for i, (w, at) in enumerate(chosen))
+                yield pa.RecordBatch.from_arrays([batch.column("node"), *[batch.column(n) for n in names], pa.array(np.full(len(part), combo, np.int32)), pa.array(part.astype(np.int64))], ["node", *names, "combo", "part"])
+
+    dealt = nodes.select("node", *names).mapInArrow(deal, ", ".join(f"{n} long" for n in ("node", *names)) + ", combo int, part long")
+    found = _joined(dealt, radius, "node", names, shard)
     labels = saved(nodes.join(components(found), "node", "left").select("node", "least", F.coalesce("label", "node").alias("label")))
     groups = labels.join(labels.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
     return prints.select(id_col, "node").join(groups, "node").select(id_col, "component_id")
