@@ -12,14 +12,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder in spark.checkpoint.dir (which all executors share) and cut from what made them.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share.
 
-    Only where that setting is absent, as in tests on one machine, a folder of its own is set.
+    Only where spark.checkpoint.dir is absent, as in tests on one machine, a folder of its own is set.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows, written to the checkpoint folder and cut from what made them."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
