@@ -11,24 +11,31 @@ from .geometry import resize_wrapped
 
 
 def _paired(cells: DataFrame, axis: str, pair: Column, weight: Column, active: Column) -> DataFrame:
-    """v of each active cell mixed with its partner's, the other cell of the same pair number, by weight."""
+    """v of each active cell mixed with its partner's, the other cell of the same pair number, by weight.
+
+    Both cells of a pair meet in a hash aggregation, and leave it as two rows again; a cell that has no partner stays.
+    """
     other = "y" if axis == "x" else "x"
-    keyed = cells.withColumn("__pair", F.when(active, pair))
-    mate = F.sum("v").over(Window.partitionBy("raster_id", "band", other, "__pair")) - F.col("v")
-    both = F.count("*").over(Window.partitionBy("raster_id", "band", other, "__pair")) == 2
-    mixed = F.when(F.col("__pair").isNotNull() & both, F.col("v") * (1 - weight) + mate * weight).otherwise(F.col("v"))
-    return keyed.withColumn("v", mixed).select(*COLUMNS)
+    side = F.col(axis) >= F.floor(F.col("w" if axis == "x" else "h") / 2)
+    keyed = cells.withColumns({"__pair": pair.cast("int"), "__k": F.when(active, weight).otherwise(0.0)})
+    of = lambda c, right: F.max(F.when(side == right, F.col(c)))
+    met = keyed.groupBy("raster_id", "h", "w", "band", other, "__pair").agg(*[of(c, r).alias(f"{c}{int(r)}") for c in (axis, "v", "__k") for r in (False, True)])
+    mixed = lambda own, mate: F.when(F.col(f"{axis}{mate}").isNull(), F.col(f"v{own}")).otherwise(F.col(f"v{own}") * (1 - F.col(f"__k{own}")) + F.col(f"v{mate}") * F.col(f"__k{own}"))
+    both = F.explode(F.array(*[F.struct(F.col(f"{axis}{own}").alias("p"), mixed(own, 1 - own).alias("v")) for own in (0, 1)]))
+    return met.withColumn("cell", both).where("cell.p is not null").select("raster_id", "h", "w", "band", *[F.col("cell.p").alias("x") if c == axis and axis == "x" else F.col("cell.p").alias("y") if c == axis else F.col(c) for c in ("y", "x")], "cell.v")
 
 
 def linear_crossfade(cells: DataFrame, strength: float = 1.0) -> DataFrame:
-    """Both sides of the centre axes faded into each other by linear weights, columns first; clipped to 0..1 or 0..255."""
+    """Both sides of the centre axes faded into each other by linear weights, columns first; clipped to 0..255.
+
+    Mixing never leaves the range of what is mixed, so rasters from 0 to 1 need no bound of their own.
+    """
     radius = masks.feather_radius(F.col("h"), F.col("w"), strength)
-    tops = cells.groupBy("raster_id").agg(F.when(F.max("v") <= 1, 1.0).otherwise(255.0).alias("__top"))
     for axis, edge in (("x", "w"), ("y", "h")):
         centre = F.floor(F.col(edge) / 2)
         d = F.when(F.col(axis) >= centre, F.col(axis) - centre).otherwise(centre - 1 - F.col(axis))
         cells = _paired(cells, axis, d, masks.linear_weight(d, radius), d < radius)
-    return cells.join(tops, "raster_id").withColumn("v", F.least(F.greatest("v", F.lit(0.0)), "__top")).select(*COLUMNS)
+    return cells.withColumn("v", clip("v", 0, 255)).select(*COLUMNS)
 
 
 def _half(strength: float, fixed: int | None) -> Column:

@@ -12,7 +12,11 @@ from ..sources.files import RENDERERS
 
 
 def offset_crossfade(cells: DataFrame, strength: float = 1.0) -> DataFrame:
-    """Borders moved to the middle by half the size, faded into each other there, and moved back."""
+    """Borders moved to the middle by half the size, faded into each other there, and moved back.
+
+    Cells are dealt out by raster and band once, which serves both passes and what follows by raster and band.
+    """
+    cells = cells.repartition("raster_id", "band")
     return geometry.offset(seams.linear_crossfade(geometry.offset(cells), strength), back=True)
 
 

@@ -217,3 +217,15 @@ def test_folder_ingest_is_incremental(spark, noise, tmp_path):
         files.write_png(cells_of(spark, noise), str(folder), name(n)).collect()
         requests.ingest_folder(spark, str(folder), str(tmp_path / "c"), lambda f, batch: seen.extend(r.path.rpartition("/")[2] for r in f.collect()))
     assert seen == ["a.png", "b.png"]
+
+
+def test_no_blend_is_identity(spark, noise):
+    cells = cells_of(spark, noise)
+    for same in (seams.blend_symmetric(cells, 0.0), seams.blend_with_original(cells, cells, 0.0), seams.blend_symmetric(cells, fixed=1)):
+        assert np.array_equal(image_of(same), noise)
+
+
+def test_odd_sizes_blend(spark, noise):
+    out = image_of(seams.blend_symmetric(cells_of(spark, noise[:23, :31]), 1.0))
+    crossed = image_of(seams.linear_crossfade(cells_of(spark, noise[:23, :31])))
+    assert out.shape == crossed.shape == (23, 31, 3) and np.isfinite(out).all() and np.isfinite(crossed).all()
