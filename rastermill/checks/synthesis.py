@@ -130,6 +130,21 @@ def seam_fill(spark, sf):
     return jobs.seam_fill(lineitem_cells(spark, sf), 4, 3)
 
 
+def _round(known: str) -> str:
+    """Cells of the query below that are not known yet, from known ones at a distance of 3 or less."""
+    square = "((t.y - k.y) * (t.y - k.y) + (t.x - k.x) * (t.x - k.x))"
+    return f"""SELECT t.raster_id, t.h, t.w, t.band, t.y, t.x, sum(k.v / {square}::DOUBLE) / sum(1 / {square}::DOUBLE) AS v
+  FROM (SELECT * FROM cells ANTI JOIN {known} USING (raster_id, band, y, x)) t JOIN {known} k ON k.raster_id = t.raster_id AND k.band = t.band AND {square} BETWEEN 1 AND 9 GROUP BY ALL"""
+
+
+@query(f"""known AS (SELECT raster_id, h, w, band, y, x, v FROM cells WHERE NOT (x BETWEEN 4 AND 11 OR y BETWEEN 4 AND 11)),
+first AS (SELECT * FROM known UNION ALL {_round("known")}),
+result AS (SELECT * FROM first UNION ALL {_round("first")})""")
+def seam_fill_wide(spark, sf):
+    """A centre cross of 8 cells, filled from around it in rounds of radius 3."""
+    return jobs.seam_fill(lineitem_cells(spark, sf), 8, 3)
+
+
 @query()
 def multi_scale_fill(spark, sf):
     """The centre cross filled at three scales and mixed."""

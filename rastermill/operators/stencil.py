@@ -219,18 +219,35 @@ def ao_map(height: DataFrame, normal: DataFrame | None = None, radius: int = 16,
     return wide.select("raster_id", "h", "w", F.lit(0).alias("band"), "y", "x", out.alias("v"))
 
 
-def gap_fill(cells: DataFrame, mask: DataFrame, radius: int = 5) -> DataFrame:
+def gap_fill(cells: DataFrame, mask: DataFrame, radius: int | Column = 5) -> DataFrame:
     """Masked cells (mask v > 0, rows (raster_id, y, x, v)) as the mean of known cells within ``radius``, by 1 / distance squared.
 
-    Known cells go to the masked ones around them; one that has none within reach keeps its value.
+    radius: a number of 1 or more, or a column of the raster's size or key. Known cells near the mask go to the masked
+    ones around them; those filled count as known in the next round, until none is left that can be reached. Only a
+    raster without any known cell keeps masked values. Each round is saved.
     """
     marked = cells.join(mask.select("raster_id", "y", "x", (F.col("v") > 0).alias("__gap")), ["raster_id", "y", "x"], "left").withColumn("__gap", F.coalesce("__gap", F.lit(False)))
-    around = [(dy, dx, 1.0 / (dy * dy + dx * dx)) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if 0 < dy * dy + dx * dx <= radius * radius]
-    tap = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(k).alias("k")) for dy, dx, k in around]))
-    given = marked.where("not __gap").withColumn("tap", tap).select("raster_id", "band", (F.col("y") + F.col("tap.dy")).alias("y"), (F.col("x") + F.col("tap.dx")).alias("x"), (F.col("v") * F.col("tap.k")).alias("n"), F.col("tap.k").alias("d"))
-    filled = given.groupBy("raster_id", "band", "y", "x").agg((F.sum("n") / F.sum("d")).alias("__fill"))
-    out = marked.join(filled, ["raster_id", "band", "y", "x"], "left")
-    return sized(out.withColumn("v", F.when(F.col("__gap"), F.coalesce("__fill", "v")).otherwise(F.col("v"))))
+    marked = marked.withColumn("__r", (F.lit(radius) if isinstance(radius, int) else radius).cast("int"))
+    reach = F.sequence(-F.col("__r"), F.col("__r"))
+    square = F.col("__dy") * F.col("__dy") + F.col("__dx") * F.col("__dx")
+    open_before = None
+    while True:
+        # cells whose block of r by r cells and the blocks around it hold no masked cell reach none, and are not dealt out
+        gaps = marked.where("__gap").select("raster_id", "band", "y", "x", "__r")
+        blocks = lambda c: F.floor(F.col(c) / F.greatest("__r", F.lit(1)))
+        beside = F.sequence(F.lit(-1), F.lit(1))
+        near = gaps.select("raster_id", "band", blocks("y").alias("__by"), blocks("x").alias("__bx")).distinct()
+        near = near.withColumn("i", F.explode(beside)).withColumn("j", F.explode(beside)).select("raster_id", "band", (F.col("__by") + F.col("i")).alias("__by"), (F.col("__bx") + F.col("j")).alias("__bx")).distinct()
+        known = marked.where("not __gap").withColumns({"__by": blocks("y"), "__bx": blocks("x")}).join(near, ["raster_id", "band", "__by", "__bx"], "left_semi")
+        given = known.withColumn("__dy", F.explode(reach)).withColumn("__dx", F.explode(reach)).where((square > 0) & (square <= F.col("__r") * F.col("__r"))).withColumn("__k", F.lit(1.0) / square)
+        given = given.select("raster_id", "band", (F.col("y") + F.col("__dy")).alias("y"), (F.col("x") + F.col("__dx")).alias("x"), (F.col("v") * F.col("__k")).alias("n"), F.col("__k").alias("d"))
+        filled = given.groupBy("raster_id", "band", "y", "x").agg((F.sum("n") / F.sum("d")).alias("__fill"))
+        met = marked.join(filled, ["raster_id", "band", "y", "x"], "left").withColumn("v", F.when(F.col("__gap"), F.coalesce("__fill", "v")).otherwise(F.col("v")))
+        marked = saved(met.withColumn("__gap", F.col("__gap") & F.col("__fill").isNull()).select(*COLUMNS, "__gap", "__r"))
+        left = marked.where("__gap").count()
+        if not left or left == open_before:
+            return sized(marked)
+        open_before = left
 
 
 def height_tangent(height: DataFrame) -> DataFrame:

@@ -59,15 +59,18 @@ def chunked_overlap(cells: DataFrame, chunk: int, overlap: int, share: float = 0
     return geometry.merge_feathered(done.select(*[F.col(f"raster_id.{n}").alias(n) for n in names], "h", "w", "band", "y", "x", "v"), cells, overlap)
 
 
-def seam_fill(cells: DataFrame, width: int = 30, radius: int = 5, largest: int = 2048) -> DataFrame:
-    """The centre cross filled from around it; rasters above ``largest`` are filled at that size, enlarged, and mixed in by a softened mask."""
+def seam_fill(cells: DataFrame, width: int = 30, radius: int | None = None, largest: int = 2048) -> DataFrame:
+    """The centre cross filled from around it; rasters above ``largest`` are filled at that size, enlarged, and mixed in by a softened mask.
+
+    radius: if not given, half the seam's width as it is where the raster is filled, 3 at least.
+    """
     size = cells.agg(F.max(F.greatest("h", "w"))).first()[0] or 0
     mask = masks.over(cells, masks.seam(width))
     if size <= largest:
-        return stencil.gap_fill(cells, mask, radius)
+        return stencil.gap_fill(cells, mask, radius or max(3, width // 2))
     scale = largest / size
     down = lambda e: F.greatest(F.lit(1), F.floor(F.col(e) * scale))
-    small = stencil.gap_fill(geometry.resize_area(cells, down), geometry.resize_nearest(mask, down), radius)
+    small = stencil.gap_fill(geometry.resize_area(cells, down), geometry.resize_nearest(mask, down), radius or max(3, int(width // 2 * scale)))
     # sizes to go back to ride along as the raster's key
     keyed = small.join(cells.groupBy("raster_id").agg(F.max("h").alias("to_h"), F.max("w").alias("to_w")), "raster_id").withColumn("raster_id", F.struct("raster_id", F.col("to_h").alias("h"), F.col("to_w").alias("w")))
     large = geometry.resize_linear(keyed.select(*COLUMNS), lambda e: F.col(f"raster_id.{e}"))
@@ -76,11 +79,14 @@ def seam_fill(cells: DataFrame, width: int = 30, radius: int = 5, largest: int =
 
 
 def multi_scale_fill(cells: DataFrame, width: int = 30, radius: int = 5, scales: tuple[float, ...] = (1.0, 0.5, 0.25)) -> DataFrame:
-    """The centre cross filled at each scale and mixed in from the largest on, a smaller scale with a smaller share; one fold by pixel."""
+    """The centre cross filled at each scale and mixed in from the largest on, a smaller scale with a smaller share; one fold by pixel.
+
+    The radius goes down with the scale, to 3 at least (where it isn't smaller from the start).
+    """
     mask, steps = masks.over(cells, masks.seam(width)), None
     for i, scale in enumerate(scales):
         down = lambda e, s=scale: F.greatest(F.lit(1), F.floor(F.col(e) * s))
-        small = stencil.gap_fill(geometry.resize_area(cells, down), geometry.resize_nearest(mask, down), radius)
+        small = stencil.gap_fill(geometry.resize_area(cells, down), geometry.resize_nearest(mask, down), max(min(3, radius), int(radius * scale)))
         keyed = small.join(cells.groupBy("raster_id").agg(F.max("h").alias("to_h"), F.max("w").alias("to_w")), "raster_id").withColumn("raster_id", F.struct("raster_id", F.col("to_h").alias("h"), F.col("to_w").alias("w")))
         up = geometry.resize_cubic(keyed.select(*COLUMNS), lambda e: F.col(f"raster_id.{e}"))
         one = up.select("raster_id.raster_id", "band", "y", "x", F.struct(F.lit(i).alias("i"), F.lit(0.3 * scale).alias("k"), F.col("v").alias("s")).alias("step"))

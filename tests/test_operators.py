@@ -176,6 +176,18 @@ def test_seam_fill_of_large_rasters(spark, noise):
     assert out.shape == noise.shape and np.isfinite(out).all() and np.allclose(out[0, 0], noise[0, 0])
 
 
+def test_seam_fill_of_wide_seams(spark):
+    image = np.full((80, 80), 7.0)
+    image[25:55], image[:, 25:55] = 200, 200
+    cells = cells_of(spark, image)
+    assert np.allclose(image_of(jobs.seam_fill(cells)), 7)
+    assert np.allclose(image_of(jobs.seam_fill(cells, radius=5)), 7)
+    image[24:56], image[:, 24:56] = 200, 200  # whole cells at each scale
+    left = np.prod([1 - 0.3 * s for s in (1.0, 0.5, 0.25)])
+    out = image_of(jobs.multi_scale_fill(cells_of(spark, image), 32))
+    assert np.allclose(out[40], 200 * left + 7 * (1 - left)) and np.allclose(out[5, 5], 7)
+
+
 def test_cubic_identity_and_scales(spark, noise):
     cells = cells_of(spark, noise)
     assert np.allclose(image_of(geometry.resize_cubic(cells, lambda e: F.col(e))), noise)
