@@ -261,19 +261,30 @@ def height_tangent(height: DataFrame) -> DataFrame:
 # Light removal that needs the surroundings (L plane, 0 to 255).
 
 
-def _sigma(cells: DataFrame, share: float, low: float, high: float) -> float:
-    """Sigma from the longest edge; the planes of one call share a size."""
-    edge = cells.agg(F.max(F.greatest("h", "w"))).first()[0] or 0
-    return float(min(high, max(low, edge * share)))
-
-
-def _blurred(plane: DataFrame, sigma: float, name: str) -> DataFrame:
-    return gaussian_blur(plane, size=int(sigma * 3) | 1, sigma=sigma).select("raster_id", "band", "y", "x", F.col("v").alias(name))
+#: Blurs of one plan; those of more sizes of raster are saved, so many at a time.
+CLASSES = 16
+
+
+def _blurred(plane: DataFrame, share: float, low: float, high: float, name: str) -> DataFrame:
+    """Each raster blurred by a sigma of its own longest edge: one blur for each sigma that occurs."""
+    sigma = F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), F.greatest("h", "w") * F.lit(float(share))))
+    found = sorted(r[0] for r in plane.select(sigma.alias("s")).distinct().collect())
+    if len(found) > 1:
+        plane = saved(sized(plane).withColumn("__sigma", sigma))
+    out = None
+    for at in range(0, len(found), CLASSES):
+        part = None
+        for s in found[at : at + CLASSES]:
+            own = gaussian_blur(plane.where(F.col("__sigma") == s) if len(found) > 1 else plane, size=int(s * 3) | 1, sigma=s)
+            part = own if part is None else part.unionByName(own)
+        part = saved(part) if len(found) > CLASSES else part
+        out = part if out is None else out.unionByName(part)
+    return (sized(plane) if out is None else out).select("raster_id", "band", "y", "x", F.col("v").alias(name))
 
 
 def remove_ao(plane: DataFrame, amount: float) -> DataFrame:
     """What lies below its surroundings lifted."""
-    near = _blurred(plane, _sigma(plane, 0.03, 3, 100), "__near")
+    near = _blurred(plane, 0.03, 3, 100, "__near")
     out = plane.join(near, ["raster_id", "band", "y", "x"])
     return sized(out.withColumn("v", clip(F.col("v") + clip((F.col("__near") - F.col("v")) / 60, 0, 1) * (amount * 35), 0, 255)))
 
@@ -288,11 +299,11 @@ def edge_consistency(plane: DataFrame, amount: float) -> DataFrame:
 def remove_light(plane: DataFrame, strength: float, detail: float = 0.75) -> DataFrame:
     """Divided by its low frequencies at two scales and centred at the mean again, with detail put back."""
     on = ["raster_id", "band", "y", "x"]
-    out = plane.join(_blurred(plane, _sigma(plane, 0.15, 15, 600), "__far"), on).join(_blurred(plane, _sigma(plane, 0.05, 5, 200), "__mid"), on)
+    out = plane.join(_blurred(plane, 0.15, 15, 600, "__far"), on).join(_blurred(plane, 0.05, 5, 200, "__mid"), on)
     out = out.join(plane.groupBy("raster_id", "band").agg(F.greatest(F.avg("v"), F.lit(1.0)).alias("__mean")), ["raster_id", "band"])
     lit: Column = F.col("v") / clip(F.col("__far") * 0.6 + F.col("__mid") * 0.4, 1, 255) * F.col("__mean")
     if detail > 0.01:
-        out = out.join(_blurred(plane, _sigma(plane, 0.02, 2, 50), "__fine"), on)
+        out = out.join(_blurred(plane, 0.02, 2, 50, "__fine"), on)
         lit = lit + (F.col("v") - F.col("__fine")) * (1 + detail * 0.5) * strength
     return sized(out.withColumn("v", clip(F.col("v") * (1 - strength) + lit * strength, 0, 255)))
 

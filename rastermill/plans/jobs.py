@@ -64,18 +64,21 @@ def seam_fill(cells: DataFrame, width: int = 30, radius: int | None = None, larg
 
     radius: if not given, half the seam's width as it is where the raster is filled, 3 at least.
     """
-    size = cells.agg(F.max(F.greatest("h", "w"))).first()[0] or 0
+    edge = F.greatest("h", "w")
+    near = cells.where(edge <= largest)
+    near = stencil.gap_fill(near, masks.over(near, masks.seam(width)), radius or max(3, width // 2))
+    cells = cells.where(edge > largest)
+    if cells.isEmpty():
+        return near
     mask = masks.over(cells, masks.seam(width))
-    if size <= largest:
-        return stencil.gap_fill(cells, mask, radius or max(3, width // 2))
-    scale = largest / size
+    # sizes to go back to, from which each raster's own scale follows, ride along as its key
+    keyed, keyed_mask = (c.withColumn("raster_id", F.struct("raster_id", "h", "w")) for c in (cells, mask))
+    scale = largest / F.greatest("raster_id.h", "raster_id.w")
     down = lambda e: F.greatest(F.lit(1), F.floor(F.col(e) * scale))
-    small = stencil.gap_fill(geometry.resize_area(cells, down), geometry.resize_nearest(mask, down), radius or max(3, int(width // 2 * scale)))
-    # sizes to go back to ride along as the raster's key
-    keyed = small.join(cells.groupBy("raster_id").agg(F.max("h").alias("to_h"), F.max("w").alias("to_w")), "raster_id").withColumn("raster_id", F.struct("raster_id", F.col("to_h").alias("h"), F.col("to_w").alias("w")))
-    large = geometry.resize_linear(keyed.select(*COLUMNS), lambda e: F.col(f"raster_id.{e}"))
+    small = stencil.gap_fill(geometry.resize_area(keyed, down), geometry.resize_nearest(keyed_mask, down), radius or F.greatest(F.lit(3), F.floor(width // 2 * scale)))
+    large = geometry.resize_linear(small, lambda e: F.col(f"raster_id.{e}"))
     large = large.select("raster_id.raster_id", "h", "w", "band", "y", "x", "v")
-    return seams.alpha_blend(cells, large, stencil.gaussian_blur(mask, 5))
+    return near.unionByName(seams.alpha_blend(cells, large, stencil.gaussian_blur(mask, 5)))
 
 
 def multi_scale_fill(cells: DataFrame, width: int = 30, radius: int = 5, scales: tuple[float, ...] = (1.0, 0.5, 0.25)) -> DataFrame:
@@ -102,10 +105,9 @@ def export_package(cells: DataFrame, edge: int, renderer: str = "generic", sourc
     Write them with ``files.write_png``, named by ``files.export_manifest``.
     """
     _, fmt, convention, bits = RENDERERS[renderer]
-    scale = edge / F.greatest("h", "w")
-    longest = cells.agg(F.max(F.greatest("h", "w"))).first()[0] or edge
-    resize = geometry.resize_cubic if edge > longest else geometry.resize_area
-    base = saved(resize(cells, lambda e: F.greatest(F.lit(1), F.floor(F.col(e) * scale + 1e-9))))
+    longest = F.greatest("h", "w")
+    scaled = lambda e: F.greatest(F.lit(1), F.floor(F.col(e) * (edge / longest) + 1e-9))
+    base = saved(geometry.resize_cubic(cells.where(longest < edge), scaled).unionByName(geometry.resize_area(cells.where(longest >= edge), scaled)))
     maps = pbr_maps(tone.gray(tone.point(base, lambda v: v / 255), source), smooth=smooth)
     normal = maps.where("map = 'Normal'").select(*COLUMNS)
     if convention.startswith("DirectX"):

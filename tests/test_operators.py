@@ -188,6 +188,16 @@ def test_seam_fill_of_wide_seams(spark):
     assert np.allclose(out[40], 200 * left + 7 * (1 - left)) and np.allclose(out[5, 5], 7)
 
 
+@pytest.mark.parametrize("job", [
+    lambda c: stencil.remove_ao(c.where("band = 0"), 0.6), lambda c: stencil.remove_light(c.where("band = 0"), 0.5),
+    lambda c: jobs.seam_fill(c, 4, 3, largest=32), lambda c: jobs.seam_fill(c, 4, largest=16), lambda c: jobs.export_package(c, 40).where("map = 'BaseColor'"),
+])
+def test_larger_rasters_beside_change_nothing(spark, noise, job):
+    one, large = cells_of(spark, noise), cells_of(spark, np.tile(noise, (5, 5, 1)), 2)
+    alone, beside = (image_of(job(c).where("raster_id = 1").select("raster_id", "h", "w", "band", "y", "x", "v")) for c in (one, one.unionByName(large)))
+    assert alone.shape == beside.shape and np.allclose(alone, beside, atol=1e-6)
+
+
 def test_cubic_identity_and_scales(spark, noise):
     cells = cells_of(spark, noise)
     assert np.allclose(image_of(geometry.resize_cubic(cells, lambda e: F.col(e))), noise)
