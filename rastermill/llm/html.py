@@ -10,6 +10,7 @@ outside it have length 0 too, and any text in it is a surge; otherwise the thres
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -38,6 +39,28 @@ LAYOUT = frozenset("has with no without single main".split())
 #: Elements that hold the text, whatever their class.
 KEPT = frozenset("html body article main".split())
 
+_CELLS = frozenset("td th tr tbody thead tfoot".split())
+_ITEMS = frozenset("li dt dd".split())
+#: Elements whose end tag may be left out, and the starts that end them.
+IMPLIED = {
+    "p": BLOCKS - frozenset("body caption frameset head html legend title".split()) | {"center", "hgroup"},
+    "li": _CELLS | {"li"}, "dt": _CELLS | {"dt", "dd"}, "dd": _CELLS | {"dt", "dd"}, "tr": _CELLS - {"td", "th"},
+    "td": _CELLS, "th": _CELLS, "option": frozenset(["option", "optgroup"]),
+}
+ENDED_BY = {start: tuple(e for e in IMPLIED if start in IMPLIED[e]) for start in frozenset().union(*IMPLIED.values())}
+#: Elements whose ends close what is open in them, and those that are followed within a region.
+CLOSERS = BLOCKS - {"p"} | {"select", "datalist", "optgroup", "template"}
+FOLLOWED = BLOCKS | OUTSIDE | IMPLIED.keys()
+
+
+def _bounds(start: str) -> frozenset[str]:
+    """Elements beyond which a start ends nothing."""
+    if start in _CELLS:
+        return frozenset(["table", "template"])
+    if start in ("option", "optgroup"):
+        return frozenset(["select", "datalist", "template"])
+    return frozenset("table td th caption button object template".split()) | ((FOLLOWED - _ITEMS - {"address", "div", "p"}) if start in _ITEMS else frozenset())
+
 
 def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(text)}
@@ -104,23 +127,52 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
             article = len(kept)
         elif name in OUTSIDE or name not in KEPT and _marked(attributes):
             close()
-            at = _region(html, at, name)
+            at = _region(html, at, name, kept)
             out.append(("", 0, False))
     close()
     return out
 
 
-def _region(html: str, at: int, name: str) -> int:
-    """Where an element that starts before ``at`` ends; one that is never closed ends where the article starts, or with the page."""
-    depth, tag = 1, re.compile(f"<(/?){re.escape(name)}(?![^\\s/>])[^>]*>|<!--.*?-->", re.I | re.S)
-    for found in tag.finditer(html, at):
-        if found[1] is not None:
-            depth += -1 if found[1] else 1
-            if not depth:
-                return found.end()
+def _region(html: str, at: int, name: str, kept: list[str]) -> int:
+    """Where an element that starts before ``at`` ends: at its end tag, or at that of the article (names in ``kept``) around it.
+
+    One whose end tag may be left out also ends at the start that implies its end and at the end tag of a block around it.
+    One that has none of these ends where the next article starts, or with the page.
+    """
+    first, opened, count = at, [name], Counter([name])
+
+    def cut(to: int) -> None:
+        count.subtract(opened[to:])
+        del opened[to:]
+
+    while tag := _TAG.search(html, at):
+        at = tag.end()
+        ends, found, rest = (tag[1] or tag[4], (tag[2] or tag[5] or "").lower(), tag[3] or tag[6] or "")
+        if ends:
+            if count[found]:
+                cut(len(opened) - 1 - opened[::-1].index(found))
+                if not opened:
+                    return at
+            elif found in kept or name in IMPLIED and found in CLOSERS:
+                return tag.start()
+            continue
+        if any(count[e] for e in ENDED_BY.get(found, ())):
+            for i in range(len(opened) - 1, -1, -1):
+                if found in IMPLIED.get(opened[i], ()):
+                    cut(i)
+                elif opened[i] in _bounds(found):
+                    break
+            if not opened:
+                return tag.start()
+        if found in RAW:
+            end = re.compile(f"</{re.escape(found)}\\b[^>]*>?", re.I).search(html, at)
+            at = end.end() if end else len(html)
+        elif found not in VOID and (found == name or found in FOLLOWED) and not (rest.endswith("/") and found not in BLOCKS):
+            opened.append(found)
+            count[found] += 1
     if name == "head":
-        return at
-    start = re.compile(r"<(?:article|main)\b", re.I).search(html, at)
+        return first
+    start = re.compile(r"<(?:article|main)\b", re.I).search(html, first)
     return start.start() if start else len(html)
 
 

@@ -226,6 +226,22 @@ def test_main_text(source, text):
     assert html.main_text(source) == text
 
 
+@pytest.mark.parametrize("source,text", [
+    ("<article><p class='notice'>We moved<p>real text<p>more</article>", "real text more"),
+    ("<article><p class='notice'>We <b>moved<div>real</div><p>text</article>", "real text"),
+    ("<article><p class='notice'>We moved<hr>real</article>", "real"),
+    ("<article><div><p class='ad'>Buy</div>real text</article>", "real text"),
+    ("<article><ul><li class='ad'>Buy<ul><li>this<li>that</ul><p>now<li>one<li>two</ul><p>more</article>", "one two more"),
+    ("<article><ul><li>one<li class='ad'>Buy</ul>more</article>", "one more"),
+    ("<article><dl><dt class='ad'>Buy<dd>one<dt>two</dl></article>", "one two"),
+    ("<article><table><tr><td class='ad'>Buy<table><tr><td>x<td>y</table><td>one<tr class='ad'><td>Buy<td>it<tr><td>two</table></article>", "one two"),
+    ("<article><p>one<div class='ad'>Buy<p>it</article><footer>no</footer>", "one"),
+    ("<article><p>one<form>Buy<input><p>it</article><article><p>two</article>", "one two"),
+])
+def test_marked_elements_without_end_tags(source, text):
+    assert html.main_text(source) == text
+
+
 def test_extract_pages(spark, sf):
     """Every article of the pages table: what stands in it, tags dropped."""
     pages = spark.read.parquet(f"{sf}/pages.parquet")
