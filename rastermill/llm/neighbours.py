@@ -1,9 +1,10 @@
-"""Approximate nearest neighbours: score-aware anisotropic quantisation, four-bit table scans, exact reranking.
+"""Nearest neighbours: score-aware anisotropic quantisation, four-bit table scans, exact reranking.
 
 Euclidean distance is searched as maximum inner product, q.x - |x|^2 / 2, with the squared length kept exactly. Vectors
 are cut into pairs of dimensions with 16 codewords each. Codewords and codes minimise the score-aware loss: the part of the
 residual along the vector, which moves high scores most, weighs ``eta`` times the part across it. A scan adds up table
-entries for two four-bit codes at once, and the best of each block of rows are measured exactly.
+entries for two four-bit codes at once. The best of each block of rows are measured exactly, and then all others whose
+code, given how far it is off, doesn't rule out that they are nearer; so what is found is exact.
 """
 
 from __future__ import annotations
@@ -76,6 +77,11 @@ class Codebook:
                 along = rest + ((cut[:, m] - book.codewords[m, own]) * u).sum(1)
         return book
 
+    def decoded(self, packed: np.ndarray) -> np.ndarray:
+        """(rows, dimensions) that two codes in a byte stand for."""
+        codes = np.stack([packed >> 4, packed & 15], 2).reshape(len(packed), self.parts)
+        return self.codewords[np.arange(self.parts), codes].reshape(len(packed), -1)
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """(queries, parts / 2, 256): what two codes in a byte add to the inner product."""
         one = np.einsum("qmd,mcd->qmc", self._cut(queries), self.codewords)
@@ -101,7 +107,10 @@ class _Search:
     def scan(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
         ids, x, codes = ids[order], x[order], codes[order]
-        half = (x.astype(np.float64) ** 2).sum(1) / 2
+        exact = x.astype(np.float64)
+        half = (exact**2).sum(1) / 2
+        coded = self.book.decoded(codes).astype(np.float64)[:, : x.shape[1]]
+        lost, length = np.sqrt(((exact - coded) ** 2).sum(1)), np.sqrt((coded**2).sum(1))
         for at in range(0, len(self.ids), 32):
             asked = self.queries[at : at + 32]
             tables = self.book.tables(asked)
@@ -109,23 +118,42 @@ class _Search:
             for j in range(codes.shape[1]):
                 score += tables[:, j, codes[:, j]]
             for q in range(len(asked)):
-                score[q, ids == self.ids[at + q]] = -np.inf
-                short = _best(score[q], self.short)
-                short = short[ids[short] != self.ids[at + q]]
-                far = np.sqrt(((x[short].astype(np.float64) - asked[q].astype(np.float64)) ** 2).sum(1))
-                old_id, old_far = self.near[at + q]
-                both_id, both_far = np.r_[old_id, ids[short]], np.r_[old_far, far]
-                first = np.lexsort((both_id, both_far))[: self.k]
-                self.near[at + q] = both_id[first], both_far[first]
+                others = ids != self.ids[at + q]
+                to = asked[q].astype(np.float64)
+                first = _best(np.where(others, score[q], -np.inf), self.short)
+                first = first[others[first]]
+                self._measure(at + q, ids[first], exact[first], to)
+                # the code of a row is off by ``lost``, so a row whose code lies further than that beyond the k-th found is no nearer
+                worst, size = self._worst(at + q), np.sqrt((to**2).sum())
+                rounding = (2 * self.book.parts + 16) * 2.0**-23 * (half + size * length)
+                off = np.sqrt(np.maximum(0, size**2 + length**2 - 2 * (score[q].astype(np.float64) + half) - 2 * rounding))
+                others[first] = False
+                rest = np.flatnonzero(others & ~(off > (worst + lost) * (1 + 1e-9)))
+                for i in range(0, len(rest), 4096):
+                    part = rest[i : i + 4096]
+                    square = size**2 + 2 * half[part] - 2 * (exact[part] @ to)
+                    part = part[~(square > self._worst(at + q) ** 2 + len(to) * 2.0**-48 * (size**2 + 2 * half[part]))]
+                    self._measure(at + q, ids[part], exact[part], to)
+
+    def _worst(self, q: int) -> float:
+        """The distance that a row must not exceed to be among the nearest k."""
+        far = self.near[q][1]
+        return far[-1] if len(far) == self.k else np.inf
+
+    def _measure(self, q: int, ids: np.ndarray, x: np.ndarray, to: np.ndarray) -> None:
+        """Rows taken up among the nearest k, by distance and then by id."""
+        both_id, both_far = np.r_[self.near[q][0], ids], np.r_[self.near[q][1], np.sqrt(((x - to) ** 2).sum(1))]
+        first = np.lexsort((both_id, both_far))[: self.k]
+        self.near[q] = both_id[first], both_far[first]
 
 
 def search(vectors: DataFrame, every: int = 100, k: int = 10, short: int = 100, sample: int = 20_000, block: int = 16_384, queries: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Rows (query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by ``every``.
+    """Rows (query_id, rank, vec_id, score): the k nearest of each row whose id is divisible by ``every``.
 
     score: Euclidean distance in double precision on the original vectors; ties go to the smaller id. Every row is indexed
     and scanned; the codebook is fitted on at most ``sample`` rows in expectation, chosen by a hash of the id. Queries are
     taken ``queries`` at a time, so that no task or driver holds more; of each ``block`` of scanned rows the ``short`` best
-    by table are measured, and a task passes on k for each query. Vectors that are null or zero, or that hold null or
+    by table are measured first, which gives a distance that rules out most others; the rest are measured too. A task passes on k for each query. Vectors that are null or zero, or that hold null or
     non-finite components, take no part; vectors of another number of dimensions are searched apart. Rows of one id are
     each other's own row, so never neighbours. An empty table gives an empty one; other columns are ignored.
     """

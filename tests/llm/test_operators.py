@@ -404,6 +404,20 @@ def test_neighbours_recall(spark, sf):
     assert hit / total >= 0.9
 
 
+def test_neighbours_of_a_tight_group_are_exact(spark):
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(3000, 15)).astype(np.float32)
+    x[::3] = x[0] + draw.normal(size=(1000, 15)).astype(np.float32) * 1e-3
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    found = defaultdict(list)
+    for r in sorted(neighbours.search(df, every=50, short=20).collect(), key=lambda r: r.rank):
+        found[r.query_id].append(r.vec_id)
+    for q in range(0, 3000, 50):
+        far = np.sqrt(((x.astype(np.float64) - x[q].astype(np.float64)) ** 2).sum(1))
+        far[q] = np.inf
+        assert found[q] == np.lexsort((np.arange(3000), far))[:10].tolist()
+
+
 def test_neighbours_awkward(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, []), (8, [0.0, 1.0]), (100, [5.0, 5.0, 5.0]), (None, [1.0, 1.0]), (9, [1.0, 0.0])]
