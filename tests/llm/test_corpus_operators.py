@@ -189,7 +189,7 @@ def simple_lines(rows, run):
     return out
 
 
-@pytest.mark.parametrize("run", [1, 2, 3, 5])
+@pytest.mark.parametrize("run", [1, 2, 3, 5, 7])
 def test_lines_are_brute_force(spark, docs, run):
     draw = random.Random(run)
     rows = sorted((r.doc_id, r.text) for r in docs.collect()) + [(10_000 + i, "\n".join(draw.choice("abc") for _ in range(draw.randrange(1, 12)))) for i in range(60)]
@@ -197,6 +197,18 @@ def test_lines_are_brute_force(spark, docs, run):
     assert {r.doc_id: (r.n_lines, r.n_removed, r.kept) for r in lines.deduplicate(df, run).collect()} == simple_lines(rows, run)
 
 
+def test_lines_of_long_repeats(spark):
+    """Blocks of 50 lines and whole documents that repeat, and the maximal runs that doubling finds in them."""
+    block, other = [f"line {i}" for i in range(50)], [f"other {i}" for i in range(130)]
+    texts = [["a", *block, "b"], [*block, "c", *block], ["d", *other], ["e", *block[10:40], *other[:99]], ["f"] * 9, [*other, "g"]]
+    rows = [(i, "\n".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for run in (2, 3, 7):
+        assert {r.doc_id: (r.n_lines, r.n_removed, r.kept) for r in lines.deduplicate(df, run).collect()} == simple_lines(rows, run)
+    found = lines.repeated_runs(df.selectExpr("doc_id AS id", "xxhash64(text) AS no", "split(text, '\n') AS lines"), 2).collect()
+    assert sorted((r.id, r.start, r.end) for r in found) == [(1, 0, 50), (1, 51, 101), (3, 1, 130), (4, 1, 9), (5, 0, 130)]
+
+
 def test_lines_awkward(awkward, none):
     rows = lines.deduplicate(awkward, 1).collect()
     assert len(rows) == awkward.count() and lines.deduplicate(none).count() == 0
