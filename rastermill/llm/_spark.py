@@ -15,11 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, which all executors share.
 
-    Only where spark.checkpoint.dir is absent, as in tests on one machine, a folder of its own is set.
+    Where spark.checkpoint.dir is absent, a local master gets a folder of its own and any other raises ValueError.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -33,6 +36,6 @@ def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def unsigned_hex(column) :
+def unsigned_hex(column):
     """A long as 16 lowercase hex digits of its two's complement."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))

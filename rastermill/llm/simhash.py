@@ -5,8 +5,9 @@ differ in at most ``radius`` bits agree on at least ``pick`` whole blocks. Each
 distinct fingerprints into shards of equal block values; a shard's BK-tree is searched with the shard's own
 fingerprints. ``pick`` grows with the number of fingerprints (1 to 4) so that shards stay small; the links are the same.
 
-For a similarity instead of a radius, fingerprints have 256 bits, which tells 0.8 from 0.7; a radius that wide has no
-whole blocks in common, so shards are of equal sampled bits, in as many samples as the recall asks for.
+For a similarity instead of a radius, fingerprints have 256 bits; a radius that wide has no whole blocks in common, so
+shards are of equal sampled bits, in as many samples as the recall asks for. What such links join is then verified by the
+shingle sets themselves, so that no two texts below the similarity are linked.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import saved, shuffles
-from ._words import mix, packed, pieces
+from ._words import LOWER, gram_hashes, gram_rows, mix, packed, pieces, word_hashes, words
 from .graph import components
 
 #: Fingerprints in a part of a shard: larger shards are cut, and every pair of parts is searched apart.
@@ -181,19 +182,82 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def _classes(nodes: DataFrame, node: str, joined: DataFrame) -> DataFrame:
+    """Rows (node, component_id) of nodes (node, least): the smallest ``least`` of the nodes that links join."""
+    labels = saved(nodes.join(components(joined).withColumnRenamed("node", node), node, "left").select(node, "least", F.coalesce("label", node).alias("label")))
+    # written, so that the join with it is a plain one of which Spark can split a large component's side
+    least = saved(labels.groupBy("label").agg(F.min("least").alias("component_id")))
+    return labels.join(least, "label").select(node, "component_id")
+
+
+def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
+    """rows with ``text`` replaced by ``shingles``, an ordered array of the 32-bit hashes of its distinct shingles."""
+    names = [c for c in rows.columns if c != "text"]
+
+    def run(batches):
+        for batch in pieces(batches, "text"):
+            data, off = packed(batch.column("text"))
+            data = LOWER[data]
+            starts, ends, first = words(data, off)
+            hashes = word_hashes(data, starts, ends)
+            row, start = gram_rows(first, size)
+            grams = gram_hashes(hashes, size)[start] if len(start) else np.zeros(0, np.uint64)
+            short = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < size)).tolist()
+            row = np.r_[row, np.array(short, np.int64)]
+            grams = np.r_[grams, np.array([gram_hashes(hashes[first[i] : first[i + 1]], int(first[i + 1] - first[i]))[0] for i in short], np.uint64)]
+            both = np.unique((row.astype(np.uint64) << np.uint64(32)) | (grams >> np.uint64(32)))
+            offsets = np.searchsorted(both, np.arange(batch.num_rows + 1, dtype=np.uint64) << np.uint64(32))
+            values = pa.array((both & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], [*names, "shingles"])
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, "".join(f"{n} {kinds[n]}, " for n in names) + "shingles array<int>")
+
+
+def _verified(candidates: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links (a, b) of nodes whose shingle sets have the similarity, from rows (node, least, label) of candidate groups.
+
+    texts: (node, text). In each group the smallest node leads, and all others are compared with it; nodes that are like
+    no leader so far give the next leaders, twice as many each round. So every node ends up linked with a leader or as one,
+    no two leaders of a group are alike, and comparisons stay far below all pairs where groups hold what they should.
+    """
+    sets = saved(shingle_sets(candidates.join(texts, "node").select("node", "label", "text"), size))
+    open_, found, count = candidates, [], 1
+    while not open_.isEmpty():
+        place = F.row_number().over(Window.partitionBy("label").orderBy(F.col("least").asc_nulls_last(), "node"))
+        leaders = saved(open_.withColumn("place", place).where(F.col("place") <= count).select("label", F.col("node").alias("leader")))
+        of = leaders.join(sets.select(F.col("node").alias("leader"), F.col("shingles").alias("theirs")), "leader")
+        both = sets.join(of, "label").where("node <> leader")
+        # sizes alone rule out most unlike ones before the sets are met
+        low, high = F.least(F.size("shingles"), F.size("theirs")), F.greatest(F.size("shingles"), F.size("theirs"))
+        common = F.size(F.array_intersect("shingles", "theirs"))
+        near = both.where(low >= similarity * high).where(common >= similarity * (low + high - common)).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+        found.append(saved(near))
+        settled = found[-1].select(F.col("b").alias("node")).unionByName(leaders.select(F.col("leader").alias("node"))).distinct()
+        open_ = saved(open_.join(settled, "node", "left_anti"))
+        count *= 2
+    out = found[0] if found else candidates.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float = 0.9, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
     """Rows (doc_id, component_id), one for each row of docs: near-duplicates by shingles of ``size`` words at a similarity.
 
-    Fingerprints of 256 bits link at so many differing bits as the similarity gives, and half a deviation more. Shards
-    share k sampled bits; k follows the number of fingerprints, so that unlike ones rarely meet, and the number of
-    samples follows k, so that a pair at the similarity meets in one with probability ``recall``, a closer one more
-    surely. Equal texts always link. See ``near_duplicates`` for nulls, repeats and empty tables.
+    Fingerprints of 256 bits are candidates at so many differing bits as the similarity gives, and one and a half
+    deviations more. Shards share k sampled bits; k follows the number of fingerprints, so that unlike ones rarely meet,
+    and the number of samples follows k, so that a pair at the similarity meets in one with probability ``recall``, a
+    closer one more surely. Candidates are linked where the Jaccard similarity of their shingle sets is at least
+    ``similarity`` (see ``_verified``). Equal texts always link. See ``near_duplicates`` for nulls, repeats and empty tables.
     """
     names = ["fingerprint", "fingerprint1", "fingerprint2", "fingerprint3"]
-    prints = saved(fingerprints(docs, size, id_col, text_col, len(names)).withColumn("node", F.xxhash64(*names)))
-    nodes = saved(prints.groupBy("node", *names).agg(F.min(id_col).alias("least")))
+    text = F.col(text_col).cast("string")
+    keyed = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text).alias("no")).alias("key"), text.alias("text"))
+    prints = saved(fingerprints(keyed, size, "key", "text", len(names)).select("key", F.xxhash64(*names).alias("node"), *names))
+    nodes = saved(prints.groupBy("node", *names).agg(F.min("key").alias("least")))
     p = differing(similarity)
-    radius = round(256 * p + 0.5 * math.sqrt(256 * p * (1 - p)))
+    radius = round(256 * p + 1.5 * math.sqrt(256 * p * (1 - p)))
     k = max(12, min(28, nodes.count().bit_length() - 2))
     samples = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** k))
     draw = np.random.default_rng(9)
@@ -207,10 +271,13 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: flo
                 yield pa.RecordBatch.from_arrays([batch.column("node"), *[batch.column(n) for n in names], pa.array(np.full(len(part), combo, np.int32)), pa.array(part.astype(np.int64))], ["node", *names, "combo", "part"])
 
     dealt = nodes.select("node", *names).mapInArrow(deal, ", ".join(f"{n} long" for n in ("node", *names)) + ", combo int, part long")
-    found = _joined(dealt, radius, "node", names, shard)
-    labels = saved(nodes.join(components(found), "node", "left").select("node", "least", F.coalesce("label", "node").alias("label")))
-    groups = labels.join(labels.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
-    return prints.select(id_col, "node").join(groups, "node").select(id_col, "component_id")
+    candidates = saved(nodes.select("node", "least").join(components(_joined(dealt, radius, "node", names, shard)), "node"))
+    # the text of each candidate's smallest key; equal rows have one key
+    of = candidates.select("node", "least.*")
+    met = (keyed["key.no"] == of["no"]) & keyed["key.id"].eqNullSafe(of["id"])
+    texts = keyed.join(of, met).select("node", "text").dropDuplicates(["node"])
+    groups = _classes(nodes.select("node", "least"), "node", _verified(candidates, texts, size, similarity))
+    return prints.join(groups, "node").select(F.col("key.id").alias(id_col), F.col("component_id.id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,8 +290,5 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, id_col: str
     """
     prints = saved(fingerprints(docs, size, id_col, text_col))
     nodes = saved(prints.groupBy("fingerprint").agg(F.min(id_col).alias("least")))
-    joined = components(links(nodes, radius)).withColumnRenamed("node", "fingerprint")
-    labels = nodes.join(joined, "fingerprint", "left").select("fingerprint", "least", F.coalesce("label", "fingerprint").alias("label"))
-    labels = saved(labels)
-    groups = labels.join(labels.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("fingerprint", "component_id")
+    groups = _classes(nodes, "fingerprint", links(nodes, radius))
     return prints.join(groups, "fingerprint").select(id_col, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

@@ -118,6 +118,49 @@ def test_similar_catches_near_copies(spark):
     assert sum(found[1000 + i] == i for i in range(60)) >= 54 and all(found[i] == i for i in range(60))
 
 
+def simple_similarity(a, b, size=5):
+    sets = [{tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set() for w in (words(a.lower()), words(b.lower()))]
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
+
+
+def test_similar_joins_nothing_below_the_similarity(spark):
+    """Copies with more and more edits: those that join are at least 0.8 like one of their group, and all that are above 0.9 join."""
+    draw = random.Random(8)
+    rows, base = [], [[f"w{draw.randrange(5_000)}" for _ in range(150)] for _ in range(30)]
+    for i, w in enumerate(base):
+        for c in range(9):
+            changed = list(w)
+            for at in draw.sample(range(150), c):
+                changed[at] = "changed"
+            rows.append((100 * i + c, " ".join(changed)))
+    text = dict(rows)
+    found = defaultdict(set)
+    for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[r.component_id].add(r.doc_id)
+    for group in found.values():
+        assert len({i // 100 for i in group}) == 1
+        for i in group:
+            assert len(group) == 1 or max(simple_similarity(text[i], text[j]) for j in group if j != i) >= 0.8
+    close = [i for i in text if i % 100 and simple_similarity(text[i], text[i - i % 100]) > 0.9]
+    by = {i: c for c, group in found.items() for i in group}
+    assert len(close) > 30 and sum(by[i] == by[i - i % 100] for i in close) > 0.98 * len(close)
+
+
+def test_similar_leaders_in_a_large_unlike_group(spark):
+    """A group whose members are like some, not all: rounds of leaders settle it."""
+    draw = random.Random(2)
+    w = [f"w{draw.randrange(5_000)}" for _ in range(400)]
+    rows = [(i, " ".join(w[:i * 10] + [f"v{j}" for j in range(i * 10)] + w[i * 10 :])) for i in range(12)]
+    nodes = spark.createDataFrame([(i, i, 0) for i, _ in rows], "node long, least long, label long")
+    texts = spark.createDataFrame(rows, "node long, text string")
+    links = {(r.a, r.b) for r in simhash._verified(nodes, texts, 5, 0.8).collect()}
+    text = dict(rows)
+    assert links and all(simple_similarity(text[a], text[b]) >= 0.8 for a, b in links)
+    leaders = {a for a, _ in links} | (set(text) - {b for _, b in links})
+    assert all(any((a, i) in links for a in leaders) or i in leaders for i in text)
+    assert {b for a, b in links if a == 0} == {i for i in text if i and simple_similarity(text[0], text[i]) >= 0.8}
+
+
 # 4
 
 
