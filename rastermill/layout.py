@@ -61,9 +61,12 @@ def bands_long(wide: DataFrame, bands: int = 3) -> DataFrame:
 def saved(df: DataFrame) -> DataFrame:
     """The rows, written to the folder in spark.checkpoint.dir and cut from what made them; for results that several branches use.
 
-    Only where that setting is absent, as in tests on one machine, a folder of its own is set.
+    Where that setting is absent, a local master gets a folder of its own and any other raises ValueError.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
