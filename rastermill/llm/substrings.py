@@ -16,7 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import saved, shuffles
@@ -173,9 +173,11 @@ def _kinds(rows: DataFrame, span: int) -> DataFrame:
             last = np.r_[begin[1:], len(key)] - 1
             yield pa.RecordBatch.from_arrays([_longs(anchor[begin]), _longs(whole[begin]), pa.array(key[begin]), pa.array(np.where(key[begin] != key[last[: len(begin)]], 2, 1).astype(np.int32))], ["anchor", "whole", "key", "docs"])
 
-    parts = rows.mapInArrow(cut, "anchor long, whole long, key long, docs int").repartition(shuffles(rows.sparkSession), "anchor")
+    parts = rows.mapInArrow(cut, "anchor long, whole long, key long, docs int")
     kinds = parts.groupBy("anchor", "whole").agg(F.min("key").alias("first"), F.sum("docs").alias("docs"))
-    return kinds.withColumn("kinds", F.count("*").over(Window.partitionBy("anchor"))).where("kinds > 1 or docs > 1")
+    # a common anchor's kinds are counted by partial sums and stay dealt out by anchor and kind
+    many = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    return kinds.join(many, "anchor", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1).cast("long"))).where("kinds > 1 or docs > 1")
 
 
 def repeats(rows: DataFrame, span: int, shard: int) -> DataFrame:
