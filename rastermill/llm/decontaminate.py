@@ -1,10 +1,10 @@
 """Benchmark decontamination: item-sized windows of documents against items by CGK embedding and bit-sampling LSH.
 
 A CGK random walk reads a word sequence and repeats or advances at each step by a random bit of (step, word), which turns
-a small edit distance into a small Hamming distance. Sampled positions of several walks are the LSH keys; a window that
-shares a key with an item is verified by its exact word edit distance. Only windows on a diagonal where document and item
-share a run of words are embedded: an item of n words within e edits keeps one of e + 1 pieces whole, so that a run of
-n // (e + 1) words is shared and no match is lost there.
+a small edit distance into a small Hamming distance. Sampled positions of several walks are the LSH keys: items stand in a
+table of their keys, and a window is looked up there by its own; items that it shares a key with are verified by exact word
+edit distance. Windows that can hold no item are not embedded: an item of n words within e edits keeps one of e + 1 pieces
+whole, so that a run of n // (e + 1) words of it stands in the window, and windows are laid where some item's run does.
 """
 
 from __future__ import annotations
@@ -57,13 +57,24 @@ def edit_distance(item: np.ndarray, n: np.ndarray, text: np.ndarray) -> np.ndarr
     return best
 
 
+@dataclass
+class Lengths:
+    """Items of one class of lengths (powers of two), so that a long item pads no short one."""
+
+    item: np.ndarray
+    words: np.ndarray
+    n: np.ndarray
+    keys: np.ndarray | None = None
+    owner: np.ndarray | None = None
+
+
 @dataclass
 class Items:
     """A shard of benchmark items, prepared for the search."""
 
     ids: list
-    words: np.ndarray
     n: np.ndarray
+    lengths: dict[int, Lengths]
     grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
     similarity: float
     walks: int
@@ -73,22 +84,49 @@ class Items:
     @classmethod
     def of(cls, ids: list, texts: list, similarity: float, least: int, walks: int, samples: int, bits: int) -> Items:
         hashes, first = _tokens(pa.array(texts, pa.string()))
-        n = np.diff(first)
-        kept = np.flatnonzero(n >= least)
-        table = np.zeros((len(kept), max([1, *n[kept]])), np.uint64)
-        for row, i in enumerate(kept):
-            table[row, : n[i]] = hashes[first[i] : first[i + 1]]
-        n = n[kept]
+        kept = np.flatnonzero(np.diff(first) >= max(1, least))
+        n, begin = np.diff(first)[kept], first[:-1][kept]
         run = np.clip(n // (allowed(n, similarity) + 1), 1, 4)
         grams = {}
         for k in np.unique(run).tolist():
-            found = [(h, row, at) for row in np.flatnonzero(run == k) for at, h in enumerate(gram_hashes(table[row, : n[row]], k))]
-            order = np.argsort(np.array([f[0] for f in found], np.uint64), kind="stable")
-            grams[k] = tuple(np.array([f[c] for f in found], np.uint64 if c == 0 else np.int64)[order] for c in range(3))
-        return cls([ids[i] for i in kept], table, n, grams, similarity, walks, samples, bits)
-
-    def _diagonals(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Rows (document row, item row, start of the window) where a run of words is shared."""
+            of = np.flatnonzero(run == k)
+            row, at = gram_rows(np.r_[0, np.cumsum(n[of])], k)
+            at -= np.r_[0, np.cumsum(n[of])][row]
+            found = gram_hashes(hashes, k)[begin[of][row] + at]
+            order = np.argsort(found, kind="stable")
+            grams[k] = found[order], of[row[order]], at[order]
+        kind, lengths = np.array([int(x).bit_length() for x in n], np.int64), {}
+        for c in np.unique(kind).tolist():
+            of = np.flatnonzero(kind == c)
+            table = np.zeros((len(of), int(n[of].max())), np.uint64)
+            for row, i in enumerate(of):
+                table[row, : n[i]] = hashes[begin[i] : begin[i] + n[i]]
+            lengths[c] = Lengths(of, table, n[of])
+        return cls([ids[i] for i in kept], n, lengths, grams, similarity, walks, samples, bits)
+
+    def _keys(self, sequence: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """(rows, walks * samples) LSH keys of word sequences: for each, the words at sampled places of a walk."""
+        places = np.random.default_rng(5).random(self.samples * self.bits)
+        sampled = (places * (2 * n)[:, None]).astype(np.int64)
+        out = []
+        for seed in range(self.walks):
+            seen = np.take_along_axis(walk(sequence, 2 * sequence.shape[1], seed), sampled, 1).reshape(len(n), self.samples, self.bits)
+            key = mix(np.arange(self.samples, dtype=np.uint64) + np.uint64(seed << 20) + (n.astype(np.uint64) << np.uint64(32))[:, None])
+            for bit in range(self.bits):
+                key = mix(key ^ seen[:, :, bit])
+            out.append(key)
+        return np.concatenate(out, 1)
+
+    def _table(self, own: Lengths) -> Lengths:
+        """With its keys, made once in a task."""
+        if own.keys is None:
+            keys = self._keys(own.words, own.n)
+            order = np.argsort(keys, axis=None, kind="stable")
+            own.keys, own.owner = keys.reshape(-1)[order], order // keys.shape[1]
+        return own
+
+    def _windows(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Rows (document row, start, words) of the item-sized windows laid where an item's run of words stands."""
         out = [np.zeros((0, 3), np.int64)]
         for k, (gram, item, at) in self.grams.items():
             row, start = gram_rows(first, k)
@@ -100,36 +138,40 @@ class Items:
             count = np.searchsorted(gram, own[maybe], "right") - low
             which = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             hit = np.repeat(maybe, count)
-            out.append(np.stack([row[hit], item[which], start[hit] - at[which]], 1))
+            out.append(np.stack([row[hit], start[hit] - at[which], self.n[item[which]]], 1))
         return np.unique(np.concatenate(out), axis=0)
 
     def search(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Rows (document row, item row, edits, start word in its document), the best window of each pair."""
-        pairs = self._diagonals(hashes, first)
+        windows = self._windows(hashes, first)
+        kind = np.array([int(x).bit_length() for x in windows[:, 2]], np.int64)
         found = [np.zeros((0, 4), np.int64)]
-        embedded = [walk(self.words, 2 * self.words.shape[1], seed) for seed in range(self.walks)] if len(pairs) else []
-        places = np.random.default_rng(5).random(self.samples * self.bits)
-        for at in range(0, len(pairs), 2048):
-            doc, item, start = pairs[at : at + 2048].T
-            n, width = self.n[item], self.words.shape[1]
-            extra = allowed(n, self.similarity)
+        for c, own in self.lengths.items():
+            of = windows[kind == c]
+            width = own.words.shape[1]
+            step = max(1, (1 << 18) // width)
 
-            def window(begin, length, most, doc=doc, n=n):
+            def cut(doc, begin, length, most):
                 where = begin[:, None] + np.arange(most)
                 inside = (where >= first[doc][:, None]) & (where < first[doc + 1][:, None]) & (np.arange(most) < length[:, None])
                 return np.where(inside, hashes[np.clip(where, 0, len(hashes) - 1)], np.uint64(0))
 
-            own, chosen = window(start, n, width), np.zeros(len(doc), bool)
-            sampled = (places * (2 * n)[:, None]).astype(np.int64)
-            for seed, of in enumerate(embedded):
-                equal = np.take_along_axis(walk(own, 2 * width, seed) == of[item], sampled, 1)
-                chosen |= equal.reshape(len(doc), self.samples, self.bits).all(2).any(1)
-            doc, item, start, n, extra = (x[chosen] for x in (doc, item, start, n, extra))
-            if len(doc):
-                most = int((n + 2 * extra).max())
-                edits = edit_distance(self.words[item], n, window(start - extra, n + 2 * extra, most, doc, n))
-                good = edits <= extra
-                found.append(np.stack([doc, item, edits, np.maximum(start - first[doc], 0)], 1)[good])
+            for at in range(0, len(of), step):
+                doc, start, n = of[at : at + step].T
+                table, keys = self._table(own), self._keys(cut(doc, start, n, width), n)
+                low = np.searchsorted(table.keys, keys)
+                count = np.searchsorted(table.keys, keys, "right") - low
+                rows = np.repeat(np.arange(len(doc)), count.sum(1))
+                low, count = low.reshape(-1), count.reshape(-1)
+                which = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                met = np.unique(rows * len(own.n) + table.owner[which])
+                for part in range(0, len(met), step):
+                    window, item = np.divmod(met[part : part + step], len(own.n))
+                    extra = allowed(own.n[item], self.similarity)
+                    length = own.n[item] + 2 * extra
+                    edits = edit_distance(own.words[item], own.n[item], cut(doc[window], start[window] - extra, length, int(length.max())))
+                    good = edits <= extra
+                    found.append(np.stack([doc[window], own.item[item], edits, np.maximum(start[window] - first[doc[window]], 0)], 1)[good])
         found = np.concatenate(found)
         found = found[np.lexsort((found[:, 3], found[:, 2], found[:, 1], found[:, 0]))]
         return found[np.r_[True, (found[1:, :2] != found[:-1, :2]).any(1)]] if len(found) else found

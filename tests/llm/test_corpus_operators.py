@@ -406,6 +406,20 @@ def test_leaks_recall_and_precision(spark):
     assert found <= truth and len(found) >= 0.95 * len(truth) and len(truth) > 150
 
 
+def test_leaks_beside_a_very_long_item(spark):
+    """Items of all lengths in one shard; each stands once in a document of its own, one in ten of its words replaced."""
+    draw = random.Random(6)
+    items = [(n, " ".join(f"w{draw.randrange(3000)}" for _ in range(n))) for n in (5, 6, 9, 20, 60, 300, 4000)]
+    rows = []
+    for n, t in items:
+        w = t.split()
+        for at in draw.sample(range(n), n // 10):
+            w[at] = "other"
+        rows.append((n, " ".join([f"u{draw.randrange(3000)}" for _ in range(80)] + w)))
+    found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(n, n) for n, _ in items} and all(r.edits <= r.item_words // 10 for r in found)
+
+
 def test_leaks_awkward(spark, awkward, none, sf):
     benchmark = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (4, "w1 w2 w3 w4 w5 w6"), (4, "w1 w2 w3 w4 w5 w6")], "item_id long, text string")
     found = decontaminate.leaks(awkward, benchmark).collect()
