@@ -451,6 +451,86 @@ def test_template_tree_finds_a_bad_branch(spark):
     assert len({r.template for r in found if r.host == "g.org"}) == 1
 
 
+def simple_judge(pages, labels, rules, children=16, share=0.1, depth=6, z=1.96):
+    """Host, path, rule, verdict and template of (page_id, url) with labels {id: is bad}, level by level in plain loops."""
+    split = {i: (m[1].lower(), m[2]) if (m := re.search("://([^/?#]*)([^?#]*)", u or "")) else ("", "") for i, u in pages}
+    urls = defaultdict(lambda: [0, 0, 0])
+    for i, u in split.items():
+        urls[u][0] += 1
+        if i in labels:
+            urls[u][1 + labels[i]] += 1
+    segments = {u: re.sub("^/", "", u[1]).split("/")[: depth + 1] for u in urls}
+    template = {u: "" for u in urls}
+    for level in range(depth):
+        branches = defaultdict(lambda: [0, 0, 0])
+        for u, c in urls.items():
+            if level < len(segments[u]):
+                branches[(u[0], template[u], segments[u][level])] = [a + b for a, b in zip(branches[(u[0], template[u], segments[u][level])], c)]
+        nodes = defaultdict(list)
+        for (host, t, _), c in branches.items():
+            nodes[(host, t)].append(c)
+        new = {}
+        for u in urls:
+            if level >= len(segments[u]):
+                continue
+            segment = segments[u][level]
+            n, good, bad = branches[(u[0], template[u], segment)]
+            siblings = nodes[(u[0], template[u])]
+            all_n, all_good, all_bad = (sum(c[j] for c in siblings) for j in range(3))
+            own, rest = good + bad, all_good + all_bad - good - bad
+            apart = False
+            if own and rest:
+                pooled = all_bad / (own + rest)
+                apart = abs(bad / own - (all_bad - bad) / rest) > z * (pooled * (1 - pooled) * (1 / own + 1 / rest)) ** 0.5
+            if len(siblings) > children and n < share * all_n:
+                name = "*" + (m[0] if (m := re.search(r"\.[A-Za-z]{1,5}$", segment)) else "")
+            else:
+                name = segment if len(siblings) == 1 or apart else "~"
+            new[u] = template[u] + "/" + name
+        template.update(new)
+    template = {u: t + "/**" * (len(segments[u]) > depth) for u, t in template.items()}
+    parts, hosts = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for u, (_, good, bad) in urls.items():
+        for of in (parts[(u[0], template[u])], hosts[u[0]]):
+            of[0] += good
+            of[1] += good + bad
+    total = [sum(h[j] for h in hosts.values()) for j in (0, 1)]
+
+    def worth(rows):
+        rows = [r for r in rows if r[1]]
+        n = sum(r[1] for r in rows)
+        chance = sum(r[1] * (r[2] / r[3]) * (1 - r[2] / r[3]) for r in rows)
+        free = sum(1 - r[1] / r[3] for r in rows)
+        size = sum(r[1] - r[1] ** 2 / r[3] for r in rows)
+        if not n or not chance or free < 1e-9 or size <= free:
+            return 10.0
+        r = (sum(r[1] * (r[0] / r[1] - r[2] / r[3]) ** 2 for r in rows) / free / (chance / n) - 1) / (size / free - 1)
+        return min(10.0, max(1.0, 1 / r - 1)) if r > 0 else 10.0
+
+    weight, host_weight = worth([(*c, *hosts[h]) for (h, _), c in parts.items()]), worth([(*c, *total) for c in hosts.values()])
+    out = {}
+    for i, u in split.items():
+        fits = [(h + p, v) for h, p, v in rules if (u[0] == h or u[0].endswith("." + h)) and u[1].startswith(p)]
+        prior = total[0] / total[1] if total[1] else 1.0
+        host = (hosts[u[0]][0] + host_weight * prior) / (hosts[u[0]][1] + host_weight)
+        pure = (parts[(u[0], template[u])][0] + weight * host) / (parts[(u[0], template[u])][1] + weight)
+        rule = max(fits, key=lambda f: len(f[0])) if fits else (None, "block" if pure < 0.5 else "allow")
+        out[i] = (*u, rule[0], rule[1], template[u], round(pure, 9))
+    return out
+
+
+def test_urls_are_brute_force(spark, sf):
+    """Every page of the table, and a host of 300 rows in which one branch has ten labels, all bad."""
+    draw = random.Random(9)
+    pages = [(r.page_id, r.url) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    pages += [(10_000 + i, f"http://big.org/{'bad' if i < 10 else draw.choice(['a', 'b', 'c'])}/{draw.randrange(90)}/x{i % 7}.php?q={i}") for i in range(300)] + [(20_000, None), (20_001, "x"), (20_002, "a://B.com:8/")]
+    labels = [(r.doc_id, r.quality, r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()] + [(10_000 + i, 1, int(i < 10 or i % 9 == 0)) for i in range(0, 300)]
+    bad = {i: int(q == 0 or t == 1) for i, q, t in labels}
+    found = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), queries.RULES).collect()
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict, r.template, round(r.purity, 9)) for r in found} == simple_judge(pages, bad, queries.RULES)
+    assert {r.verdict for r in found if 10_000 <= r.page_id < 10_010} == {"block"} and {r.verdict for r in found if 10_010 <= r.page_id < 20_000} == {"allow"}
+
+
 # 7
 
 
