@@ -50,12 +50,12 @@ def _binary(column) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_binary()), b"")
 
 
-def pieces(batches, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Record batches cut between rows so that each has about ``most`` bytes of text (a longer text stands alone)."""
+def pieces(batches, text: str, most: int = 1 << 20, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """Record batches cut between rows so that each has at most ``rows`` rows and about ``most`` bytes of text (a longer text stands alone)."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        part = np.cumsum(sizes) // most
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+        part, place = np.cumsum(sizes) // most, np.arange(len(sizes)) // rows
+        cuts = [0, *(np.flatnonzero((np.diff(part) != 0) | (np.diff(place) != 0)) + 1).tolist(), len(sizes)]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)

@@ -3,7 +3,7 @@
 Texts become L2-normalised TF-IDF vectors of letter n-grams (1 to 3 code points, lower-cased, runs of other characters
 as one space), hashed to ``BUCKETS`` dimensions. Document frequencies come from all training rows; centroids from a
 bounded sample of them, clustered per language. A text takes the language of the centroid with the largest cosine and is
-rejected where that cosine is below the centroid's own limit.
+rejected where that cosine is too far below what training texts of the language and of its length have.
 """
 
 from __future__ import annotations
@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from ._words import packed, pieces
 
 BUCKETS = 4096
+#: Classes of length: powers of two of the number of n-grams, longer ones in the last.
+CLASSES = 24
+#: Rows of text in a dense matrix of counts at once.
+ROWS = 256
 _tables: list[tuple[np.ndarray, np.ndarray]] = []
 
 
@@ -66,7 +70,8 @@ def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Learned languages: one row of ``centroids`` for each (language, cluster); ``limit``: smallest accepted cosine."""
+    """Learned languages: one row of ``centroids`` for each (language, cluster); ``limit``: smallest accepted cosine of
+    each row, for each class of length."""
 
     idf: np.ndarray
     langs: list[str]
@@ -74,6 +79,29 @@ class Model:
     limit: np.ndarray
 
 
+def _lengths(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(counts.sum(1), 1)).astype(np.int64), CLASSES - 1)
+
+
+def limits(langs: list[str], rows: np.ndarray, low: np.ndarray, slack: float, enough: int = 20) -> np.ndarray:
+    """(languages, CLASSES) smallest accepted cosines, from the numbers of training rows and their low cosines.
+
+    ``slack`` times the low cosine of the language's rows of that length, or of all languages' where it has fewer than
+    ``enough``. Where none has, the next longer class decides, less a fifth, as shorter texts lie further off; so does it
+    for any class that would be stricter than a longer one.
+    """
+    pooled = np.array([low[rows[:, c] > 0, c].min() if (rows[:, c] > 0).any() else np.nan for c in range(CLASSES)])
+    own = np.where(rows >= enough, low, pooled)
+    out = np.zeros((len(langs), CLASSES), np.float32)
+    for i in range(len(langs)):
+        above = np.inf
+        for c in range(CLASSES)[::-1]:
+            told = own[i, c] if not np.isnan(own[i, c]) else 0.8 * above
+            above = min(above, told) if not np.isinf(told) else above
+            out[i, c] = slack * above if not np.isinf(above) else 0.0
+    return out
+
+
 def _cluster(x: np.ndarray, clusters: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """Spherical k-means from farthest-first seeds; the same rows in any order give the same result."""
     x = x[np.lexsort(x[:, :8].T)]
@@ -92,12 +120,13 @@ def _cluster(x: np.ndarray, clusters: int, rounds: int = 12) -> tuple[np.ndarray
     return centre, (x @ centre.T).argmax(1)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = 4, sample: int = 600, max_langs: int = 300, slack: float = 0.3) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = 4, sample: int = 600, max_langs: int = 300, slack: float = 0.75) -> Model:
     """Learn from the rows of docs that have text and language.
 
     Document frequencies cover every row. ``sample`` bounds the rows of a language that the centroids are fitted on (in
-    expectation; chosen by a hash of the id, so reruns agree). More than ``max_langs`` languages raise ValueError. A
-    cluster's limit is ``slack`` times the first percentile of its members' cosines. No rows give a model of no language.
+    expectation; chosen by a hash of the id, so reruns agree). More than ``max_langs`` languages raise ValueError. The
+    smallest accepted cosine is ``slack`` times the first percentile of what the sample's rows have (see ``limits``). No
+    rows give a model of no language.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(max_langs + 1).collect()}
@@ -106,7 +135,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def frequencies(batches):
         total, seen = np.zeros(BUCKETS, np.int64), 0
-        for batch in pieces(batches, "text", 1 << 20):
+        for batch in pieces(batches, "text", 1 << 20, ROWS):
             cells, has = count_grams(batch.column("text"))
             total += (cells > 0).sum(0)
             seen += int(has.sum())
@@ -115,24 +144,31 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sums = {r.bucket: r.n for r in rows.select("text").mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
     idf = np.array([np.log((1 + sums.get(-1, 0)) / (1 + sums.get(b, 0))) + 1 for b in range(BUCKETS)], np.float32)
     if not counts:
-        return Model(idf, [], np.zeros((0, BUCKETS), np.float32), np.zeros(0, np.float32))
+        return Model(idf, [], np.zeros((0, BUCKETS), np.float32), np.zeros((0, CLASSES), np.float32))
 
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, sample / n) * (1 << 30))])
     chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share[F.col("lang")])
 
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [count_grams(batch.column("text")) for batch in pieces([pa.RecordBatch.from_pandas(group[["text"]])], "text", 1 << 20)]
+        parts = [count_grams(batch.column("text")) for batch in pieces([pa.RecordBatch.from_pandas(group[["text"]])], "text", 1 << 20, ROWS)]
         x = np.concatenate([_vectors(c, idf)[has] for c, has in parts])
         if not len(x):
-            return pd.DataFrame({"lang": [], "centroid": [], "low": []})
+            return pd.DataFrame({"lang": [], "centroid": [], "rows": [], "low": []})
+        length = np.concatenate([_lengths(c)[has] for c, has in parts])
         centre, own = _cluster(x, max(1, min(clusters, len(x) // 8)))
+        best = (x @ centre.T).max(1)
+        rows_ = np.bincount(length, minlength=CLASSES)
+        low = np.array([np.quantile(best[length == c], 0.01) if rows_[c] else np.nan for c in range(CLASSES)])
         used = [k for k in range(len(centre)) if (own == k).any()]
-        low = [float(np.quantile(x[own == k] @ centre[k], 0.01)) for k in used]
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": [centre[k].astype(np.float32) for k in used], "low": low})
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": [centre[k].astype(np.float32) for k in used], "rows": [rows_] * len(used), "low": [low] * len(used)})
 
-    found = chosen.groupBy("lang").applyInPandas(centroids, "lang string, centroid array<float>, low float").collect()
+    found = chosen.groupBy("lang").applyInPandas(centroids, "lang string, centroid array<float>, rows array<long>, low array<double>").collect()
     found = sorted(found, key=lambda r: (r.lang, r.centroid[:16]))
-    return Model(idf, [r.lang for r in found], np.array([r.centroid for r in found], np.float32).reshape(-1, BUCKETS), np.array([slack * r.low for r in found], np.float32))
+    if not found:
+        return Model(idf, [], np.zeros((0, BUCKETS), np.float32), np.zeros((0, CLASSES), np.float32))
+    langs = [r.lang for r in found]
+    limit = limits(langs, np.array([r.rows for r in found]), np.array([r.low for r in found], float), slack)
+    return Model(idf, langs, np.array([r.centroid for r in found], np.float32), limit)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", added: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
@@ -144,13 +180,13 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", added: tuple[
     langs = np.array([*model.langs, "und"], object)
 
     def run(batches):
-        for batch in pieces(batches, text_col, 1 << 20):
+        for batch in pieces(batches, text_col, 1 << 20, ROWS):
             cells, has = count_grams(batch.column(text_col))
             if len(model.langs):
                 cosine = _vectors(cells, model.idf) @ model.centroids.T
                 best = cosine.argmax(1)
                 score = np.clip(cosine[np.arange(len(best)), best].astype(float), 0, 1)
-                rejected = ~has | (score < model.limit[best])
+                rejected = ~has | (score < model.limit[best, _lengths(cells)])
             else:
                 best, score, rejected = np.zeros(len(has), int), np.zeros(len(has)), np.ones(len(has), bool)
             best = np.where(has, best, len(model.langs))

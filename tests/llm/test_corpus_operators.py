@@ -321,6 +321,29 @@ def test_language_held_out(docs):
     assert all(0 <= r.score <= 1 for r in rows) and not any(r.rejected for r in rows if len(words(r.text)) > 5)
 
 
+#: Languages that no training row has, code and noise.
+FOREIGN = [
+    "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita. Ahi quanto a dir qual era è cosa dura questa selva selvaggia e aspra e forte che nel pensier rinova la paura",
+    "Litwo ojczyzno moja ty jesteś jak zdrowie ile cię trzeba cenić ten tylko się dowie kto cię stracił dziś piękność twą w całej ozdobie widzę i opisuję bo tęsknię po tobie",
+    "Mieleni minun tekevi aivoni ajattelevi lähteäni laulamahan saa'ani sanelemahan sukuvirttä suoltamahan lajivirttä laulamahan",
+    "Bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью",
+    "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待",
+    "def main(argv):\n    for i in range(len(argv)): print(argv[i].strip().split(','))\n    return {k: v for k, v in zip(keys, vals) if v is not None}\nint x = fgetc(stdin); while (x != EOF) { putchar(x); }",
+    "qxzjk vwqxz kvjqx zzqkv jxwqk vzqjx kqwvz xjqkz " * 4,
+    "aaaa " * 100,
+]
+
+
+def test_language_rejects_the_unknown(spark, docs):
+    """Other languages, code and noise go; of held-out documents none of more than five words does."""
+    model = langid.fit(docs.where(~langid.held_out()))
+    odd = langid.predict(spark.createDataFrame([(t,) for t in FOREIGN], "text string"), model).collect()
+    assert all(r.rejected for r in odd), [r.text[:20] for r in odd if not r.rejected]
+    own = langid.predict(docs.where(langid.held_out()), model).collect()
+    assert len(own) > 20 and not any(r.rejected for r in own if len(words(r.text)) > 5)
+
+
 def test_language_awkward(awkward, none, docs):
     rows = langid.identify(awkward).collect()
     assert len(rows) == awkward.count() and langid.identify(none).count() == 0
