@@ -297,6 +297,65 @@ def test_marked_elements_without_end_tags(source, text):
     assert html.main_text(source) == text
 
 
+def simple_blocks(blocks, window=3, threshold=86):
+    """The line-block distribution over (text, characters that count) of an unmarked page, by its definition."""
+    n, sums = len(blocks), {}
+    for start in range(-window + 1, n):
+        sums[start] = sum(blocks[i][1] for i in range(max(0, start), min(n, start + window)))
+    least = min(threshold, max(sums.values()) / 2)
+    kept = {i for i in range(n) if blocks[i][1] and any(sums[s] >= least for s in range(i - window + 1, i + 1))}
+    for a in sorted(kept):
+        b = min([i for i in kept if i > a], default=a)
+        if b > a + 1 and all(blocks[i][0] for i in range(a, b + 1)) and all(sums[s] > 0 for s in range(a, b - window + 2)):
+            kept |= set(range(a, b))
+    return " ".join(blocks[i][0] for i in sorted(kept))
+
+
+def test_unmarked_pages_are_the_distribution():
+    draw = random.Random(7)
+    for _ in range(300):
+        blocks, source = [], []
+        for _ in range(draw.randrange(1, 30)):
+            text = " ".join(draw.choice(["one", "two", "three"]) for _ in range(draw.choice([1, 2, 3, 12, 40])))
+            kind = draw.randrange(6)
+            if kind == 0:
+                source.append(f"<div><a href='x>y'>{text}</a></div>")
+                blocks.append((text, 0))
+            elif kind == 1:
+                source.append(f"<nav><p>{text}</nav>")
+                blocks.append(("", 0))
+            else:
+                source.append(draw.choice([f"<p>{text}", f"<div><b>{text}</b></div>", f"<h2>{text}</h2>", f"<ul><li>{text}</ul>"]))
+                blocks.append((text, len(text)))
+        assert html.main_text("<body>" + "".join(source)) == simple_blocks(blocks), source
+
+
+@pytest.mark.parametrize("source,text", [
+    ("<nav>Home<p>" + "long text " * 20 + "<p>more", "long text " * 19 + "long text more"),
+    ("<article><p class='social-history'>one<p class='share-price'>two<p class='share-buttons'>no<p class='cookie-notice'>no<p>three</article>", "one two three"),
+    ("<article><p>one</article><article class='comment'><p>no</article><article class='related post'>no</article>", "one"),
+    ("<article class='comment'><p>one</article>", "one"),
+    ("<article><header><h1>no</h1></header><p>one</article>", "one"),
+    ("<article><p>one</article><p>" + "not so short " * 9, "one"),
+    ("<article><p>one</article><p>" + "very long passage " * 60, "one " + ("very long passage " * 60).strip()),
+    ("<article><p>one <a href=\"x\">two</a> < three <4 & four</article>", "one two < three <4 & four"),
+    ("<article><p title='unclosed>one</p><p>two</article>", "one two"),
+])
+def test_broken_and_ambiguous_pages(source, text):
+    assert html.main_text(source) == text
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a href=\"", "<a =\">", "<nav>", "<nav><p>x", "<p class='ad'>", "<li><div>", "<!--", "<title>", "<div><article></div>", "</div><section>", "<b></i>"])
+def test_scanning_is_linear(piece):
+    import time
+
+    began = time.time()
+    html.main_text("<div><article>" + piece * ((1 << 20) // len(piece)))
+    assert time.time() - began < 20
+    if piece == "<a ":
+        assert time.time() - began < 1
+
+
 def test_extract_pages(spark, sf):
     """Every article of the pages table: what stands in it, tags dropped."""
     pages = spark.read.parquet(f"{sf}/pages.parquet")
