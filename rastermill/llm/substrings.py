@@ -174,10 +174,13 @@ def _kinds(rows: DataFrame, span: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([_longs(anchor[begin]), _longs(whole[begin]), pa.array(key[begin]), pa.array(np.where(key[begin] != key[last[: len(begin)]], 2, 1).astype(np.int32))], ["anchor", "whole", "key", "docs"])
 
     parts = rows.mapInArrow(cut, "anchor long, whole long, key long, docs int")
-    kinds = parts.groupBy("anchor", "whole").agg(F.min("key").alias("first"), F.sum("docs").alias("docs"))
-    # a common anchor's kinds are counted by partial sums and stay dealt out by anchor and kind
-    many = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    return kinds.join(many, "anchor", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1).cast("long"))).where("kinds > 1 or docs > 1")
+    # most anchors have one segment in one document and go here, on sums of one size whatever an anchor gathers
+    state = [F.min("whole").alias("whole"), F.max("whole").alias("last"), F.min("key").alias("first"), F.sum("docs").alias("docs")]
+    anchors = saved(parts.groupBy("anchor").agg(*state).where("whole < last or docs > 1"))
+    one = anchors.where("whole = last").select("anchor", "whole", "first", "docs", F.lit(1).cast("long").alias("kinds"))
+    shared = parts.join(anchors.where("whole < last").select("anchor"), "anchor")
+    shared = saved(shared.groupBy("anchor", "whole").agg(F.min("key").alias("first"), F.sum("docs").alias("docs")))
+    return one.unionByName(shared.join(shared.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor"))
 
 
 def repeats(rows: DataFrame, span: int, shard: int) -> DataFrame:
