@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..fixtures import embedding_cells, lineitem_cells, table
+from ..fixtures import embedding_cells, embedding_lines, lineitem_cells, table
 from ..layout import rounded
 from ..operators import geometry as g
+from ..operators import scanlines
 
 
 @query("result AS (SELECT * FROM cells)")
@@ -83,7 +84,7 @@ def resize_linear(spark, sf):
 @query(_taps(8, 11, 1, "greatest(0, 1 - d)", "wrap"), source="embedding")
 def resize_wrapped(spark, sf):
     """8 to 11 cells, bilinear across the wrap."""
-    return g.resize_wrapped(embedding_cells(spark, sf), 11)
+    return scanlines.to_cells(scanlines.resize_wrapped(embedding_lines(spark, sf), 11, 11))
 
 
 @query(_taps(8, 16, 2, _CUBIC, "clamp"), source="embedding")

@@ -7,10 +7,9 @@ import math
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..fixtures import embedding_cells, lineitem_cells
+from ..fixtures import embedding_cells, lineitem_cells, lineitem_lines
 from ..layout import rounded
-from ..operators import geometry, masks, quality, seams
-from ..plans import jobs
+from ..operators import geometry, masks, quality, scanlines, seams
 
 
 def q4(x: str) -> str:
@@ -113,7 +112,7 @@ def _crossfade(source: str, edge: int, radius: int) -> str:
 @query(_crossfade("cells", 16, 3) + ",\nresult AS (SELECT * FROM crossed)")
 def linear_crossfade(spark, sf):
     """Feathered centre axes, radius 3."""
-    return seams.linear_crossfade(lineitem_cells(spark, sf), 1.0)
+    return scanlines.to_cells(scanlines.crossfade(lineitem_lines(spark, sf), 1.0))
 
 
 def _symmetric(edge: int, half: int, one_sided: bool) -> str:
@@ -131,13 +130,13 @@ def _symmetric(edge: int, half: int, one_sided: bool) -> str:
 @query(_symmetric(16, 3, False))
 def blend_symmetric(spark, sf):
     """Cosine blend over 3 cells on both sides."""
-    return seams.blend_symmetric(lineitem_cells(spark, sf), 0.75)
+    return scanlines.to_cells(scanlines.blend_symmetric(lineitem_lines(spark, sf), seams.half_width(0.75)))
 
 
 @query(_symmetric(16, 3, True))
 def blend_one_sided(spark, sf):
     """Cosine blend of the left and upper side only."""
-    return seams.blend_symmetric(lineitem_cells(spark, sf), fixed=4, one_sided=True)
+    return scanlines.to_cells(scanlines.blend_symmetric(lineitem_lines(spark, sf), seams.half_width(fixed=4), one_sided=True))
 
 
 _OW = "((cos(abs(a.{0} - 8)::DOUBLE / 3 * " + repr(math.pi) + "::DOUBLE) + 1) * 0.5::DOUBLE)"
@@ -174,7 +173,7 @@ result AS (SELECT raster_id, {edge} AS h, {edge} AS w, band, a.t AS y, b.t AS x,
 @query(_overlap(16, 4))
 def overlap_synthesis(spark, sf):
     """A quarter of each edge overlapped."""
-    return seams.overlap_synthesis(lineitem_cells(spark, sf), 0.25, 0.25, 0.5)
+    return scanlines.to_cells(scanlines.overlap(lineitem_lines(spark, sf), 0.25, 0.25, 0.5))
 
 
 @query("""result AS (SELECT a.raster_id, a.h, a.w, 0 AS band, a.y, a.x, a.v * (1 - c.v / 255) + b.v * (c.v / 255) AS v
@@ -202,7 +201,7 @@ def _error(of: str) -> str:
 @query(f"found AS {_error('cells')}\nSELECT raster_id, {q4('seam_error')} AS seam_error FROM found", source="cells64", cells=False)
 def seam_error(spark, sf):
     """Seam error of every 64 by 64 raster."""
-    return quality.seam_error(lineitem_cells(spark, sf, 64)).withColumn("seam_error", rounded("seam_error"))
+    return scanlines.seam_error(lineitem_lines(spark, sf, 64)).withColumn("seam_error", rounded("seam_error"))
 
 
 @query("shifted AS (SELECT raster_id, h, w, band, (y + 32) % 64 AS y, (x + 32) % 64 AS x, v FROM cells),\n" + _crossfade("shifted", 64, 10) + f""",
@@ -210,9 +209,9 @@ tiled AS (SELECT raster_id, h, w, band, (y + 32) % 64 AS y, (x + 32) % 64 AS x,
 SELECT raster_id, {q4('a.seam_error')} AS error_before, {q4('b.seam_error')} AS error_after FROM {_error('cells')} a JOIN {_error('tiled')} b USING (raster_id)""", source="cells64", cells=False)
 def offset_crossfade_job(spark, sf):
     """Seam error of every 64 by 64 raster before and after the offset crossfade."""
-    cells = lineitem_cells(spark, sf, 64)
-    before = quality.seam_error(cells).select("raster_id", rounded("seam_error").alias("error_before"))
-    after = quality.seam_error(jobs.offset_crossfade(cells)).select("raster_id", rounded("seam_error").alias("error_after"))
+    lines = lineitem_lines(spark, sf, 64)
+    before = scanlines.seam_error(lines).select("raster_id", rounded("seam_error").alias("error_before"))
+    after = scanlines.seam_error(scanlines.crossfade(lines, border=True)).select("raster_id", rounded("seam_error").alias("error_after"))
     return before.join(after, "raster_id")
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..fixtures import embedding_cells, lineitem_cells
-from ..operators import masks, pyramid, stencil
+from ..fixtures import embedding_cells, embedding_lines, lineitem_cells, lineitem_lines
+from ..operators import masks, pyramid, scanlines, stencil
 from ..plans import jobs
 from .seams import clip
 from .tone import _WIDE
@@ -54,7 +54,8 @@ def _packed(exprs: list[str], of: str) -> str:
 SELECT raster_id, band::INTEGER AS band, y::INTEGER AS y, x::INTEGER AS x, du, dv FROM s""", cells=False)
 def four_sample_slopes(spark, sf):
     """Derivatives by neighbours, wrapped."""
-    return stencil.four_sample_slopes(lineitem_cells(spark, sf)).select("raster_id", "band", "y", "x", "du", "dv")
+    field = scanlines.correlate(lineitem_lines(spark, sf), [(stencil.NEIGHBOURS, ["du", "dv"])])
+    return scanlines.split_cells(field, ["du", "dv"]).select("raster_id", "band", "y", "x", "du", "dv")
 
 
 @query(_packed([f"CASE WHEN abs(x - 8) <= {r} AND abs(y - 8) <= {r} AND x <> 8 THEN sign(x - 8) * ({2 * r + 1} - abs(x - 8) - abs(y - 8)) / {sum(abs(t[2][0]) for t in stencil.derivative_taps(f'sobel_{2 * r + 1}x{2 * r + 1}', normalize=False))}::DOUBLE ELSE 0 END" for r in (1, 2, 3, 4)], "(SELECT * FROM cells WHERE band = 0)"))
@@ -74,16 +75,16 @@ _TAPS9 = stencil.derivative_taps("blended_sobel")
 
 @query(gather("s", "cells", _TAPS9, ["du", "dv"], 8, "wrap") + ",\n" + _packed(["du * 8", "dv * 8"], "s"), source="embedding")
 def convolve_slopes(spark, sf):
-    """Blended 9 by 9 derivatives as two bands, on tiles."""
-    field = stencil.slopes(embedding_cells(spark, sf), "blended_sobel")
-    both = F.explode(F.array(F.struct(F.lit(0).alias("band"), F.col("du").alias("v")), F.struct(F.lit(1).alias("band"), F.col("dv").alias("v"))))
+    """Blended 9 by 9 derivatives as two bands, on blocks of lines."""
+    field = scanlines.split_cells(scanlines.correlate(embedding_lines(spark, sf), [(_TAPS9, ["du", "dv"])]), ["du", "dv"])
+    both = F.explode(F.array(F.struct(F.lit(0).alias("band"), (F.col("du") * 8).alias("v")), F.struct(F.lit(1).alias("band"), (F.col("dv") * 8).alias("v"))))
     return field.select("raster_id", "h", "w", "y", "x", both.alias("s")).select("raster_id", "h", "w", "s.band", "y", "x", "s.v")
 
 
 @query(blur("soft", "cells", stencil.gaussian_kernel(5, 1.2), 8, "reflect") + ",\nresult AS (SELECT * FROM soft)", source="embedding")
 def gaussian_blur(spark, sf):
     """Blurred with 5 taps, reflected at the border."""
-    return stencil.gaussian_blur(embedding_cells(spark, sf), 5, 1.2)
+    return scanlines.to_cells(stencil.blurred_lines(embedding_lines(spark, sf), 5, 1.2))
 
 
 @query("""result AS (SELECT t.raster_id, t.h, t.w, t.band, t.y, t.x, max(s.v) AS v FROM cells t JOIN cells s ON s.raster_id = t.raster_id AND s.band = t.band

@@ -34,6 +34,30 @@ def lineitem_cells(spark: SparkSession, sf_dir: str, edge: int = EDGE) -> DataFr
     return rasterize(rows, edge, edge, ["quantity", "cents", "lines"])
 
 
+def lineitem_lines(spark: SparkSession, sf_dir: str, edge: int = EDGE) -> DataFrame:
+    """The rasters of ``lineitem_cells`` in the line layout: rows are summed by cell and gathered by line, and zeros filled in there."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("raster_id"), F.pmod("l_partkey", F.lit(edge)).cast("int").alias("y"), F.pmod(F.dayofyear("l_shipdate"), F.lit(edge)).cast("int").alias("x"),
+        F.floor("l_quantity").alias("s0"), F.floor(F.col("l_extendedprice") * 100 + 0.5).alias("s1"), F.lit(1).cast("long").alias("s2"))
+    sums = ["s0", "s1", "s2"]
+    binned = rows.groupBy("raster_id", "y", "x").agg(*[F.sum(s).alias(s) for s in sums])
+    sparse = binned.groupBy("raster_id", "y").agg(F.map_from_entries(F.collect_list(F.struct("x", F.struct(*sums)))).alias("at"), *[F.max(s).alias(f"top_{s}") for s in sums])
+    tops = sparse.groupBy("raster_id").agg(*[F.max(f"top_{s}").alias(f"top_{s}") for s in sums])
+    lines = tops.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(edge - 1)))).join(sparse.select("raster_id", "y", "at"), ["raster_id", "y"], "left")
+    dense = lines.withColumn("found", F.transform(F.sequence(F.lit(0), F.lit(edge - 1)), lambda x: F.try_element_at("at", x)))
+    band = lambda i: F.transform("found", lambda c: F.floor(255 * F.coalesce(c[f"s{i}"], F.lit(0)) / F.col(f"top_s{i}")).cast("double"))
+    bands = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), band(i).alias("data")) for i in range(3)]))
+    return dense.select("raster_id", F.lit(edge).alias("h"), F.lit(edge).alias("w"), "y", bands.alias("b")).select("raster_id", "h", "w", "b.band", "y", "b.data")
+
+
+def embedding_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rasters of ``embedding_cells`` in the line layout."""
+    v = F.transform("embedding", lambda e: F.floor(F.least(F.greatest(e.cast("double") * 0.5 + 0.5, F.lit(0.0)), F.lit(1.0)) * 255).cast("double"))
+    line = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.slice("v", y * 8 + 1, F.lit(8)))).alias("y", "data")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("raster_id"), v.alias("v"))
+    return rows.select("raster_id", F.lit(8).alias("h"), F.lit(8).alias("w"), F.lit(0).alias("band"), line)
+
+
 def embedding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One 8 by 8 raster of one band for each vector."""
     e = F.posexplode("embedding").alias("i", "e")

@@ -38,7 +38,8 @@ def linear_crossfade(cells: DataFrame, strength: float = 1.0) -> DataFrame:
     return cells.withColumn("v", clip("v", 0, 255)).select(*COLUMNS)
 
 
-def _half(strength: float, fixed: int | None) -> Column:
+def half_width(strength: float = 0.5, fixed: int | None = None) -> Column:
+    """Cells on each side of a centre axis that are blended."""
     width = F.lit(int(fixed * 1.5)) if fixed is not None else F.floor(F.floor(F.least("h", "w") / 2) * strength)
     return F.when(width < 2, 0).otherwise(F.floor(width / 2)).cast("int")
 
@@ -58,7 +59,7 @@ def blend_symmetric(cells: DataFrame, strength: float = 0.5, fixed: int | None =
     """
     for axis, edge in (("x", "w"), ("y", "h")):
         d, size = _ring(axis, edge)
-        half = _half(strength, fixed)
+        half = half_width(strength, fixed)
         weight = masks.cosine_weight(size, half)
         if one_sided:
             weight = F.when(d < 0, weight).otherwise(0.0)
@@ -69,7 +70,7 @@ def blend_symmetric(cells: DataFrame, strength: float = 0.5, fixed: int | None =
 def blend_with_original(cells: DataFrame, original: DataFrame, strength: float = 0.5, fixed: int | None = None) -> DataFrame:
     """Near the centre axes the other raster's cells take over by distance; rows overwrite columns."""
     met = cells.join(original.select("raster_id", "band", "y", "x", F.col("v").alias("__o")), ["raster_id", "band", "y", "x"])
-    half, out = _half(strength, fixed), F.col("v")
+    half, out = half_width(strength, fixed), F.col("v")
     for axis, edge in (("x", "w"), ("y", "h")):
         _, size = _ring(axis, edge)
         weight = masks.cosine_weight(size, half)

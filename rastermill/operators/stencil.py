@@ -1,7 +1,8 @@
 """Neighbourhood operators: correlation, derivatives, blur, dilation, maps made of them, gap filling.
 
-Small kernels run on cells: every cell goes to the targets that see it and sums are partial before the shuffle. Large ones
-run on tiles: each tile gets its cells and a halo, and NumPy correlates it; a task holds one tile, never a raster.
+Stencils run on blocks of lines with those around them (``scanlines.correlate``): samples are shuffled as arrays, and a
+task holds one block, never a raster. ``correlate_cells`` is the same on cells: every cell goes to the targets that see it
+and sums are partial before the shuffle, so that cells may be missing.
 """
 
 from __future__ import annotations
@@ -9,19 +10,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color
 from ..layout import COLUMNS, bands_long, clip, saved, sized
-from . import tone
+from . import scanlines, tone
 from .geometry import images
 
-#: Taps up to which a stencil runs on cells, and the edge of a tile.
-CELL_TAPS = 25
-TILE = 256
-
 Taps = list[tuple[int, int, list[float]]]
 
 
@@ -63,49 +59,21 @@ def correlate_cells(cells: DataFrame, taps: Taps, names: list[str], border: str
     return out.agg(F.max(F.when(own, F.col("v"))).alias("v"), *sums)
 
 
-def correlate_tiles(cells: DataFrame, taps: Taps, names: list[str], border: str = "wrap", tile: int = TILE) -> DataFrame:
-    """As ``correlate_cells``: cells are sent to each tile whose halo shows them, and a tile is correlated as an array."""
-    down, across = _reach(taps)
-    spread = cells
-    for axis, edge, reach in (("y", "h", down), ("x", "w", across)):
-        spread = spread.withColumn(f"__{axis}", F.explode(images(F.col(axis), F.col(edge), reach, border)))
-        low = F.greatest(F.lit(0), F.floor((F.col(f"__{axis}") - reach) / tile)).cast("int")
-        high = F.least(F.floor((F.col(edge) - 1) / tile), F.floor((F.col(f"__{axis}") + reach) / tile)).cast("int")
-        spread = spread.withColumn(f"__t{axis}", F.explode(F.sequence(low, high)))
-    kinds = dict(cells.dtypes)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        h, w, ty, tx = (int(group[c].iloc[0]) for c in ("h", "w", "__ty", "__tx"))
-        y0, x0, th, tw = ty * tile, tx * tile, min(tile, h - ty * tile), min(tile, w - tx * tile)
-        field = np.zeros((th + 2 * down, tw + 2 * across))
-        field[group["__y"] - y0 + down, group["__x"] - x0 + across] = group["v"]
-        out = np.zeros((len(names), th, tw))
-        for dy, dx, ks in taps:
-            part = field[down + dy : down + dy + th, across + dx : across + dx + tw]
-            for i, k in enumerate(ks):
-                if k:
-                    out[i] += k * part
-        y, x = np.mgrid[y0 : y0 + th, x0 : x0 + tw]
-        frame = {"raster_id": group["raster_id"].iloc[0], "h": h, "w": w, "band": group["band"].iloc[0], "y": y.ravel(), "x": x.ravel(), "v": field[down : down + th, across : across + tw].ravel()}
-        return pd.DataFrame(frame | {n: out[i].ravel() for i, n in enumerate(names)})
-
-    schema = f"raster_id {kinds['raster_id']}, h int, w int, band int, y int, x int, v double, " + ", ".join(f"{n} double" for n in names)
-    return spread.groupBy("raster_id", "band", "__ty", "__tx").applyInPandas(run, schema)
+def correlate(cells: DataFrame, taps: Taps, names: list[str], border: str = "wrap") -> DataFrame:
+    """As ``correlate_cells``, for rasters of which no cell is missing."""
+    all_ = {(dy, dx): [*ks, 0.0] for dy, dx, ks in taps}
+    all_[0, 0] = [*all_.get((0, 0), [0.0] * (len(names) + 1))[:-1], 1.0]
+    lines = scanlines.correlate(scanlines.from_cells(cells), [([(*at, ks) for at, ks in all_.items()], [*names, "v"])], border)
+    return scanlines.split_cells(lines, ["v", *names])
 
 
-def correlate(cells: DataFrame, taps: Taps, names: list[str], border: str = "wrap") -> DataFrame:
-    return (correlate_cells if len(taps) <= CELL_TAPS else correlate_tiles)(cells, taps, names, border)
+#: Half the difference of the neighbours across and down.
+NEIGHBOURS: Taps = [(0, -1, [-0.5, 0.0]), (0, 1, [0.5, 0.0]), (-1, 0, [0.0, -0.5]), (1, 0, [0.0, 0.5])]
 
 
 def four_sample_slopes(cells: DataFrame, wrap: bool = True) -> DataFrame:
     """Columns du, dv: half the difference of the neighbours across and down, around the wrap or with the end repeated."""
-    for axis, edge, other, name in (("x", "w", "y", "du"), ("y", "h", "x", "dv")):
-        line = Window.partitionBy("raster_id", "band", other).orderBy(axis)
-        whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        before = F.coalesce(F.lag("v").over(line), F.last("v").over(whole) if wrap else F.col("v"))
-        after = F.coalesce(F.lead("v").over(line), F.first("v").over(whole) if wrap else F.col("v"))
-        cells = cells.withColumn(name, (after - before) * 0.5)
-    return cells
+    return correlate(cells, NEIGHBOURS, ["du", "dv"], "wrap" if wrap else "replicate")
 
 
 def slopes(cells: DataFrame, kind: str = "blended_sobel", wrap: bool = True) -> DataFrame:
@@ -132,11 +100,15 @@ def gaussian_kernel(size: int = 0, sigma: float = 0.0) -> list[float]:
 
 def gaussian_blur(cells: DataFrame, size: int = 0, sigma: float = 0.0, border: str = "reflect") -> DataFrame:
     """Blurred in two passes of one dimension, so that the work grows with the kernel's edge, not its area."""
+    return scanlines.to_cells(blurred_lines(scanlines.from_cells(cells), size, sigma, border))
+
+
+def blurred_lines(lines: DataFrame, size: int = 0, sigma: float = 0.0, border: str = "reflect") -> DataFrame:
+    """``gaussian_blur`` in the line layout; both passes are made where a block of lines meets those around it."""
     kernel = gaussian_kernel(size, sigma)
     far = len(kernel) // 2
-    for taps in ([(i - far, 0, [k]) for i, k in enumerate(kernel)], [(0, i - far, [k]) for i, k in enumerate(kernel)]):
-        cells = correlate(cells, taps, ["s"], border).withColumn("v", F.col("s")).select(*COLUMNS)
-    return cells
+    down, across = ([(i - far, 0, [k]) for i, k in enumerate(kernel)], [(0, i - far, [k]) for i, k in enumerate(kernel)])
+    return scanlines.correlate(lines, [(down, ["data"]), (across, ["data"])], border).select(*scanlines.LINE)
 
 
 def dilate(cells: DataFrame, width: int) -> DataFrame:

@@ -7,17 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions import color
 from ..layout import COLUMNS, clip, saved, sized
-from ..operators import geometry, masks, seams, stencil, tone
+from ..operators import geometry, masks, scanlines, seams, stencil, tone
 from ..sources.files import RENDERERS
 
 
 def offset_crossfade(cells: DataFrame, strength: float = 1.0) -> DataFrame:
     """Borders moved to the middle by half the size, faded into each other there, and moved back.
 
-    Cells are dealt out by raster and band once, which serves both passes and what follows by raster and band.
+    The moves cancel, so that borders are faded where they are, on lines: only those near the upper and lower border meet.
     """
-    cells = cells.repartition("raster_id", "band")
-    return geometry.offset(seams.linear_crossfade(geometry.offset(cells), strength), back=True)
+    return scanlines.to_cells(scanlines.crossfade(scanlines.from_cells(cells), strength, border=True))
 
 
 def seamless(cells: DataFrame, jobs: DataFrame, light: dict | None = None, overlap: float = 0.2, falloff: float = 0.1, strength: float = 0.5) -> DataFrame:

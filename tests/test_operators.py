@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rastermill.operators import geometry, masks, pyramid, quality, seams, splat, stencil, store, tone
+from rastermill.operators import geometry, masks, pyramid, quality, scanlines, seams, splat, stencil, store, tone
 from rastermill.plans import jobs
 from rastermill.sources import files
 from rastermill.streaming import requests
@@ -65,12 +65,34 @@ def test_overlap_lowers_seam_ratio(spark):
     assert after.x_ratio < 1.5 < before.x_ratio
 
 
-def test_tiles_equal_cells(spark, noise):
+def matched(a, b, columns=("v",)):
+    a, b = (c.toPandas().sort_values(["raster_id", "band", "y", "x"]).reset_index(drop=True) for c in (a, b))
+    return len(a) == len(b) and (a[["h", "w", "y", "x"]] == b[["h", "w", "y", "x"]]).all(axis=None) and np.allclose(a[list(columns)], b[list(columns)])
+
+
+def test_blocks_of_lines_equal_cells(spark, noise, monkeypatch):
+    monkeypatch.setattr(scanlines, "BLOCK", 64)
+    monkeypatch.setattr(scanlines, "LEAST", 3)
     cells = cells_of(spark, noise)
     taps = stencil.derivative_taps("blended_sobel")
     for border in ("wrap", "replicate", "reflect"):
-        a, b = (f(cells, taps, ["du", "dv"], border).toPandas().sort_values(["band", "y", "x"]).reset_index(drop=True) for f in (stencil.correlate_cells, lambda *x: stencil.correlate_tiles(*x, tile=7)))
-        assert np.allclose(a[["v", "du", "dv"]], b[["v", "du", "dv"]])
+        assert matched(*[f(cells, taps, ["du", "dv"], border) for f in (stencil.correlate_cells, stencil.correlate)], columns=("v", "du", "dv"))
+
+
+def test_lines_equal_cells(spark, noise):
+    """Odd sizes, with three and one rows of different rasters in one table."""
+    cells = cells_of(spark, noise).unionByName(geometry.crop(cells_of(spark, noise), top=1, left=3, bottom=2).withColumn("raster_id", F.col("raster_id") + 100))
+    lines = scanlines.from_cells(cells)
+    assert matched(scanlines.to_cells(lines), cells)
+    assert matched(scanlines.to_cells(scanlines.crossfade(lines, 0.7)), seams.linear_crossfade(cells, 0.7))
+    moved = geometry.offset(seams.linear_crossfade(geometry.offset(cells), 0.7), back=True)
+    assert matched(scanlines.to_cells(scanlines.crossfade(lines, 0.7, border=True)), moved)
+    for one_sided in (False, True):
+        assert matched(scanlines.to_cells(scanlines.blend_symmetric(lines, seams.half_width(0.9), one_sided)), seams.blend_symmetric(cells, 0.9, one_sided=one_sided))
+    assert matched(scanlines.to_cells(scanlines.overlap(lines, 0.2, 0.4, 0.1)), seams.overlap_synthesis(cells, 0.2, 0.4, 0.1))
+    assert matched(scanlines.to_cells(scanlines.resize_wrapped(lines, 40, 9)), geometry.resize_wrapped(cells, lambda e: F.lit(40 if e == "h" else 9)))
+    a, b = (x.toPandas().sort_values("raster_id").reset_index(drop=True) for x in (scanlines.seam_error(lines), quality.seam_error(cells)))
+    assert len(a) == 2 and np.allclose(a, b)
 
 
 def test_partitions_do_not_matter(spark, noise):
