@@ -180,7 +180,9 @@ def _kinds(rows: DataFrame, span: int) -> DataFrame:
     one = anchors.where("whole = last").select("anchor", "whole", "first", "docs", F.lit(1).cast("long").alias("kinds"))
     shared = parts.join(anchors.where("whole < last").select("anchor"), "anchor")
     shared = saved(shared.groupBy("anchor", "whole").agg(F.min("key").alias("first"), F.sum("docs").alias("docs")))
-    return one.unionByName(shared.join(shared.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor"))
+    # written, so that the join with it is a plain one of which Spark can split a common anchor's side
+    many = saved(shared.groupBy("anchor").agg(F.count("*").alias("kinds")))
+    return one.unionByName(shared.join(many, "anchor"))
 
 
 def repeats(rows: DataFrame, span: int, shard: int) -> DataFrame:
