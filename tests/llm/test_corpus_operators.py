@@ -635,6 +635,24 @@ def test_neighbours_recall(spark, sf):
     assert hit / total >= 0.9
 
 
+def test_neighbours_by_centres(spark, sf):
+    """Many small centres, cut into blocks and rounds, over vectors in double precision: recall against brute force, exact scores."""
+    rows = sorted((r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect())
+    x, ids = np.array([r[1] for r in rows], np.float64) + 1e-9, np.array([r[0] for r in rows])
+    df = spark.createDataFrame(list(zip(ids.tolist(), x.tolist())), "vec_id long, embedding array<double>")
+    hit = total = 0
+    found = defaultdict(list)
+    for r in sorted(neighbours.search(df, every=10, leaf=25, block=20, queries=3, sample=300).collect(), key=lambda r: r.rank):
+        found[r.query_id].append((r.vec_id, r.score))
+    for q in ids[ids % 10 == 0]:
+        far = np.sqrt(((x - x[ids == q]) ** 2).sum(1))
+        far[ids == q] = np.inf
+        hit += len(set(ids[np.lexsort((ids, far))[:10]].tolist()) & {v for v, _ in found[q]})
+        total += 10
+        assert all(s == far[ids == v][0] for v, s in found[q])
+    assert hit / total >= 0.9
+
+
 def test_neighbours_of_a_tight_group_are_exact(spark):
     draw = np.random.default_rng(4)
     x = draw.normal(size=(3000, 15)).astype(np.float32)
