@@ -97,19 +97,19 @@ def linear_weights(spark, sf):
     return masks.over(lineitem_cells(spark, sf), F.when(F.col("x") < radius, masks.linear_weight(F.col("x"), radius)).otherwise(0.0))
 
 
-def _crossfade(source: str, edge: int, radius: int) -> str:
+def crossfaded(source: str, edge: int, radius: int) -> str:
     """Linear crossfade of ``source`` into ``crossed``, as two self-joins."""
     c, out, of = edge // 2, [], source
     for axis, other, name in (("x", "y", "faded_x"), ("y", "x", "faded_y")):
         d = f"CASE WHEN a.{axis} >= {c} THEN a.{axis} - {c} ELSE {c} - 1 - a.{axis} END"
         weight = f"(0.5::DOUBLE * (1 - ({d})::DOUBLE / {radius}))"
-        out.append(f"""{name} AS (SELECT a.raster_id, a.h, a.w, a.band, a.y, a.x, CASE WHEN {d} < {radius} THEN a.v * (1 - {weight}) + b.v * {weight} ELSE a.v END AS v
+        out.append(f"""{name} AS MATERIALIZED (SELECT a.raster_id, a.h, a.w, a.band, a.y, a.x, CASE WHEN {d} < {radius} THEN a.v * (1 - {weight}) + b.v * {weight} ELSE a.v END AS v
   FROM {of} a JOIN {of} b ON a.raster_id = b.raster_id AND a.band = b.band AND a.{other} = b.{other} AND b.{axis} = {2 * c - 1} - a.{axis})""")
         of = name
     return ",\n".join(out) + f",\ncrossed AS (SELECT raster_id, h, w, band, y, x, {clip('v', high='255')} AS v FROM faded_y)"
 
 
-@query(_crossfade("cells", 16, 3) + ",\nresult AS (SELECT * FROM crossed)")
+@query(crossfaded("cells", 16, 3) + ",\nresult AS (SELECT * FROM crossed)")
 def linear_crossfade(spark, sf):
     """Feathered centre axes, radius 3."""
     return scanlines.to_cells(scanlines.crossfade(lineitem_lines(spark, sf), 1.0))
@@ -121,7 +121,7 @@ def _symmetric(edge: int, half: int, one_sided: bool) -> str:
         d = f"(a.{axis} - {c})"
         w = f"((cos(abs{d}::DOUBLE / {half} * {math.pi!r}::DOUBLE) + 1) * 0.5::DOUBLE)"
         on = f"abs{d} BETWEEN 1 AND {half}" + (f" AND {d} < 0" if one_sided else "")
-        out.append(f"""{name} AS (SELECT a.raster_id, a.h, a.w, a.band, a.y, a.x, CASE WHEN {on} AND b.v IS NOT NULL THEN a.v * (1 - {w}) + b.v * {w} ELSE a.v END AS v
+        out.append(f"""{name} AS MATERIALIZED (SELECT a.raster_id, a.h, a.w, a.band, a.y, a.x, CASE WHEN {on} AND b.v IS NOT NULL THEN a.v * (1 - {w}) + b.v * {w} ELSE a.v END AS v
   FROM {of} a LEFT JOIN {of} b ON a.raster_id = b.raster_id AND a.band = b.band AND a.{other} = b.{other} AND b.{axis} = {2 * c} - a.{axis})""")
         of = name
     return ",\n".join(out)
@@ -151,26 +151,27 @@ def blend_with_original(spark, sf):
     return seams.blend_with_original(cells.where("band = 0"), cells.where("band = 1").withColumn("band", F.lit(0)), 0.75)
 
 
-_STRIP = clip("(0.5::DOUBLE + 0.125::DOUBLE - (a.{0} + 0.5::DOUBLE) / 4) / 0.25::DOUBLE")
 _SMOOTH = "({0} * {0} * (3 - 2 * {0}))"
 
 
-def _overlap(edge: int, n: int) -> str:
+def overlapped(edge: int, n: int, falloff: float, of: str = "cells", name: str = "result") -> str:
+    """Overlap synthesis of ``of`` into ``name``: n cells of each edge laid over the near ones, and the rest resized back."""
     m = edge - n
-    out, of = [], "cells"
-    for axis, other, name in (("x", "y", "ox"), ("y", "x", "oy")):
-        t = _SMOOTH.format(_SMOOTH.format(_STRIP.format(axis)))
-        out.append(f"""{name} AS (SELECT a.raster_id, a.band, a.y, a.x, CASE WHEN a.{axis} < {n} THEN a.v * (1 - {t}) + b.v * {t} ELSE a.v END AS v
+    out = []
+    for axis, other, step in (("x", "y", "ox"), ("y", "x", "oy")):
+        strip = clip(f"(0.5::DOUBLE + {0.25 * falloff!r}::DOUBLE - (a.{axis} + 0.5::DOUBLE) / {n}) / {0.5 * falloff!r}::DOUBLE")
+        t = _SMOOTH.format(_SMOOTH.format(strip))
+        out.append(f"""{step} AS MATERIALIZED (SELECT a.raster_id, a.band, a.y, a.x, CASE WHEN a.{axis} < {n} THEN a.v * (1 - {t}) + b.v * {t} ELSE a.v END AS v
   FROM {of} a LEFT JOIN {of} b ON a.raster_id = b.raster_id AND a.band = b.band AND a.{other} = b.{other} AND b.{axis} = a.{axis} + {m} WHERE a.{axis} < {m})""")
-        of = name
+        of = step
     return ",\n".join(out) + f""",
 taps AS (SELECT t, (u + {m}) % {m} AS s, 1 - abs((t + 0.5::DOUBLE) * {m} / {edge} - 0.5::DOUBLE - u) AS k
   FROM (SELECT t, floor((t + 0.5::DOUBLE) * {m} / {edge} - 0.5::DOUBLE)::BIGINT + o AS u FROM range({edge}) a(t), range(2) b(o))),
-result AS (SELECT raster_id, {edge} AS h, {edge} AS w, band, a.t AS y, b.t AS x, {clip('sum(v * a.k * b.k)', high='255')} AS v
+{name} AS (SELECT raster_id, {edge} AS h, {edge} AS w, band, a.t AS y, b.t AS x, {clip('sum(v * a.k * b.k)', high='255')} AS v
   FROM oy JOIN taps a ON a.s = oy.y JOIN taps b ON b.s = oy.x GROUP BY raster_id, band, a.t, b.t)"""
 
 
-@query(_overlap(16, 4))
+@query(overlapped(16, 4, 0.5))
 def overlap_synthesis(spark, sf):
     """A quarter of each edge overlapped."""
     return scanlines.to_cells(scanlines.overlap(lineitem_lines(spark, sf), 0.25, 0.25, 0.5))
@@ -204,7 +205,7 @@ def seam_error(spark, sf):
     return scanlines.seam_error(lineitem_lines(spark, sf, 64)).withColumn("seam_error", rounded("seam_error"))
 
 
-@query("shifted AS (SELECT raster_id, h, w, band, (y + 32) % 64 AS y, (x + 32) % 64 AS x, v FROM cells),\n" + _crossfade("shifted", 64, 10) + f""",
+@query("shifted AS (SELECT raster_id, h, w, band, (y + 32) % 64 AS y, (x + 32) % 64 AS x, v FROM cells),\n" + crossfaded("shifted", 64, 10) + f""",
 tiled AS (SELECT raster_id, h, w, band, (y + 32) % 64 AS y, (x + 32) % 64 AS x, v FROM crossed)
 SELECT raster_id, {q4('a.seam_error')} AS error_before, {q4('b.seam_error')} AS error_after FROM {_error('cells')} a JOIN {_error('tiled')} b USING (raster_id)""", source="cells64", cells=False)
 def offset_crossfade_job(spark, sf):

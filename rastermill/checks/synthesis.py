@@ -9,7 +9,7 @@ from ..fixtures import embedding_cells, lineitem_cells
 from ..layout import rasters, rounded
 from ..operators import quality, splat, stencil
 from ..plans import jobs
-from .seams import clip, q4
+from .seams import clip, crossfaded, overlapped, q4
 from .stencils import blur
 
 _U = "(('0x' || substr(md5('3:' || raster_id || ':' || splat_id || ':{0}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
@@ -107,14 +107,27 @@ def seamless_job(spark, sf):
     return jobs.seamless(cells, chosen)
 
 
-@query()
+@query("shifted AS (SELECT raster_id, h, w, band, (y + 8) % 16 AS y, (x + 8) % 16 AS x, v FROM cells),\n" + crossfaded("shifted", 16, 1) + ",\n" + overlapped(16, 3, 0.1, name="lapped") + """,
+result AS (SELECT * FROM lapped WHERE raster_id % 4 = 0
+  UNION ALL SELECT raster_id, h, w, band, (y + 8) % 16, (x + 8) % 16, v FROM crossed WHERE raster_id % 4 = 1
+  UNION ALL SELECT raster_id, 32, 32, band, CASE fy WHEN 0 THEN y ELSE 31 - y END, CASE fx WHEN 0 THEN x ELSE 31 - x END, v FROM cells, range(2) a(fy), range(2) b(fx) WHERE raster_id % 4 = 2
+  UNION ALL SELECT raster_id, h, w, band, y, x, v FROM cells WHERE raster_id % 4 = 3)""")
 def seamless_job_all(spark, sf):
-    """Each raster by its own method: overlap, crossfade, mirror or none."""
+    """Each raster by the method of its row, strengths as usual: overlap, crossfade, mirror or none."""
     cells = lineitem_cells(spark, sf)
     names = F.array(*[F.lit(m) for m in ("overlap", "offset_crossfade", "mirror", "none")])
     return jobs.seamless(cells, rasters(cells).select("raster_id", F.element_at(names, (F.col("raster_id") % 4 + 1).cast("int")).alias("method")))
 
 
+@query(overlapped(16, 4, 0.5, "(SELECT * FROM cells WHERE raster_id % 2 = 0)", "result"))
+def seamless_job_limits(spark, sf):
+    """Jobs with parameters of their own and no method; those that ask for a mirror are rejected by size."""
+    cells = lineitem_cells(spark, sf)
+    method = F.when(F.col("raster_id") % 2 == 1, "mirror")
+    asked = rasters(cells).select("raster_id", method.alias("method"), F.lit(0.25).alias("overlap_x"), F.lit(0.25).alias("overlap_y"), F.lit(0.5).alias("edge_falloff"))
+    return jobs.seamless(cells, asked, limits={"low": 16, "mirror": 8})
+
+
 @query()
 def chunked_job(spark, sf):
     """Overlap synthesis by chunks of 8 cells, merged."""

@@ -87,7 +87,7 @@ def _lineitem_sql(edge: int) -> str:
 binned AS (SELECT l_suppkey AS raster_id, l_partkey % {edge} AS y, dayofyear(l_shipdate) % {edge} AS x, sum(floor(l_quantity)::BIGINT)::BIGINT AS s0,
   sum(floor(l_extendedprice * 100::DOUBLE + 0.5::DOUBLE)::BIGINT)::BIGINT AS s1, count(*)::BIGINT AS s2 FROM lineitem GROUP BY ALL),
 tops AS (SELECT raster_id, max(s0) AS t0, max(s1) AS t1, max(s2) AS t2 FROM binned GROUP BY raster_id),
-cells AS (SELECT t.raster_id, {edge} AS h, {edge} AS w, b AS band, gy.y, gx.x,
+cells AS MATERIALIZED (SELECT t.raster_id, {edge} AS h, {edge} AS w, b AS band, gy.y, gx.x,
   (255 * coalesce(CASE b WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END, 0) // CASE b WHEN 0 THEN t0 WHEN 1 THEN t1 ELSE t2 END)::DOUBLE AS v
   FROM tops t CROSS JOIN range({edge}) gy(y) CROSS JOIN range({edge}) gx(x) LEFT JOIN binned s ON s.raster_id = t.raster_id AND s.y = gy.y AND s.x = gx.x CROSS JOIN range(3) r(b))"""
 

@@ -148,12 +148,13 @@ def resize_area(cells: DataFrame, size: Size) -> DataFrame:
     return out.agg((F.sum(F.col("v") * weight) / F.sum(weight)).alias("v")).select(*COLUMNS)
 
 
-def rotate(cells: DataFrame, degrees: float) -> DataFrame:
+def rotate(cells: DataFrame, degrees: float | Column) -> DataFrame:
     """Counter-clockwise about (w / 2, h / 2), bilinear, reflected at the border; the size stays.
 
     The inverse map gives each target four source taps; they are reflected into the raster and met by an equi-join.
+    degrees: a number, or a column of the raster's key.
     """
-    turn = F.radians(F.lit(float(degrees)))
+    turn = F.radians(col(degrees).cast("double"))
     cos, sin = F.cos(turn), F.sin(turn)
     targets = grid(planes(cells))
     dx, dy = F.col("x") - F.col("w") / 2, F.col("y") - F.col("h") / 2

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..layout import COLUMNS, clip, grid
+from ..layout import COLUMNS, clip, col, grid
 
 
 def over(cells: DataFrame, mask: Column) -> DataFrame:
@@ -71,25 +71,24 @@ def falloff(amount: float = 0.2, circular: bool = False) -> Column:
 HARMONICS = ((2, 1.0), (3, 0.6), (5, 0.35), (7, 0.2))
 
 
-def splat(falloff: float = 0.3, wobble: float = 0.0, phases: list[Column] | None = None) -> Column:
+def splat(falloff: float | Column = 0.3, wobble: float | Column = 0.0, phases: list[Column] | None = None) -> Column:
     """Weight of a patch's cells: a soft disc, its outline deformed by harmonics at the given phases, heavier at the centre."""
     ny = (F.col("y") - (F.col("h") - 1) / 2) / (F.col("h") / 2)
     nx = (F.col("x") - (F.col("w") - 1) / 2) / (F.col("w") / 2)
     radius = F.sqrt(nx * nx + ny * ny)
-    if wobble > 0.001 and phases:
+    falloff, wobble = col(falloff), col(wobble)
+    if phases:
         theta = F.atan2(ny, nx)
         bulge = sum((amp * F.sin(k * theta + p) for (k, amp), p in zip(HARMONICS, phases)), F.lit(0.0)) / sum(a for _, a in HARMONICS)
-        radius = radius * (1 + clip(wobble * 0.6 * bulge, -0.15, 0.5))
+        radius = F.when(wobble > 0.001, radius * (1 + clip(wobble * 0.6 * bulge, -0.15, 0.5))).otherwise(radius)
     depth = clip(1 - radius, 0, 1)
-    return smooth(clip(depth / max(0.02, falloff), 0, 1)) * F.pow(depth, F.lit(8 * (1 - falloff) + 0.5 * falloff))
+    return smooth(clip(depth / F.greatest(F.lit(0.02), falloff), 0, 1)) * F.pow(depth, 8 * (1 - falloff) + 0.5 * falloff)
 
 
-def seam_fade(i: Column, n: Column, falloff: float) -> Column:
+def seam_fade(i: Column, n: Column, falloff: float | Column) -> Column:
     """Weight of the far edge over an overlap of n cells: 1 at its start, 0 at its end, switched around the middle."""
-    p, half = (i + 0.5) / n, 0.5 * falloff * 0.5
-    if half <= 1e-6:
-        return F.when(p < 0.5, 1.0).otherwise(0.0)
-    return smooth(smooth(clip((0.5 + half - p) / (2 * half), 0, 1)))
+    p, half = (i + 0.5) / n, 0.25 * col(falloff)
+    return F.when(half <= 1e-6, F.when(p < 0.5, 1.0).otherwise(0.0)).otherwise(smooth(smooth(clip((0.5 + half - p) / F.greatest(2 * half, F.lit(1e-9)), 0, 1))))
 
 
 def cosine_weight(i: Column, half: Column) -> Column:
@@ -100,5 +99,5 @@ def linear_weight(d: Column, radius: Column) -> Column:
     return 0.5 * (1 - d / radius)
 
 
-def feather_radius(h: Column, w: Column, strength: float) -> Column:
-    return F.greatest(F.lit(1), F.bround(F.least(h, w) * 0.16 * min(1.0, max(0.1, strength)))).cast("int")
+def feather_radius(h: Column, w: Column, strength: float | Column) -> Column:
+    return F.greatest(F.lit(1), F.bround(F.least(h, w) * 0.16 * clip(strength, 0.1, 1))).cast("int")

@@ -56,7 +56,7 @@ def _mixed(lines: DataFrame, mate: Callable, weight: Callable) -> DataFrame:
     return lines.where("__pair is null").select(*LINE).unionByName(done)
 
 
-def crossfade(lines: DataFrame, strength: float = 1.0, border: bool = False) -> DataFrame:
+def crossfade(lines: DataFrame, strength: float | Column = 1.0, border: bool = False) -> DataFrame:
     """Both sides of the centre axes faded into each other by linear weights, columns first; clipped to 0..255.
 
     border: both sides of the border instead, which is what moving it to the centre, crossfading and moving it back does.
@@ -83,8 +83,11 @@ def blend_symmetric(lines: DataFrame, half: Column, one_sided: bool = False) ->
     return _mixed(lines, lambda p, n: 2 * F.floor(n / 2) - p, weight)
 
 
-def overlap(lines: DataFrame, x: float, y: float, falloff: float) -> DataFrame:
-    """The far edge laid over the near one, joined by ``masks.seam_fade``, cut off, and the rest resized across the wrap."""
+def overlap(lines: DataFrame, x: float | Column, y: float | Column, falloff: float | Column) -> DataFrame:
+    """The far edge laid over the near one, joined by ``masks.seam_fade``, cut off, and the rest resized across the wrap.
+
+    x, y: shares of the edges, at most a half. Like falloff they may be columns of the raster's key.
+    """
     n, w = F.floor(F.col("w") * x).cast("int"), F.col("w")
     laid = lambda v, i: v * (1 - masks.seam_fade(i, n, falloff)) + F.get("data", w - n + i) * masks.seam_fade(i, n, falloff)
     cut = F.slice(F.transform("data", lambda v, i: F.when(i < n, laid(v, i)).otherwise(v)), F.lit(1), w - n)

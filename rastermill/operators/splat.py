@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..layout import COLUMNS, clip, saved, sized
+from ..layout import COLUMNS, clip, col, saved, sized
 from . import masks
 from .geometry import resize_area, rotate
 
@@ -19,46 +19,59 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def placements(rasters: DataFrame, patch_h: int, patch_w: int, variants: int, seed: int = 0) -> DataFrame:
-    """Rows (raster_id, splat_id, top, left, patch_id) that cover each raster (raster_id, h, w)."""
-    cells = {n: F.greatest(F.lit(1), F.ceil(F.col(e) / max(1.0, p * SPACING))).cast("int") for n, e, p in (("nx", "w", patch_w), ("ny", "h", patch_h))}
-    at = rasters.select("raster_id", "h", "w").withColumns(cells).withColumn("splat_id", F.explode(F.sequence(F.lit(0), F.col("nx") * F.col("ny") - 1)))
+Amount = float | Column
+
+
+def placements(rasters: DataFrame, patch_h: int | Column, patch_w: int | Column, variants: int | Column, seed: int | Column = 0) -> DataFrame:
+    """Rows (raster_id, splat_id, top, left, patch_id) that cover each raster (raster_id, h, w); sizes of patches may differ by raster."""
+    patch_h, patch_w, variants, seed = map(col, (patch_h, patch_w, variants, seed))
+    cells = {n: F.greatest(F.lit(1), F.ceil(F.col(e) / F.greatest(F.lit(1.0), p * SPACING))).cast("int") for n, e, p in (("nx", "w", patch_w), ("ny", "h", patch_h))}
+    at = rasters.withColumns({"__ph": patch_h, "__pw": patch_w, "__n": variants, "__seed": seed} | cells)
+    at = at.withColumn("splat_id", F.explode(F.sequence(F.lit(0), F.col("nx") * F.col("ny") - 1)))
     gy, gx = F.floor(F.col("splat_id") / F.col("nx")), F.col("splat_id") % F.col("nx")
     cell_h, cell_w = F.col("h") / F.col("ny"), F.col("w") / F.col("nx")
-    u = lambda salt: uniform(F.lit(seed), F.col("raster_id"), F.col("splat_id"), F.lit(salt))
-    top = F.rint((gy + 0.5) * cell_h + (u("y") - 0.5) * cell_h * JITTER - patch_h / 2)
-    left = F.rint((gx + 0.5) * cell_w + (u("x") - 0.5) * cell_w * JITTER - patch_w / 2)
-    return at.select("raster_id", "splat_id", top.cast("int").alias("top"), left.cast("int").alias("left"), F.floor(u("patch") * variants).cast("int").alias("patch_id"))
+    name = F.col("raster_id.raster_id") if "struct<" in dict(rasters.dtypes)["raster_id"] else F.col("raster_id")
+    u = lambda salt: uniform(F.col("__seed"), name, F.col("splat_id"), F.lit(salt))
+    top = F.rint((gy + 0.5) * cell_h + (u("y") - 0.5) * cell_h * JITTER - F.col("__ph") / 2)
+    left = F.rint((gx + 0.5) * cell_w + (u("x") - 0.5) * cell_w * JITTER - F.col("__pw") / 2)
+    return at.select("raster_id", "splat_id", top.cast("int").alias("top"), left.cast("int").alias("left"), F.floor(u("patch") * F.col("__n")).cast("int").alias("patch_id"))
+
 
+def patch_edge(n: Column, scale: Amount) -> Column:
+    """Edge of a raster's patches: its own times scale, 8 at least."""
+    return F.greatest(F.lit(8), F.rint(n * scale)).cast("int")
 
-def variants(patch_h: int, patch_w: int, bands: int, rand_rot: float, wobble: float, preview: bool = False) -> int:
+
+def variants(patch_h: Column, patch_w: Column, bands: Column, rand_rot: Amount, wobble: Amount, preview: bool = False) -> Column:
     """One patch if all would be equal, else as many as the bank's bytes allow, from 4 to 12 (preview) or 24."""
-    if rand_rot < 0.01 and wobble <= 0.001:
-        return 1
-    return min(12 if preview else 24, max(4, BANK_BYTES // max(1, patch_h * patch_w * bands * 4)))
+    fit = F.floor(BANK_BYTES / F.greatest(F.lit(1), patch_h * patch_w * bands * 4))
+    return F.when((col(rand_rot) < 0.01) & (col(wobble) <= 0.001), 1).otherwise(F.least(F.lit(12 if preview else 24), F.greatest(F.lit(4), fit))).cast("int")
+
+
+def banks(cells: DataFrame, scale: Amount, rand_rot: Amount, wobble: Amount, count: int | None = None) -> DataFrame:
+    """One row for each raster: its size (h, w) and that of its bank (ph, pw, n)."""
+    sizes = cells.groupBy("raster_id").agg(F.max("h").alias("h"), F.max("w").alias("w"), (F.max("band") + 1).alias("bands"))
+    sizes = sizes.withColumns({"ph": patch_edge(F.col("h"), scale), "pw": patch_edge(F.col("w"), scale)})
+    return sizes.withColumn("n", F.lit(count) if count else variants(F.col("ph"), F.col("pw"), F.col("bands"), rand_rot, wobble)).drop("bands")
 
 
-def patch_bank(cells: DataFrame, scale: float = 1.0, rotation: float = 0.0, rand_rot: float = 0.0, wobble: float = 0.2, falloff: float = 0.2, seed: int = 0, count: int | None = None) -> DataFrame:
+def patch_bank(cells: DataFrame, scale: Amount = 1.0, rotation: Amount = 0.0, rand_rot: Amount = 0.0, wobble: Amount = 0.2, falloff: Amount = 0.2, seed: int | Column = 0, count: int | None = None) -> DataFrame:
     """Rows (raster_id, patch_id, py, px, band, v, alpha): shrunk, turned copies of each raster with a mask for each.
 
-    The rasters of one call share a size; a variant's angle and outline come from hashes of seed and number.
+    Sizes and numbers of patches follow from each raster's own size. Amounts may be columns of the raster's key; a
+    variant's angle and outline come from hashes of seed and number. All variants are turned in one plan.
     """
-    size = cells.agg(F.max("h"), F.max("w"), F.max("band")).first()
-    h, w = (max(8, round((n or 8) * scale)) for n in size[:2])
-    base = resize_area(cells, lambda e: F.lit(h if e == "h" else w))
-    n = count or variants(h, w, (size[2] or 0) + 1, rand_rot, wobble)
-    out = None
-    for i in range(n):
-        u = lambda salt, i=i: uniform(F.lit(seed), F.lit(i), F.lit(salt))
-        angle = rotation
-        if rand_rot >= 0.01 and n > 1:
-            turn = cells.sparkSession.range(1).select(u("angle")).first()[0]
-            angle += (turn * 2 - 1) * 180 * rand_rot
-        turned = rotate(base, angle) if abs(angle) > 0.05 else base
-        mask = masks.splat(falloff, wobble, [u(f"phase{k}") * 6.283185307179586 for k, _ in masks.HARMONICS])
-        one = turned.select("raster_id", F.lit(i).alias("patch_id"), F.col("y").alias("py"), F.col("x").alias("px"), "band", "v", mask.alias("alpha"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    rotation, rand_rot, seed = map(col, (rotation, rand_rot, seed))
+    base = saved(resize_area(cells, lambda e: patch_edge(F.col(e), scale)))
+    bank = banks(cells, scale, rand_rot, wobble, count).select("raster_id", "n")
+    i = F.col("patch_id")
+    angle = rotation + F.when((rand_rot >= 0.01) & (F.col("n") > 1), (uniform(seed, i, F.lit("angle")) * 2 - 1) * 180 * rand_rot).otherwise(0.0)
+    each = base.join(bank, "raster_id").withColumn("patch_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("angle", F.when(F.abs(angle) > 0.05, angle).otherwise(0.0))
+    keyed = each.withColumn("raster_id", F.struct("raster_id", "patch_id", "angle")).select(*COLUMNS)
+    turned = rotate(keyed.where("raster_id.angle <> 0"), F.col("raster_id.angle")).unionByName(keyed.where("raster_id.angle = 0"))
+    turned = turned.withColumns({"patch_id": F.col("raster_id.patch_id"), "raster_id": F.col("raster_id.raster_id")})
+    mask = masks.splat(falloff, wobble, [uniform(seed, i, F.lit(f"phase{k}")) * 6.283185307179586 for k, _ in masks.HARMONICS])
+    return turned.select("raster_id", "patch_id", F.col("y").alias("py"), F.col("x").alias("px"), "band", "v", mask.alias("alpha"))
 
 
 def accumulate(placed: DataFrame, patches: DataFrame, rasters: DataFrame) -> DataFrame:
@@ -98,12 +111,11 @@ def gaussian_layers(cells: DataFrame, placed: DataFrame, patch: int, wrap: bool
     return met.select("raster_id", "splat_id", "band", F.col("ty").alias("y"), F.col("tx").alias("x"), "alpha", "v")
 
 
-def synthesize(cells: DataFrame, scale: float = 0.5, rotation: float = 0.0, rand_rot: float = 0.0, wobble: float = 0.2, falloff: float = 0.2, seed: int = 0, count: int | None = None) -> tuple[DataFrame, DataFrame]:
+def synthesize(cells: DataFrame, scale: Amount = 0.5, rotation: Amount = 0.0, rand_rot: Amount = 0.0, wobble: Amount = 0.2, falloff: Amount = 0.2, seed: int | Column = 0, count: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Each raster covered with patches of itself, and the weights (cells of band 0) that lie on it."""
     bank = saved(patch_bank(cells, scale, rotation, rand_rot, wobble, falloff, seed, count))
-    size = bank.agg(F.max("py"), F.max("px"), F.max("patch_id")).first()
-    rasters = cells.groupBy("raster_id").agg(F.max("h").alias("h"), F.max("w").alias("w"))
-    sums = saved(accumulate(placements(rasters, size[0] + 1, size[1] + 1, size[2] + 1, seed), bank, rasters))
+    rasters = saved(banks(cells, scale, rand_rot, wobble, count))
+    sums = saved(accumulate(placements(rasters, F.col("ph"), F.col("pw"), F.col("n"), seed), bank, rasters))
     out = resolve(sums, cells)
     weights = cells.where("band = 0").join(sums.where("band = 0").select("raster_id", "y", "x", "weight"), ["raster_id", "y", "x"], "left")
     return sized(out.withColumn("v", clip("v", 0, 255))), weights.withColumn("v", F.coalesce("weight", F.lit(0.0))).select(*COLUMNS)

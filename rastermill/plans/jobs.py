@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color
 from ..layout import COLUMNS, clip, saved, sized
-from ..operators import geometry, masks, scanlines, seams, stencil, tone
+from ..operators import geometry, masks, scanlines, seams, splat, stencil, tone
 from ..sources.files import RENDERERS
 
 
@@ -19,17 +19,43 @@ def offset_crossfade(cells: DataFrame, strength: float = 1.0) -> DataFrame:
     return scanlines.to_cells(scanlines.crossfade(scanlines.from_cells(cells), strength, border=True))
 
 
-def seamless(cells: DataFrame, jobs: DataFrame, light: dict | None = None, overlap: float = 0.2, falloff: float = 0.1, strength: float = 0.5) -> DataFrame:
-    """Each raster by the method of its row in jobs (raster_id, method): overlap, offset_crossfade or mirror; others stay as they are.
+#: Parameters of a seamless job and what holds where its row says nothing.
+DEFAULTS = {"overlap_x": 0.2, "overlap_y": 0.2, "edge_falloff": 0.1, "blend_strength": 0.5, "splat_scale": 1.0, "splat_rotation": 0.0, "splat_random_rotation": 0.0, "splat_wobble": 0.2, "splat_randomize": 0.0}
 
-    Rasters are joined to their method once; each method's branch sees only its own.
+
+def seamless(cells: DataFrame, jobs: DataFrame, light: dict | None = None, limits: dict | None = None, **defaults: float) -> DataFrame:
+    """Each raster by the method of its row in jobs: overlap, splat, offset_crossfade or mirror; ``none`` leaves it, any other is overlap.
+
+    jobs: raster_id, method and any of the columns of ``DEFAULTS`` (see ``store.normalize_params``); what is missing or
+    null is taken from defaults, then from there. limits: sizes for ``tone.validate`` (``{}``: its own); rasters that it
+    rejects are left out, and samples that are no numbers replaced. A raster's parameters ride along as its key, so that
+    each method's branch is one plan whatever the jobs say.
     """
+    unknown = set(defaults) - set(DEFAULTS)
+    if unknown:
+        raise TypeError(f"unknown parameters {sorted(unknown)}")
     if light:
         cells = stencil.delight(cells, **light)
-    chosen = cells.join(jobs.select("raster_id", "method"), "raster_id")
+    base = DEFAULTS | defaults
+    amounts = [F.coalesce(F.col(n).cast("double"), F.lit(float(v))).alias(n) if n in jobs.columns else F.lit(float(v)).alias(n) for n, v in base.items()]
+    method = F.when(F.col("method").isin("splat", "offset_crossfade", "mirror", "none"), F.col("method")).otherwise("overlap")
+    asked = jobs.select("raster_id", method.alias("method"), *amounts)
+    if limits is not None:
+        sizes = cells.groupBy("raster_id").agg(F.max("h").alias("h"), F.max("w").alias("w"))
+        asked = tone.validate(sizes.join(asked, "raster_id"), **limits).where("reason is null").drop("h", "w", "reason")
+        cells = tone.point(cells, lambda v: color.finite(v, high=1.0))
+    chosen = cells.join(asked, "raster_id").withColumn("raster_id", F.struct("raster_id", *base))
     of = lambda m: chosen.where(F.col("method") == m).select(*COLUMNS)
-    out = seams.overlap_synthesis(of("overlap"), overlap, overlap, falloff).unionByName(offset_crossfade(of("offset_crossfade"), strength)).unionByName(geometry.mirror_tile(of("mirror")))
-    return out.unionByName(chosen.where(~F.col("method").isin("overlap", "offset_crossfade", "mirror")).select(*COLUMNS))
+    own = lambda n: F.col(f"raster_id.{n}")
+    lines = lambda m: scanlines.from_cells(of(m))
+    out = scanlines.to_cells(scanlines.overlap(lines("overlap"), F.least(own("overlap_x"), F.lit(0.5)), F.least(own("overlap_y"), F.lit(0.5)), own("edge_falloff")))
+    out = out.unionByName(scanlines.to_cells(scanlines.crossfade(lines("offset_crossfade"), own("blend_strength"), border=True)))
+    out = out.unionByName(geometry.mirror_tile(of("mirror"))).unionByName(of("none"))
+    splats = of("splat")
+    if not asked.where("method = 'splat'").isEmpty():
+        made = splat.synthesize(saved(splats), own("splat_scale"), own("splat_rotation"), own("splat_random_rotation"), own("splat_wobble"), own("edge_falloff"), own("splat_randomize").cast("int"))[0]
+        out = out.unionByName(made)
+    return out.withColumn("raster_id", F.col("raster_id.raster_id")).select(*COLUMNS)
 
 
 def pbr_maps(gray: DataFrame, depth: float = 0.5, smooth: float = 0.1, rough: float = 0.5, scale: float = 4.266, kind: str = "4_sample", ao: float = 0.5, spread: float = 0.3, threshold: float = 1.0, softness: float = 0.0) -> DataFrame:

@@ -53,6 +53,18 @@ def test_crossfade_edges_are_equal(spark, noise):
     assert np.allclose(out[:, 0], out[:, -1]) and np.allclose(out[0], out[-1])
 
 
+def test_results_do_not_depend_on_company(spark, noise):
+    """Splat synthesis and jobs with own parameters: a raster alone and beside a larger one."""
+    small, large = cells_of(spark, noise[:16, :20], 1), cells_of(spark, noise.repeat(2, 0), 2)
+    both = small.unionByName(large)
+    make = lambda c: splat.synthesize(c, scale=0.5, rand_rot=0.4, wobble=0.3, seed=3, count=4)[0].where("raster_id = 1")
+    assert np.allclose(image_of(make(small)), image_of(make(both)))
+    asked = spark.createDataFrame([(1, "splat", 0.5, 0.5), (2, "splat", 0.25, None)], "raster_id long, method string, splat_scale double, splat_random_rotation double")
+    job = lambda c: jobs.seamless(c, asked, splat_wobble=0.3).where("raster_id = 1")
+    alone = image_of(job(small))
+    assert np.allclose(alone, image_of(job(both))) and not np.allclose(alone, noise[:16, :20]) and np.isfinite(alone).all()
+
+
 def test_zero_overlap_is_identity(spark, noise):
     assert np.allclose(image_of(seams.overlap_synthesis(cells_of(spark, noise), 0, 0)), noise)
 
