@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..fixtures import table
+from ..fixtures import lineitem_cells, table
+from ..layout import checkpoint_folder
 from ..operators import store
 from ..sources import files
+from ..streaming import requests as stream
 
 _EXT = r"regexp_extract({0}, '[^/.][^/]*?(\.[^/.]*)$', 1)"
 
@@ -73,3 +78,52 @@ def params_join(spark, sf):
     names = F.array(*[F.lit(n) for n in (*store.PRESETS, "Custom")])
     jobs = table(spark, sf, "part").select("p_partkey", F.element_at(names, (F.col("p_size") % 5 + 1).cast("int")).alias("preset"), F.when(F.col("p_size") % 3 == 0, F.col("p_size")).cast("int").alias("scale"))
     return store.apply_presets(jobs)
+
+
+def _folder(spark) -> str:
+    """A new folder within the checkpoint folder, as a path that tasks can write to."""
+    return re.sub("^file:/*", "/", checkpoint_folder(spark)) + f"/files-{uuid4().hex}"
+
+
+def _written(spark, sf, bits: int = 8) -> str:
+    """The folder of the supplier rasters as PNG files of their numbers."""
+    folder = _folder(spark)
+    files.write_files(lineitem_cells(spark, sf), folder, F.concat(F.col("raster_id").cast("string"), F.lit(".png")), bits).write.format("noop").mode("overwrite").save()
+    return folder
+
+
+def _number(path):
+    return F.regexp_extract(path, r"([0-9]+)\.png$", 1).cast("long")
+
+
+@query("result AS (SELECT * FROM cells)")
+def image_scan(spark, sf):
+    """Supplier rasters written as PNG files and read back by Spark's image source."""
+    cells = files.tiles_to_cells(files.scan_images(spark, _written(spark, sf)))
+    return cells.withColumn("raster_id", _number(F.col("raster_id")))
+
+
+@query("x AS (SELECT 1)\nSELECT DISTINCT raster_id, w::INTEGER AS w, h::INTEGER AS h, 16 AS bit_depth, 3 AS channels, 72::DOUBLE AS dpi FROM cells", cells=False)
+def header_metadata(spark, sf):
+    """Headers of the rasters as 16-bit PNG files."""
+    rows = spark.read.format("binaryFile").load(_written(spark, sf, 16))
+    return files.png_headers(rows).withColumn("raster_id", _number(F.col("path"))).drop("path")
+
+
+@query("result AS (SELECT * FROM cells)")
+def write_rasters(spark, sf):
+    """Rasters written as tiles of 8 by 8 in Parquet by band, and read back."""
+    folder = _folder(spark)
+    files.write_tiles(lineitem_cells(spark, sf), folder, 8)
+    tiles = spark.read.parquet(folder)
+    return files.tiles_to_cells(tiles.withColumn("bands", F.lit(1)).withColumn("raster_id", F.struct("raster_id", F.col("band").cast("int").alias("band"))), "raster_id", 8).select("raster_id.raster_id", "h", "w", "raster_id.band", "y", "x", "v")
+
+
+@query("x AS (SELECT 1)\nSELECT DISTINCT raster_id, raster_id || '.png' AS name, '.png' AS extension FROM cells", cells=False)
+def folder_ingest_stream(spark, sf):
+    """Catalogue of the rasters' files as a stream takes them up, in two calls of which the second finds nothing new."""
+    folder, out = _written(spark, sf), _folder(spark)
+    take = lambda rows, batch: files.file_catalog(rows.select("path", "size_bytes")).write.mode("append").parquet(f"{out}/catalog")
+    for _ in range(2):
+        stream.ingest_folder(spark, folder, f"{out}/state", take)
+    return spark.read.parquet(f"{out}/catalog").where("size_bytes > 0").select(_number(F.col("path")).alias("raster_id"), "name", "extension")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..fixtures import embedding_cells, lineitem_cells, requests, requests_of, table
+from ..layout import checkpoint_folder
 from ..operators import geometry, store
 from ..streaming import requests as stream
 
@@ -72,13 +72,16 @@ def latest_wins_batch(spark, sf):
 @query("ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY generation DESC) AS n FROM requests)\nSELECT image_id, generation, method, strength FROM ranked WHERE n = 1", source="requests", cells=False)
 def latest_wins_stream(spark, sf):
     """The newest request of every image, from the events as a stream; stale ones are dropped by state."""
-    folder = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp(prefix='spark-stream-')}/requests-{uuid4().hex}"
+    folder = f"{checkpoint_folder(spark)}/requests-{uuid4().hex}"
     kinds = table(spark, sf, "events").schema
     events = spark.readStream.schema(kinds).option("pathGlobFilter", "events.parquet").parquet(sf)
     newest = stream.latest_wins(requests_of(events).select("image_id", "generation", "method", "strength"))
-    write = newest.writeStream.foreachBatch(lambda rows, batch: rows.write.mode("append").parquet(f"{folder}/out")).outputMode("append")
+    numbered = lambda rows, batch: rows.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{folder}/out")
+    write = newest.writeStream.foreachBatch(numbered).outputMode("append")
     write.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return store.latest_wins(spark.read.parquet(f"{folder}/out"))
+    # what came out last for an image, whatever its number: a stale one that came later would show
+    last = F.max_by(F.struct("generation", "method", "strength"), F.struct("batch"))
+    return spark.read.parquet(f"{folder}/out").groupBy("image_id").agg(last.alias("r")).select("image_id", "r.*")
 
 
 @query("""marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY image_id ORDER BY ts, generation) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM requests),

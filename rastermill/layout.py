@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COLUMNS = ["raster_id", "h", "w", "band", "y", "x", "v"]
@@ -58,15 +58,21 @@ def bands_long(wide: DataFrame, bands: int = 3) -> DataFrame:
     return wide.withColumn("each", each).where("each.v is not null").select("raster_id", "h", "w", "each.band", "y", "x", "each.v")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder in spark.checkpoint.dir and cut from what made them; for results that several branches use.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share.
 
     Where that setting is absent, a local master gets a folder of its own and any other raises ValueError.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows, written to the checkpoint folder and cut from what made them; for results that several branches use."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

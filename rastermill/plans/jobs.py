@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import color
 from ..layout import COLUMNS, clip, saved, sized
 from ..operators import geometry, masks, scanlines, seams, splat, stencil, tone
+from ..sources import files
 from ..sources.files import RENDERERS
 
 
@@ -124,21 +125,47 @@ def multi_scale_fill(cells: DataFrame, width: int = 30, radius: int = 5, scales:
     return sized(met.withColumn("v", F.aggregate("steps", F.col("v"), lambda acc, s: (1 - s["k"]) * acc + s["k"] * s["s"])))
 
 
-def export_package(cells: DataFrame, edge: int, renderer: str = "generic", source: str = "average_rgb", smooth: float = 0.0) -> DataFrame:
+def export_package(cells: DataFrame, edge: int, renderer: str = "generic", source: str = "average_rgb", smooth: float = 0.0, packing: bool = True, glossiness: bool = False, clamp: bool = False) -> DataFrame:
     """Cells of all maps of an export with a column ``map``: resized so that the longest edge is ``edge``, green turned and depth set for the renderer.
 
-    Write them with ``files.write_png``, named by ``files.export_manifest``.
+    packing: for ue5, occlusion and roughness as one map ORM. glossiness: for others, roughness turned over, as one band.
+    clamp: displacement within 8 to 247. Write them with ``write_package``.
     """
     _, fmt, convention, bits = RENDERERS[renderer]
     longest = F.greatest("h", "w")
     scaled = lambda e: F.greatest(F.lit(1), F.floor(F.col(e) * (edge / longest) + 1e-9))
     base = saved(geometry.resize_cubic(cells.where(longest < edge), scaled).unionByName(geometry.resize_area(cells.where(longest >= edge), scaled)))
-    maps = pbr_maps(tone.gray(tone.point(base, lambda v: v / 255), source), smooth=smooth)
-    normal = maps.where("map = 'Normal'").select(*COLUMNS)
+    maps = saved(pbr_maps(tone.gray(tone.point(base, lambda v: v / 255), source), smooth=smooth))
+    of = lambda name: maps.where(F.col("map") == name).select(*COLUMNS)
+    normal = of("Normal")
     if convention.startswith("DirectX"):
         normal = tone.flip_green(normal)
     out = tone.export_depth(tone.point(base, lambda v: clip(v, 0, 255)), "float32", fmt, bits).withColumn("map", F.lit("BaseColor"))
     out = out.unionByName(tone.export_depth(normal, "uint16", fmt, bits).withColumn("map", F.lit("Normal")))
-    rest = maps.where("map <> 'Normal'").withColumn("raster_id", F.struct("raster_id", "map")).select(*COLUMNS)
-    rest = tone.export_depth(rest, "uint8", fmt, bits)
-    return out.unionByName(rest.select("raster_id.raster_id", "h", "w", "band", "y", "x", "v", "raster_id.map"))
+    rest = {"Roughness": of("Roughness"), "AO": of("AO"), "Displacement": of("Displacement"), "Opacity": of("Opacity")}
+    if renderer == "ue5" and packing:
+        both = maps.where("map IN ('AO', 'Roughness') AND band = 0")
+        rest = {"ORM": seams.pack_bands(both, {2: "AO", 1: "Roughness", 0: None}), "Displacement": rest["Displacement"], "Opacity": rest["Opacity"]}
+    elif renderer != "ue5" and glossiness:
+        rest["Roughness"] = tone.glossiness(rest["Roughness"].where("band = 0"))
+    if clamp:
+        rest["Displacement"] = tone.clamp_displacement(rest["Displacement"])
+    small = None
+    for name, one in rest.items():
+        one = one.withColumn("raster_id", F.struct("raster_id", F.lit(name).alias("map")))
+        small = one if small is None else small.unionByName(one)
+    small = tone.export_depth(small, "uint8", fmt, bits)
+    return out.unionByName(small.select("raster_id.raster_id", "h", "w", "band", "y", "x", "v", "raster_id.map"))
+
+
+def write_package(package: DataFrame, materials: DataFrame, folder: str, renderer: str = "generic", packing: bool = True, glossiness: bool = False, maps: dict[str, bool] | None = None) -> DataFrame:
+    """Files of a package (see ``export_package``) under their names in the manifest; rows (path, bytes).
+
+    materials: (raster_id, name). Maps that aren't selected (``files.MAPS`` unless given) aren't written.
+    """
+    named = materials.select("raster_id", files.sanitize_name(F.col("name"), "Material_01").alias("material"))
+    wanted = files.export_manifest(materials.select("name"), maps=maps, packing=packing, glossiness=glossiness).where(F.col("renderer") == renderer).distinct()
+    wanted = wanted.join(named, "material").select("raster_id", "map", F.concat("subfolder", F.lit("/"), "file_name").alias("file"))
+    _, fmt, _, bits = RENDERERS[renderer]
+    keyed = package.join(wanted, ["raster_id", "map"])
+    return files.write_files(keyed.drop("map"), folder, F.col("file"), 16 if bits == 16 and fmt in ("png", "tiff") else 8)

@@ -109,20 +109,34 @@ def export_manifest(materials: DataFrame, packing: bool = True, glossiness: bool
 PNG_CHANNELS = {0: 1, 2: 3, 3: 3, 4: 2, 6: 4}
 
 
-def png_headers(files: DataFrame, header: int = 65536) -> DataFrame:
+def _png_header(content: memoryview) -> tuple[int, int, int, int, float] | None:
+    """(w, h, bit depth, channels, dpi) by walking the chunks up to the samples."""
+    if bytes(content[:8]) != b"\x89PNG\r\n\x1a\n" or bytes(content[12:16]) != b"IHDR" or len(content) < 33:
+        return None
+    w, h, depth, kind = struct.unpack(">IIBB", content[16:26])
+    at, dpi = 33, 72.0
+    while at + 12 <= len(content) and bytes(content[at + 4 : at + 8]) not in (b"IDAT", b"IEND"):
+        size = struct.unpack(">I", content[at : at + 4])[0]
+        if bytes(content[at + 4 : at + 8]) == b"pHYs" and size == 9 and at + 17 <= len(content):
+            across, _, unit = struct.unpack(">IIB", content[at + 8 : at + 17])
+            dpi = round(across * 0.0254, 2) if unit == 1 else dpi
+        at += 12 + size
+    return w, h, depth, PNG_CHANNELS.get(kind), dpi
+
+
+def png_headers(files: DataFrame) -> DataFrame:
     """Rows (path, w, h, bit_depth, channels, dpi) of PNG files (path, content); dpi is 72 where the header says nothing.
 
-    Only expressions on the first ``header`` bytes; what isn't a PNG is left out.
+    Chunks are walked up to the samples, which are not read; what isn't a PNG is left out.
     """
-    head = F.hex(F.substring("content", 1, header))
-    number = lambda at, n: F.conv(F.substring(head, at, n), 16, 10).cast("long")
-    density = F.instr(head, "70485973")
-    at = F.when((density > 0) & (density % 2 == 1), density)
-    per_metre = F.conv(F.substring(head, at + 8, F.lit(8)), 16, 10).cast("double")
-    in_metres = F.substring(head, at + 24, F.lit(2)) == "01"
-    dpi = F.coalesce(F.when(in_metres, F.round(per_metre * 0.0254, 2)), F.lit(72.0))
-    return files.where(head.startswith("89504E470D0A1A0A")).select("path", number(33, 8).cast("int").alias("w"), number(41, 8).cast("int").alias("h"), number(49, 2).cast("int").alias("bit_depth"),
-                                                                   _lookup(PNG_CHANNELS, number(51, 2).cast("int")).alias("channels"), dpi.alias("dpi"))
+
+    def run(batches):
+        for batch in batches:
+            found = [(p, h) for p, c in zip(batch.column("path").to_pylist(), batch.column("content")) if c.is_valid and (h := _png_header(memoryview(c.as_buffer())))]
+            columns = [pa.array([h[i] for _, h in found], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), *columns], ["path", "w", "h", "bit_depth", "channels", "dpi"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, w int, h int, bit_depth int, channels int, dpi double")
 
 
 def scan_images(spark: SparkSession, path: str, tile: int = 256) -> DataFrame:
@@ -174,8 +188,36 @@ def png_bytes(lines: list[bytes], w: int, bands: int, bits: int) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, len(lines), bits, kind, 0, 0, 0)) + chunk(b"IDAT", b"".join(out) + pack.flush()) + chunk(b"IEND", b"")
 
 
-def write_png(cells: DataFrame, folder: str, name: Column, bits: int = 8) -> DataFrame:
-    """One PNG for each raster under ``name``, in a folder that all executors share; rows (path, bytes).
+def tiff_bytes(lines: list[bytes], w: int, bands: int, bits: int) -> bytes:
+    """An uncompressed big-endian TIFF of one strip; scan lines as for ``png_bytes``."""
+    data = b"".join(lines)
+    entries = [(256, 4, [w]), (257, 4, [len(lines)]), (258, 3, [bits] * bands), (259, 3, [1]), (262, 3, [2 if bands > 2 else 1]), (273, 4, [8]), (277, 3, [bands]), (278, 4, [len(lines)]), (279, 4, [len(data)])]
+    entries += [(338, 3, [2])] if bands in (2, 4) else []
+    data += b"\0" * (len(data) % 2)
+    more, at, out = b"", 8 + len(data) + 2 + 12 * len(entries) + 4, struct.pack(">H", len(entries))
+    for tag, kind, values in entries:
+        packed = struct.pack(f">{len(values)}{'H' if kind == 3 else 'I'}", *values)
+        if len(packed) > 4:
+            packed, more = struct.pack(">I", at + len(more)), more + packed
+        out += struct.pack(">HHI", tag, kind, len(values)) + packed.ljust(4, b"\0")
+    return b"MM\0*" + struct.pack(">I", 8 + len(data)) + data + out + b"\0\0\0\0" + more
+
+
+def tga_bytes(lines: list[bytes], w: int, bands: int, bits: int) -> bytes:
+    """An uncompressed TGA of 8 bits, top line first; scan lines as for ``png_bytes``."""
+    if bits != 8 or bands == 2:
+        raise ValueError("TGA holds 8 bits in 1, 3 or 4 bands")
+    field = np.frombuffer(b"".join(lines), np.uint8).reshape(-1, bands)
+    field = field[:, [2, 1, 0, 3][:bands]] if bands > 1 else field
+    return struct.pack("<BBBHHBHHHHBB", 0, 0, 3 if bands == 1 else 2, 0, 0, 0, 0, 0, w, len(lines), 8 * bands, 0x20 | (8 if bands == 4 else 0)) + field.tobytes()
+
+
+#: Extension and what makes the file.
+WRITERS = {".png": png_bytes, ".tiff": tiff_bytes, ".tif": tiff_bytes, ".tga": tga_bytes}
+
+
+def write_files(cells: DataFrame, folder: str, name: Column, bits: int = 8) -> DataFrame:
+    """One PNG, TIFF or TGA (by its extension) for each raster under ``name``, in a folder that all executors share; rows (path, bytes).
 
     Scan lines are packed where their cells meet; a file's group holds only its packed lines. A file appears under its
     name only when it is whole.
@@ -189,8 +231,11 @@ def write_png(cells: DataFrame, folder: str, name: Column, bits: int = 8) -> Dat
 
     def write(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("y")
-        data = png_bytes(group["line"].tolist(), int(group["w"].iloc[0]), int(group["bands"].iloc[0]), bits)
         path = os.path.join(folder, group["name"].iloc[0])
+        make = WRITERS.get(os.path.splitext(path)[1].lower())
+        if make is None:
+            raise ValueError(f"no writer for {path}")
+        data = make(group["line"].tolist(), int(group["w"].iloc[0]), int(group["bands"].iloc[0]), bits)
         os.makedirs(os.path.dirname(path), exist_ok=True)
         with tempfile.NamedTemporaryFile(dir=os.path.dirname(path), prefix=".writing-", delete=False) as f:
             f.write(data)
@@ -200,6 +245,9 @@ def write_png(cells: DataFrame, folder: str, name: Column, bits: int = 8) -> Dat
     return lines.groupBy("name").applyInPandas(write, "path string, bytes long")
 
 
+write_png = write_files
+
+
 def write_tiles(cells: DataFrame, path: str, tile: int = 256) -> None:
     """Tiles as Parquet, partitioned by band, under Spark's commit protocol."""
     cells_to_tiles(cells, tile).write.mode("overwrite").partitionBy("band").parquet(path)

@@ -199,6 +199,47 @@ def test_tiles_round_trip(spark, noise, tmp_path):
     assert tiles.count() == 3 * 4 * 3 and tiles.agg(F.sum(F.size("data"))).first()[0] == noise.size
 
 
+def test_tiff_and_tga(spark, noise, tmp_path):
+    """Files of other formats hold the samples where their headers say."""
+    whole = np.floor(noise[:6, :9])
+    cells = cells_of(spark, whole)
+    for name, bits in (("a.tiff", 8), ("b.tif", 16), ("c.tga", 8)):
+        files.write_files(cells, str(tmp_path), F.lit(name), bits).collect()
+        data = (tmp_path / name).read_bytes()
+        if name.endswith("tga"):
+            assert data[2] == 2 and int.from_bytes(data[12:14], "little") == 9 and data[16] == 24
+            got = np.frombuffer(data[18:], np.uint8).reshape(6, 9, 3)
+        else:
+            at = int.from_bytes(data[4:8], "big")
+            tags = {int.from_bytes(data[at + 2 + 12 * i :][:2], "big"): int.from_bytes(data[at + 10 + 12 * i :][:4], "big") for i in range(int.from_bytes(data[at : at + 2], "big"))}
+            assert tags[256] == 9 and tags[257] == 6 and tags[273] == 8 and int.from_bytes(data[tags[258] : tags[258] + 2], "big") == bits
+            got = np.frombuffer(data[8 : 8 + tags[279]], ">u2" if bits == 16 else np.uint8).reshape(6, 9, 3)[:, :, ::-1]
+        assert (got == whole).all()
+
+
+def test_png_header_far_into_the_file():
+    chunk = lambda kind, data: len(data).to_bytes(4, "big") + kind + data + b"\0\0\0\0"
+    start = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", (7).to_bytes(4, "big") + (5).to_bytes(4, "big") + b"\x08\x06\0\0\0")
+    dense = chunk(b"pHYs", (11811).to_bytes(4, "big") * 2 + b"\x01")
+    assert files._png_header(memoryview(start + chunk(b"tEXt", b"x" * 100_000) + dense)) == (7, 5, 8, 4, 300.0)
+    assert files._png_header(memoryview(start + chunk(b"tEXt", dense) + chunk(b"IDAT", dense))) == (7, 5, 8, 4, 72.0)
+    assert files._png_header(memoryview(b"no png")) is None
+
+
+def test_packages(spark, noise, tmp_path):
+    cells, materials = cells_of(spark, noise[:8, :8]), spark.createDataFrame([(1, "My rock")], "raster_id long, name string")
+    plain = jobs.export_package(cells, 8, "ue5", packing=False)
+    packed = jobs.export_package(cells, 8, "ue5", clamp=True)
+    by = {m: image_of(packed.where(F.col("map") == m)) for m in ("ORM", "Displacement")}
+    single = {m: image_of(plain.where(F.col("map") == m)) for m in ("AO", "Roughness", "Displacement")}
+    assert (by["ORM"][:, :, 2] == single["AO"][:, :, 0]).all() and (by["ORM"][:, :, 1] == single["Roughness"][:, :, 0]).all() and not by["ORM"][:, :, 0].any()
+    assert (by["Displacement"] == np.clip(single["Displacement"], 8, 247)).all()
+    written = {r.path.rpartition(str(tmp_path))[2] for r in jobs.write_package(packed, materials, str(tmp_path), "ue5").collect()}
+    assert written == {f"/My_rock_UE5/{n}.png" for n in ("T_My_rock_D", "T_My_rock_N", "T_My_rock_ORM", "My_rock_UE5_Displacement")}
+    glossy = jobs.export_package(cells, 8, "vray", glossiness=True)
+    assert set(jobs.write_package(glossy, materials, str(tmp_path), "vray", glossiness=True).select(F.regexp_extract("path", "([^_]+)$", 1)).toPandas().iloc[:, 0]) == {"BaseColor.tiff", "Normal.tiff", "Glossiness.tiff", "AO.tiff", "Displacement.tiff"}
+
+
 def test_export_package(spark, noise):
     maps = jobs.export_package(cells_of(spark, noise), 48, "vray").groupBy("map").agg(F.max("h").alias("h"), F.max("w").alias("w"), F.max("v").alias("v")).collect()
     assert {r.map for r in maps} == {"BaseColor", "Normal", "Roughness", "AO", "Displacement", "Opacity"}
