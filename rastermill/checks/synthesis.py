@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..fixtures import embedding_cells, lineitem_cells
 from ..layout import rasters, rounded
-from ..operators import quality, splat, stencil
+from ..operators import masks, quality, splat, stencil
 from ..plans import jobs
 from .seams import clip, crossfaded, overlapped, q4
 from .stencils import blur
@@ -75,13 +77,37 @@ def splat_over(spark, sf):
     return splat.over(splat.gaussian_layers(cells, cut, 6), cells)
 
 
-@query()
+def _uniform(*parts) -> float:
+    return int(md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16) / (1 << 32)
+
+
+def _bank(of: str, seed: int, rand_rot: float, wobble: float, falloff: float, n: int, name: str) -> str:
+    """``of`` (8 by 8) as n patches: turned about the centre, bilinear, reflected at the border, under a wobbling mask."""
+    amounts = [[i, (_uniform(seed, i, "angle") * 2 - 1) * 180 * rand_rot, *[_uniform(seed, i, f"phase{k}") * 6.283185307179586 for k, _ in masks.HARMONICS]] for i in range(n)]
+    rows = ", ".join("(" + ", ".join([str(i), *[f"{x!r}::DOUBLE" for x in rest]]) + ")" for i, *rest in amounts)
+    bulge = "(" + " + ".join(f"{a}::DOUBLE * sin({k} * atan2(ny, nx) + p{k})" for k, a in masks.HARMONICS) + ") / 2.15::DOUBLE"
+    depth = clip(f"1 - sqrt(nx * nx + ny * ny) * (1 + {clip(f'{wobble}::DOUBLE * 0.6::DOUBLE * ({bulge})', '-0.15::DOUBLE', '0.5::DOUBLE')})")
+    return f"""kinds AS (SELECT * FROM (VALUES {rows}) k(patch_id, angle, {', '.join(f'p{k}' for k, _ in masks.HARMONICS)})),
+spots AS (SELECT k.*, ty, tx, cos(radians(angle)) * (tx - 4) - sin(radians(angle)) * (ty - 4) + 4 AS fx, sin(radians(angle)) * (tx - 4) + cos(radians(angle)) * (ty - 4) + 4 AS fy,
+  (ty - 3.5::DOUBLE) / 4 AS ny, (tx - 3.5::DOUBLE) / 4 AS nx FROM kinds k, range(8) a(ty), range(8) b(tx)),
+depths AS (SELECT *, {depth} AS depth FROM spots), covers AS (SELECT *, {clip(f'depth / {falloff}::DOUBLE')} AS c FROM depths),
+masks AS (SELECT *, c * c * (3 - 2 * c) * pow(depth, 8 * (1 - {falloff}::DOUBLE) + 0.5::DOUBLE * {falloff}::DOUBLE) AS alpha, floor(fx)::BIGINT AS ix, floor(fy)::BIGINT AS iy FROM covers),
+marks AS (SELECT patch_id, ty, tx, alpha, ((iy + j) % 14 + 14) % 14 AS my, ((ix + i) % 14 + 14) % 14 AS mx,
+  CASE j WHEN 1 THEN fy - iy ELSE 1 - (fy - iy) END * CASE i WHEN 1 THEN fx - ix ELSE 1 - (fx - ix) END AS k FROM masks, range(2) a(i), range(2) b(j)),
+{name} AS MATERIALIZED (SELECT s.raster_id, s.band, patch_id, ty AS py, tx AS px, any_value(alpha) AS alpha, sum(s.v * k) AS v FROM marks
+  JOIN {of} s ON s.y = CASE WHEN my < 8 THEN my ELSE 14 - my END AND s.x = CASE WHEN mx < 8 THEN mx ELSE 14 - mx END GROUP BY s.raster_id, s.band, patch_id, ty, tx)"""
+
+
+@query("small AS MATERIALIZED (SELECT raster_id, band, y // 2 AS y, x // 2 AS x, avg(v) AS v FROM cells GROUP BY ALL),\n" + _bank("small", 1, 0.5, 0.3, 0.4, 4, "bank")
+       + ",\n" + _PLACED.replace("spots AS", "places AS").replace("FROM spots", "FROM places").replace("md5('3:'", "md5('1:'").replace("* 2)", "* 4)") + """,
+laid AS (SELECT p.raster_id, band, (top + py + 64) % 16 AS y, (p.left + px + 64) % 16 AS x, sum(v * alpha) AS total, sum(alpha) AS weight FROM placed p JOIN bank USING (raster_id, patch_id) WHERE alpha > 1e-7::DOUBLE GROUP BY ALL),
+result AS (SELECT c.raster_id, h, w, c.band, c.y, c.x, least(greatest(CASE WHEN weight > 1e-9::DOUBLE THEN total / weight ELSE v END, 0), 255) AS v FROM cells c LEFT JOIN laid USING (raster_id, band, y, x))""")
 def splat_synthesis(spark, sf):
     """Every supplier raster made of turned patches of itself."""
     return splat.synthesize(lineitem_cells(spark, sf), scale=0.5, rand_rot=0.5, wobble=0.3, falloff=0.4, seed=1, count=4)[0]
 
 
-@query()
+@query(_bank("cells", 1, 0.5, 0.3, 0.4, 4, "bank") + ",\nresult AS (SELECT raster_id, 8 AS h, 8 AS w, patch_id AS band, py AS y, px AS x, v * alpha AS v FROM bank)", source="embedding")
 def patch_bank(spark, sf):
     """Four turned patches of every vector's raster with their masks."""
     bank = splat.patch_bank(embedding_cells(spark, sf), 1.0, 0.0, 0.5, 0.3, 0.4, 1, 4)
@@ -128,7 +154,12 @@ def seamless_job_limits(spark, sf):
     return jobs.seamless(cells, asked, limits={"low": 16, "mirror": 8})
 
 
-@query()
+@query("""parts AS MATERIALIZED (SELECT raster_id * 4 + cy * 2 + cx AS raster_id, 10 AS h, 10 AS w, band, y - 6 * cy AS y, x - 6 * cx AS x, v FROM cells, range(2) a(cy), range(2) b(cx)
+  WHERE y BETWEEN 6 * cy AND 6 * cy + 9 AND x BETWEEN 6 * cx AND 6 * cx + 9),\n""" + overlapped(10, 2, 0.5, "parts", "laid") + """,
+placed AS MATERIALIZED (SELECT raster_id // 4 AS raster_id, raster_id % 4 AS step, band, y + 6 * (raster_id // 2 % 2) AS y, x + 6 * (raster_id % 2) AS x, v FROM laid
+  WHERE NOT (raster_id // 2 % 2 = 1 AND y = 0) AND NOT (raster_id % 2 = 1 AND x = 0)),
+result AS (SELECT c.raster_id, c.h, c.w, c.band, c.y, c.x, coalesce(arg_max(p.v, p.step), any_value(c.v)) AS v
+  FROM cells c LEFT JOIN placed p ON p.raster_id = c.raster_id AND p.band = c.band AND p.y = c.y AND p.x = c.x GROUP BY c.raster_id, c.h, c.w, c.band, c.y, c.x)""")
 def chunked_job(spark, sf):
     """Overlap synthesis by chunks of 8 cells, merged."""
     return jobs.chunked_overlap(lineitem_cells(spark, sf), 8, 2, 0.25, 0.5)
@@ -158,7 +189,25 @@ def seam_fill_wide(spark, sf):
     return jobs.seam_fill(lineitem_cells(spark, sf), 8, 3)
 
 
-@query()
+_CUBIC = "CASE WHEN d <= 1 THEN (1.25::DOUBLE * d - 2.25::DOUBLE) * d * d + 1 WHEN d < 2 THEN ((-0.75::DOUBLE * d + 3.75::DOUBLE) * d - 6) * d + 3 ELSE 0 END"
+
+
+def _scaled(f: int, masked: str) -> str:
+    """Cells shrunk by f, the masked ones filled from within 3, and enlarged back, bicubic with the border repeated."""
+    n, square = 16 // f, "((t.y - k.y) * (t.y - k.y) + (t.x - k.x) * (t.x - k.x))"
+    gap = lambda t: f"({t}.y {masked} OR {t}.x {masked})"
+    return f"""small{f} AS MATERIALIZED (SELECT raster_id, band, y // {f} AS y, x // {f} AS x, avg(v) AS v FROM cells GROUP BY ALL),
+filled{f} AS MATERIALIZED (SELECT raster_id, band, y, x, v FROM small{f} t WHERE NOT {gap('t')} UNION ALL
+  SELECT t.raster_id, t.band, t.y, t.x, sum(k.v / {square}::DOUBLE) / sum(1 / {square}::DOUBLE) FROM small{f} t JOIN small{f} k ON k.raster_id = t.raster_id AND k.band = t.band AND {square} BETWEEN 1 AND 9
+  WHERE {gap('t')} AND NOT {gap('k')} GROUP BY ALL),
+taps{f} AS (SELECT t, s, sum({_CUBIC}) AS k FROM (SELECT t, least(greatest(u, 0), {n - 1}) AS s, abs((t + 0.5::DOUBLE) / {f} - 0.5::DOUBLE - u) AS d
+  FROM (SELECT t, floor((t + 0.5::DOUBLE) / {f} - 0.5::DOUBLE)::BIGINT + o AS u FROM range(16) a(t), range(-1, 3) b(o))) GROUP BY ALL),
+up{f} AS MATERIALIZED (SELECT raster_id, band, a.t AS y, b.t AS x, sum(v * a.k * b.k) AS v FROM filled{f} JOIN taps{f} a ON a.s = y JOIN taps{f} b ON b.s = x GROUP BY raster_id, band, a.t, b.t)"""
+
+
+@query(",\n".join([_scaled(1, "BETWEEN 6 AND 9"), _scaled(2, "BETWEEN 3 AND 4"), _scaled(4, "= 2")]) + """,
+result AS (SELECT c.raster_id, c.h, c.w, c.band, c.y, c.x, ((c.v * 0.7::DOUBLE + a.v * 0.3::DOUBLE) * 0.85::DOUBLE + b.v * 0.15::DOUBLE) * 0.925::DOUBLE + d.v * 0.075::DOUBLE AS v
+  FROM cells c JOIN up1 a USING (raster_id, band, y, x) JOIN up2 b USING (raster_id, band, y, x) JOIN up4 d USING (raster_id, band, y, x))""")
 def multi_scale_fill(spark, sf):
     """The centre cross filled at three scales and mixed."""
     return jobs.multi_scale_fill(lineitem_cells(spark, sf), 4, 3)
