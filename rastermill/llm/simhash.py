@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import saved, shuffles
@@ -214,20 +214,26 @@ def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "".join(f"{n} {kinds[n]}, " for n in names) + "shingles array<int>")
 
 
+#: Bytes of leaders' shingle sets up to which a round sends them to all tasks; beyond, both sides are shuffled by group.
+LEADERS = 32 << 20
+
+
 def _verified(candidates: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """Links (a, b) of nodes whose shingle sets have the similarity, from rows (node, least, label) of candidate groups.
 
     texts: (node, text). In each group the smallest node leads, and all others are compared with it; nodes that are like
-    no leader so far give the next leaders, twice as many each round. So every node ends up linked with a leader or as one,
-    no two leaders of a group are alike, and comparisons stay far below all pairs where groups hold what they should.
+    no leader so far give the next leaders, up to twice as many each round. So every node ends up linked with a leader or
+    as one, and comparisons stay far below all pairs where groups hold what they should. Leaders are picked by partial
+    aggregates, and sets stay where they are while those of a round's leaders are small.
     """
     sets = saved(shingle_sets(candidates.join(texts, "node").select("node", "label", "text"), size))
     open_, found, count = candidates, [], 1
     while not open_.isEmpty():
-        place = F.row_number().over(Window.partitionBy("label").orderBy(F.col("least").asc_nulls_last(), "node"))
-        leaders = saved(open_.withColumn("place", place).where(F.col("place") <= count).select("label", F.col("node").alias("leader")))
-        of = leaders.join(sets.select(F.col("node").alias("leader"), F.col("shingles").alias("theirs")), "leader")
-        both = sets.join(of, "label").where("node <> leader")
+        place = F.pmod(F.xxhash64("node", F.lit(count)), F.lit(count)).alias("place")
+        first = open_.groupBy("label", place).agg(F.min(F.struct("least", "node")).alias("first")).select("label", F.col("first.node").alias("leader"))
+        leaders = saved(first.join(sets.select(F.col("node").alias("leader"), F.col("shingles").alias("theirs")), "leader"))
+        small = (leaders.agg(F.sum(4 * F.size("theirs") + 64)).first()[0] or 0) <= LEADERS
+        both = sets.join(F.broadcast(leaders) if small else leaders, "label").where("node <> leader")
         # sizes alone rule out most unlike ones before the sets are met
         low, high = F.least(F.size("shingles"), F.size("theirs")), F.greatest(F.size("shingles"), F.size("theirs"))
         common = F.size(F.array_intersect("shingles", "theirs"))
