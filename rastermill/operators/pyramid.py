@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import color
-from ..layout import bands_long, bands_wide, clip
+from ..layout import bands_long, bands_wide, clip, saved
 from .geometry import resize_area
 
 
@@ -16,11 +16,18 @@ def _halve(cells: DataFrame) -> DataFrame:
     return resize_area(cells, lambda e: F.greatest(F.lit(1), F.floor(F.col(e) / 2)))
 
 
-def mip_levels(cells: DataFrame, step: Callable[[DataFrame], DataFrame], levels: int) -> DataFrame:
-    """Levels 0 to ``levels`` with a column ``level``, each made of the one before; rasters of one cell add no further level."""
+def mip_levels(cells: DataFrame, step: Callable[[DataFrame], DataFrame], levels: int | None = None) -> DataFrame:
+    """Levels 0 to ``levels`` with a column ``level``, each made of the one before; rasters of one cell add no further level.
+
+    Without ``levels``, down to one cell. Each level but the last is saved for the next and for the result.
+    """
+    if levels is None:
+        edge = cells.agg(F.max(F.greatest("h", "w"))).first()[0] or 1
+        levels = int(edge).bit_length() - 1
     out, now = cells.withColumn("level", F.lit(0)), cells
     for level in range(1, levels + 1):
         now = step(now.where("h > 1 or w > 1"))
+        now = saved(now) if level < levels else now
         out = out.unionByName(now.withColumn("level", F.lit(level)))
     return out
 
@@ -53,5 +60,6 @@ def normal_step(rgba: DataFrame) -> DataFrame:
 STEPS = {"normal": normal_step, "basecolor": color_step, "base color": color_step}
 
 
-def mipmaps(cells: DataFrame, map_name: str, levels: int) -> DataFrame:
+def mipmaps(cells: DataFrame, map_name: str, levels: int | None = None) -> DataFrame:
+    """The pyramid of a map by its name, down to one cell unless ``levels`` says otherwise."""
     return mip_levels(cells, STEPS.get(map_name.lower(), scalar_step), levels)

@@ -136,8 +136,8 @@ def gradient_normals(cells: DataFrame, weights: tuple[float, ...] = (1.0, 0.5, 0
     return bands_long(field.withColumns(packed), 4)
 
 
-def normal_map(height: DataFrame, kind: str = "4_sample", scale: float = 4.266, min_z: float = 0.0, invert_height: bool = False, invert_x: bool = False, invert_y: bool = False, directx: bool = False, wrap: bool = True) -> DataFrame:
-    """Tangent-space normals of a height field (0 to 1) as whole 16-bit samples, bands z, y, x."""
+def normal_map(height: DataFrame, kind: str = "4_sample", scale: float = 4.266, min_z: float = 0.0, invert_height: bool = False, invert_x: bool = False, invert_y: bool = False, directx: bool = False, wrap: bool = True, alpha: DataFrame | None = None) -> DataFrame:
+    """Tangent-space normals of a height field (0 to 1) as whole 16-bit samples, bands z, y, x, and alpha (0 to 1) as a fourth."""
     v = 1 - F.col("v") if invert_height else F.col("v")
     field = slopes(sized(height.withColumn("v", clip(v, 0, 1))), kind, wrap)
     scale = min(8.0, max(0.1, scale))
@@ -150,7 +150,8 @@ def normal_map(height: DataFrame, kind: str = "4_sample", scale: float = 4.266,
         steep = F.col("nz") < least
         pull = math.sqrt(max(0.0, 1 - least * least)) / F.greatest(F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny")), F.lit(1e-8))
         field = field.withColumns({n: F.when(steep, F.col(n) * pull).otherwise(F.col(n)) for n in ("nx", "ny")} | {"nz": F.when(steep, least).otherwise(F.col("nz"))})
-    return bands_long(field.withColumns({f"b{i}": color.to_u16(F.col(n) * 0.5 + 0.5 + 1e-9) for i, n in enumerate(("nz", "ny", "nx"))}), 3)
+    out = bands_long(field.withColumns({f"b{i}": color.to_u16(F.col(n) * 0.5 + 0.5 + 1e-9) for i, n in enumerate(("nz", "ny", "nx"))}), 3)
+    return out if alpha is None else out.unionByName(sized(alpha.withColumns({"band": F.lit(3), "v": color.to_u16(F.col("v"))})))
 
 
 def displacement_map(height: DataFrame, depth: float = 0.5, smooth: float = 0.1, invert: bool = False, contrast: str = "balanced") -> DataFrame:

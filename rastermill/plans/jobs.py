@@ -59,19 +59,22 @@ def seamless(cells: DataFrame, jobs: DataFrame, light: dict | None = None, limit
     return out.withColumn("raster_id", F.col("raster_id.raster_id")).select(*COLUMNS)
 
 
-def pbr_maps(gray: DataFrame, depth: float = 0.5, smooth: float = 0.1, rough: float = 0.5, scale: float = 4.266, kind: str = "4_sample", ao: float = 0.5, spread: float = 0.3, threshold: float = 1.0, softness: float = 0.0) -> DataFrame:
+def pbr_maps(gray: DataFrame, depth: float = 0.5, smooth: float = 0.1, rough: float = 0.5, scale: float = 4.266, kind: str = "4_sample", ao: float = 0.5, spread: float = 0.3, threshold: float = 1.0, softness: float = 0.0, alpha: DataFrame | None = None) -> DataFrame:
     """Rows (map, cells) of Normal (whole 16-bit) and Displacement, Roughness, AO and Opacity (whole 8-bit, three bands) of heights from 0 to 1.
 
-    Branches share the height field and the displacement, which are saved for them.
+    alpha (0 to 1), if given, becomes the fourth band of every map. Branches share the height field and the displacement, which are saved for them.
     """
     gray = saved(sized(gray))
     height = saved(stencil.displacement_map(gray, depth, smooth))
+    alpha = saved(sized(alpha)) if alpha is not None else None
     normal = stencil.normal_map(gray, kind, scale)
     shade = stencil.ao_map(height, normal, radius=round(4 + spread * 28), strength=ao)
     scalar = {"Displacement": height, "Roughness": tone.point(gray, lambda v: color.roughness(v, rough)), "AO": shade, "Opacity": tone.point(gray, lambda v: color.opacity(v, threshold, softness))}
+    if alpha is not None:
+        normal = normal.unionByName(sized(alpha.withColumns({"band": F.lit(3), "v": color.to_u16(F.col("v"))})))
     out = normal.withColumn("map", F.lit("Normal"))
     for name, cells in scalar.items():
-        whole = tone.gray_to_bgr_u8(tone.point(cells, lambda v: v + 1e-9))
+        whole = tone.gray_to_bgr_u8(tone.point(cells, lambda v: v + 1e-9), alpha)
         out = out.unionByName(whole.withColumn("map", F.lit(name)))
     return out
 

@@ -118,6 +118,18 @@ def test_flat_normals(spark):
     assert (out[:, :, 0] == 65535).all() and (out[:, :, 1:] == 32767).all()
 
 
+def test_alpha_stays(spark):
+    height, alpha = cells_of(spark, np.full((8, 8), 0.5)), cells_of(spark, np.full((8, 8), 0.25))
+    assert (image_of(stencil.normal_map(height, alpha=alpha))[:, :, 3] == 16383).all()
+    maps = jobs.pbr_maps(height, smooth=0, alpha=alpha)
+    assert {(r.map, r.v) for r in maps.where("band = 3").select("map", "v").distinct().collect()} == {("Normal", 16383.0), *[(m, 63.0) for m in ("Displacement", "Roughness", "AO", "Opacity")]}
+
+
+def test_pyramid_ends_at_one_cell(spark, noise):
+    out = pyramid.mipmaps(cells_of(spark, np.floor(noise[:9, :20])), "Roughness").groupBy("level").agg(F.max("h").alias("h"), F.max("w").alias("w")).collect()
+    assert sorted((r.level, r.h, r.w) for r in out) == [(0, 9, 20), (1, 4, 10), (2, 2, 5), (3, 1, 2), (4, 1, 1)]
+
+
 def test_lit_column_wraps(spark):
     image = np.zeros((6, 6))
     image[:, 0] = 1
