@@ -17,25 +17,21 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Rows (node, label) for every node that has a link; label: the smallest node that can be reached.
 
     edges: columns a and b of one ordered type; loops, repeats and nulls are ignored. Each round joins every link with
     the smallest neighbour of one end (partial aggregates, so that a hub's links are never gathered in one group) and
-    writes the contracted links to the checkpoint folder. Raises if ``rounds`` don't suffice (they grow with log of the length).
+    writes the contracted links to the checkpoint folder; rounds grow with the logarithm of the longest path.
     """
     edges = saved(edges.select("a", "b").where("a <> b").distinct())
     # bit sums of what is there: equal before and after a round only once every link leads to its smallest node
     state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = state(edges)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         edges = saved(_stars(_stars(edges, True), False))
         after = state(edges)
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
