@@ -41,6 +41,16 @@ def test_rows(spark, sf, name):
     assert len(rows) and np.isfinite(rows["v"]).all()
 
 
+def test_entry_without_corpus_parts(monkeypatch):
+    """The rest loads where the subpackage, or a package that it needs, is absent."""
+
+    def absent(name):
+        raise ImportError(name)
+
+    monkeypatch.setattr(entry, "import_module", absent)
+    assert entry.queries().keys() == catalog.queries().keys() and entry.oracle_sql() == catalog.oracle_sql()
+
+
 def test_entry(spark):
     found = entry.entry(spark).toPandas()
     assert (found.error_after == 0).all() and (found.error_before > 0).all()
