@@ -83,22 +83,27 @@ def _lengths(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(counts.sum(1), 1)).astype(np.int64), CLASSES - 1)
 
 
-def limits(langs: list[str], rows: np.ndarray, low: np.ndarray, slack: float, enough: int = 20) -> np.ndarray:
+def limits(langs: list[str], rows: np.ndarray, low: np.ndarray, slack: float, enough: int = 20, shorter: tuple[float, float] = (0.9, 0.6), least: float = 0.08) -> np.ndarray:
     """(languages, CLASSES) smallest accepted cosines, from the numbers of training rows and their low cosines.
 
     ``slack`` times the low cosine of the language's rows of that length, or of all languages' where it has fewer than
-    ``enough``. Where none has, the next longer class decides, less a fifth, as shorter texts lie further off; so does it
-    for any class that would be stricter than a longer one.
+    ``enough``; never stricter than for a longer class. A class of which all together have fewer takes ``shorter`` of the
+    next longer one's (the second number below 64 n-grams), down to ``least``, as shorter texts lie further off and tell
+    less; the longest take the most lenient. Without any class of enough rows nothing is rejected by its cosine.
     """
-    pooled = np.array([low[rows[:, c] > 0, c].min() if (rows[:, c] > 0).any() else np.nan for c in range(CLASSES)])
-    own = np.where(rows >= enough, low, pooled)
+    _, one = np.unique(langs, return_index=True)
+    told = rows[one].sum(0) >= enough
+    pooled = np.array([low[rows[:, c] > 0, c].min() if told[c] else np.nan for c in range(CLASSES)])
     out = np.zeros((len(langs), CLASSES), np.float32)
+    if not told.any():
+        return out
+    last = np.flatnonzero(told)[-1]
     for i in range(len(langs)):
-        above = np.inf
-        for c in range(CLASSES)[::-1]:
-            told = own[i, c] if not np.isnan(own[i, c]) else 0.8 * above
-            above = min(above, told) if not np.isinf(told) else above
-            out[i, c] = slack * above if not np.isinf(above) else 0.0
+        now = np.inf
+        for c in range(last, -1, -1):
+            now = min(now, slack * (low[i, c] if rows[i, c] >= enough else pooled[c])) if told[c] else max(least, shorter[c < 6] * now)
+            out[i, c] = now
+        out[i, last + 1 :] = out[i, told.nonzero()[0]].min()
     return out
 
 
@@ -120,7 +125,7 @@ def _cluster(x: np.ndarray, clusters: int, rounds: int = 12) -> tuple[np.ndarray
     return centre, (x @ centre.T).argmax(1)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = 4, sample: int = 600, max_langs: int = 300, slack: float = 0.75) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = 4, sample: int = 600, max_langs: int = 300, slack: float = 0.8) -> Model:
     """Learn from the rows of docs that have text and language.
 
     Document frequencies cover every row. ``sample`` bounds the rows of a language that the centroids are fitted on (in
