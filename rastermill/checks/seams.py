@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..fixtures import embedding_cells, lineitem_cells, lineitem_lines
-from ..layout import rounded
+from ..layout import rounded, saved
 from ..operators import geometry, masks, quality, scanlines, seams
 
 
@@ -210,9 +210,9 @@ tiled AS (SELECT raster_id, h, w, band, (y + 32) % 64 AS y, (x + 32) % 64 AS x,
 SELECT raster_id, {q4('a.seam_error')} AS error_before, {q4('b.seam_error')} AS error_after FROM {_error('cells')} a JOIN {_error('tiled')} b USING (raster_id)""", source="cells64", cells=False)
 def offset_crossfade_job(spark, sf):
     """Seam error of every 64 by 64 raster before and after the offset crossfade."""
-    lines = lineitem_lines(spark, sf, 64)
+    lines = saved(lineitem_lines(spark, sf, 64))
     before = scanlines.seam_error(lines).select("raster_id", rounded("seam_error").alias("error_before"))
-    after = scanlines.seam_error(scanlines.crossfade(lines, border=True)).select("raster_id", rounded("seam_error").alias("error_after"))
+    after = scanlines.seam_error(saved(scanlines.crossfade(lines, border=True))).select("raster_id", rounded("seam_error").alias("error_after"))
     return before.join(after, "raster_id")
 
 

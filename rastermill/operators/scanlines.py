@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..layout import saved
 from . import masks
 
 LINE = ["raster_id", "h", "w", "band", "y", "data"]
@@ -49,7 +50,7 @@ def _mixed(lines: DataFrame, mate: Callable, weight: Callable) -> DataFrame:
     y, h = F.col("y"), F.col("h")
     other = mate(y, h)
     meets = ((weight(y, h) > 0) | (weight(other, h) > 0)) & (other >= 0) & (other < h) & (other != y)
-    lines = lines.withColumn("__pair", F.when(meets, F.least(y, other)).cast("int"))
+    lines = saved(lines.select(*LINE, F.when(meets, F.least(y, other)).cast("int").alias("__pair")))
     met = lines.where("__pair is not null").groupBy("raster_id", "h", "w", "band", "__pair").agg(F.array_sort(F.collect_list(F.struct("y", "data"))).alias("both"))
     mix = lambda s, i: F.struct(s["y"].alias("y"), F.zip_with(s["data"], F.coalesce(F.get("both", 1 - i)["data"], s["data"]), lambda a, b: a * (1 - weight(s["y"], h)) + b * weight(s["y"], h)).alias("data"))
     done = met.select("raster_id", "h", "w", "band", F.inline(F.transform("both", mix)))
@@ -93,7 +94,7 @@ def overlap(lines: DataFrame, x: float | Column, y: float | Column, falloff: flo
     cut = F.slice(F.transform("data", lambda v, i: F.when(i < n, laid(v, i)).otherwise(v)), F.lit(1), w - n)
     lines = lines.withColumns({"data": cut, "__h": F.col("h"), "__w": F.col("w")}).withColumn("w", w - n)
     m, h = F.floor(F.col("h") * y).cast("int"), F.col("h")
-    lines = lines.withColumn("__pair", F.when(F.col("y") < m, F.col("y")).when(F.col("y") >= h - m, F.col("y") - h + m))
+    lines = saved(lines.withColumn("__pair", F.when(F.col("y") < m, F.col("y")).when(F.col("y") >= h - m, F.col("y") - h + m)))
     keys = ["raster_id", "__h", "__w", "h", "w", "band"]
     met = lines.where("__pair is not null").groupBy(*keys, "__pair").agg(F.array_sort(F.collect_list(F.struct("y", "data"))).alias("both"))
     t = masks.seam_fade(F.col("__pair"), m, falloff)
