@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, langid, lines, mixing, neighbours, sharding, simhash, substrings, urls
+from . import codes, decontaminate, html, langid, lines, merkle, mixing, neighbours, secrets, sharding, simhash, substrings, urls
 from ._spark import table
 
 
@@ -65,9 +65,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.md5(F.col("kept").cast("binary")).alias("kept_md5"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers, digest and places of secrets in every document."""
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof and check against tampering of every document."""
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of eight parts of every vector after six rounds, with errors and the codebooks' digest."""
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_main_text, op2_language_id, op3_weighted_fair_mix, op4_substring_dedup, op5_decontaminate, op6_url_filter, op7_nearest_neighbours, op8_bin_packing, op9_simhash_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_html_main_text, op2_language_id, op3_weighted_fair_mix, op4_substring_dedup, op5_decontaminate, op6_url_filter, op7_nearest_neighbours, op8_bin_packing, op9_simhash_dedup, op10_line_dedup, op11_secret_scan, op12_merkle_manifest, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_weighted_fair_mix": mixing.ORACLE_SQL, "op10_line_dedup": lines.ORACLE_SQL}
+    return {"op3_weighted_fair_mix": mixing.ORACLE_SQL, "op10_line_dedup": lines.ORACLE_SQL, "op11_secret_scan": secrets.ORACLE_SQL, "op12_merkle_manifest": merkle.ORACLE_SQL, "op13_vector_codes": codes.ORACLE_SQL}
