@@ -24,6 +24,8 @@ from ._spark import saved
 ARITY, HEIGHT = 8, 4
 #: Bytes of a digest.
 WIDTH = 32
+#: Rows up to which a table of blocks or counts is one partition, or sent to all tasks; larger ones are shuffled.
+FEW = 1 << 14
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -111,12 +113,20 @@ def leaf(fields: list[str | Column]) -> Column:
     return F.sha2(F.concat(*[encoded(f) for f in fields]).cast("binary"), 256)
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """rows of a written table, in one partition where they are few, so that grouping them needs no exchange."""
+    return rows.coalesce(1) if rows.count() <= FEW else rows
+
+
 def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows with ``rank`` (from 0) in their ``tree`` by order, and ``total``, the tree's number of rows.
+    """rows of a written table with ``rank`` (from 0) in their ``tree`` by order, and ``total``, the tree's number of rows.
 
     Rows are range-sorted, and rows equal in all of ``order`` by where they were read, so that one value can fill several
     tasks; a rank is a row's place in its partition and the counts of the partitions before it.
     """
+    if rows.count() <= FEW:
+        tree = Window.partitionBy("tree")
+        return rows.coalesce(1).withColumn("rank", (F.row_number().over(tree.orderBy(*order)) - 1).cast("long")).withColumn("total", F.count("*").over(tree))
     rows = rows.withColumn("__read", F.monotonically_increasing_id())
     by = ["tree", *order, "__read"]
     rows = saved(rows.repartitionByRange(*by).sortWithinPartitions(*by).drop("__read").withColumn("__place", F.monotonically_increasing_id()))
@@ -125,7 +135,8 @@ def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
     tree = Window.partitionBy("tree")
     before = F.coalesce(F.sum("__n").over(tree.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = saved(counts.select("tree", "__part", (before - F.col("__first")).alias("__shift"), F.sum("__n").over(tree).alias("total")))
-    return rows.join(counts, ["tree", "__part"]).withColumn("rank", F.col("__place") + F.col("__shift")).drop("__place", "__part", "__shift")
+    few = counts.count() <= FEW
+    return rows.join(F.broadcast(counts) if few else counts, ["tree", "__part"]).withColumn("rank", F.col("__place") + F.col("__shift")).drop("__place", "__part", "__shift")
 
 
 def _make(table: pa.Table) -> pa.Table:
@@ -155,7 +166,7 @@ def build(leaves: DataFrame) -> list[DataFrame]:
         stages.append(saved(nodes.groupBy("tree", "block").applyInArrow(_make, _BLOCK)))
         if stages[-1].where("total > 1").isEmpty():
             return stages
-        leaves = stages[-1].where("total > 1").select("tree", F.col("block").alias("rank"), "total", F.substring("nodes", 1, WIDTH).alias("digest"))
+        leaves = _packed(stages[-1].where("total > 1")).select("tree", F.col("block").alias("rank"), "total", F.substring("nodes", 1, WIDTH).alias("digest"))
 
 
 def roots(stages: list[DataFrame]) -> DataFrame:
@@ -184,15 +195,17 @@ def paths(blocks: DataFrame, above: DataFrame) -> DataFrame:
             found += [(row["tree"], start + i, a + left, b + right) for i, (a, b) in enumerate(Block(row["nodes"], row["leaves"], row["height"]).siblings())]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.int64(), pa.string(), pa.string()))], ["tree", "rank", "left", "right"])
 
-    up = above.select(F.col("tree").alias("__tree"), F.col("rank").alias("__block"), "left", "right").groupBy("__tree", "__block")
-    return blocks.groupBy("tree", "block").cogroup(up).applyInArrow(each, _PATHS)
+    above = above.select(F.col("tree").alias("__tree"), F.col("rank").alias("__block"), "left", "right")
+    if blocks.count() <= FEW:
+        blocks, above = blocks.coalesce(1), above.coalesce(1)  # above has a row for each block
+    return blocks.groupBy("tree", "block").cogroup(above.groupBy("__tree", "__block")).applyInArrow(each, _PATHS)
 
 
 def block_paths(stages: list[DataFrame], top: DataFrame) -> DataFrame:
     """Rows (tree, rank, left, right) for the roots of the lowest blocks; top: the same for the trees' roots (rank 0)."""
     above = None
     for at in range(len(stages) - 1, -1, -1):
-        own = stages[at].where("total = 1").select("tree").join(top, "tree")
+        own = top.join(F.broadcast(done) if (done := stages[at].where("total = 1").select("tree")).count() <= FEW else done, "tree", "left_semi")
         above = own if above is None else own.unionByName(paths(stages[at + 1], above))
     return above
 
@@ -209,8 +222,7 @@ def manifest(docs: DataFrame, fields: list[str], partition: str, order: str) ->
                             F.unhex(leaf(fields)).alias("digest"), F.when(hit & text.rlike("[A-Z]"), F.unhex(leaf(forged))).alias("forged")))
     leaves = saved(ranked(own, ["id", "digest"]))
     stages = build(leaves)
-    tops = ranked(roots(stages).select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("root").alias("digest")), ["name"])
-    tops = saved(tops)
+    tops = saved(ranked(roots(stages).select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("root").alias("digest")), ["name"]))
     return leaves, stages, [tops, *build(tops)]
 
 
@@ -228,10 +240,13 @@ def verify(docs: DataFrame, fields: list[str] | None = None, partition: str = "l
     root = roots(top).select(F.col("root").alias("__root"))
     # siblings of the subroots; a single tree has none
     highest = block_paths(top, roots(top).select("tree", F.lit(0).cast("long").alias("rank"), F.lit("").alias("left"), F.lit("").alias("right")))
-    highest = paths(top[0], highest).join(tops.select("rank", "name", F.col("digest").alias("subroot")), "rank")
+    named = tops.select("rank", "name", F.col("digest").alias("subroot"))
+    few = tops.count() <= FEW
+    highest = paths(top[0], highest).join(F.broadcast(named) if few else named, "rank")
     highest = saved(highest.crossJoin(root).select(F.col("name").alias("tree"), F.lit(0).cast("long").alias("rank"), "left", "right", "subroot", "__root"))  # one row: the root
-    above = block_paths(stages, highest.select("tree", "rank", "left", "right")).join(highest.select("tree", "subroot", "__root"), "tree")
-    blocks = saved(stages[0].join(above.withColumnRenamed("rank", "block"), ["tree", "block"]).withColumnsRenamed({"tree": "__tree", "block": "__block"}))
+    known = highest.select("tree", "subroot", "__root")
+    above = block_paths(stages, highest.select("tree", "rank", "left", "right")).join(F.broadcast(known) if few else known, "tree").withColumnRenamed("rank", "block")
+    blocks = stages[0].join(F.broadcast(above) if stages[0].count() <= FEW else above, ["tree", "block"]).withColumnsRenamed({"tree": "__tree", "block": "__block"})
 
     def check(own: pa.Table, block: pa.Table) -> pa.Table:
         row = block.select(["nodes", "leaves", "height", "left", "right", "subroot", "__root"]).to_pylist()[0]
