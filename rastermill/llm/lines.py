@@ -51,7 +51,8 @@ def repeated_runs(rows: DataFrame, run: int) -> DataFrame:
     level = saved(prefix_names(rows, run).select("id", "no", F.posexplode("names").alias("at", "name")).select(*PLACE, "name.a", "name.b"))
     place, length, prefixes = F.struct(*PLACE), run, []
     while True:
-        interval = level.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last")
+        # written, so that the join is a plain one of which Spark can split a frequent run's side
+        interval = saved(level.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last"))
         met = level.join(interval, ["a", "b"]).withColumn("later", place > F.col("first"))
         if length == run:  # equal rows of one id have the same places
             met = met.groupBy(*PLACE).agg(F.min("a").alias("a"), F.min("b").alias("b"), F.max("later").alias("later"))
@@ -87,9 +88,9 @@ def deduplicate(docs: DataFrame, run: int = 2, id_col: str = "doc_id", text_col:
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("no", F.xxhash64("text"))
     found = repeated_runs(rows.where("text is not null").select("id", "no", F.split("text", "\n", -1).alias("lines")), run)
-    key = F.coalesce(F.col("id").cast("string"), F.lit("null"))
-    gone = found.withColumn("key", key).groupBy("key", "no").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
-    split = rows.withColumn("key", key).join(gone, ["key", "no"], "left").withColumn("lines", F.split("text", "\n", -1))
+    gone = found.groupBy("id", "no").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
+    gone = gone.select(F.col("id").alias("__id"), F.col("no").alias("__no"), "runs")
+    split = rows.join(gone, F.col("id").eqNullSafe(F.col("__id")) & (F.col("no") == F.col("__no")), "left").withColumn("lines", F.split("text", "\n", -1))
     # the lines before, between and after the runs stay
     kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("runs")), lambda i: F.slice(
         "lines", F.coalesce(F.get("runs", i - 1)["end"], F.lit(0)) + 1,
