@@ -11,7 +11,8 @@ from ._spark import saved
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     links = edges.unionByName(turned) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = links.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    # written, so that the join is a plain one of which Spark can split a hub's side
+    least = saved(links.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     met = links.join(least, "a")
     out = met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")) if large else met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     return out.where("a <> b").distinct()

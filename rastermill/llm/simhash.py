@@ -5,8 +5,8 @@ differ in at most ``radius`` bits agree on at least ``pick`` whole blocks. Each
 distinct fingerprints into shards of equal block values; a shard's BK-tree is searched with the shard's own
 fingerprints. ``pick`` grows with the number of fingerprints (1 to 4) so that shards stay small; the links are the same.
 
-For a similarity instead of a radius, fingerprints have 256 bits; a radius that wide has no whole blocks in common, so
-shards are of equal sampled bits, in as many samples as the recall asks for. What such links join is then verified by the
+For a similarity instead of a radius, fingerprints are of distinct shingles and have 128 bits; a radius that wide has no
+whole blocks in common, so shards are of texts whose smallest hashes agree in a band. Candidates are verified by the
 shingle sets themselves, so that no two texts below the similarity are linked.
 """
 
@@ -30,46 +30,35 @@ from .graph import components
 SHARD = 4096
 
 
-def fingerprint(raw: bytes, size: int = 4, parts: int = 1) -> np.ndarray:
-    """SimHash of one text as 64-bit words: A-Z lower-cased, shingles of ``size`` words with repeats, XXH64 with seed 42.
-
-    Words after the first are of bijections of the same hashes.
-    """
+def fingerprint(raw: bytes, size: int = 4) -> np.uint64:
+    """SimHash of one text: A-Z lower-cased, shingles of ``size`` words with repeats, XXH64 with seed 42."""
     text = b" ".join(raw.lower().split())
     if not text:
-        return np.zeros(parts, np.uint64)
+        return np.uint64(0)
     gaps = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
     starts, ends = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(text)]
     k, digest = min(size, len(starts)), xxhash.xxh64_intdigest
     hashes = np.array([digest(text[a:b], 42) for a, b in zip(starts, ends[k - 1 :])], "<u8")
-    out = np.zeros(parts, np.uint64)
-    for part in range(parts):
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), 1 << 16):
-            some = hashes[at : at + (1 << 16)]
-            some = some if not part else mix(some + np.uint64(part))
-            ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[part] = np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
-    return out
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        some = hashes[at : at + (1 << 16)]
+        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
 
 
-def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text", parts: int = 1) -> DataFrame:
-    """Rows (doc_id, fingerprint as long), one for each row of docs; null, empty or blank texts have fingerprint 0.
-
-    More parts: columns fingerprint, fingerprint1, fingerprint2, ...
-    """
-    names = ["fingerprint", *[f"fingerprint{i}" for i in range(1, parts)]]
+def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, fingerprint as long), one for each row of docs; null, empty or blank texts have fingerprint 0."""
 
     def run(batches):
         for batch in pieces(batches, "text"):
             data, off = packed(batch.column("text"))
             raw = data.tobytes()
-            out = np.array([fingerprint(raw[a:b], size, parts) for a, b in zip(off.tolist(), off[1:].tolist())], np.uint64).reshape(-1, parts).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(np.ascontiguousarray(c)) for c in out.T]], ["id", *names])
+            out = np.array([fingerprint(raw[a:b], size) for a, b in zip(off.tolist(), off[1:].tolist())], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out.view(np.int64))], ["id", "fingerprint"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(rows.dtypes)["id"]
-    return rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names)).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, fingerprint long").withColumnRenamed("id", id_col)
 
 
 class BkForest:
@@ -130,15 +119,8 @@ def _forest_links(prints: np.ndarray, group: np.ndarray, radius: int) -> tuple[n
     return own, label[own]
 
 
-def _search(radius: int, node: str, names: list[str]):
-    """Links (a, b), values of column ``node``, within groups of rows that come sorted; names: words of the fingerprint."""
-    keys = ["combo", "part", "i", "j"]
-
-    def links(rows: pd.DataFrame) -> pd.DataFrame:
-        number = (rows[keys].ne(rows[keys].shift())).any(axis=1).cumsum().to_numpy()
-        a, b = _forest_links(rows[names].to_numpy().view(np.uint64), number, radius)
-        value = rows[node].to_numpy()
-        return pd.DataFrame({"a": value[a], "b": value[b]})
+def _by_cells(keys: list[str], links):
+    """Applies links to frames that hold whole groups of keys, from rows that come sorted by them."""
 
     def run(frames):
         rest = None
@@ -147,7 +129,7 @@ def _search(radius: int, node: str, names: list[str]):
             last = (rows[keys] == rows[keys].iloc[-1]).all(axis=1).to_numpy()
             cut = int(len(rows) - last[::-1].argmin()) if not last.all() else 0
             if cut:
-                yield links(rows.iloc[:cut])
+                yield links(rows.iloc[:cut].reset_index(drop=True))
             rest = rows.iloc[cut:].reset_index(drop=True)
         if rest is not None and len(rest):
             yield links(rest)
@@ -155,14 +137,26 @@ def _search(radius: int, node: str, names: list[str]):
     return run
 
 
-def _joined(dealt: DataFrame, radius: int, node: str, names: list[str], shard: int) -> DataFrame:
+def _search(radius: int):
+    """Links (a, b) of fingerprints within groups of rows that come sorted."""
+    keys = ["combo", "part", "i", "j"]
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        number = (rows[keys].ne(rows[keys].shift())).any(axis=1).cumsum().to_numpy()
+        value = rows["fingerprint"].to_numpy()
+        a, b = _forest_links(value.view(np.uint64)[:, None], number, radius)
+        return pd.DataFrame({"a": value[a], "b": value[b]})
+
+    return _by_cells(keys, links)
+
+
+def _joined(dealt: DataFrame, radius: int, shard: int) -> DataFrame:
     """Links within the shards (combo, part) of dealt; shards of more than ``shard`` rows are cut, and each pair of cuts is searched."""
     sizes = dealt.groupBy("combo", "part").count().where("count > 1").select("combo", "part", F.ceil(F.col("count") / shard).cast("int").alias("cuts"))
-    cut = dealt.join(sizes, ["combo", "part"]).withColumn("own", F.pmod(F.xxhash64(node), F.col("cuts")).cast("int"))
-    kept = list(dict.fromkeys([node, *names]))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select(*kept, "combo", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    cut = dealt.join(sizes, ["combo", "part"]).withColumn("own", F.pmod(F.xxhash64("fingerprint"), F.col("cuts")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select("fingerprint", "combo", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     cut = cut.repartition(shuffles(dealt.sparkSession), "combo", "part", "i", "j").sortWithinPartitions("combo", "part", "i", "j")
-    return cut.mapInPandas(_search(radius, node, names), "a long, b long")
+    return cut.mapInPandas(_search(radius), "a long, b long")
 
 
 def links(nodes: DataFrame, radius: int = 4, shard: int = SHARD) -> DataFrame:
@@ -174,7 +168,7 @@ def links(nodes: DataFrame, radius: int = 4, shard: int = SHARD) -> DataFrame:
     masks = [sum((1 << edges[x + 1]) - (1 << edges[x]) for x in chosen) for chosen in combinations(range(blocks), pick)]
     signed = lambda x: x - 2**64 if x >= 2**63 else x
     parts = F.explode(F.array(*[F.struct(F.lit(c).alias("combo"), F.col("fingerprint").bitwiseAND(F.lit(signed(m))).alias("part")) for c, m in enumerate(masks)]))
-    return _joined(nodes.select("fingerprint", parts.alias("x")).select("fingerprint", "x.*"), radius, "fingerprint", ["fingerprint"], shard)
+    return _joined(nodes.select("fingerprint", parts.alias("x")).select("fingerprint", "x.*"), radius, shard)
 
 
 def differing(similarity: float) -> float:
@@ -190,99 +184,198 @@ def _classes(nodes: DataFrame, node: str, joined: DataFrame) -> DataFrame:
     return labels.join(least, "label").select(node, "component_id")
 
 
+def _sets(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the distinct shingles of all rows on end, ascending in each, and where each row starts (one more entry).
+
+    A text of fewer words than a shingle is one shingle.
+    """
+    data, off = packed(batch.column("text"))
+    data = LOWER[data]
+    starts, ends, first = words(data, off)
+    hashes = word_hashes(data, starts, ends)
+    row, start = gram_rows(first, size)
+    grams = gram_hashes(hashes, size)[start] if len(start) else np.zeros(0, np.uint64)
+    short = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < size)).tolist()
+    row = np.r_[row, np.array(short, np.int64)]
+    grams = np.r_[grams, np.array([gram_hashes(hashes[first[i] : first[i + 1]], int(first[i + 1] - first[i]))[0] for i in short], np.uint64)]
+    both = np.unique((row.astype(np.uint64) << np.uint64(32)) | (grams >> np.uint64(32)))
+    return both & np.uint64(0xFFFFFFFF), np.searchsorted(both, np.arange(batch.num_rows + 1, dtype=np.uint64) << np.uint64(32))
+
+
 def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
     """rows with ``text`` replaced by ``shingles``, an ordered array of the 32-bit hashes of its distinct shingles."""
     names = [c for c in rows.columns if c != "text"]
 
     def run(batches):
         for batch in pieces(batches, "text"):
-            data, off = packed(batch.column("text"))
-            data = LOWER[data]
-            starts, ends, first = words(data, off)
-            hashes = word_hashes(data, starts, ends)
-            row, start = gram_rows(first, size)
-            grams = gram_hashes(hashes, size)[start] if len(start) else np.zeros(0, np.uint64)
-            short = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < size)).tolist()
-            row = np.r_[row, np.array(short, np.int64)]
-            grams = np.r_[grams, np.array([gram_hashes(hashes[first[i] : first[i + 1]], int(first[i + 1] - first[i]))[0] for i in short], np.uint64)]
-            both = np.unique((row.astype(np.uint64) << np.uint64(32)) | (grams >> np.uint64(32)))
-            offsets = np.searchsorted(both, np.arange(batch.num_rows + 1, dtype=np.uint64) << np.uint64(32))
-            values = pa.array((both & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+            hashes, offsets = _sets(batch, size)
+            values = pa.array(hashes.astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], [*names, "shingles"])
 
     kinds = dict(rows.dtypes)
     return rows.mapInArrow(run, "".join(f"{n} {kinds[n]}, " for n in names) + "shingles array<int>")
 
 
-#: Bytes of leaders' shingle sets up to which a round sends them to all tasks; beyond, both sides are shuffled by group.
-LEADERS = 32 << 20
+#: Bands of so many smallest hashes each: texts of similarity 0.8 meet in one with probability 0.985.
+BANDS, WIDTH = 8, 4
 
 
-def _verified(candidates: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Links (a, b) of nodes whose shingle sets have the similarity, from rows (node, least, label) of candidate groups.
+def signatures(keyed: DataFrame, size: int) -> DataFrame:
+    """Rows (key, node, n, fingerprint, fingerprint1, bands) of rows (key, text).
 
-    texts: (node, text). In each group the smallest node leads, and all others are compared with it; nodes that are like
-    no leader so far give the next leaders, up to twice as many each round. So every node ends up linked with a leader or
-    as one, and comparisons stay far below all pairs where groups hold what they should. Leaders are picked by partial
-    aggregates, and sets stay where they are while those of a round's leaders are small.
+    node: a 64-bit hash of the set of distinct shingles, n their number; fingerprints: SimHash of the set in 128 bits; bands:
+    ``BANDS`` hashes, of which two texts share each with probability similarity ** WIDTH. A text without words has n 0.
     """
-    sets = saved(shingle_sets(candidates.join(texts, "node").select("node", "label", "text"), size))
-    open_, found, count = candidates, [], 1
-    while not open_.isEmpty():
-        place = F.pmod(F.xxhash64("node", F.lit(count)), F.lit(count)).alias("place")
-        first = open_.groupBy("label", place).agg(F.min(F.struct("least", "node")).alias("first")).select("label", F.col("first.node").alias("leader"))
-        leaders = saved(first.join(sets.select(F.col("node").alias("leader"), F.col("shingles").alias("theirs")), "leader"))
-        small = (leaders.agg(F.sum(4 * F.size("theirs") + 64)).first()[0] or 0) <= LEADERS
-        both = sets.join(F.broadcast(leaders) if small else leaders, "label").where("node <> leader")
-        # sizes alone rule out most unlike ones before the sets are met
-        low, high = F.least(F.size("shingles"), F.size("theirs")), F.greatest(F.size("shingles"), F.size("theirs"))
-        common = F.size(F.array_intersect("shingles", "theirs"))
-        near = both.where(low >= similarity * high).where(common >= similarity * (low + high - common)).select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        found.append(saved(near))
-        settled = found[-1].select(F.col("b").alias("node")).unionByName(leaders.select(F.col("leader").alias("node"))).distinct()
-        open_ = saved(open_.join(settled, "node", "left_anti"))
-        count *= 2
-    out = found[0] if found else candidates.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float = 0.9, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
+    draw = np.random.default_rng(9)
+    turns = draw.integers(1, 2**63, (BANDS, WIDTH), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(batches):
+        for batch in pieces(batches, "text"):
+            hashes, offsets = _sets(batch, size)
+            n, rows = np.diff(offsets), batch.num_rows
+            some = np.flatnonzero(n)
+            out, bands = np.zeros((3, rows), np.uint64), np.zeros((rows, BANDS), np.uint64)
+            if len(some):
+                starts, x = offsets[some], mix(hashes)
+                out[0, some] = mix(np.add.reduceat(mix(x ^ np.uint64(0x5EED)), starts) + n[some].astype(np.uint64))
+                for w, value in enumerate((x, mix(x + np.uint64(1)))):
+                    ones = np.add.reduceat(np.unpackbits(value.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), starts, axis=0, dtype=np.int32)
+                    out[1 + w, some] = np.packbits(2 * ones > n[some][:, None], axis=1, bitorder="little").view("<u8").ravel()
+                for b in range(BANDS):
+                    band = np.full(len(some), b, np.uint64)
+                    for turn in turns[b]:
+                        band = mix(band ^ np.minimum.reduceat(x * turn, starts))
+                    bands[some, b] = band
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * BANDS, pa.int32()), pa.array(bands.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out[0].view(np.int64)), pa.array(n.astype(np.int32)), *[pa.array(o.view(np.int64)) for o in out[1:]], lists], ["key", "node", "n", *PRINT, "bands"])
+
+    return keyed.mapInArrow(run, f"key {dict(keyed.dtypes)['key']}, node long, n int, fingerprint long, fingerprint1 long, bands array<long>")
+
+
+PRINT = ["fingerprint", "fingerprint1"]
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) of nodes whose sets, rows (node, shingles), have the similarity."""
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("__one")), "a")
+    both = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("__two")), "b")
+    common = F.size(F.array_intersect("__one", "__two"))
+    return both.where(common >= similarity * (F.size("__one") + F.size("__two") - common)).select("a", "b")
+
+
+def _apart(radius: int, similarity: float):
+    """Pairs (a, b) of nodes within the radius whose labels differ, in cells (part, u, s) of rows that come sorted.
+
+    Rows with ``asked`` are looked up in the BK-tree of their cell; sizes that rule the similarity out are left out.
+    """
+    keys = ["part", "u", "s"]
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        cell = (rows[keys].ne(rows[keys].shift())).any(axis=1).cumsum().to_numpy()
+        asked, node, label, n = (rows[c].to_numpy() for c in ("asked", "node", "label", "n"))
+        prints = rows[PRINT].to_numpy().view(np.uint64)
+        # equal fingerprints of a cell are one node of its tree
+        order = np.lexsort((prints[:, 1], prints[:, 0], cell))
+        new = np.r_[True, (cell[order][1:] != cell[order][:-1]) | (prints[order][1:] != prints[order][:-1]).any(1)]
+        place = np.empty(len(rows), np.int64)
+        place[order] = np.cumsum(new) - 1
+        tree = BkForest(prints[order][new], cell[order][new])
+        held = order[~asked[order]]
+        first = np.searchsorted(place[held], np.arange(new.sum() + 1))
+        found = []
+        who = np.flatnonzero(asked)
+        for at in range(0, len(who), 256):
+            some = who[at : at + 256]
+            own = np.unique(place[some])
+            a, b = tree.within(own, radius)
+            a, b = np.r_[a, own], np.r_[b, own]
+            # each asked row with each row at the places found for its own
+            by = np.argsort(a, kind="stable")
+            a, b = a[by], b[by]
+            low, high = np.searchsorted(a, place[some]), np.searchsorted(a, place[some], "right")
+            left, right = _spread(some, low, high - low)
+            right = b[right]
+            left, right = _spread(left, first[right], first[right + 1] - first[right])
+            right = held[right]
+            few, many = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
+            good = (label[left] != label[right]) & (few >= similarity * many)
+            pair = np.stack([node[left[good]], node[right[good]]])
+            found.append(np.sort(pair, axis=0))
+        both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        return pd.DataFrame({"a": both[0], "b": both[1]}).drop_duplicates()
+
+    return _by_cells(keys, links)
+
+
+def _spread(rows: np.ndarray, low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row as often as counted, with the numbers from its low on."""
+    return np.repeat(rows, count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+
+
+def _unsettled(met: DataFrame, leads: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """met with labels, and of its rows those whose label is that of none of their shard's leaders."""
+    named = saved(met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    of = leads.join(labels.withColumnRenamed("node", "lead"), "lead", "left").select("part", F.coalesce("label", "lead").alias("label")).distinct()
+    return named, saved(named.join(of, ["part", "label"], "left_anti"))
+
+
+def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
     """Rows (doc_id, component_id), one for each row of docs: near-duplicates by shingles of ``size`` words at a similarity.
 
-    Fingerprints of 256 bits are candidates at so many differing bits as the similarity gives, and one and a half
-    deviations more. Shards share k sampled bits; k follows the number of fingerprints, so that unlike ones rarely meet,
-    and the number of samples follows k, so that a pair at the similarity meets in one with probability ``recall``, a
-    closer one more surely. Candidates are linked where the Jaccard similarity of their shingle sets is at least
-    ``similarity`` (see ``_verified``). Equal texts always link. See ``near_duplicates`` for nulls, repeats and empty tables.
+    Texts with one set of shingles are one node. Nodes that share a band of smallest hashes are a shard, and candidates where
+    their fingerprints differ in no more bits than the similarity gives plus five deviations. First all nodes of a shard are
+    compared with its leader, which settles groups of copies in one step; as long as more than ``shard`` nodes of a shard
+    stay and half of them settle, they get further leaders. Then those that no leader's component holds are looked up in BK-trees of
+    their shards, cut into cells, and candidates of different components are verified. So every candidate pair ends up
+    verified or inside one component, and only pairs whose sets have the similarity link. A pair at 0.8 shares a shard with
+    probability 0.985, a closer one more surely. See ``near_duplicates`` for nulls, repeats and empty tables.
     """
-    names = ["fingerprint", "fingerprint1", "fingerprint2", "fingerprint3"]
     text = F.col(text_col).cast("string")
     keyed = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text).alias("no")).alias("key"), text.alias("text"))
-    prints = saved(fingerprints(keyed, size, "key", "text", len(names)).select("key", F.xxhash64(*names).alias("node"), *names))
-    nodes = saved(prints.groupBy("node", *names).agg(F.min("key").alias("least")))
+    prints = saved(signatures(keyed, size))
+    nodes = saved(prints.groupBy("node").agg(F.min("key").alias("least"), *[F.first(c).alias(c) for c in ("n", *PRINT, "bands")]))
     p = differing(similarity)
-    radius = round(256 * p + 1.5 * math.sqrt(256 * p * (1 - p)))
-    k = max(12, min(28, nodes.count().bit_length() - 2))
-    samples = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** k))
-    draw = np.random.default_rng(9)
-    bits = [[divmod(int(b), 64) for b in draw.choice(256, k, replace=False)] for _ in range(samples)]
-
-    def deal(batches):
-        for batch in batches:
-            prints_ = np.stack([batch.column(n).to_numpy().view(np.uint64) for n in names])
-            for combo, chosen in enumerate(bits):
-                part = sum(((prints_[w] >> np.uint64(at)) & np.uint64(1)) << np.uint64(i) for i, (w, at) in enumerate(chosen))
-                yield pa.RecordBatch.from_arrays([batch.column("node"), *[batch.column(n) for n in names], pa.array(np.full(len(part), combo, np.int32)), pa.array(part.astype(np.int64))], ["node", *names, "combo", "part"])
-
-    dealt = nodes.select("node", *names).mapInArrow(deal, ", ".join(f"{n} long" for n in ("node", *names)) + ", combo int, part long")
-    candidates = saved(nodes.select("node", "least").join(components(_joined(dealt, radius, "node", names, shard)), "node"))
-    # the text of each candidate's smallest key; equal rows have one key
-    of = candidates.select("node", "least.*")
-    met = (keyed["key.no"] == of["no"]) & keyed["key.id"].eqNullSafe(of["id"])
-    texts = keyed.join(of, met).select("node", "text").dropDuplicates(["node"])
-    groups = _classes(nodes.select("node", "least"), "node", _verified(candidates, texts, size, similarity))
+    radius = round(64 * len(PRINT) * p + 5 * math.sqrt(64 * len(PRINT) * p * (1 - p)))
+    dealt = nodes.where("n > 0").select("node", "n", *PRINT, F.explode("bands").alias("part"))
+    shards = dealt.groupBy("part").agg(F.count("*").alias("rows"), F.min(F.struct("node", "n", *PRINT)).alias("lead"))
+    # written, so that the join is a plain one of which Spark can split a large shard's side
+    shards = saved(shards.where("rows > 1"))
+    met = saved(dealt.join(shards.select("part"), "part"))
+    of = met.select("node").distinct().join(nodes.select("node", "least.*"), "node")
+    here = (keyed["key.no"] == of["no"]) & keyed["key.id"].eqNullSafe(of["id"])
+    sets = saved(shingle_sets(keyed.join(of, here).select("node", "text").dropDuplicates(["node"]), size))
+
+    def with_leader(rows: DataFrame, leaders: DataFrame) -> DataFrame:
+        both = rows.join(leaders.select("part", "lead"), "part").where("node <> lead.node")
+        far = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"lead.{c}"))) for c in PRINT), F.lit(0))
+        few, many = F.least("n", "lead.n"), F.greatest("n", "lead.n")
+        pairs = both.where((far <= radius) & (few >= similarity * many)).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
+        return saved(verified(pairs.distinct(), sets, similarity))
+
+    linked, leads = with_leader(met, shards), shards.select("part", F.col("lead.node").alias("lead"))
+    labels = components(linked)
+    named, open_ = _unsettled(met, leads, labels)
+    while True:
+        many = saved(open_.groupBy("part").agg(F.count("*").alias("rows"), F.min(F.struct("node", "n", *PRINT)).alias("lead")).where(F.col("rows") > shard))
+        before = many.agg(F.sum("rows")).first()[0]
+        if not before:
+            break
+        linked = linked.unionByName(with_leader(open_.drop("label"), many))
+        leads = saved(leads.unionByName(many.select("part", F.col("lead.node").alias("lead"))))
+        labels = components(linked)
+        named, open_ = _unsettled(met, leads, labels)
+        if 2 * open_.join(many.select("part"), "part").count() > before:
+            break
+    own = lambda c: F.pmod(F.xxhash64("node", F.lit(1)), F.col(c)).cast("int")
+    all_ = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    cuts = open_.groupBy("part").agg(F.ceil(F.count("*") / shard).cast("int").alias("us"))
+    cuts = saved(cuts.join(named.groupBy("part").agg(F.ceil(F.count("*") / shard).cast("int").alias("ss")), "part"))
+    columns = ["part", "u", "s", "asked", "node", "n", "label", *PRINT]
+    cells = open_.join(cuts, "part").withColumn("asked", F.lit(True)).withColumn("u", own("us")).withColumn("s", all_("ss")).select(*columns)
+    cells = cells.unionByName(named.join(cuts, "part").withColumn("asked", F.lit(False)).withColumn("s", own("ss")).withColumn("u", all_("us")).select(*columns))
+    cells = cells.repartition(shuffles(docs.sparkSession), "part", "u", "s").sortWithinPartitions("part", "u", "s")
+    rest = verified(cells.mapInPandas(_apart(radius, similarity), "a long, b long").distinct(), sets, similarity)
+    groups = _classes(nodes.select("node", "least"), "node", linked.unionByName(rest))
     return prints.join(groups, "node").select(F.col("key.id").alias(id_col), F.col("component_id.id").alias("component_id"))
 
 
