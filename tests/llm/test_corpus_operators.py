@@ -146,19 +146,53 @@ def test_similar_joins_nothing_below_the_similarity(spark):
     assert len(close) > 30 and sum(by[i] == by[i - i % 100] for i in close) > 0.98 * len(close)
 
 
-def test_similar_leaders_in_a_large_unlike_group(spark):
-    """A group whose members are like some, not all: rounds of leaders settle it."""
-    draw = random.Random(2)
-    w = [f"w{draw.randrange(5_000)}" for _ in range(400)]
-    rows = [(i, " ".join(w[:i * 10] + [f"v{j}" for j in range(i * 10)] + w[i * 10 :])) for i in range(12)]
-    nodes = spark.createDataFrame([(i, i, 0) for i, _ in rows], "node long, least long, label long")
-    texts = spark.createDataFrame(rows, "node long, text string")
-    links = {(r.a, r.b) for r in simhash._verified(nodes, texts, 5, 0.8).collect()}
-    text = dict(rows)
-    assert links and all(simple_similarity(text[a], text[b]) >= 0.8 for a, b in links)
-    leaders = {a for a, _ in links} | (set(text) - {b for _, b in links})
-    assert all(any((a, i) in links for a in leaders) or i in leaders for i in text)
-    assert {b for a, b in links if a == 0} == {i for i in text if i and simple_similarity(text[0], text[i]) >= 0.8}
+def plain_groups(text, similarity=0.8):
+    """Components of all pairs at the similarity, by the sets of all texts, and these pairs."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(t.lower())) else set() for i, t in text.items()}
+    held, common = defaultdict(list), Counter()
+    for i, s in sets.items():
+        for g in s:
+            held[g].append(i)
+    for group in held.values():
+        common.update((a, b) for n, b in enumerate(group) for a in group[:n])
+    pairs = [p for p, c in common.items() if c >= similarity * (len(sets[p[0]]) + len(sets[p[1]]) - c)]
+    label = {i: i for i in text}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        label[max(a, b)] = min(a, b)
+    return {i: root(i) for i in text}, pairs
+
+
+@pytest.mark.parametrize("shard", [20, 4096])
+def test_similar_is_brute_force(spark, shard):
+    """Families of texts edited little by little, most pairs of which lie around the similarity; small shards take more leaders and cells."""
+    draw = random.Random(12)
+    text = {}
+    for family in range(40):
+        w = [f"w{draw.randrange(3_000)}" for _ in range(draw.choice([12, 40, 150, 400]))]
+        for c in range(25):
+            changed = list(w)
+            for at in draw.sample(range(len(w)), draw.randrange(0, max(2, len(w) // 22))):
+                changed[at] = f"v{draw.randrange(50)}"
+            text[100 * family + c] = " ".join(changed)
+    truth, pairs = plain_groups(text)
+    found = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(list(text.items()), "doc_id long, text string"), shard=shard).collect()}
+    near = [(a, b) for a, b in pairs if text[a] != text[b]]
+    assert len(near) > 1500 and sum(found[a] == found[b] for a, b in near) >= 0.98 * len(near)
+    assert all(truth[i] == truth[c] for i, c in found.items())
+
+
+def test_similar_on_the_given_documents(spark, docs):
+    text = {r.doc_id: r.text for r in docs.where("text is not null").select("doc_id", "text").collect()}
+    truth, pairs = plain_groups(text)
+    found = {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
+    assert sum(found[a] == found[b] for a, b in pairs) >= 0.95 * len(pairs) > 0 and all(truth[i] == truth[found[i]] for i in truth)
 
 
 # 4
@@ -240,6 +274,15 @@ def test_lines_are_brute_force(spark, docs, run):
     assert {r.doc_id: (r.n_lines, r.n_removed, r.kept) for r in lines.deduplicate(df, run).collect()} == simple_lines(rows, run)
 
 
+def test_lines_of_a_null_id_and_of_the_id_null(spark):
+    """A text under no id and the same under the id ``null`` are two documents, of which the first stays."""
+    t = "one line\nanother line\na third"
+    rows = [("null", t), (None, t), ("z", "before\n" + t)]
+    out = {r.doc_id: r for r in lines.deduplicate(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert out[None].kept == t and out["null"].kept is None and out["z"].kept == "before"
+    assert [out[i].n_removed for i in (None, "null", "z")] == [0, 3, 3]
+
+
 def test_lines_of_long_repeats(spark):
     """Blocks of 50 lines and whole documents that repeat, and the maximal runs that doubling finds in them."""
     block, other = [f"line {i}" for i in range(50)], [f"other {i}" for i in range(130)]
