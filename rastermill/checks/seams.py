@@ -112,7 +112,7 @@ def crossfaded(source: str, edge: int, radius: int) -> str:
 @query(crossfaded("cells", 16, 3) + ",\nresult AS (SELECT * FROM crossed)")
 def linear_crossfade(spark, sf):
     """Feathered centre axes, radius 3."""
-    return scanlines.to_cells(scanlines.crossfade(lineitem_lines(spark, sf), 1.0))
+    return scanlines.to_cells(scanlines.crossfade(saved(lineitem_lines(spark, sf)), 1.0))
 
 
 def _symmetric(edge: int, half: int, one_sided: bool) -> str:
@@ -130,13 +130,13 @@ def _symmetric(edge: int, half: int, one_sided: bool) -> str:
 @query(_symmetric(16, 3, False))
 def blend_symmetric(spark, sf):
     """Cosine blend over 3 cells on both sides."""
-    return scanlines.to_cells(scanlines.blend_symmetric(lineitem_lines(spark, sf), seams.half_width(0.75)))
+    return scanlines.to_cells(scanlines.blend_symmetric(saved(lineitem_lines(spark, sf)), seams.half_width(0.75)))
 
 
 @query(_symmetric(16, 3, True))
 def blend_one_sided(spark, sf):
     """Cosine blend of the left and upper side only."""
-    return scanlines.to_cells(scanlines.blend_symmetric(lineitem_lines(spark, sf), seams.half_width(fixed=4), one_sided=True))
+    return scanlines.to_cells(scanlines.blend_symmetric(saved(lineitem_lines(spark, sf)), seams.half_width(fixed=4), one_sided=True))
 
 
 _OW = "((cos(abs(a.{0} - 8)::DOUBLE / 3 * " + repr(math.pi) + "::DOUBLE) + 1) * 0.5::DOUBLE)"
@@ -174,7 +174,7 @@ taps AS (SELECT t, (u + {m}) % {m} AS s, 1 - abs((t + 0.5::DOUBLE) * {m} / {edge
 @query(overlapped(16, 4, 0.5))
 def overlap_synthesis(spark, sf):
     """A quarter of each edge overlapped."""
-    return scanlines.to_cells(scanlines.overlap(lineitem_lines(spark, sf), 0.25, 0.25, 0.5))
+    return scanlines.to_cells(scanlines.overlap(saved(lineitem_lines(spark, sf)), 0.25, 0.25, 0.5))
 
 
 @query("""result AS (SELECT a.raster_id, a.h, a.w, 0 AS band, a.y, a.x, a.v * (1 - c.v / 255) + b.v * (c.v / 255) AS v
@@ -212,7 +212,7 @@ def offset_crossfade_job(spark, sf):
     """Seam error of every 64 by 64 raster before and after the offset crossfade."""
     lines = saved(lineitem_lines(spark, sf, 64))
     before = scanlines.seam_error(lines).select("raster_id", rounded("seam_error").alias("error_before"))
-    after = scanlines.seam_error(saved(scanlines.crossfade(lines, border=True))).select("raster_id", rounded("seam_error").alias("error_after"))
+    after = scanlines.seam_error(scanlines.crossfade(lines, border=True)).select("raster_id", rounded("seam_error").alias("error_after"))
     return before.join(after, "raster_id")
 
 

@@ -2,8 +2,8 @@
 
 What runs along a line needs no shuffle here. What runs across lines shuffles whole arrays by a line's number instead of
 samples by five keys, and only the lines that meet: near a seam, those within its reach; for a stencil, blocks of lines
-with those around them. A task holds a pair of lines or one block, never a raster. Blending and resampling are array
-functions of Spark; stencils, where taps are many, NumPy on blocks.
+with those around them. A task holds a batch of lines or one block, never a raster. Which lines meet is an expression on
+their numbers; samples are worked on by NumPy in Arrow batches, all lines of a size at once.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..layout import saved
 from . import masks
 
 LINE = ["raster_id", "h", "w", "band", "y", "data"]
@@ -39,22 +38,120 @@ def split_cells(lines: DataFrame, names: list[str]) -> DataFrame:
     return each.select("raster_id", "h", "w", "band", "y", "x", *[F.col(f"all.{n}").alias(n) for n in names])
 
 
-def _mixed(lines: DataFrame, mate: Callable, weight: Callable) -> DataFrame:
+class _Batch:
+    """Lines of an Arrow batch as one flat array, worked on by groups of equal keys."""
+
+    def __init__(self, data: pa.Array, width: np.ndarray):
+        self.flat = data.flatten().to_numpy(zero_copy_only=False)
+        self.width, self.start = width, np.r_[0, np.cumsum(width)][:-1]
+
+    def rows(self, which: np.ndarray) -> np.ndarray:
+        """Lines of one width, a row each."""
+        if len(which) == len(self.width):
+            return self.flat.reshape(len(which), -1)
+        return self.flat[self.start[which][:, None] + np.arange(self.width[which[0]])]
+
+
+def _alike(*keys: np.ndarray) -> list[np.ndarray]:
+    """Positions of each group of equal keys."""
+    if not len(keys[0]):
+        return []
+    order = np.lexsort(keys[::-1])
+    new = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    return np.split(order, np.flatnonzero(new) + 1)
+
+
+def _lists(parts: list[tuple[np.ndarray, np.ndarray]], rows: int) -> pa.Array:
+    """A list array of parts (positions, lines of one width)."""
+    width = np.zeros(rows, np.int64)
+    for which, lines in parts:
+        width[which] = lines.shape[1]
+    start = np.r_[0, np.cumsum(width)]
+    flat = np.empty(start[-1])
+    for which, lines in parts:
+        if len(which) == rows and (which[1:] > which[:-1]).all():
+            flat = lines.ravel()
+        else:
+            flat[start[which][:, None] + np.arange(lines.shape[1])] = lines
+    return pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(flat))
+
+
+def _ints(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _pairs(lines: DataFrame, pair: Column, more: list[str], along: Callable, across: Callable) -> DataFrame:
+    """Lines changed along themselves, and those with a ``pair`` then across the two lines that share it.
+
+    along: (lines as rows, values of h, w and more) to lines; across: (y of all, first and second line, the values) to the
+    two lines that become of them, or to one. Only lines with a pair are shuffled; no line is made twice.
+    """
+    names = ["h", "w", *more]
+    kind = dict(lines.dtypes)
+    marked = lines.withColumn("__pair", pair.cast("int"))
+    keys = ["raster_id", *names, "band"]
+
+    def values(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+
+    def alone(batches):
+        for batch in batches:
+            got, keyed = _Batch(batch.column("data"), _ints(batch, "w")), values(batch)
+            parts = [(which, along(got.rows(which), *[k[which[0]] for k in keyed])) for which in _alike(*keyed)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in (*keys, "y")], _lists(parts, batch.num_rows)], [*keys, "y", "data"])
+
+    def paired(batches):
+        for batch in batches:
+            both, keyed = batch.column("both"), values(batch)
+            count = np.diff(both.offsets.to_numpy())
+            flat = both.flatten()
+            of = np.repeat(np.arange(batch.num_rows), count)
+            first = np.r_[0, np.cumsum(count)][:-1]
+            y = flat.field("y").to_numpy().astype(np.int64)
+            got = _Batch(flat.field("data"), _ints(batch, "w")[of])
+            parts, places = [], []
+            for which in _alike(*keyed, count):
+                own, two = [k[which[0]] for k in keyed], count[which[0]] == 2
+                a = along(got.rows(first[which]), *own)
+                if not two:
+                    parts.append((first[which], a))
+                    continue
+                made = across(y[first[which]], y[first[which] + 1], a, along(got.rows(first[which] + 1), *own), *own)
+                parts += [(first[which] + i, m) for i, m in enumerate(made)]
+            kept = np.sort(np.concatenate([p[0] for p in parts])) if parts else np.zeros(0, np.int64)
+            parts = [(np.searchsorted(kept, p), m) for p, m in parts]
+            take = pa.array(of[kept])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(take) for k in keys], pa.array(y[kept].astype(np.int32)), _lists(parts, len(kept))], [*keys, "y", "data"])
+
+    met = marked.where("__pair is not null").groupBy(*keys, "__pair").agg(F.array_sort(F.collect_list(F.struct(F.col("y").cast("int").alias("y"), "data"))).alias("both"))
+    ordered = f"raster_id {kind['raster_id']}, " + "".join(f"{n} {kind[n]}, " for n in names) + f"band {kind['band']}, y int, data array<double>"
+    rest = marked.where("__pair is null").select(*keys, F.col("y").cast("int").alias("y"), "data")
+    return rest.mapInArrow(alone, ordered).unionByName(met.drop("__pair").mapInArrow(paired, ordered))
+
+
+def _mixed(lines: DataFrame, amount: Column, mate: Callable, near: Callable, weight: Callable, clipped: bool = False) -> DataFrame:
     """Each sample mixed with its mate's by weight, along lines and then across them.
 
-    mate, weight: of (place, edge), as columns; a weight of 0, or a mate beyond the edge, leaves a sample as it is. Only
-    lines that have a weight are shuffled, to meet their mates.
+    mate, near: of (place, edge) as columns, near where a weight is above 0; weight: of an edge and the amount as numbers,
+    all mates and weights of that edge. A mate beyond the edge leaves a sample as it is.
     """
-    own = lambda v, i: F.coalesce(v * (1 - weight(i, F.col("w"))) + F.get("data", mate(i, F.col("w")).cast("int")) * weight(i, F.col("w")), v)
-    lines = lines.withColumn("data", F.transform("data", lambda v, i: F.when(weight(i, F.col("w")) > 0, own(v, i)).otherwise(v)))
-    y, h = F.col("y"), F.col("h")
-    other = mate(y, h)
-    meets = ((weight(y, h) > 0) | (weight(other, h) > 0)) & (other >= 0) & (other < h) & (other != y)
-    lines = saved(lines.select(*LINE, F.when(meets, F.least(y, other)).cast("int").alias("__pair")))
-    met = lines.where("__pair is not null").groupBy("raster_id", "h", "w", "band", "__pair").agg(F.array_sort(F.collect_list(F.struct("y", "data"))).alias("both"))
-    mix = lambda s, i: F.struct(s["y"].alias("y"), F.zip_with(s["data"], F.coalesce(F.get("both", 1 - i)["data"], s["data"]), lambda a, b: a * (1 - weight(s["y"], h)) + b * weight(s["y"], h)).alias("data"))
-    done = met.select("raster_id", "h", "w", "band", F.inline(F.transform("both", mix)))
-    return lines.where("__pair is null").select(*LINE).unionByName(done)
+    other = mate(F.col("y"), F.col("h"))
+    meets = (near(F.col("y"), F.col("h")) | near(other, F.col("h"))) & (other >= 0) & (other < F.col("h")) & (other != F.col("y"))
+
+    def along(rows: np.ndarray, h: int, w: int, amount: int) -> np.ndarray:
+        to, k = weight(int(w), int(amount))
+        on = np.flatnonzero((k > 0) & (to >= 0) & (to < w))
+        out = rows.copy()
+        out[:, on] = rows[:, on] * (1 - k[on]) + rows[:, to[on]] * k[on]
+        return np.clip(out, 0.0, 255.0) if clipped else out
+
+    def across(y: np.ndarray, z: np.ndarray, a: np.ndarray, b: np.ndarray, h: int, w: int, amount: int) -> tuple:
+        _, k = weight(int(h), int(amount))
+        one, two = k[y][:, None], k[z][:, None]
+        return a * (1 - one) + b * one, b * (1 - two) + a * two
+
+    keyed = lines.withColumn("__amount", amount.cast("int"))
+    return _pairs(keyed, F.when(meets, F.least(F.col("y"), other)), ["__amount"], along, across).select(*LINE)
 
 
 def crossfade(lines: DataFrame, strength: float | Column = 1.0, border: bool = False) -> DataFrame:
@@ -64,58 +161,80 @@ def crossfade(lines: DataFrame, strength: float | Column = 1.0, border: bool = F
     """
     radius = masks.feather_radius(F.col("h"), F.col("w"), strength)
 
-    def distance(p: Column, n: Column) -> Column:
+    def near(p: Column, n: Column) -> Column:
         centre = F.floor(n / 2)
-        return F.least(p, n - 1 - p) if border else F.when(p >= centre, p - centre).otherwise(centre - 1 - p)
+        return (F.least(p, n - 1 - p) if border else F.when(p >= centre, p - centre).otherwise(centre - 1 - p)) < radius
+
+    def weight(n: int, r: int) -> tuple[np.ndarray, np.ndarray]:
+        p, centre = np.arange(n), n // 2
+        far = np.minimum(p, n - 1 - p) if border else np.where(p >= centre, p - centre, centre - 1 - p)
+        return (n - 1 - p if border else 2 * centre - 1 - p), np.where(far < r, 0.5 * (1 - far / r), 0.0)
 
     mate = lambda p, n: n - 1 - p if border else 2 * F.floor(n / 2) - 1 - p
-    weight = lambda p, n: F.when(distance(p, n) < radius, masks.linear_weight(distance(p, n), radius)).otherwise(0.0)
-    return _mixed(lines, mate, weight).withColumn("data", F.transform("data", lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(255.0))))
+    return _mixed(lines, radius, mate, near, weight, clipped=True)
 
 
 def blend_symmetric(lines: DataFrame, half: Column, one_sided: bool = False) -> DataFrame:
     """Samples at equal distance, up to ``half``, on both sides of the centre axes mixed by cosine weights, columns and then rows."""
 
-    def weight(p: Column, n: Column) -> Column:
+    def near(p: Column, n: Column) -> Column:
         d = p - F.floor(n / 2)
-        on = (F.abs(d) >= 1) & (F.abs(d) <= half)
-        return F.when(on & (d < 0) if one_sided else on, masks.cosine_weight(F.abs(d), half)).otherwise(0.0)
+        on = (F.abs(d) >= 1) & (F.abs(d) < half)
+        return on & (d < 0) if one_sided else on
+
+    def weight(n: int, half: int) -> tuple[np.ndarray, np.ndarray]:
+        d = np.arange(n) - n // 2
+        on = (np.abs(d) >= 1) & (np.abs(d) < half) & ((d < 0) if one_sided else True)
+        return n // 2 - d, np.where(on, (np.cos(np.abs(d) / max(1, half) * np.pi) + 1) * 0.5, 0.0)
+
+    return _mixed(lines, half, lambda p, n: 2 * F.floor(n / 2) - p, near, weight)
 
-    return _mixed(lines, lambda p, n: 2 * F.floor(n / 2) - p, weight)
+
+def _fade(n: int, falloff: float) -> np.ndarray:
+    """``masks.seam_fade`` of all places of an overlap of n cells."""
+    at, half, smooth = (np.arange(n) + 0.5) / max(1, n), 0.25 * falloff, lambda t: t * t * (3 - 2 * t)
+    return np.where(at < 0.5, 1.0, 0.0) if half <= 1e-6 else smooth(smooth(np.clip((0.5 + half - at) / max(2 * half, 1e-9), 0, 1)))
+
+
+def _resampled(rows: np.ndarray, m: int) -> np.ndarray:
+    """Bilinear to m samples, half-pixel centres, across the wrap."""
+    n = rows.shape[1]
+    if n == m:
+        return rows
+    at = (np.arange(m) + 0.5) * n / m - 0.5
+    low = np.floor(at)
+    part, low = at - low, low.astype(np.int64)
+    return rows[:, low % n] * (1 - part) + rows[:, (low + 1) % n] * part
 
 
 def overlap(lines: DataFrame, x: float | Column, y: float | Column, falloff: float | Column) -> DataFrame:
     """The far edge laid over the near one, joined by ``masks.seam_fade``, cut off, and the rest resized across the wrap.
 
-    x, y: shares of the edges, at most a half. Like falloff they may be columns of the raster's key.
+    x, y: shares of the edges, at most a half. Like falloff they may be columns of the raster's key. A line is laid over
+    and resized along itself in one pass, before or after it meets its mate, which comes to the same.
     """
-    n, w = F.floor(F.col("w") * x).cast("int"), F.col("w")
-    laid = lambda v, i: v * (1 - masks.seam_fade(i, n, falloff)) + F.get("data", w - n + i) * masks.seam_fade(i, n, falloff)
-    cut = F.slice(F.transform("data", lambda v, i: F.when(i < n, laid(v, i)).otherwise(v)), F.lit(1), w - n)
-    lines = lines.withColumns({"data": cut, "__h": F.col("h"), "__w": F.col("w")}).withColumn("w", w - n)
-    m, h = F.floor(F.col("h") * y).cast("int"), F.col("h")
-    lines = saved(lines.withColumn("__pair", F.when(F.col("y") < m, F.col("y")).when(F.col("y") >= h - m, F.col("y") - h + m)))
-    keys = ["raster_id", "__h", "__w", "h", "w", "band"]
-    met = lines.where("__pair is not null").groupBy(*keys, "__pair").agg(F.array_sort(F.collect_list(F.struct("y", "data"))).alias("both"))
-    t = masks.seam_fade(F.col("__pair"), m, falloff)
-    met = met.withColumn("__t", t).select(*keys, F.col("__pair").alias("y"), F.zip_with(F.get("both", F.lit(0))["data"], F.get("both", F.lit(1))["data"], lambda a, b: a * (1 - F.col("__t")) + b * F.col("__t")).alias("data"))
-    left = lines.where("__pair is null").select(*keys, "y", "data").unionByName(met).withColumn("h", h - m)
-    out = _resized(left, F.col("__h"), F.col("__w"))
-    return out.withColumn("data", F.transform("data", lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(255.0)))).select(*LINE)
+    col = lambda v: v if isinstance(v, Column) else F.lit(float(v))
+    keyed = lines.withColumns({"__n": F.floor(F.col("w") * col(x)).cast("int"), "__m": F.floor(F.col("h") * col(y)).cast("int"), "__f": col(falloff)})
+    h, m = F.col("h"), F.col("__m")
+    pair = F.when(F.col("y") < m, F.col("y")).when(F.col("y") >= h - m, F.col("y") - h + m)
 
+    def along(rows: np.ndarray, h: int, w: int, n: int, m: int, falloff: float) -> np.ndarray:
+        n, t = int(n), _fade(int(n), float(falloff))
+        out = rows[:, : int(w) - n].copy()
+        out[:, :n] = rows[:, :n] * (1 - t) + rows[:, int(w) - n :] * t
+        return _resampled(out, int(w))
 
-def _resized(lines: DataFrame, to_h: Column, to_w: Column) -> DataFrame:
-    """Bilinear, half-pixel centres, sampling across the wrap: along lines, then the two lines that each new one lies between."""
-    lines = lines.select(*LINE, to_h.cast("int").alias("__th"), to_w.cast("int").alias("__tw"))
-    n, m = F.col("w"), F.col("__tw")
+    def across(y: np.ndarray, z: np.ndarray, a: np.ndarray, b: np.ndarray, h: int, w: int, n: int, m: int, falloff: float) -> tuple:
+        t = _fade(int(m), float(falloff))[y][:, None]
+        return (a * (1 - t) + b * t,)
 
-    def along(t: Column) -> Column:
-        at = (t + 0.5) * n / m - 0.5
-        low = F.floor(at)
-        part = at - low
-        return F.get("data", F.pmod(low, n).cast("int")) * (1 - part) + F.get("data", F.pmod(low + 1, n).cast("int")) * part
+    laid = _pairs(keyed, pair, ["__n", "__m", "__f"], along, across)
+    left = laid.withColumns({"__th": F.col("h"), "h": F.col("h") - F.col("__m")})
+    return _resized_across(left, clipped=True)
 
-    lines = lines.withColumn("data", F.when(n == m, F.col("data")).otherwise(F.transform(F.sequence(F.lit(0), m - 1), along)))
+
+def _resized_across(lines: DataFrame, clipped: bool = False) -> DataFrame:
+    """Bilinear to __th lines, half-pixel centres, across the wrap: each new line from the one or two that it lies between."""
     n, m, y = F.col("h"), F.col("__th"), F.col("y")
     # targets t whose two lines, floor(at) and the next, show line y: at in [y - 1, y + 1), also from past the border
     spread = lines.withColumn("__u", F.explode(F.array(y, y - n, y + n)))
@@ -124,10 +243,39 @@ def _resized(lines: DataFrame, to_h: Column, to_w: Column) -> DataFrame:
     spread = spread.where(first <= last).withColumn("__t", F.explode(F.sequence(first, last)))
     k = F.greatest(F.lit(0.0), 1 - F.abs((F.col("__t") + 0.5) * n / m - 0.5 - F.col("__u")))
     spread = spread.withColumn("__k", k).where("__k > 0")
-    met = spread.groupBy("raster_id", "__th", "__tw", "band", "__t").agg(F.array_sort(F.collect_list(F.struct(F.col("__u").alias("u"), F.col("__k").alias("k"), "data"))).alias("near"))
-    one = F.transform(F.get("near", F.lit(0))["data"], lambda v: v * F.get("near", F.lit(0))["k"])
-    two = F.zip_with(F.get("near", F.lit(0))["data"], F.get("near", F.lit(1))["data"], lambda a, b: a * F.get("near", F.lit(0))["k"] + b * F.get("near", F.lit(1))["k"])
-    return met.select("raster_id", F.col("__th").alias("h"), F.col("__tw").alias("w"), "band", F.col("__t").alias("y"), F.when(F.size("near") == 1, one).otherwise(two).alias("data"))
+    met = spread.groupBy("raster_id", F.col("__th").alias("h"), "w", "band", F.col("__t").alias("y")).agg(F.collect_list(F.struct(F.col("__u").alias("u"), F.col("__k").alias("k"), "data")).alias("near"))
+    kind = dict(lines.dtypes)
+
+    def run(batches):
+        for batch in batches:
+            near, w = batch.column("near"), _ints(batch, "w")
+            count, flat = np.diff(near.offsets.to_numpy()), near.flatten()
+            first, k = np.r_[0, np.cumsum(count)][:-1], flat.field("k").to_numpy()
+            got, parts = _Batch(flat.field("data"), np.repeat(w, count)), []
+            for which in _alike(w, count):
+                out = got.rows(first[which]) * k[first[which]][:, None]
+                for i in range(1, count[which[0]]):
+                    out = out + got.rows(first[which] + i) * k[first[which] + i][:, None]
+                parts.append((which, np.clip(out, 0.0, 255.0) if clipped else out))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in LINE[:5]], _lists(parts, batch.num_rows)], LINE)
+
+    return met.select(*LINE[:4], F.col("y").cast("int").alias("y"), "near").mapInArrow(run, f"raster_id {kind['raster_id']}, h int, w {kind['w']}, band {kind['band']}, y int, data array<double>")
+
+
+def _resized(lines: DataFrame, to_h: Column, to_w: Column) -> DataFrame:
+    """Bilinear, half-pixel centres, sampling across the wrap: along lines, then the two lines that each new one lies between."""
+    lines = lines.select(*LINE, to_h.cast("int").alias("__th"), to_w.cast("int").alias("__tw"))
+    kind = dict(lines.dtypes)
+
+    def run(batches):
+        for batch in batches:
+            w, to = _ints(batch, "w"), _ints(batch, "__tw")
+            got = _Batch(batch.column("data"), w)
+            parts = [(which, _resampled(got.rows(which), int(to[which[0]]))) for which in _alike(w, to)]
+            yield pa.RecordBatch.from_arrays([batch.column("raster_id"), batch.column("h"), batch.column("__tw"), *[batch.column(c) for c in ("band", "y", "__th")], _lists(parts, batch.num_rows)], ["raster_id", "h", "w", "band", "y", "__th", "data"])
+
+    along = lines.mapInArrow(run, f"raster_id {kind['raster_id']}, h {kind['h']}, w int, band {kind['band']}, y {kind['y']}, __th int, data array<double>")
+    return _resized_across(along)
 
 
 def resize_wrapped(lines: DataFrame, h: int, w: int) -> DataFrame:
@@ -200,10 +348,14 @@ def _passes(field: np.ndarray, passes: list, border: str, h: int, y0: int, n: in
 
 
 def seam_error(lines: DataFrame) -> DataFrame:
-    """Rows (raster_id, seam_error), as ``quality.seam_error``: along lines from their ends, across from the first and last line."""
-    ends = lines.select("raster_id", F.lit("x").alias("axis"), "band", F.abs(F.get("data", F.lit(0)) - F.get("data", F.col("w") - 1)).alias("d"))
-    outer = lines.where((F.col("y") == 0) | (F.col("y") == F.col("h") - 1)).groupBy("raster_id", "band").agg(F.array_sort(F.collect_list(F.struct("y", "data"))).alias("both"))
-    last = F.get("both", F.size("both") - 1)["data"]
-    across = outer.select("raster_id", F.lit("y").alias("axis"), "band", F.explode(F.zip_with(F.get("both", F.lit(0))["data"], last, lambda a, b: F.abs(a - b))).alias("d"))
-    means = ends.unionByName(across).groupBy("raster_id", "axis").agg(F.avg("d").alias("e"))
-    return means.groupBy("raster_id").agg(F.max("e").alias("seam_error"))
+    """Rows (raster_id, seam_error), as ``quality.seam_error``: along lines from their ends, across from the first and last line.
+
+    One pass: a band's aggregate holds the sum of its lines' end differences and its first and last line.
+    """
+    outer = lambda y: F.when(F.col("y") == y, F.col("data"))
+    ends = lines.select("raster_id", "band", F.abs(F.get("data", F.lit(0)) - F.get("data", F.col("w") - 1)).alias("d"), outer(F.lit(0)).alias("top"), outer(F.col("h") - 1).alias("low"))
+    bands = ends.groupBy("raster_id", "band").agg(F.sum("d").alias("d"), F.count("d").alias("n"), F.first("top", True).alias("top"), F.first("low", True).alias("low"))
+    across = F.zip_with("top", "low", lambda a, b: F.abs(a - b))
+    bands = bands.select("raster_id", "d", "n", F.aggregate(across, F.lit(0.0), lambda s, v: s + v).alias("e"), F.size("top").alias("m"))
+    sums = bands.groupBy("raster_id").agg(*[F.sum(c).alias(c) for c in ("d", "n", "e", "m")])
+    return sums.select("raster_id", F.greatest(F.col("d") / F.col("n"), F.col("e") / F.col("m")).alias("seam_error"))
