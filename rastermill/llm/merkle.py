@@ -237,13 +237,13 @@ def verify(docs: DataFrame, fields: list[str] | None = None, partition: str = "l
     fields = fields or ["doc_id", "source", "lang", "n_chars", "text"]
     leaves, stages, (tops, *top) = manifest(docs, fields, partition, order)
     kind = dict(leaves.dtypes)["id"]
-    root = roots(top).select(F.col("root").alias("__root"))
+    root = roots(top).first()  # one row, or none
     # siblings of the subroots; a single tree has none
     highest = block_paths(top, roots(top).select("tree", F.lit(0).cast("long").alias("rank"), F.lit("").alias("left"), F.lit("").alias("right")))
     named = tops.select("rank", "name", F.col("digest").alias("subroot"))
     few = tops.count() <= FEW
     highest = paths(top[0], highest).join(F.broadcast(named) if few else named, "rank")
-    highest = saved(highest.crossJoin(root).select(F.col("name").alias("tree"), F.lit(0).cast("long").alias("rank"), "left", "right", "subroot", "__root"))  # one row: the root
+    highest = saved(highest.select(F.col("name").alias("tree"), F.lit(0).cast("long").alias("rank"), "left", "right", "subroot", F.lit(bytes(root.root) if root else b"").alias("__root")))
     known = highest.select("tree", "subroot", "__root")
     above = block_paths(stages, highest.select("tree", "rank", "left", "right")).join(F.broadcast(known) if few else known, "tree").withColumnRenamed("rank", "block")
     blocks = stages[0].join(F.broadcast(above) if stages[0].count() <= FEW else above, ["tree", "block"]).withColumnsRenamed({"tree": "__tree", "block": "__block"})
