@@ -176,9 +176,16 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def _classes(nodes: DataFrame, node: str, joined: DataFrame) -> DataFrame:
-    """Rows (node, component_id) of nodes (node, least): the smallest ``least`` of the nodes that links join."""
-    labels = saved(nodes.join(components(joined).withColumnRenamed("node", node), node, "left").select(node, "least", F.coalesce("label", node).alias("label")))
+def _classes(nodes: DataFrame, node: str, joined: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Rows (node, component_id) of nodes (node, least): the smallest ``least`` of the nodes that links join.
+
+    labels: rows (node, label) of components that are known, whose labels the links join.
+    """
+    if labels is not None:
+        nodes = nodes.join(labels.withColumnRenamed("node", node), node, "left").select(node, "least", F.coalesce("label", node).alias("__at"))
+    else:
+        nodes = nodes.withColumn("__at", F.col(node))
+    labels = saved(nodes.join(components(joined).withColumnRenamed("node", "__at"), "__at", "left").select(node, "least", F.coalesce("label", "__at").alias("label")))
     # written, so that the join with it is a plain one of which Spark can split a large component's side
     least = saved(labels.groupBy("label").agg(F.min("least").alias("component_id")))
     return labels.join(least, "label").select(node, "component_id")
@@ -355,17 +362,16 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str
     linked, leads = with_leader(met, shards), shards.select("part", F.col("lead.node").alias("lead"))
     labels = components(linked)
     named, open_ = _unsettled(met, leads, labels)
-    while True:
-        many = saved(open_.groupBy("part").agg(F.count("*").alias("rows"), F.min(F.struct("node", "n", *PRINT)).alias("lead")).where(F.col("rows") > shard))
-        before = many.agg(F.sum("rows")).first()[0]
-        if not before:
-            break
-        linked = linked.unionByName(with_leader(open_.drop("label"), many))
-        leads = saved(leads.unionByName(many.select("part", F.col("lead.node").alias("lead"))))
+    many = open_.groupBy("part").agg(F.count("*").alias("rows"), F.min(F.struct("node", "n", *PRINT)).alias("lead")).where(F.col("rows") > shard)
+    while (before := many.agg(F.sum("rows")).first()[0]) is not None:
+        hot = saved(many)
+        linked = linked.unionByName(with_leader(open_.drop("label"), hot))
+        leads = saved(leads.unionByName(hot.select("part", F.col("lead.node").alias("lead"))))
         labels = components(linked)
         named, open_ = _unsettled(met, leads, labels)
-        if 2 * open_.join(many.select("part"), "part").count() > before:
+        if 2 * open_.join(hot.select("part"), "part").count() > before:
             break
+        many = open_.groupBy("part").agg(F.count("*").alias("rows"), F.min(F.struct("node", "n", *PRINT)).alias("lead")).where(F.col("rows") > shard)
     own = lambda c: F.pmod(F.xxhash64("node", F.lit(1)), F.col(c)).cast("int")
     all_ = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     cuts = open_.groupBy("part").agg(F.ceil(F.count("*") / shard).cast("int").alias("us"))
@@ -375,7 +381,10 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str
     cells = cells.unionByName(named.join(cuts, "part").withColumn("asked", F.lit(False)).withColumn("s", own("ss")).withColumn("u", all_("us")).select(*columns))
     cells = cells.repartition(shuffles(docs.sparkSession), "part", "u", "s").sortWithinPartitions("part", "u", "s")
     rest = verified(cells.mapInPandas(_apart(radius, similarity), "a long, b long").distinct(), sets, similarity)
-    groups = _classes(nodes.select("node", "least"), "node", linked.unionByName(rest))
+    # what the rest links are components, so that few rounds join them
+    ends = labels.select(F.col("node").alias("a"), F.col("label").alias("__a")), labels.select(F.col("node").alias("b"), F.col("label").alias("__b"))
+    between = rest.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("__a", "a").alias("a"), F.coalesce("__b", "b").alias("b"))
+    groups = _classes(nodes.select("node", "least"), "node", between, labels)
     return prints.join(groups, "node").select(F.col("key.id").alias(id_col), F.col("component_id.id").alias("component_id"))
 
 
