@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..layout import COLUMNS, clip
+from ..layout import COLUMNS, PLANE, clip, saved
 
 
 def image_mean(cells: DataFrame) -> DataFrame:
@@ -13,14 +13,57 @@ def image_mean(cells: DataFrame) -> DataFrame:
     return cells.groupBy("raster_id", "band").agg(F.avg("v").alias("mean"))
 
 
+#: Bins of a round of selection; a bin of so few samples is sorted.
+BINS, SORTED = 1024, 4096
+
+
+def percentiles(cells: DataFrame, shares: list[float]) -> DataFrame:
+    """Rows (raster_id, band, p), p an array of exact percentiles, linear between samples, of the samples that are numbers.
+
+    Distributed selection: each rank starts in its band's whole range. A round counts samples by bin of the range, in partial
+    sums, and keeps the bin that holds the rank; once it holds few samples, or one value, these are sorted. So no task
+    holds a band, whatever its size, and rounds are few (each narrows a range by ``BINS``).
+    """
+    cells = cells.where(F.col("v").isNotNull() & ~F.isnan("v")).select(*PLANE, "v")
+    plane = cells.groupBy(*PLANE).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    place = lambda i: (F.col("n") - 1) * float(shares[i])
+    ends = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(up).alias("up"), ((F.ceil if up else F.floor)(place(i))).cast("long").alias("rank")) for i in range(len(shares)) for up in (False, True)])
+    # rank: among the samples of [low, high]
+    asked = saved(plane.select(*PLANE, "n", "low", "high", F.inline(ends)))
+    open_ = asked.select(*PLANE, "i", "up", "rank", "low", "high", F.col("n").alias("held"))
+    found = open_.where("low = high").select(*PLANE, "i", "up", F.col("low").alias("value"))
+    open_ = open_.where("low < high")
+    while True:
+        few = open_.where(F.col("held") <= SORTED)
+        ranges = few.groupBy(*PLANE, "low", "high").agg(F.collect_set(F.struct("i", "up", "rank")).alias("asks"))
+        sorted_ = cells.join(ranges, PLANE).where("v BETWEEN low AND high").groupBy(*PLANE, "low", "high").agg(F.first("asks").alias("asks"), F.array_sort(F.collect_list("v")).alias("vs"))
+        found = found.unionByName(sorted_.select(*PLANE, "vs", F.inline("asks")).select(*PLANE, "i", "up", F.get("vs", F.col("rank").cast("int")).alias("value")))
+        open_ = open_.where(F.col("held") > SORTED)
+        if open_.isEmpty():
+            break
+        ranges = open_.select(*PLANE, "low", "high").distinct()
+        bin_ = F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * BINS))
+        bins = cells.join(ranges, PLANE).where("v BETWEEN low AND high").groupBy(*PLANE, "low", "high", bin_.alias("bin")).agg(F.count("*").alias("held"), F.min("v").alias("from"), F.max("v").alias("to"))
+        before = F.sum("held").over(Window.partitionBy(*PLANE, "low", "high").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("held")
+        met = open_.drop("held").join(bins.withColumn("before", before), [*PLANE, "low", "high"]).where("rank >= before AND rank < before + held")
+        narrowed = saved(met.select(*PLANE, "i", "up", (F.col("rank") - F.col("before")).alias("rank"), F.col("from").alias("low"), F.col("to").alias("high"), "held"))
+        found = found.unionByName(narrowed.where("low = high").select(*PLANE, "i", "up", F.col("low").alias("value")))
+        open_ = narrowed.where("low < high")
+    of = lambda i, up: F.max(F.when((F.col("i") == i) & (F.col("up") == up), F.col("value")))
+    both = found.groupBy(*PLANE).agg(*[of(i, up).alias(f"v{i}{up}") for i in range(len(shares)) for up in (False, True)]).join(asked.select(*PLANE, "n").distinct(), PLANE)
+    between = [F.col(f"v{i}False") + (F.col(f"v{i}True") - F.col(f"v{i}False")) * (place(i) - F.floor(place(i))) for i in range(len(shares))]
+    return both.select(*PLANE, F.array(*between).alias("p"))
+
+
 def percentile_stretch(cells: DataFrame, low: float = 0.02, high: float = 0.98, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
     """Between the two percentiles of each band, 0 to 1; unchanged but clipped where they are equal.
 
-    exact: linear interpolation between samples; otherwise percentile_approx, whose state is bounded by ``accuracy``.
+    exact: linear interpolation between samples (``percentiles``); otherwise percentile_approx, whose state is bounded by
+    ``accuracy``.
     """
-    both = F.array(F.lit(low), F.lit(high))
-    bounds = F.percentile("v", both) if exact else F.percentile_approx("v", both, accuracy)
-    range_ = cells.groupBy("raster_id", "band").agg(bounds.alias("p")).select("raster_id", "band", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
+    approx = lambda: cells.groupBy("raster_id", "band").agg(F.percentile_approx("v", F.array(F.lit(low), F.lit(high)), accuracy).alias("p"))
+    bounds = percentiles(cells, [low, high]) if exact else approx()
+    range_ = bounds.select("raster_id", "band", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
     stretched = F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.col("v"))
     return cells.join(range_, ["raster_id", "band"]).withColumn("v", clip(stretched, 0, 1)).select(*COLUMNS)
 

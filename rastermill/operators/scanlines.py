@@ -347,6 +347,80 @@ def _passes(field: np.ndarray, passes: list, border: str, h: int, y0: int, n: in
     return got
 
 
+#: Samples in a block of whole columns, and taps beyond which a pass is a product of transforms instead of a sum of shifts.
+COLUMNS_BLOCK, TAPS = 1 << 19, 33
+
+
+def _smoothed(rows: np.ndarray, taps: np.ndarray, border: str) -> np.ndarray:
+    """Each row correlated with symmetric taps."""
+    reach, n = len(taps) // 2, rows.shape[1]
+    if not reach:
+        return rows * taps[0]
+    wide = np.pad(rows, ((0, 0), (reach, reach)), mode=_MODES[border])
+    if len(taps) <= TAPS:
+        return sum(k * wide[:, i : i + n] for i, k in enumerate(taps))
+    size = 1 << (wide.shape[1] + len(taps) - 2).bit_length()
+    out = np.empty_like(rows)
+    turned = np.fft.rfft(taps, size)
+    for at in range(0, len(rows), max(1, (1 << 20) // size)):
+        some = slice(at, at + max(1, (1 << 20) // size))
+        out[some] = np.fft.irfft(np.fft.rfft(wide[some], size, axis=1) * turned, size, axis=1)[:, 2 * reach : 2 * reach + n]
+    return out
+
+
+def blurs(lines: DataFrame, kernels: dict[str, tuple[Column, Column]], kernel: Callable, border: str = "reflect", width: int | None = None) -> DataFrame:
+    """Lines with an array for each name of kernels, the line blurred by ``kernel(size, sigma)`` along both axes.
+
+    Size and sigma are columns, so that each raster has its own. Along lines whole lines are at hand; then blocks of lines
+    are turned into blocks of whole columns (``width`` columns, about ``COLUMNS_BLOCK`` samples unless given), and back.
+    Every sample is shuffled twice, however wide the kernels, and no halo is copied. A task holds one block.
+    """
+    names = list(kernels)
+    sizes = {f"__k{i}": k.cast("int") for i, (k, _) in enumerate(kernels.values())} | {f"__s{i}": s.cast("double") for i, (_, s) in enumerate(kernels.values())}
+    kind, params = dict(lines.dtypes), list(sizes)
+    c = F.lit(width) if width else F.greatest(F.lit(8), F.floor(COLUMNS_BLOCK / F.col("h"))).cast("int")
+    keyed = lines.select(*LINE).withColumns(sizes | {"__c": c})
+    keys = ["raster_id", "h", "w", "band", *params]
+    arrays = ["data", *names]
+    kinds = [*[kind[k] for k in keys[:4]], *["int"] * len(names), *["double"] * len(names)]
+    schema = ", ".join(f"{n} {t}" for n, t in zip(keys, kinds)) + ", __xb int, y int, " + ", ".join(f"{n} array<double>" for n in arrays)
+
+    def taps_of(values: list, i: int) -> np.ndarray:
+        return np.array(kernel(int(values[i]), float(values[len(names) + i])))
+
+    def along(batches):
+        for batch in batches:
+            w, c = _ints(batch, "w"), _ints(batch, "__c")
+            own = [batch.column(n).to_numpy() for n in params]
+            got, parts = _Batch(batch.column("data"), w), [[] for _ in arrays]
+            for which in _alike(w, *own):
+                rows = got.rows(which)
+                parts[0].append((which, rows))
+                for i in range(len(names)):
+                    parts[i + 1].append((which, _smoothed(rows, taps_of([o[which[0]] for o in own], i), border)))
+            count = -(-w // c)
+            of = np.repeat(np.arange(len(w)), count)
+            block = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+            offsets = pa.array(np.r_[got.start[of] + block * c[of], w.sum()], pa.int32())
+            take = pa.array(of)
+            cut = [pa.ListArray.from_arrays(offsets, _lists(p, batch.num_rows).values) for p in parts]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(take) for k in keys], pa.array(block.astype(np.int32)), batch.column("y").cast(pa.int32()).take(take), *cut], [*keys, "__xb", "y", *arrays])
+
+    def down(table: pa.Table) -> pa.Table:
+        table = table.sort_by("y").combine_chunks()
+        own = [table.column(n)[0].as_py() for n in params]
+        cut = []
+        for i, name in enumerate(arrays):
+            field = table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+            field = field if not i else np.ascontiguousarray(_smoothed(np.ascontiguousarray(field.T), taps_of(own, i - 1), border).T)
+            cut.append(pa.ListArray.from_arrays(pa.array(np.arange(table.num_rows + 1) * field.shape[1], pa.int32()), pa.array(field.ravel())))
+        return pa.table([*[table.column(k) for k in (*keys, "__xb", "y")], *cut], names=[*keys, "__xb", "y", *arrays])
+
+    turned = keyed.mapInArrow(along, schema).groupBy(*keys, "__xb").applyInArrow(down, schema)
+    back = turned.groupBy(*LINE[:4], "y").agg(F.array_sort(F.collect_list(F.struct("__xb", *arrays))).alias("parts"))
+    return back.select(*LINE[:5], *[F.flatten(f"parts.{name}").alias(name) for name in arrays])
+
+
 def seam_error(lines: DataFrame) -> DataFrame:
     """Rows (raster_id, seam_error), as ``quality.seam_error``: along lines from their ends, across from the first and last line.
 

@@ -104,8 +104,15 @@ def gaussian_blur(cells: DataFrame, size: int = 0, sigma: float = 0.0, border: s
 
 
 def blurred_lines(lines: DataFrame, size: int = 0, sigma: float = 0.0, border: str = "reflect") -> DataFrame:
-    """``gaussian_blur`` in the line layout; both passes are made where a block of lines meets those around it."""
+    """``gaussian_blur`` in the line layout.
+
+    Up to ``scanlines.TAPS`` both passes are made where a block of lines meets those around it; a wider kernel would copy
+    lines to many blocks, so that blocks of lines are turned into blocks of columns instead.
+    """
     kernel = gaussian_kernel(size, sigma)
+    if len(kernel) > scanlines.TAPS:
+        wide = scanlines.blurs(lines, {"__v": (F.lit(size), F.lit(float(sigma)))}, gaussian_kernel, border)
+        return wide.withColumn("data", F.col("__v")).select(*scanlines.LINE)
     far = len(kernel) // 2
     down, across = ([(i - far, 0, [k]) for i, k in enumerate(kernel)], [(0, i - far, [k]) for i, k in enumerate(kernel)])
     return scanlines.correlate(lines, [(down, ["data"]), (across, ["data"])], border).select(*scanlines.LINE)
@@ -234,32 +241,23 @@ def height_tangent(height: DataFrame) -> DataFrame:
 # Light removal that needs the surroundings (L plane, 0 to 255).
 
 
-#: Blurs of one plan; those of more sizes of raster are saved, so many at a time.
-CLASSES = 16
+def _blurred(plane: DataFrame, **shares: tuple[float, float, float]) -> DataFrame:
+    """Cells with a column for each name: the raster blurred by a sigma that is a share of its longest edge, within bounds.
 
-
-def _blurred(plane: DataFrame, share: float, low: float, high: float, name: str) -> DataFrame:
-    """Each raster blurred by a sigma of its own longest edge: one blur for each sigma that occurs."""
-    sigma = F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), F.greatest("h", "w") * F.lit(float(share))))
-    found = sorted(r[0] for r in plane.select(sigma.alias("s")).distinct().collect())
-    if len(found) > 1:
-        plane = saved(sized(plane).withColumn("__sigma", sigma))
-    out = None
-    for at in range(0, len(found), CLASSES):
-        part = None
-        for s in found[at : at + CLASSES]:
-            own = gaussian_blur(plane.where(F.col("__sigma") == s) if len(found) > 1 else plane, size=int(s * 3) | 1, sigma=s)
-            part = own if part is None else part.unionByName(own)
-        part = saved(part) if len(found) > CLASSES else part
-        out = part if out is None else out.unionByName(part)
-    return (sized(plane) if out is None else out).select("raster_id", "band", "y", "x", F.col("v").alias(name))
+    All blurs of all rasters, of whatever size, are one exchange of lines and columns.
+    """
+    kernels = {}
+    for name, (share, low, high) in shares.items():
+        sigma = F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), F.greatest("h", "w") * F.lit(float(share))))
+        kernels[name] = (F.floor(sigma * 3).cast("int").bitwiseOR(F.lit(1)), sigma)
+    lines = scanlines.blurs(scanlines.from_cells(plane), kernels, gaussian_kernel)
+    return scanlines.split_cells(lines.withColumnRenamed("data", "v"), ["v", *shares])
 
 
 def remove_ao(plane: DataFrame, amount: float) -> DataFrame:
     """What lies below its surroundings lifted."""
-    near = _blurred(plane, 0.03, 3, 100, "__near")
-    out = plane.join(near, ["raster_id", "band", "y", "x"])
-    return sized(out.withColumn("v", clip(F.col("v") + clip((F.col("__near") - F.col("v")) / 60, 0, 1) * (amount * 35), 0, 255)))
+    out = _blurred(plane, near=(0.03, 3, 100))
+    return sized(out.withColumn("v", clip(F.col("v") + clip((F.col("near") - F.col("v")) / 60, 0, 1) * (amount * 35), 0, 255)))
 
 
 def edge_consistency(plane: DataFrame, amount: float) -> DataFrame:
@@ -271,13 +269,12 @@ def edge_consistency(plane: DataFrame, amount: float) -> DataFrame:
 
 def remove_light(plane: DataFrame, strength: float, detail: float = 0.75) -> DataFrame:
     """Divided by its low frequencies at two scales and centred at the mean again, with detail put back."""
-    on = ["raster_id", "band", "y", "x"]
-    out = plane.join(_blurred(plane, 0.15, 15, 600, "__far"), on).join(_blurred(plane, 0.05, 5, 200, "__mid"), on)
+    fine = {"fine": (0.02, 2, 50)} if detail > 0.01 else {}
+    out = _blurred(plane, far=(0.15, 15, 600), mid=(0.05, 5, 200), **fine)
     out = out.join(plane.groupBy("raster_id", "band").agg(F.greatest(F.avg("v"), F.lit(1.0)).alias("__mean")), ["raster_id", "band"])
-    lit: Column = F.col("v") / clip(F.col("__far") * 0.6 + F.col("__mid") * 0.4, 1, 255) * F.col("__mean")
-    if detail > 0.01:
-        out = out.join(_blurred(plane, 0.02, 2, 50, "__fine"), on)
-        lit = lit + (F.col("v") - F.col("__fine")) * (1 + detail * 0.5) * strength
+    lit: Column = F.col("v") / clip(F.col("far") * 0.6 + F.col("mid") * 0.4, 1, 255) * F.col("__mean")
+    if fine:
+        lit = lit + (F.col("v") - F.col("fine")) * (1 + detail * 0.5) * strength
     return sized(out.withColumn("v", clip(F.col("v") * (1 - strength) + lit * strength, 0, 255)))
 
 

@@ -338,3 +338,31 @@ def test_odd_sizes_blend(spark, noise):
     out = image_of(seams.blend_symmetric(cells_of(spark, noise[:23, :31]), 1.0))
     crossed = image_of(seams.linear_crossfade(cells_of(spark, noise[:23, :31])))
     assert out.shape == crossed.shape == (23, 31, 3) and np.isfinite(out).all() and np.isfinite(crossed).all()
+
+
+@pytest.mark.parametrize("shape", [(13, 21), (1, 9), (40, 7)])
+@pytest.mark.parametrize("size, sigma", [(7, 2.0), (45, 15.0), (0, 6.0)])
+def test_blur_by_turned_blocks_is_that_of_taps(spark, shape, size, sigma):
+    """Blocks of columns give what the halo of taps gives, with kernels beyond the raster and blocks that don't divide it."""
+    image = np.random.default_rng(3).uniform(0, 255, (*shape, 1))
+    lines = scanlines.from_cells(cells_of(spark, image))
+    kernel = stencil.gaussian_kernel(size, sigma)
+    far = len(kernel) // 2
+    taps = [([(i - far, 0, [k]) for i, k in enumerate(kernel)], ["data"]), ([(0, i - far, [k]) for i, k in enumerate(kernel)], ["data"])]
+    plain = image_of(scanlines.to_cells(scanlines.correlate(lines, taps, "reflect").select(*scanlines.LINE)))
+    turned = scanlines.blurs(lines, {"soft": (F.lit(size), F.lit(sigma))}, stencil.gaussian_kernel, width=4)
+    assert np.allclose(image_of(scanlines.to_cells(turned.withColumn("data", F.col("soft")))), plain, atol=1e-8)
+    assert np.allclose(image_of(scanlines.to_cells(turned)), image)
+
+
+def test_percentiles_are_exact_by_selection(spark, monkeypatch):
+    """Several rounds, ties across the ranks, one value only, and samples that are no numbers."""
+    monkeypatch.setattr(quality, "BINS", 4)
+    monkeypatch.setattr(quality, "SORTED", 5)
+    draw = np.random.default_rng(4)
+    bands = [draw.normal(size=400), draw.integers(0, 3, 400).astype(float), np.full(400, 7.0), np.r_[draw.exponential(size=398) ** 4, np.nan, 0.5]]
+    rows = [(1, b, float(v)) for b, band in enumerate(bands) for v in band] + [(2, 0, 3.0)]
+    got = {(r.raster_id, r.band): r.p for r in quality.percentiles(spark.createDataFrame(rows, "raster_id long, band int, v double"), [0.02, 0.5, 0.98]).collect()}
+    for b, band in enumerate(bands):
+        assert np.allclose(got[1, b], np.quantile(band[~np.isnan(band)], [0.02, 0.5, 0.98]), atol=1e-12)
+    assert got[2, 0] == [3.0, 3.0, 3.0]
