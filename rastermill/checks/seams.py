@@ -236,7 +236,7 @@ def image_mean(spark, sf):
 result AS (SELECT raster_id, h, w, band, y, x, {clip('CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE v END')} AS v FROM cells JOIN p USING (raster_id, band))""")
 def percentile_stretch(spark, sf):
     """Between the 2nd and the 98th percentile."""
-    return quality.percentile_stretch(lineitem_cells(spark, sf))
+    return quality.percentile_stretch(saved(lineitem_cells(spark, sf)))
 
 
 @query("""x AS (SELECT raster_id, max(v) / CASE raster_id % 2 WHEN 0 THEN 255 ELSE 1 END AS max_value FROM cells GROUP BY raster_id)

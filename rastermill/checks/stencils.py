@@ -206,7 +206,8 @@ mips AS (SELECT DISTINCT raster_id, band, level, n, y, x, v FROM levels)"""
 @query(_levels(8, "cells") + "\nSELECT raster_id, band::INTEGER AS band, level::INTEGER AS level, n::INTEGER AS h, y::INTEGER AS y, x::INTEGER AS x, v FROM mips", source="embedding", cells=False)
 def mip_scalar(spark, sf):
     """Levels 8, 4, 2 and 1."""
-    return pyramid.mipmaps(embedding_cells(spark, sf), "height", 3).select("raster_id", "band", "level", "h", "y", "x", "v")
+    lines = pyramid.mip_lines(embedding_lines(spark, sf), "height", 3)
+    return lines.select("raster_id", "band", "level", "h", "y", F.posexplode("data").alias("x", "v"))
 
 
 _LIN = "CASE WHEN v / 255 <= 0.04045::DOUBLE THEN v / 255 / 12.92::DOUBLE ELSE pow((v / 255 + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END"
@@ -222,7 +223,7 @@ def mip_color(spark, sf):
     """One level of colour with alpha."""
     cells = lineitem_cells(spark, sf)
     alpha = cells.where("band = 0").withColumns({"band": F.lit(3), "v": (F.col("raster_id") % 3 + F.col("y") % 2) / 4.0 * 255})
-    return pyramid.color_step(cells.unionByName(alpha))
+    return pyramid.mipmaps(cells.unionByName(alpha), "BaseColor", 1).where("level = 1")
 
 
 @query(_WIDE + """,
@@ -233,7 +234,7 @@ def mip_normal(spark, sf):
     """One level of encoded normals."""
     cells = lineitem_cells(spark, sf)
     coded = cells.withColumn("v", F.when(F.col("band") == 2, 192 + F.col("v") / 4).otherwise(F.col("v")))
-    return pyramid.normal_step(coded.unionByName(cells.where("band = 0").withColumns({"band": F.lit(3), "v": F.lit(255.0)})))
+    return pyramid.mipmaps(coded.unionByName(cells.where("band = 0").withColumns({"band": F.lit(3), "v": F.lit(255.0)})), "Normal", 1).where("level = 1")
 
 
 _ROUGH = clip(clip("0.5::DOUBLE + (v - 0.5::DOUBLE) * 1") + " * (0.5::DOUBLE * 2)")
