@@ -7,9 +7,9 @@ from hashlib import md5
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..fixtures import embedding_cells, lineitem_cells
-from ..layout import rasters, rounded
-from ..operators import masks, quality, splat, stencil
+from ..fixtures import embedding_cells, lineitem_cells, lineitem_lines
+from ..layout import rasters, rounded, saved
+from ..operators import masks, quality, scanlines, splat, stencil
 from ..plans import jobs
 from .seams import clip, crossfaded, overlapped, q4
 from .stencils import blur
@@ -21,7 +21,7 @@ placed AS (SELECT raster_id, splat_id, round_even((gy + 0.5::DOUBLE) * 3.2::DOUB
 
 
 def _placed(spark, sf):
-    cells = lineitem_cells(spark, sf)
+    cells = saved(lineitem_cells(spark, sf))
     return cells, splat.placements(rasters(cells), 8, 8, 2, seed=3)
 
 
@@ -72,9 +72,10 @@ folded AS (SELECT raster_id, band, y, x, 0::BIGINT AS n, v AS acc FROM cells UNI
 result AS (SELECT raster_id, 16 AS h, 16 AS w, band, y, x, arg_max(acc, n) AS v FROM folded GROUP BY ALL)""")
 def splat_over(spark, sf):
     """6 by 6 patches laid over each other in order."""
-    cells, placed = _placed(spark, sf)
+    lines = saved(lineitem_lines(spark, sf))
+    placed = splat.placements(lines.groupBy("raster_id").agg(F.max("h").alias("h"), F.max("w").alias("w")), 8, 8, 2, seed=3)
     cut = placed.withColumns({"py0": F.col("splat_id") % 7, "px0": F.col("splat_id") % 5})
-    return splat.over(splat.gaussian_layers(cells, cut, 6), cells)
+    return scanlines.to_cells(splat.over(splat.gaussian_layers(lines, cut, 6), lines))
 
 
 def _uniform(*parts) -> float:

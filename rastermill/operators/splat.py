@@ -1,12 +1,18 @@
-"""Patch synthesis: placements on a jittered grid, a bank of patches, weighted sums and ordered layers."""
+"""Patch synthesis: placements on a jittered grid, a bank of patches, weighted sums and ordered layers.
+
+Patches are laid line by line: a placement meets the lines of its patch, as arrays, and each line goes to the raster's line
+that it falls on, where all that fall there are summed, or laid over each other in order. No sample is a row by itself.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..layout import COLUMNS, clip, col, saved, sized
-from . import masks
+from ..layout import COLUMNS, col, saved, sized
+from . import masks, scanlines
 from .geometry import resize_area, rotate
 
 #: Distance of placements in patch edges, jitter in cells of the grid, and bytes of a bank (fixed values).
@@ -74,11 +80,83 @@ def patch_bank(cells: DataFrame, scale: Amount = 1.0, rotation: Amount = 0.0, ra
     return turned.select("raster_id", "patch_id", F.col("y").alias("py"), F.col("x").alias("px"), "band", "v", mask.alias("alpha"))
 
 
+def patch_lines(patches: DataFrame) -> DataFrame:
+    """Rows (raster_id, patch_id, band, py, v, alpha), v and alpha the arrays of a patch's line, of its samples."""
+    line = F.array_sort(F.collect_list(F.struct("px", "v", "alpha")))
+    lines = patches.groupBy("raster_id", "patch_id", "band", "py").agg(line.alias("line"))
+    return lines.select("raster_id", "patch_id", "band", "py", F.col("line.v").alias("v"), F.col("line.alpha").alias("alpha"))
+
+
+def _falling(placed: DataFrame, lines: DataFrame, rasters: DataFrame) -> DataFrame:
+    """Patch lines (left, v, alpha) at the raster's lines (raster_id, h, w, band, y) that they fall on, around the wrap."""
+    met = placed.join(lines, ["raster_id", "patch_id"]).join(rasters.select("raster_id", "h", "w"), "raster_id")
+    y = F.pmod(F.col("top") + F.col("py"), F.col("h")).cast("int")
+    return met.select("raster_id", F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), F.col("band").cast("int").alias("band"), y.alias("y"), F.struct(F.lit(0).alias("n"), F.col("left").cast("int").alias("left"), "v", "alpha").alias("laid"))
+
+
+class _Laid:
+    """Arrow lists ``laid`` of (n, left, v, alpha), one for each line of a raster, as flat arrays."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.w = scanlines._ints(batch, "w")
+        laid = batch.column("laid")
+        count, flat = np.diff(laid.offsets.to_numpy()), laid.flatten()
+        self.group, self.n, left = np.repeat(np.arange(len(self.w)), count), flat.field("n").to_numpy(), flat.field("left").to_numpy()
+        self.start = np.r_[0, np.cumsum(self.w)]
+        v = flat.field("v")
+        self.long = np.diff(v.offsets.to_numpy())
+        self.first = np.r_[0, np.cumsum(self.long)][:-1]
+        inside = np.arange(self.long.sum()) - np.repeat(self.first, self.long)
+        self.at = np.repeat(self.start[self.group], self.long) + (np.repeat(left, self.long) + inside) % np.repeat(self.w[self.group], self.long)
+        self.v, self.alpha = v.flatten().to_numpy(zero_copy_only=False), flat.field("alpha").flatten().to_numpy(zero_copy_only=False)
+
+    def lists(self, flat: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(self.start, pa.int32()), pa.array(flat))
+
+
+def _summed(falling: DataFrame) -> DataFrame:
+    """Lines with arrays total and weight of what falls on each, and base, the line of n = 1 (0 where there is none)."""
+    kind = dict(falling.dtypes)["raster_id"]
+    keys = ["raster_id", "h", "w", "band", "y"]
+
+    def run(batches):
+        for batch in batches:
+            own = _Laid(batch)
+            patch = np.repeat(own.n == 0, own.long) & (own.alpha > 1e-7)
+            total, weight = (np.bincount(own.at[patch], weights, minlength=own.start[-1]) for weights in ((own.v * own.alpha)[patch], own.alpha[patch]))
+            base, under = np.zeros(own.start[-1]), np.repeat(own.n == 1, own.long)
+            base[own.at[under]] = own.v[under]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], own.lists(total), own.lists(weight), own.lists(base)], [*keys, "total", "weight", "base"])
+
+    gathered = falling.groupBy(*keys).agg(F.collect_list("laid").alias("laid"))
+    return gathered.mapInArrow(run, f"raster_id {kind}, h int, w int, band int, y int, total array<double>, weight array<double>, base array<double>")
+
+
 def accumulate(placed: DataFrame, patches: DataFrame, rasters: DataFrame) -> DataFrame:
     """Rows (raster_id, band, y, x, total, weight): commutative weighted sums of all patch cells on the wrapped raster."""
-    met = placed.join(patches.where("alpha > 1e-7"), ["raster_id", "patch_id"]).join(rasters.select("raster_id", "h", "w"), "raster_id")
-    y, x = F.pmod(F.col("top") + F.col("py"), F.col("h")).cast("int"), F.pmod(F.col("left") + F.col("px"), F.col("w")).cast("int")
-    return met.groupBy("raster_id", "band", y.alias("y"), x.alias("x")).agg(F.sum(F.col("v") * F.col("alpha")).alias("total"), F.sum("alpha").alias("weight"))
+    sums = _summed(_falling(placed, patch_lines(patches), rasters))
+    return scanlines.split_cells(sums, ["total", "weight"]).where("weight > 0").drop("h", "w")
+
+
+def lay(placed: DataFrame, lines: DataFrame, canvas: DataFrame) -> DataFrame:
+    """Lines of the canvas with arrays data, the weighted means of the patch lines on it, and weight.
+
+    Where hardly any patch lies, data is the canvas's own.
+    """
+    sizes = canvas.groupBy("raster_id").agg(F.max("h").alias("h"), F.max("w").alias("w"))
+    under = canvas.select("raster_id", *[F.col(c).cast("int").alias(c) for c in ("h", "w", "band", "y")], F.struct(F.lit(1).alias("n"), F.lit(0).alias("left"), F.col("data").alias("v"), F.col("data").alias("alpha")).alias("laid"))
+    sums = _summed(_falling(placed, lines, sizes).unionByName(under))
+    kind = dict(sums.dtypes)["raster_id"]
+
+    def run(batches):
+        for batch in batches:
+            total, weight, base = (batch.column(c).flatten().to_numpy() for c in ("total", "weight", "base"))
+            data = np.where(weight > 1e-9, total / np.maximum(weight, 1e-9), base)
+            starts = batch.column("total").offsets.to_numpy()
+            made = pa.ListArray.from_arrays(pa.array(starts - starts[0], pa.int32()), pa.array(data))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in scanlines.LINE[:5]], made, batch.column("weight")], [*scanlines.LINE, "weight"])
+
+    return sums.mapInArrow(run, f"raster_id {kind}, h int, w int, band int, y int, data array<double>, weight array<double>")
 
 
 def resolve(sums: DataFrame, canvas: DataFrame) -> DataFrame:
@@ -88,34 +166,61 @@ def resolve(sums: DataFrame, canvas: DataFrame) -> DataFrame:
 
 
 def over(layers: DataFrame, canvas: DataFrame) -> DataFrame:
-    """Layers (raster_id, splat_id, band, y, x, alpha, v) laid over the canvas in the order of splat_id; faint ones are skipped."""
-    steps = layers.where("alpha >= 0.001").groupBy("raster_id", "band", "y", "x").agg(F.array_sort(F.collect_list(F.struct("splat_id", "alpha", F.col("v").alias("s")))).alias("steps"))
-    met = canvas.join(steps, ["raster_id", "band", "y", "x"], "left")
-    laid = F.aggregate(F.coalesce("steps", F.expr("cast(array() as array<struct<splat_id:int,alpha:double,s:double>>)")), F.col("v"), lambda acc, s: (1 - s["alpha"]) * acc + s["alpha"] * s["s"])
-    return sized(met.withColumn("v", laid))
-
-
-def gaussian_layers(cells: DataFrame, placed: DataFrame, patch: int, wrap: bool = True) -> DataFrame:
-    """Layers of square patches cut from each raster: placements (raster_id, splat_id, top, left, py0, px0) with a Gaussian alpha."""
-    sigma = patch / 4
-    spread = placed.withColumn("dy", F.explode(F.sequence(F.lit(0), F.lit(patch - 1)))).withColumn("dx", F.explode(F.sequence(F.lit(0), F.lit(patch - 1))))
-    far = (F.col("dx") - patch // 2) * (F.col("dx") - patch // 2) + (F.col("dy") - patch // 2) * (F.col("dy") - patch // 2)
-    sizes = cells.groupBy("raster_id").agg(F.max("h").alias("h"), F.max("w").alias("w"))
-    at = spread.withColumn("alpha", F.exp(-far / (2 * sigma * sigma))).where("alpha >= 0.001").join(sizes, "raster_id")
-    to_y, to_x = F.col("top") + F.col("dy"), F.col("left") + F.col("dx")
+    """Layers (raster_id, splat_id, band, y, left, alpha, v), alpha and v lines, laid over the canvas's lines in the order of splat_id.
+
+    Samples of an alpha below 0.001 are skipped. A layer is no wider than its raster.
+    """
+    kind = dict(canvas.dtypes)["raster_id"]
+    keys = ["raster_id", "h", "w", "band", "y"]
+    under = canvas.select("raster_id", *[F.col(c).cast("int").alias(c) for c in keys[1:]], F.struct(F.lit(-1).cast("long").alias("n"), F.lit(0).alias("left"), F.col("data").alias("v"), F.col("data").alias("alpha")).alias("laid"))
+    sizes = canvas.groupBy("raster_id").agg(F.max("h").cast("int").alias("h"), F.max("w").cast("int").alias("w"))
+    upper = layers.join(sizes, "raster_id").select("raster_id", "h", "w", F.col("band").cast("int").alias("band"), F.col("y").cast("int").alias("y"), F.struct(F.col("splat_id").cast("long").alias("n"), F.col("left").cast("int").alias("left"), "v", "alpha").alias("laid"))
+    gathered = under.unionByName(upper).groupBy(*keys).agg(F.array_sort(F.collect_list("laid")).alias("laid"))
+
+    def run(batches):
+        for batch in batches:
+            own = _Laid(batch)
+            data = np.zeros(own.start[-1])
+            # the line itself comes first; the n-th layers of all lines are laid at once
+            depth = np.arange(len(own.group)) - np.searchsorted(own.group, own.group)
+            level = np.repeat(depth, own.long)
+            for i in range(int(depth.max(initial=-1)) + 1):
+                on = level == i
+                at, v, a = own.at[on], own.v[on], own.alpha[on]
+                if not i:
+                    data[at] = v
+                else:
+                    at, v, a = at[a >= 0.001], v[a >= 0.001], a[a >= 0.001]
+                    data[at] = (1 - a) * data[at] + a * v
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], own.lists(data)], scanlines.LINE)
+
+    return gathered.mapInArrow(run, f"raster_id {kind}, h int, w int, band int, y int, data array<double>")
+
+
+def gaussian_layers(lines: DataFrame, placed: DataFrame, patch: int, wrap: bool = True) -> DataFrame:
+    """Layers of square patches cut from each raster: placements (raster_id, splat_id, top, left, py0, px0) with a Gaussian alpha.
+
+    Without wrap, what lies beyond the border is left out.
+    """
+    far = patch / 4
+    spread = placed.withColumn("dy", F.explode(F.sequence(F.lit(0), F.lit(patch - 1))))
+    sizes = lines.groupBy("raster_id").agg(F.max("h").alias("h"), F.max("w").alias("w"))
+    at = spread.join(sizes, "raster_id").withColumns({"ty": F.col("top") + F.col("dy"), "y": F.pmod(F.col("py0") + F.col("dy"), F.col("h")).cast("int")})
     if not wrap:
-        at = at.where((to_y >= 0) & (to_y < F.col("h")) & (to_x >= 0) & (to_x < F.col("w")))
-    at = at.select("raster_id", "splat_id", "alpha", F.pmod(to_y, F.col("h")).cast("int").alias("ty"), F.pmod(to_x, F.col("w")).cast("int").alias("tx"),
-                   F.pmod(F.col("py0") + F.col("dy"), F.col("h")).cast("int").alias("y"), F.pmod(F.col("px0") + F.col("dx"), F.col("w")).cast("int").alias("x"))
-    met = at.join(cells.select("raster_id", "band", "y", "x", "v"), ["raster_id", "y", "x"])
-    return met.select("raster_id", "splat_id", "band", F.col("ty").alias("y"), F.col("tx").alias("x"), "alpha", "v")
+        at = at.where((F.col("ty") >= 0) & (F.col("ty") < F.col("h")))
+    steps = F.sequence(F.lit(0), F.lit(patch - 1))
+    square = (F.col("dy") - patch // 2) * (F.col("dy") - patch // 2)
+    alpha = F.transform(steps, lambda x: F.when(F.lit(wrap) | ((F.col("left") + x >= 0) & (F.col("left") + x < F.col("w"))), F.exp(-((x - patch // 2) * (x - patch // 2) + square) / (2 * far * far))).otherwise(0.0))
+    v = F.transform(steps, lambda x: F.get("data", F.pmod(F.col("px0") + x, F.col("w")).cast("int")))
+    met = at.join(lines.select("raster_id", "band", "y", "data"), ["raster_id", "y"])
+    return met.select("raster_id", "splat_id", "band", F.pmod("ty", F.col("h")).cast("int").alias("y"), "left", alpha.alias("alpha"), v.alias("v"))
 
 
 def synthesize(cells: DataFrame, scale: Amount = 0.5, rotation: Amount = 0.0, rand_rot: Amount = 0.0, wobble: Amount = 0.2, falloff: Amount = 0.2, seed: int | Column = 0, count: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Each raster covered with patches of itself, and the weights (cells of band 0) that lie on it."""
-    bank = saved(patch_bank(cells, scale, rotation, rand_rot, wobble, falloff, seed, count))
+    bank = saved(patch_lines(patch_bank(cells, scale, rotation, rand_rot, wobble, falloff, seed, count)))
     rasters = saved(banks(cells, scale, rand_rot, wobble, count))
-    sums = saved(accumulate(placements(rasters, F.col("ph"), F.col("pw"), F.col("n"), seed), bank, rasters))
-    out = resolve(sums, cells)
-    weights = cells.where("band = 0").join(sums.where("band = 0").select("raster_id", "y", "x", "weight"), ["raster_id", "y", "x"], "left")
-    return sized(out.withColumn("v", clip("v", 0, 255))), weights.withColumn("v", F.coalesce("weight", F.lit(0.0))).select(*COLUMNS)
+    laid = saved(lay(placements(rasters, F.col("ph"), F.col("pw"), F.col("n"), seed), bank, scanlines.from_cells(cells)))
+    out = scanlines.to_cells(laid.withColumn("data", F.transform("data", lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(255.0)))))
+    weights = scanlines.to_cells(laid.where("band = 0").withColumn("data", F.col("weight")))
+    return out.select(*COLUMNS), weights.select(*COLUMNS)
