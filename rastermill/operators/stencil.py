@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -199,35 +200,111 @@ def ao_map(height: DataFrame, normal: DataFrame | None = None, radius: int = 16,
     return wide.select("raster_id", "h", "w", F.lit(0).alias("band"), "y", "x", out.alias("v"))
 
 
+#: Samples in a block of lines that is filled at once, halo aside.
+FILLED = 1 << 16
+
+
+def disc(radius: int) -> list[tuple[int, int, float]]:
+    """(dy, dx, weight) of all places within the radius but the middle: 1 / distance squared."""
+    square = [(dy, dx, dy * dy + dx * dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)]
+    return [(dy, dx, 1.0 / d) for dy, dx, d in square if 0 < d <= radius * radius]
+
+
+def _filled(v: np.ndarray, gap: np.ndarray, low: int, high: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lines low to high of fields (rasters, lines, samples), and what is still a gap: a normalised convolution.
+
+    Known samples times weight, and weights, are summed around each gap; only columns with gaps are worked on.
+    """
+    own, open_ = v[:, low:high].copy(), gap[:, low:high].copy()
+    columns = np.flatnonzero(open_.any(axis=(0, 1)))
+    if not len(columns):
+        return own, open_
+    a, b = int(columns[0]), int(columns[-1]) + 1
+    pad = ((0, 0), (radius, radius), (radius, radius))
+    known = np.pad(np.where(gap, 0.0, 1.0), pad)
+    value = np.pad(np.where(gap, 0.0, v), pad)
+    total, weight = np.zeros((len(v), high - low, b - a)), np.zeros((len(v), high - low, b - a))
+    for dy, dx, k in disc(radius):
+        part = np.s_[:, low + radius + dy : high + radius + dy, a + radius + dx : b + radius + dx]
+        total += k * value[part]
+        weight += k * known[part]
+    done = open_[:, :, a:b] & (weight > 0)
+    own[:, :, a:b][done] = (total[done] / weight[done])
+    open_[:, :, a:b] &= ~done
+    return own, open_
+
+
+def gap_fill_lines(lines: DataFrame, radius: int | Column = 5) -> DataFrame:
+    """Lines whose samples under ``gap`` (array of booleans) are the mean of known ones within radius, by 1 / distance squared.
+
+    Blocks of lines that hold gaps get the lines around them and are filled by a normalised convolution; those filled count
+    as known in the next round, in which only blocks that still hold gaps, and their neighbours, take part. Other lines are
+    never moved or written again. Rounds end when no gap is left that can be reached.
+    """
+    kind = dict(lines.dtypes)["raster_id"]
+    ints = {c: F.col(c).cast("int") for c in ("h", "w", "band", "y")}
+    keyed = lines.withColumns(ints).withColumn("__r", (F.lit(radius) if isinstance(radius, int) else radius).cast("int"))
+    keyed = keyed.withColumn("__size", F.greatest(F.lit(1), F.col("__r"), F.floor(FILLED / F.col("w"))).cast("int")).withColumn("__block", F.floor(F.col("y") / F.col("__size")).cast("int"))
+    columns, place = [*scanlines.LINE, "gap", "__r", "__size", "__block"], ["raster_id", "band", "__block"]
+    state = saved(keyed.select(*columns))
+    keys = ["raster_id", "h", "w", "band", "__r", "__size", "__block"]
+
+    def run(batches):
+        for batch in batches:
+            rows, own = batch.column("rows"), [scanlines._ints(batch, c) for c in ("h", "w", "__r", "__size", "__block")]
+            count = np.diff(rows.offsets.to_numpy())
+            flat, first = rows.flatten(), np.r_[0, np.cumsum(count)][:-1]
+            y, width = flat.field("y").to_numpy().astype(np.int64), np.repeat(own[1], count)
+            data, gaps = scanlines._Batch(flat.field("data"), width), scanlines._Batch(flat.field("gap"), width)
+            which_, y_, parts, open_, done = [], [], [], [], 0
+            for which in scanlines._alike(*own, count, y[first], y[first + count - 1]):
+                h, w, r, size, block = (int(o[which[0]]) for o in own)
+                n, at = int(count[which[0]]), (first[which][:, None] + np.arange(count[which[0]])).ravel()
+                ys = y[first[which[0]] : first[which[0]] + n]
+                low, high = int(np.searchsorted(ys, block * size)), int(np.searchsorted(ys, (block + 1) * size))
+                v, left = _filled(data.rows(at).reshape(-1, n, w), gaps.rows(at).astype(bool).reshape(-1, n, w), low, high, r)
+                which_.append(np.repeat(which, high - low))
+                y_.append(np.tile(ys[low:high], len(which)))
+                parts.append((done + np.arange(len(which) * (high - low)), v.reshape(-1, w)))
+                open_.append((parts[-1][0], left.reshape(-1, w).astype(float)))
+                done += len(which) * (high - low)
+            if done:
+                take = pa.array(np.concatenate(which_))
+                left = scanlines._lists(open_, done)
+                left = pa.ListArray.from_arrays(left.offsets, pa.array(left.values.to_numpy() > 0))
+                made = {k: batch.column(k).take(take) for k in keys} | {"y": pa.array(np.concatenate(y_).astype(np.int32)), "data": scanlines._lists(parts, done), "gap": left}
+                yield pa.RecordBatch.from_arrays([made[c] for c in columns], columns)
+
+    schema = f"raster_id {kind}, h int, w int, band int, y int, data array<double>, gap array<boolean>, __r int, __size int, __block int"
+    holes = lambda df: df.where(F.exists("gap", lambda g: g)).select(*place).distinct()
+    out, before = None, None
+    while True:
+        left = state.agg(F.sum(F.size(F.filter("gap", lambda g: g)))).first()[0]
+        if not left or left == before:
+            return (state if out is None else out.unionByName(state)).select(*scanlines.LINE)
+        before, targets = left, saved(holes(state))
+        beside = F.explode(F.array(*[F.col("__block") + i for i in (-1, 0, 1)]))
+        near = targets.select("raster_id", "band", beside.alias("__block")).distinct()
+        rest = state.join(near, place, "left_anti").select(*columns)
+        out = rest if out is None else out.unionByName(rest)
+        state = state.join(near, place, "left_semi").select(*columns)
+        # a line is in the halo of a block beside its own if it lies within the radius of it
+        first, last = F.col("to") * F.col("__size") - F.col("__r"), (F.col("to") + 1) * F.col("__size") - 1 + F.col("__r")
+        dealt = state.withColumn("to", beside).where(F.col("y").between(first, last)).withColumn("__block", F.col("to")).join(targets, place, "left_semi")
+        blocks = dealt.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("y", "data", "gap"))).alias("rows"))
+        state = saved(blocks.mapInArrow(run, schema).unionByName(state.join(targets, place, "left_anti").select(*columns)))
+
+
 def gap_fill(cells: DataFrame, mask: DataFrame, radius: int | Column = 5) -> DataFrame:
     """Masked cells (mask v > 0, rows (raster_id, y, x, v)) as the mean of known cells within ``radius``, by 1 / distance squared.
 
-    radius: a number of 1 or more, or a column of the raster's size or key. Known cells near the mask go to the masked
-    ones around them; those filled count as known in the next round, until none is left that can be reached. Only a
-    raster without any known cell keeps masked values. Each round is saved.
+    radius: a number of 1 or more, or a column of the raster's size or key. Only a raster without any known cell keeps
+    masked values. See ``gap_fill_lines``.
     """
-    marked = cells.join(mask.select("raster_id", "y", "x", (F.col("v") > 0).alias("__gap")), ["raster_id", "y", "x"], "left").withColumn("__gap", F.coalesce("__gap", F.lit(False)))
-    marked = marked.withColumn("__r", (F.lit(radius) if isinstance(radius, int) else radius).cast("int"))
-    reach = F.sequence(-F.col("__r"), F.col("__r"))
-    square = F.col("__dy") * F.col("__dy") + F.col("__dx") * F.col("__dx")
-    open_before = None
-    while True:
-        # cells whose block of r by r cells and the blocks around it hold no masked cell reach none, and are not dealt out
-        gaps = marked.where("__gap").select("raster_id", "band", "y", "x", "__r")
-        blocks = lambda c: F.floor(F.col(c) / F.greatest("__r", F.lit(1)))
-        beside = F.sequence(F.lit(-1), F.lit(1))
-        near = gaps.select("raster_id", "band", blocks("y").alias("__by"), blocks("x").alias("__bx")).distinct()
-        near = near.withColumn("i", F.explode(beside)).withColumn("j", F.explode(beside)).select("raster_id", "band", (F.col("__by") + F.col("i")).alias("__by"), (F.col("__bx") + F.col("j")).alias("__bx")).distinct()
-        known = marked.where("not __gap").withColumns({"__by": blocks("y"), "__bx": blocks("x")}).join(near, ["raster_id", "band", "__by", "__bx"], "left_semi")
-        given = known.withColumn("__dy", F.explode(reach)).withColumn("__dx", F.explode(reach)).where((square > 0) & (square <= F.col("__r") * F.col("__r"))).withColumn("__k", F.lit(1.0) / square)
-        given = given.select("raster_id", "band", (F.col("y") + F.col("__dy")).alias("y"), (F.col("x") + F.col("__dx")).alias("x"), (F.col("v") * F.col("__k")).alias("n"), F.col("__k").alias("d"))
-        filled = given.groupBy("raster_id", "band", "y", "x").agg((F.sum("n") / F.sum("d")).alias("__fill"))
-        met = marked.join(filled, ["raster_id", "band", "y", "x"], "left").withColumn("v", F.when(F.col("__gap"), F.coalesce("__fill", "v")).otherwise(F.col("v")))
-        marked = saved(met.withColumn("__gap", F.col("__gap") & F.col("__fill").isNull()).select(*COLUMNS, "__gap", "__r"))
-        left = marked.where("__gap").count()
-        if not left or left == open_before:
-            return sized(marked)
-        open_before = left
+    marked = mask.groupBy("raster_id", "y").agg(F.collect_set(F.when(F.col("v") > 0, F.col("x"))).alias("gaps"))
+    lines = scanlines.from_cells(cells).join(marked, ["raster_id", "y"], "left")
+    gap = F.transform("data", lambda v, i: F.coalesce(F.array_contains("gaps", i), F.lit(False)))
+    return scanlines.to_cells(gap_fill_lines(lines.withColumn("gap", gap), radius)).select(*COLUMNS)
 
 
 def height_tangent(height: DataFrame) -> DataFrame:

@@ -382,3 +382,23 @@ def test_pyramids_on_lines_are_those_on_cells(spark, monkeypatch, name, bands, s
     want = plain.select(*key, "v").toPandas().astype(float).sort_values(key).to_numpy()
     got = pyramid.mipmaps(cells, name).select(*key, "v").toPandas().astype(float).sort_values(key).to_numpy()
     assert (want[:, :6] == got[:, :6]).all() and np.abs(want[:, 6] - got[:, 6]).max() <= 1 and (want[:, 6] != got[:, 6]).mean() < 0.02
+
+
+def test_gap_fill_by_blocks_is_that_of_the_plain_rule(spark, monkeypatch):
+    """Rounds over blocks of a few lines: gaps wider than the radius, at the border, and one raster all gaps."""
+    monkeypatch.setattr(stencil, "FILLED", 40)
+    draw = np.random.default_rng(6)
+    image, gap = draw.uniform(0, 255, (23, 13)), np.zeros((23, 13), bool)
+    gap[8:15, :], gap[:, 5:9], gap[0, 0] = True, True, True
+    want, open_ = image.copy(), gap.copy()
+    while open_.any():
+        known, before = ~open_, want.copy()
+        for y, x in np.argwhere(open_):
+            near = [(before[j, i], 1 / ((j - y) ** 2 + (i - x) ** 2)) for j, i in np.argwhere(known) if 0 < (j - y) ** 2 + (i - x) ** 2 <= 9]
+            if near:
+                want[y, x] = sum(v * k for v, k in near) / sum(k for _, k in near)
+                open_[y, x] = False
+    cells = cells_of(spark, image).unionByName(cells_of(spark, image[:5, :5]).withColumn("raster_id", F.lit(2).cast("long")))
+    mask = [(1, int(y), int(x), 255.0) for y, x in np.argwhere(gap)] + [(2, y, x, 1.0) for y in range(5) for x in range(5)]
+    out = stencil.gap_fill(cells, spark.createDataFrame(mask, "raster_id long, y int, x int, v double"), 3)
+    assert np.allclose(image_of(out.where("raster_id = 1"))[..., 0], want) and np.allclose(image_of(out.where("raster_id = 2"))[..., 0], image[:5, :5])
