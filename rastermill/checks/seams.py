@@ -142,9 +142,13 @@ def blend_one_sided(spark, sf):
 _OW = "((cos(abs(a.{0} - 8)::DOUBLE / 3 * " + repr(math.pi) + "::DOUBLE) + 1) * 0.5::DOUBLE)"
 
 
-@query(f"""result AS (SELECT a.raster_id, a.h, a.w, a.band, a.y, a.x, CASE WHEN abs(a.y - 8) BETWEEN 1 AND 3 THEN a.v * {_OW.format('y')} + b.v * (1 - {_OW.format('y')})
-  WHEN abs(a.x - 8) BETWEEN 1 AND 3 THEN a.v * {_OW.format('x')} + b.v * (1 - {_OW.format('x')}) ELSE a.v END AS v
-  FROM cells a JOIN cells b ON a.raster_id = b.raster_id AND a.y = b.y AND a.x = b.x AND b.band = 1 WHERE a.band = 0)""")
+#: Three bands of a pixel as a, b and c, without joins.
+_PIXELS = "pixels AS MATERIALIZED (SELECT raster_id, h, w, y, x, max(v) FILTER (WHERE band = 0) AS a, max(v) FILTER (WHERE band = 1) AS b, max(v) FILTER (WHERE band = 2) AS c FROM cells GROUP BY raster_id, h, w, y, x)"
+
+
+@query(f"""{_PIXELS},
+result AS (SELECT raster_id, h, w, 0 AS band, y, x, CASE WHEN abs(y - 8) BETWEEN 1 AND 3 THEN a * {_OW.format('y').replace('a.', '')} + b * (1 - {_OW.format('y').replace('a.', '')})
+  WHEN abs(x - 8) BETWEEN 1 AND 3 THEN a * {_OW.format('x').replace('a.', '')} + b * (1 - {_OW.format('x').replace('a.', '')}) ELSE a END AS v FROM pixels)""")
 def blend_with_original(spark, sf):
     """Band 0 with band 1 as the original."""
     cells = lineitem_cells(spark, sf)
@@ -177,8 +181,7 @@ def overlap_synthesis(spark, sf):
     return scanlines.to_cells(scanlines.overlap(saved(lineitem_lines(spark, sf)), 0.25, 0.25, 0.5))
 
 
-@query("""result AS (SELECT a.raster_id, a.h, a.w, 0 AS band, a.y, a.x, a.v * (1 - c.v / 255) + b.v * (c.v / 255) AS v
-  FROM cells a JOIN cells b USING (raster_id, y, x) JOIN cells c USING (raster_id, y, x) WHERE a.band = 0 AND b.band = 1 AND c.band = 2)""")
+@query(f"{_PIXELS},\nresult AS (SELECT raster_id, h, w, 0 AS band, y, x, a * (1 - c / 255) + b * (c / 255) AS v FROM pixels)")
 def alpha_blend(spark, sf):
     """Bands 0 and 1 by band 2 as alpha."""
     cells = lineitem_cells(spark, sf)

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..fixtures import embedding_cells, embedding_lines, lineitem_cells, lineitem_lines
+from ..functions import color
 from ..operators import masks, pyramid, scanlines, stencil
 from ..plans import jobs
 from .seams import clip
-from .tone import _WIDE
+from .tone import _lab, _WIDE
 
 
 def _index(axis: str, shift: str, n: int, border: str) -> str:
@@ -190,7 +191,50 @@ def edge_consistency(spark, sf):
     return stencil.edge_consistency(embedding_cells(spark, sf), 0.5)
 
 
-@query()
+def _plane(name: str, of: str, v: str, joins: str = "") -> str:
+    """A step of light removal on cells c of a plane."""
+    return f"{name} AS (SELECT c.raster_id, c.h, c.w, c.band, c.y, c.x, {v} AS v FROM {of} c {joins})"
+
+
+def folded(name: str, of: str, kernel: list[float], n: int) -> str:
+    """``blur``, reflected, by the weights that a kernel gives each pair of places: no more rows than n for each target."""
+    taps = ", ".join(f"({i - len(kernel) // 2}, {k!r}::DOUBLE)" for i, k in enumerate(kernel))
+    turns = 4 * (n - 1) * (1 + len(kernel) // n)
+    place = f"(CASE WHEN (t + d + {turns}) % {2 * n - 2} < {n} THEN (t + d + {turns}) % {2 * n - 2} ELSE {2 * n - 2} - (t + d + {turns}) % {2 * n - 2} END)"
+    return f"""{name}_k AS (SELECT t, {place} AS s, sum(k) AS k FROM range({n}) r(t), (VALUES {taps}) v(d, k) GROUP BY ALL),
+{name}_down AS (SELECT c.raster_id, c.h, c.w, c.band, k.t AS y, c.x, sum(c.v * k.k) AS v FROM {of} c JOIN {name}_k k ON k.s = c.y GROUP BY ALL),
+{name} AS (SELECT c.raster_id, c.h, c.w, c.band, c.y, k.t AS x, sum(c.v * k.k) AS v FROM {name}_down c JOIN {name}_k k ON k.s = c.x GROUP BY ALL)"""
+
+
+def _delight(strength: float, flatness: float, shadow: float, highlight: float, contrast: float, ao: float, edges: float) -> str:
+    """All steps in order, for edges of 16: kernels of 45, 15, 7 and 9 taps follow from that."""
+    kernel, at = stencil.gaussian_kernel, "USING (raster_id, band, y, x)"
+    mean = lambda name, of, least="": f"{name} AS (SELECT raster_id, band, {'greatest(avg(v), 1)' if least else 'avg(v)'} AS m FROM {of} GROUP BY ALL)"
+    lit = f"c.v / {clip('a.v * 0.6::DOUBLE + b.v * 0.4::DOUBLE', '1', '255')} * m.m + (c.v - f.v) * (1 + 0.75::DOUBLE * 0.5::DOUBLE) * {strength!r}::DOUBLE"
+    lab = ["(116 * fq - 16) * 255 / 100", "500 * (fp - fq) + 128", "200 * (fq - fs) + 128"]
+    cases = " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(lab))
+    xyz = ", ".join(f"CASE WHEN {f} * {f} * {f} > 0.008856::DOUBLE THEN {f} * {f} * {f} ELSE ({f} - 16 / 116.0::DOUBLE) / 7.787::DOUBLE END * {w!r}::DOUBLE AS {n}" for f, w, n in zip(("fx", "fy", "fz"), color.WHITE, ("xx", "yy", "zz")))
+    lights = ", ".join(f"{r[0]!r}::DOUBLE * xx + {r[1]!r}::DOUBLE * yy + {r[2]!r}::DOUBLE * zz AS {n}" for r, n in zip(color.RGB, ("r", "g", "b")))
+    coded = lambda n: f"CASE WHEN {n} <= 0.0031308::DOUBLE THEN {n} * 12.92::DOUBLE ELSE 1.055::DOUBLE * pow({n}, 1 / 2.4::DOUBLE) - 0.055::DOUBLE END * 255"
+    whole = ", ".join(f"max(CASE WHEN band = {i} THEN floor({clip('v', high='255')}) END) AS {n}" for i, n in enumerate(("l", "a", "b")))
+    steps = [
+        _WIDE, _lab(), f"lab8 AS (SELECT raster_id, h, w, n AS band, y, x, round_even({clip(f'CASE n {cases} END', high='255')}, 0) AS v FROM lab, range(3) k(n))", "p0 AS (SELECT * FROM lab8 WHERE band = 0)",
+        folded("far", "p0", kernel(45, 15.0), 16), folded("mid", "p0", kernel(15, 5.0), 16), folded("fine", "p0", kernel(7, 2.0), 16), mean("m0", "p0", "1"),
+        _plane("p1", "p0", clip(f"c.v * (1 - {strength!r}::DOUBLE) + ({lit}) * {strength!r}::DOUBLE", high="255"), f"JOIN far a {at} JOIN mid b {at} JOIN fine f {at} JOIN m0 m USING (raster_id, band)"),
+        _plane("p2", "p1", clip(f"c.v + {clip('1 - c.v / 80')} * {shadow * 40!r}::DOUBLE", high="255")), mean("m2", "p2"),
+        _plane("p3", "p2", clip(f"c.v - {clip('(c.v - 180) / 75')} * (c.v - m.m) * {highlight * 0.6!r}::DOUBLE", high="255"), "JOIN m2 m USING (raster_id, band)"), folded("near", "p3", kernel(9, 3.0), 16),
+        _plane("p4", "p3", clip(f"c.v + {clip('(s.v - c.v) / 60')} * {ao * 35!r}::DOUBLE", high="255"), f"JOIN near s {at}"), mean("m4", "p4"),
+        _plane("p5", "p4", clip(f"m.m + (c.v - m.m) * {1 + contrast * 0.8!r}::DOUBLE", high="255"), "JOIN m4 m USING (raster_id, band)"), folded("soft", "p5", kernel(0, 0.5 + edges * 2), 16),
+        _plane("p6", "p5", f"c.v * {1 - edges * 0.3!r}::DOUBLE + s.v * {edges * 0.3!r}::DOUBLE", f"JOIN soft s {at}"), mean("ml", "lab8"),
+        f"parts AS (SELECT * FROM p6 UNION ALL SELECT c.raster_id, c.h, c.w, c.band, c.y, c.x, c.v * {1 - flatness!r}::DOUBLE + m.m * {flatness!r}::DOUBLE AS v FROM lab8 c JOIN ml m USING (raster_id, band) WHERE c.band > 0)",
+        f"out8 AS (SELECT raster_id, h, w, y, x, {whole} FROM parts GROUP BY raster_id, h, w, y, x)",
+        "fs AS (SELECT *, (l * 100 / 255 + 16) / 116 AS fy, (l * 100 / 255 + 16) / 116 + (a - 128) / 500 AS fx, (l * 100 / 255 + 16) / 116 - (b - 128) / 200 AS fz FROM out8)",
+        f"whites AS (SELECT raster_id, h, w, y, x, {xyz} FROM fs)", f"lights AS (SELECT raster_id, h, w, y, x, {lights} FROM whites)",
+        f"result AS (SELECT raster_id, h, w, n AS band, y, x, round_even({clip('CASE n WHEN 0 THEN ' + coded('b') + ' WHEN 1 THEN ' + coded('g') + ' ELSE ' + coded('r') + ' END', high='255')}, 0) AS v FROM lights, range(3) k(n))"]
+    return ",\n".join(steps).replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
+
+
+@query(_delight(0.5, 0.3, 0.2, 0.2, 0.2, 0.2, 0.2))
 def delight(spark, sf):
     """All steps of light removal on every supplier raster."""
     return stencil.delight(lineitem_cells(spark, sf), strength=0.5, flatness=0.3, shadow=0.2, highlight=0.2, contrast=0.2, ao=0.2, edges=0.2)
@@ -240,12 +284,12 @@ def mip_normal(spark, sf):
 _ROUGH = clip(clip("0.5::DOUBLE + (v - 0.5::DOUBLE) * 1") + " * (0.5::DOUBLE * 2)")
 
 
-@query(_UNIT + ",\n" + gather("f", "unit", [(0, -1, [-0.5, 0.0]), (0, 1, [0.5, 0.0]), (-1, 0, [0.0, -0.5]), (1, 0, [0.0, 0.5])], ["du", "dv"], 8, "wrap") + ",\n"
+@query((_UNIT + ",\n" + gather("f", "unit", [(0, -1, [-0.5, 0.0]), (0, 1, [0.5, 0.0]), (-1, 0, [0.0, -0.5]), (1, 0, [0.0, 0.5])], ["du", "dv"], 8, "wrap") + ",\n"
        + _normal("f", "du * 4.266::DOUBLE", "dv * 4.266::DOUBLE").replace("result AS", "normals AS") + ",\n" + _displacement("unit", "disp") + ",\n" + _ao("disp", "ao", 12, 0.5, "normals") + f""",
 scalars AS (SELECT 'Roughness' AS map, raster_id, y, x, {_ROUGH} AS v FROM unit UNION ALL SELECT 'Displacement', raster_id, y, x, v FROM disp
   UNION ALL SELECT 'AO', raster_id, y, x, v FROM ao UNION ALL SELECT 'Opacity', raster_id, y, x, CASE WHEN v > 0 THEN 1 ELSE 0 END FROM unit)
 SELECT map, raster_id, n::INTEGER AS band, y::INTEGER AS y, x::INTEGER AS x, floor({clip('(v + 1e-9::DOUBLE) * 255', high='255')}) AS v FROM scalars, range(3) k(n)
-UNION ALL SELECT 'Normal', raster_id, band::INTEGER, y::INTEGER, x::INTEGER, v FROM normals""", source="embedding", cells=False)
+UNION ALL SELECT 'Normal', raster_id, band::INTEGER, y::INTEGER, x::INTEGER, v FROM normals""").replace(" AS (SELECT", " AS MATERIALIZED (SELECT"), source="embedding", cells=False)
 def pbr_maps_job(spark, sf):
     """All five maps of every vector's raster, without smoothing."""
     return jobs.pbr_maps(_unit(spark, sf), smooth=0.0).select("map", "raster_id", "band", "y", "x", "v")

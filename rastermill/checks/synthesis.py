@@ -166,9 +166,10 @@ def chunked_job(spark, sf):
     return jobs.chunked_overlap(lineitem_cells(spark, sf), 8, 2, 0.25, 0.5)
 
 
-@query("""known AS (SELECT * FROM cells WHERE NOT (x BETWEEN 6 AND 9 OR y BETWEEN 6 AND 9)),
-fill AS (SELECT t.raster_id, t.band, t.y, t.x, sum(k.v / ((t.y - k.y) * (t.y - k.y) + (t.x - k.x) * (t.x - k.x))::DOUBLE) / sum(1 / ((t.y - k.y) * (t.y - k.y) + (t.x - k.x) * (t.x - k.x))::DOUBLE) AS f
-  FROM cells t JOIN known k ON k.raster_id = t.raster_id AND k.band = t.band AND (t.y - k.y) * (t.y - k.y) + (t.x - k.x) * (t.x - k.x) BETWEEN 1 AND 9 GROUP BY ALL),
+@query("""known AS MATERIALIZED (SELECT * FROM cells WHERE NOT (x BETWEEN 6 AND 9 OR y BETWEEN 6 AND 9)),
+gaps AS MATERIALIZED (SELECT * FROM cells WHERE x BETWEEN 6 AND 9 OR y BETWEEN 6 AND 9),
+fill AS MATERIALIZED (SELECT t.raster_id, t.band, t.y, t.x, sum(k.v / ((t.y - k.y) * (t.y - k.y) + (t.x - k.x) * (t.x - k.x))::DOUBLE) / sum(1 / ((t.y - k.y) * (t.y - k.y) + (t.x - k.x) * (t.x - k.x))::DOUBLE) AS f
+  FROM gaps t JOIN known k ON k.raster_id = t.raster_id AND k.band = t.band AND (t.y - k.y) * (t.y - k.y) + (t.x - k.x) * (t.x - k.x) BETWEEN 1 AND 9 GROUP BY ALL),
 result AS (SELECT c.raster_id, h, w, c.band, c.y, c.x, CASE WHEN c.x BETWEEN 6 AND 9 OR c.y BETWEEN 6 AND 9 THEN coalesce(f, v) ELSE v END AS v FROM cells c LEFT JOIN fill USING (raster_id, band, y, x))""")
 def seam_fill(spark, sf):
     """The centre cross filled from around it."""
