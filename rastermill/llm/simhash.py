@@ -270,17 +270,36 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(common >= similarity * (F.size("__one") + F.size("__two") - common)).select("a", "b")
 
 
+class _Common:
+    """How many shingles a row shares with each row of its cell, by lists of the rows that hold each shingle."""
+
+    def __init__(self, sets: list[np.ndarray], cell: np.ndarray):
+        sizes = np.array([len(x) for x in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        key = (cell[owner].astype(np.uint64) << np.uint64(32)) | np.concatenate(sets).astype(np.int32).view(np.uint32)
+        _, self.term = np.unique(key, return_inverse=True)
+        self.rows, self.off = owner[np.argsort(self.term, kind="stable")], np.r_[0, np.cumsum(sizes)]
+        self.start = np.r_[0, np.cumsum(np.bincount(self.term))]
+
+    def counts(self, row: int) -> np.ndarray:
+        terms = self.term[self.off[row] : self.off[row + 1]]
+        _, at = _spread(terms, self.start[terms], self.start[terms + 1] - self.start[terms])
+        return np.bincount(self.rows[at], minlength=len(self.off) - 1)
+
+
 def _apart(radius: int, similarity: float):
-    """Pairs (a, b) of nodes within the radius whose labels differ, in cells (part, u, s) of rows that come sorted.
+    """Links (a, b) of nodes whose sets have the similarity, in cells (part, u, s) of rows that come sorted.
 
-    Rows with ``asked`` are looked up in the BK-tree of their cell; sizes that rule the similarity out are left out.
+    Rows with ``asked`` are looked up in the BK-tree of their cell. Candidates within the radius are measured by their sets
+    where they lie, a pair only in the first band that it shares; what has been joined in the cell is not measured again,
+    and of each component that a row joins one link is given.
     """
     keys = ["part", "u", "s"]
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
         cell = (rows[keys].ne(rows[keys].shift())).any(axis=1).cumsum().to_numpy()
-        asked, node, label, n = (rows[c].to_numpy() for c in ("asked", "node", "label", "n"))
-        prints = rows[PRINT].to_numpy().view(np.uint64)
+        asked, node, label, n, part = (rows[c].to_numpy().copy() for c in ("asked", "node", "label", "n", "part"))
+        prints, bands, common = rows[PRINT].to_numpy().view(np.uint64), np.stack(rows["bands"].to_list()), _Common(rows["shingles"].to_list(), cell)
         # equal fingerprints of a cell are one node of its tree
         order = np.lexsort((prints[:, 1], prints[:, 0], cell))
         new = np.r_[True, (cell[order][1:] != cell[order][:-1]) | (prints[order][1:] != prints[order][:-1]).any(1)]
@@ -289,27 +308,31 @@ def _apart(radius: int, similarity: float):
         tree = BkForest(prints[order][new], cell[order][new])
         held = order[~asked[order]]
         first = np.searchsorted(place[held], np.arange(new.sum() + 1))
-        found = []
-        who = np.flatnonzero(asked)
+        found, who = [], np.flatnonzero(asked)
         for at in range(0, len(who), 256):
             some = who[at : at + 256]
             own = np.unique(place[some])
             a, b = tree.within(own, radius)
             a, b = np.r_[a, own], np.r_[b, own]
-            # each asked row with each row at the places found for its own
             by = np.argsort(a, kind="stable")
             a, b = a[by], b[by]
-            low, high = np.searchsorted(a, place[some]), np.searchsorted(a, place[some], "right")
-            left, right = _spread(some, low, high - low)
-            right = b[right]
-            left, right = _spread(left, first[right], first[right + 1] - first[right])
-            right = held[right]
-            few, many = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
-            good = (label[left] != label[right]) & (few >= similarity * many)
-            pair = np.stack([node[left[good]], node[right[good]]])
-            found.append(np.sort(pair, axis=0))
-        both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pd.DataFrame({"a": both[0], "b": both[1]}).drop_duplicates()
+            for i in some.tolist():
+                near = b[np.searchsorted(a, place[i]) : np.searchsorted(a, place[i], "right")]
+                _, near = _spread(near, first[near], first[near + 1] - first[near])
+                near = held[near]
+                near = near[(label[near] != label[i]) & (np.minimum(n[near], n[i]) >= similarity * np.maximum(n[near], n[i]))]
+                same = bands[near] == bands[i]
+                near = near[bands[i][same.argmax(1)] == part[i]] if len(near) else near
+                if not len(near):
+                    continue
+                shared = common.counts(i)[near]
+                near = near[shared >= similarity * (n[near] + n[i] - shared)]
+                if len(near):
+                    labels, one = np.unique(label[near], return_index=True)
+                    found += [(node[i], x) for x in node[near[one]].tolist()]
+                    labels = np.r_[labels, label[i]]
+                    label[np.isin(label, labels)] = labels.min()
+        return pd.DataFrame({"a": [min(p) for p in found], "b": [max(p) for p in found]}, dtype="int64")
 
     return _by_cells(keys, links)
 
@@ -333,7 +356,7 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str
     their fingerprints differ in no more bits than the similarity gives plus five deviations. First all nodes of a shard are
     compared with its leader, which settles groups of copies in one step; as long as more than ``shard`` nodes of a shard
     stay and half of them settle, they get further leaders. Then those that no leader's component holds are looked up in BK-trees of
-    their shards, cut into cells, and candidates of different components are verified. So every candidate pair ends up
+    their shards, cut into cells, where candidates of different components are measured by their sets. So every candidate pair ends up
     verified or inside one component, and only pairs whose sets have the similarity link. A pair at 0.8 shares a shard with
     probability 0.985, a closer one more surely. See ``near_duplicates`` for nulls, repeats and empty tables.
     """
@@ -348,9 +371,9 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str
     # written, so that the join is a plain one of which Spark can split a large shard's side
     shards = saved(shards.where("rows > 1"))
     met = saved(dealt.join(shards.select("part"), "part"))
-    of = met.select("node").distinct().join(nodes.select("node", "least.*"), "node")
+    of = met.select("node").distinct().join(nodes.select("node", "bands", "least.*"), "node")
     here = (keyed["key.no"] == of["no"]) & keyed["key.id"].eqNullSafe(of["id"])
-    sets = saved(shingle_sets(keyed.join(of, here).select("node", "text").dropDuplicates(["node"]), size))
+    sets = saved(shingle_sets(keyed.join(of, here).select("node", "bands", "text").dropDuplicates(["node"]), size))
 
     def with_leader(rows: DataFrame, leaders: DataFrame) -> DataFrame:
         both = rows.join(leaders.select("part", "lead"), "part").where("node <> lead.node")
@@ -374,13 +397,14 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str
         many = open_.groupBy("part").agg(F.count("*").alias("rows"), F.min(F.struct("node", "n", *PRINT)).alias("lead")).where(F.col("rows") > shard)
     own = lambda c: F.pmod(F.xxhash64("node", F.lit(1)), F.col(c)).cast("int")
     all_ = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    cuts = open_.groupBy("part").agg(F.ceil(F.count("*") / shard).cast("int").alias("us"))
-    cuts = saved(cuts.join(named.groupBy("part").agg(F.ceil(F.count("*") / shard).cast("int").alias("ss")), "part"))
-    columns = ["part", "u", "s", "asked", "node", "n", "label", *PRINT]
-    cells = open_.join(cuts, "part").withColumn("asked", F.lit(True)).withColumn("u", own("us")).withColumn("s", all_("ss")).select(*columns)
-    cells = cells.unionByName(named.join(cuts, "part").withColumn("asked", F.lit(False)).withColumn("s", own("ss")).withColumn("u", all_("us")).select(*columns))
+    # cells of so many rows, or of so many shingles where texts are long
+    cut = F.ceil(F.greatest(F.count("*") / shard, F.sum("n") / (shard * 512))).cast("int")
+    cuts = saved(open_.groupBy("part").agg(cut.alias("us")).join(named.groupBy("part").agg(cut.alias("ss")), "part"))
+    columns = ["part", "u", "s", "asked", "node", "n", "label", *PRINT, "bands", "shingles"]
+    cells = open_.join(cuts, "part").join(sets, "node").withColumn("asked", F.lit(True)).withColumn("u", own("us")).withColumn("s", all_("ss")).select(*columns)
+    cells = cells.unionByName(named.join(cuts, "part").join(sets, "node").withColumn("asked", F.lit(False)).withColumn("s", own("ss")).withColumn("u", all_("us")).select(*columns))
     cells = cells.repartition(shuffles(docs.sparkSession), "part", "u", "s").sortWithinPartitions("part", "u", "s")
-    rest = verified(cells.mapInPandas(_apart(radius, similarity), "a long, b long").distinct(), sets, similarity)
+    rest = saved(cells.mapInPandas(_apart(radius, similarity), "a long, b long").distinct())
     # what the rest links are components, so that few rounds join them
     ends = labels.select(F.col("node").alias("a"), F.col("label").alias("__a")), labels.select(F.col("node").alias("b"), F.col("label").alias("__b"))
     between = rest.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("__a", "a").alias("a"), F.coalesce("__b", "b").alias("b"))
