@@ -71,11 +71,13 @@ def latest_wins_batch(spark, sf):
 
 @query("ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY generation DESC) AS n FROM requests)\nSELECT image_id, generation, method, strength FROM ranked WHERE n = 1", source="requests", cells=False)
 def latest_wins_stream(spark, sf):
-    """The newest request of every image, from the events as a stream; stale ones are dropped by state."""
+    """The newest request of every image, from the events as a stream of several micro-batches; stale ones are dropped by state."""
     folder = f"{checkpoint_folder(spark)}/requests-{uuid4().hex}"
-    kinds = table(spark, sf, "events").schema
-    events = spark.readStream.schema(kinds).option("pathGlobFilter", "events.parquet").parquet(sf)
-    newest = stream.latest_wins(requests_of(events).select("image_id", "generation", "method", "strength"))
+    given = table(spark, sf, "events")
+    # dealt to files by a hash, so that each micro-batch holds requests older than some of those before
+    given.repartition(4, F.xxhash64("event_id")).write.parquet(f"{folder}/in")
+    events = spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    newest = stream.latest_wins(requests_of(events).select("image_id", "generation", "method", "strength", F.col("ts").cast("timestamp").alias("ts")), ts="ts", keep="3650 days").drop("ts")
     numbered = lambda rows, batch: rows.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{folder}/out")
     write = newest.writeStream.foreachBatch(numbered).outputMode("append")
     write.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..layout import clip
+from ..layout import clip, saved
 
 #: Other names of methods (fixed values).
 ALIASES = {"standard": "offset_crossfade", "offset": "offset_crossfade", "offset_blend": "offset_crossfade", "crossfade": "offset_crossfade",
@@ -93,8 +93,16 @@ def cache_stats(results: DataFrame, bytes_col: str = "bytes") -> DataFrame:
 
 
 def dedup_exact(cells: DataFrame) -> DataFrame:
-    """Rows (image_hash, raster_id, copies): the smallest raster of each content, by the hash of all its pixels."""
-    return fingerprint(cells, whole=True).groupBy("image_hash").agg(F.min("raster_id").alias("raster_id"), F.count("*").alias("copies"))
+    """Rows (image_hash, raster_id, copies): the smallest raster of each content.
+
+    Rasters whose sampled fingerprint nobody shares are alone (image_hash is that fingerprint); only the others are hashed
+    by all their pixels.
+    """
+    prints = fingerprint(cells)
+    blocks = saved(prints.groupBy("image_hash").agg(F.min("raster_id").alias("raster_id"), F.count("*").alias("copies")))
+    shared = prints.join(blocks.where("copies > 1").select("image_hash"), "image_hash", "left_semi").select("raster_id")
+    whole = fingerprint(cells.join(shared, "raster_id", "left_semi"), whole=True)
+    return blocks.where("copies = 1").unionByName(whole.groupBy("image_hash").agg(F.min("raster_id").alias("raster_id"), F.count("*").alias("copies")))
 
 
 def latest_wins(requests: DataFrame, key: str = "image_id", order: str = "generation") -> DataFrame:

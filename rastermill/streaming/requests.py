@@ -22,27 +22,40 @@ def debounce(requests: DataFrame, gap: str = "30 minutes", late: str = "1 hour",
     return bursts.select(key, F.col("s.start").alias("first_ts"), F.col("s.end").alias("due_ts"), "n_requests", *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
-def latest_wins(requests: DataFrame, key: str = "image_id", order: str = "generation") -> DataFrame:
+def latest_wins(requests: DataFrame, key: str = "image_id", order: str = "generation", ts: str | None = None, keep: str = "7 days") -> DataFrame:
     """On a stream: of each micro-batch the newest request of every target, unless a newer one has been seen before.
 
-    The state of a target is one number. On a batch use ``store.latest_wins``.
+    The state of a target is two numbers. With ts, an event time, requests later than ``keep`` are left out, and a target's
+    state is dropped once its last request is that old, as nothing that it would tell from can come any more. On a batch
+    use ``store.latest_wins``.
     """
-    kinds = dict(requests.dtypes)
-    columns = requests.columns
+    kinds, columns, timed = dict(requests.dtypes), requests.columns, ts is not None
+    if timed:
+        requests = requests.withWatermark(ts, keep)
 
     def newest(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen, last = state.get if state.exists else (None, None)
         best = None
         for frame in frames:
             top = frame.loc[[frame[order].idxmax()]]
             if best is None or top[order].iloc[0] > best[order].iloc[0]:
                 best = top
-        if best is not None and (seen is None or best[order].iloc[0] > seen):
-            state.update((int(best[order].iloc[0]),))
+            if timed:
+                latest = int(frame[ts].max().value // 1_000_000)
+                last = latest if last is None else max(last, latest)
+        new = best is not None and (seen is None or best[order].iloc[0] > seen)
+        state.update((int(best[order].iloc[0]) if new else seen, last))
+        if timed:
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1)
+        if new:
             yield best[columns]
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in columns)
-    return requests.groupBy(key).applyInPandasWithState(newest, schema, "seen long", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
+    return requests.groupBy(key).applyInPandasWithState(newest, schema, "seen long, last long", "append", timeout)
 
 
 def ingest_folder(spark: SparkSession, path: str, checkpoint: str, handle: Callable[[DataFrame, int], None], pattern: str = "*.png") -> None:
