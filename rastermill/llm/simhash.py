@@ -353,8 +353,8 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str
     """Rows (doc_id, component_id), one for each row of docs: near-duplicates by shingles of ``size`` words at a similarity.
 
     Texts with one set of shingles are one node. Nodes that share a band of smallest hashes are a shard, and candidates where
-    their fingerprints differ in no more bits than the similarity gives plus five deviations. First all nodes of a shard are
-    compared with its leader, which settles groups of copies in one step; as long as more than ``shard`` nodes of a shard
+    their fingerprints differ in no more bits than the similarity gives plus five deviations. First every node is
+    compared with the nearest leader of its shards, which settles groups of copies in one step; as long as more than ``shard`` nodes of a shard
     stay and half of them settle, they get further leaders. Then those that no leader's component holds are looked up in BK-trees of
     their shards, cut into cells, where candidates of different components are measured by their sets. So every candidate pair ends up
     verified or inside one component, and only pairs whose sets have the similarity link. A pair at 0.8 shares a shard with
@@ -379,8 +379,10 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str
         both = rows.join(leaders.select("part", "lead"), "part").where("node <> lead.node")
         far = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"lead.{c}"))) for c in PRINT), F.lit(0))
         few, many = F.least("n", "lead.n"), F.greatest("n", "lead.n")
-        pairs = both.where((far <= radius) & (few >= similarity * many)).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
-        return saved(verified(pairs.distinct(), sets, similarity))
+        # of its leaders the nearest; pairs with the others are candidates that the cells measure
+        near = both.where((far <= radius) & (few >= similarity * many)).groupBy("node").agg(F.min(F.struct(far.alias("far"), F.col("lead.node").alias("lead"))).alias("best"))
+        pairs = near.select(F.least("node", "best.lead").alias("a"), F.greatest("node", "best.lead").alias("b")).distinct()
+        return saved(verified(pairs, sets, similarity))
 
     linked, leads = with_leader(met, shards), shards.select("part", F.col("lead.node").alias("lead"))
     labels = components(linked)
