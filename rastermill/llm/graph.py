@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 
 from ._spark import saved
 
+#: Links up to which they are one partition, so that a round has no exchanges and hardly any files.
+FEW = 1 << 17
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+
+def _stars(edges: DataFrame, large: bool, few: bool) -> DataFrame:
     turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     links = edges.unionByName(turned) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = links.coalesce(1) if few else links
+    least = links.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     # written, so that the join is a plain one of which Spark can split a hub's side
-    least = saved(links.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+    least = least if few else saved(least)
     met = links.join(least, "a")
     out = met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")) if large else met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    return (out.coalesce(1) if few else out).where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = state(edges)
     while before[0]:
-        edges = saved(_stars(_stars(edges, True), False))
+        few = before[0] <= FEW
+        edges = saved(_stars(_stars(edges, True, few), False, few))
         after = state(edges)
         if after == before:
             break
