@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from uuid import uuid4
 
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..fixtures import lineitem_cells, table
+from ..fixtures import lineitem_cells, lineitem_lines, table
 from ..layout import checkpoint_folder
-from ..operators import store
-from ..sources import files
+from ..operators import scanlines, store
+from ..sources import files, images
 from ..streaming import requests as stream
 
 _EXT = r"regexp_extract({0}, '[^/.][^/]*?(\.[^/.]*)$', 1)"
@@ -81,14 +80,14 @@ def params_join(spark, sf):
 
 
 def _folder(spark) -> str:
-    """A new folder within the checkpoint folder, as a path that tasks can write to."""
-    return re.sub("^file:/*", "/", checkpoint_folder(spark)) + f"/files-{uuid4().hex}"
+    """The URI of a new folder within the checkpoint folder, which all executors share."""
+    return f"{checkpoint_folder(spark)}/files-{uuid4().hex}"
 
 
 def _written(spark, sf, bits: int = 8) -> str:
     """The folder of the supplier rasters as PNG files of their numbers."""
     folder = _folder(spark)
-    files.write_files(lineitem_cells(spark, sf), folder, F.concat(F.col("raster_id").cast("string"), F.lit(".png")), bits).write.format("noop").mode("overwrite").save()
+    images.write_lines(lineitem_lines(spark, sf), folder, F.concat(F.col("raster_id").cast("string"), F.lit(".png")), bits).write.format("noop").mode("overwrite").save()
     return folder
 
 
@@ -105,9 +104,18 @@ def image_scan(spark, sf):
 
 @query("x AS (SELECT 1)\nSELECT DISTINCT raster_id, w::INTEGER AS w, h::INTEGER AS h, 16 AS bit_depth, 3 AS channels, 72::DOUBLE AS dpi FROM cells", cells=False)
 def header_metadata(spark, sf):
-    """Headers of the rasters as 16-bit PNG files."""
-    rows = spark.read.format("binaryFile").load(_written(spark, sf, 16))
-    return files.png_headers(rows).withColumn("raster_id", _number(F.col("path"))).drop("path")
+    """Headers of the rasters as 16-bit PNG files; no sample is read."""
+    found = images.headers(spark, _written(spark, sf, 16))
+    return found.select(_number(F.col("path")).alias("raster_id"), "w", "h", "bit_depth", "channels", "dpi")
+
+
+@query("result AS (SELECT raster_id, h, w, band, y, x, v * 257 AS v FROM cells)")
+def deep_image_scan(spark, sf):
+    """Supplier rasters spread to 16 bits, written line by line as PNG files and read back as lines with all their bits."""
+    lines, folder = lineitem_lines(spark, sf), _folder(spark)
+    deep = lines.withColumn("data", F.transform("data", lambda v: v * 257))
+    images.write_lines(deep, folder, F.concat(F.col("raster_id").cast("string"), F.lit(".png")), 16).write.format("noop").mode("overwrite").save()
+    return scanlines.to_cells(images.lines(spark, folder)).withColumn("raster_id", _number(F.col("raster_id")))
 
 
 @query("result AS (SELECT * FROM cells)")

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import struct
-import tempfile
-import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .images import PNG_CHANNELS, write_lines
+
 #: Extension to format (fixed values).
 FORMATS = {".png": "png", ".jpg": "jpg", ".jpeg": "jpg", ".tif": "tiff", ".tiff": "tiff", ".tga": "tga", ".exr": "exr"}
 
@@ -105,10 +103,6 @@ def export_manifest(materials: DataFrame, packing: bool = True, glossiness: bool
     return named.select("material", "renderer", "map", F.concat("material", F.lit("_"), "token").alias("subfolder"), name.alias("file_name"))
 
 
-#: PNG colour type: number of channels (fixed values).
-PNG_CHANNELS = {0: 1, 2: 3, 3: 3, 4: 2, 6: 4}
-
-
 def _png_header(content: memoryview) -> tuple[int, int, int, int, float] | None:
     """(w, h, bit depth, channels, dpi) by walking the chunks up to the samples."""
     if bytes(content[:8]) != b"\x89PNG\r\n\x1a\n" or bytes(content[12:16]) != b"IHDR" or len(content) < 33:
@@ -178,71 +172,14 @@ def cells_to_tiles(cells: DataFrame, tile: int = 256) -> DataFrame:
     return out.select("raster_id", "band", "ty", "tx", "h", "w", edge("h", "ty").alias("th"), edge("w", "tx").alias("tw"), "data")
 
 
-def png_bytes(lines: list[bytes], w: int, bands: int, bits: int) -> bytes:
-    """A PNG of scan lines (big-endian samples in the order red, green, blue, alpha)."""
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    pack, out = zlib.compressobj(6), []
-    for line in lines:
-        out.append(pack.compress(b"\0" + line))
-    kind = {1: 0, 2: 4, 3: 2, 4: 6}[bands]
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, len(lines), bits, kind, 0, 0, 0)) + chunk(b"IDAT", b"".join(out) + pack.flush()) + chunk(b"IEND", b"")
-
-
-def tiff_bytes(lines: list[bytes], w: int, bands: int, bits: int) -> bytes:
-    """An uncompressed big-endian TIFF of one strip; scan lines as for ``png_bytes``."""
-    data = b"".join(lines)
-    entries = [(256, 4, [w]), (257, 4, [len(lines)]), (258, 3, [bits] * bands), (259, 3, [1]), (262, 3, [2 if bands > 2 else 1]), (273, 4, [8]), (277, 3, [bands]), (278, 4, [len(lines)]), (279, 4, [len(data)])]
-    entries += [(338, 3, [2])] if bands in (2, 4) else []
-    data += b"\0" * (len(data) % 2)
-    more, at, out = b"", 8 + len(data) + 2 + 12 * len(entries) + 4, struct.pack(">H", len(entries))
-    for tag, kind, values in entries:
-        packed = struct.pack(f">{len(values)}{'H' if kind == 3 else 'I'}", *values)
-        if len(packed) > 4:
-            packed, more = struct.pack(">I", at + len(more)), more + packed
-        out += struct.pack(">HHI", tag, kind, len(values)) + packed.ljust(4, b"\0")
-    return b"MM\0*" + struct.pack(">I", 8 + len(data)) + data + out + b"\0\0\0\0" + more
-
-
-def tga_bytes(lines: list[bytes], w: int, bands: int, bits: int) -> bytes:
-    """An uncompressed TGA of 8 bits, top line first; scan lines as for ``png_bytes``."""
-    if bits != 8 or bands == 2:
-        raise ValueError("TGA holds 8 bits in 1, 3 or 4 bands")
-    field = np.frombuffer(b"".join(lines), np.uint8).reshape(-1, bands)
-    field = field[:, [2, 1, 0, 3][:bands]] if bands > 1 else field
-    return struct.pack("<BBBHHBHHHHBB", 0, 0, 3 if bands == 1 else 2, 0, 0, 0, 0, 0, w, len(lines), 8 * bands, 0x20 | (8 if bands == 4 else 0)) + field.tobytes()
-
-
-#: Extension and what makes the file.
-WRITERS = {".png": png_bytes, ".tiff": tiff_bytes, ".tif": tiff_bytes, ".tga": tga_bytes}
-
-
 def write_files(cells: DataFrame, folder: str, name: Column, bits: int = 8) -> DataFrame:
     """One PNG, TIFF or TGA (by its extension) for each raster under ``name``, in a folder that all executors share; rows (path, bytes).
 
-    Scan lines are packed where their cells meet; a file's group holds only its packed lines. A file appears under its
-    name only when it is whole.
+    Cells are gathered to lines, which ``images.write_lines`` feeds to open files.
     """
-    digits = bits // 4
-    order = F.array_position(F.array(*[F.lit(b) for b in (2, 1, 0, 3)]), F.col("band"))
-    sample = F.struct("x", order.alias("o"), F.lpad(F.hex(F.floor(F.least(F.greatest("v", F.lit(0.0)), F.lit(2.0**bits - 1)))), digits, "0").alias("s"))
-    line = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(sample)), lambda s: s["s"]), ""))
-    named = cells.withColumn("name", name)
-    lines = named.groupBy("name", "y", "w").agg(line.alias("line"), F.count_distinct("band").cast("int").alias("bands"))
-
-    def write(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("y")
-        path = os.path.join(folder, group["name"].iloc[0])
-        make = WRITERS.get(os.path.splitext(path)[1].lower())
-        if make is None:
-            raise ValueError(f"no writer for {path}")
-        data = make(group["line"].tolist(), int(group["w"].iloc[0]), int(group["bands"].iloc[0]), bits)
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with tempfile.NamedTemporaryFile(dir=os.path.dirname(path), prefix=".writing-", delete=False) as f:
-            f.write(data)
-        os.replace(f.name, path)
-        return pd.DataFrame({"path": [path], "bytes": [len(data)]})
-
-    return lines.groupBy("name").applyInPandas(write, "path string, bytes long")
+    data = F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda c: c["v"])
+    lines = cells.withColumn("name", name).groupBy("name", "h", "w", "band", "y").agg(data.alias("data"))
+    return write_lines(lines, folder, F.col("name"), bits)
 
 
 write_png = write_files
