@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..fixtures import lineitem_cells, lineitem_lines, table
-from ..layout import checkpoint_folder
+from ..layout import checkpoint_folder, saved
 from ..operators import scanlines, store
 from ..sources import files, images
+from ..sources.results import Results
 from ..streaming import requests as stream
+from .seams import crossfaded
 
 _EXT = r"regexp_extract({0}, '[^/.][^/]*?(\.[^/.]*)$', 1)"
 
@@ -92,7 +94,7 @@ def _written(spark, sf, bits: int = 8) -> str:
 
 
 def _number(path):
-    return F.regexp_extract(path, r"([0-9]+)\.png$", 1).cast("long")
+    return F.regexp_extract(path, r"([0-9]+)\.png$", 1).try_cast("long")
 
 
 @query("result AS (SELECT * FROM cells)")
@@ -135,3 +137,23 @@ def folder_ingest_stream(spark, sf):
     for _ in range(2):
         stream.ingest_folder(spark, folder, f"{out}/state", take)
     return spark.read.parquet(f"{out}/catalog").where("size_bytes > 0").select(_number(F.col("path")).alias("raster_id"), "name", "extension")
+
+
+@query(crossfaded("cells", 16, 3) + ",\nresult AS (SELECT * FROM crossed)")
+def folder_results(spark, sf):
+    """Crossfaded rasters from the store of a folder that a stream works through in two calls.
+
+    The second call finds the other half of the rasters and copies of the first half under new names, which are served
+    from what the first call made.
+    """
+    lines, folder, out = saved(lineitem_lines(spark, sf)), _folder(spark), _folder(spark)
+    results, odd = Results(spark, f"{out}/results"), F.col("raster_id") % 2 == 1
+    name = lambda ending: F.concat(F.col("raster_id").cast("string"), F.lit(ending))
+    put = lambda rows, ending: images.write_lines(rows, folder, name(ending)).write.format("noop").mode("overwrite").save()
+    work = lambda: stream.process_folder(spark, folder, f"{out}/state", results, scanlines.crossfade, "offset_crossfade")
+    put(lines.where(odd), "-first.png")
+    work()
+    put(lines, ".png")
+    work()
+    served = results.serve(stream.image_jobs(images.lines(spark, folder), "offset_crossfade"))
+    return scanlines.to_cells(served.withColumn("raster_id", _number(F.col("raster_id"))).where("raster_id is not null"))

@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..layout import saved
+from ..operators import scanlines, store
+from ..sources import images
+from ..sources.results import Results
+
 
 def debounce(requests: DataFrame, gap: str = "30 minutes", late: str = "1 hour", key: str = "image_id") -> DataFrame:
     """Rows (image_id, first_ts, due_ts, n_requests, and the last request's columns) for each burst that a quiet gap ends.
@@ -63,3 +68,29 @@ def ingest_folder(spark: SparkSession, path: str, checkpoint: str, handle: Calla
     files = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).schema("path string, modificationTime timestamp, length long, content binary").load(path)
     rows = files.select("path", F.col("length").alias("size_bytes"), "content")
     rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def image_jobs(lines: DataFrame, method: str, params: dict[str, float] | None = None) -> DataFrame:
+    """A job (raster_id, image_hash, method, parameters, result_key) for each raster, keyed by all its samples."""
+    prints = store.fingerprint(scanlines.to_cells(lines), whole=True)
+    given = F.create_map(*[F.lit(x) for kv in (params or {}).items() for x in kv]).cast("map<string,double>")
+    return store.result_key(store.normalize_params(prints.withColumns({"method": F.lit(method), "params": given})))
+
+
+def process_folder(spark: SparkSession, path: str, checkpoint: str, results: Results, job: Callable[[DataFrame], DataFrame], method: str, params: dict[str, float] | None = None, pattern: str = "*") -> None:
+    """Images that are new since the last call are catalogued by content, and those without a result go through ``job`` (lines to lines).
+
+    A micro-batch is committed to the store under its number, so that one replayed after a failure adds nothing; images of
+    one content are worked on once, whatever their names. Every image's key counts as used.
+    """
+
+    def run(lines: DataFrame, batch: int) -> None:
+        lines = saved(lines)
+        jobs = saved(image_jobs(lines, method, params).select("raster_id", "result_key"))
+        new = saved(results.missing(jobs, batch))
+        done = job(lines.join(new.select("raster_id"), "raster_id", "left_semi"))
+        results.commit(done.join(new, "raster_id"), batch)
+        results.touch(jobs, batch)
+
+    found = images.lines(spark, path, pattern, stream=True)
+    found.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
