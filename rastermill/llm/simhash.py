@@ -349,15 +349,27 @@ def _unsettled(met: DataFrame, leads: DataFrame, labels: DataFrame) -> tuple[Dat
     return named, saved(named.join(of, ["part", "label"], "left_anti"))
 
 
+def _outside(named: DataFrame, leads: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those of named (part, label, ...) that are not of their shard's main label, the most frequent one of its leaders.
+
+    Of two nodes with different labels one at least is among them, however many leaders a shard got; where it has one, they
+    are those that it did not settle.
+    """
+    of = leads.join(labels.withColumnRenamed("node", "lead"), "lead", "left").select("part", F.coalesce("label", "lead").alias("label")).distinct()
+    sizes = named.join(of, ["part", "label"]).groupBy("part", "label").agg(F.count("*").alias("rows"))
+    main = sizes.groupBy("part").agg(F.max(F.struct("rows", "label")).alias("best")).select("part", F.col("best.label").alias("label"))
+    return saved(named.join(main, ["part", "label"], "left_anti"))
+
+
 def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
     """Rows (doc_id, component_id), one for each row of docs: near-duplicates by shingles of ``size`` words at a similarity.
 
     Texts with one set of shingles are one node. Nodes that share a band of smallest hashes are a shard, and candidates where
     their fingerprints differ in no more bits than the similarity gives plus five deviations. First every node is
     compared with the nearest leader of its shards, which settles groups of copies in one step; as long as more than ``shard`` nodes of a shard
-    stay and half of them settle, they get further leaders. Then those that no leader's component holds are looked up in BK-trees of
-    their shards, cut into cells, where candidates of different components are measured by their sets. So every candidate pair ends up
-    verified or inside one component, and only pairs whose sets have the similarity link. A pair at 0.8 shares a shard with
+    stay and half of them settle, they get further leaders. Then all but those of the largest leader's component are looked up in
+    BK-trees of their shards, cut into cells, where candidates of different components are measured by their sets. So every candidate
+    pair ends up verified or inside one component, whether ``shard`` gave further leaders or not, and only pairs whose sets have the similarity link. A pair at 0.8 shares a shard with
     probability 0.985, a closer one more surely. See ``near_duplicates`` for nulls, repeats and empty tables.
     """
     text = F.col(text_col).cast("string")
@@ -397,6 +409,7 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str
         if 2 * open_.join(hot.select("part"), "part").count() > before:
             break
         many = open_.groupBy("part").agg(F.count("*").alias("rows"), F.min(F.struct("node", "n", *PRINT)).alias("lead")).where(F.col("rows") > shard)
+    open_ = _outside(named, leads, labels)
     own = lambda c: F.pmod(F.xxhash64("node", F.lit(1)), F.col(c)).cast("int")
     all_ = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     # cells of so many rows, or of so many shingles where texts are long
