@@ -62,13 +62,16 @@ def four_sample_slopes(spark, sf):
 @query(_packed([f"CASE WHEN abs(x - 8) <= {r} AND abs(y - 8) <= {r} AND x <> 8 THEN sign(x - 8) * ({2 * r + 1} - abs(x - 8) - abs(y - 8)) / {sum(abs(t[2][0]) for t in stencil.derivative_taps(f'sobel_{2 * r + 1}x{2 * r + 1}', normalize=False))}::DOUBLE ELSE 0 END" for r in (1, 2, 3, 4)], "(SELECT * FROM cells WHERE band = 0)"))
 def kernel_build(spark, sf):
     """Response of each raster's grid to an impulse at its centre, turned over: the four kernels as bands."""
-    impulse = masks.over(lineitem_cells(spark, sf), F.when((F.col("x") == 8) & (F.col("y") == 8), 1.0).otherwise(0.0))
-    out = None
+    # an impulse where the middle of the middle line is, on lines of one band
+    lines = lineitem_lines(spark, sf).where("band = 0")
+    impulse = lines.withColumn("data", F.transform("data", lambda v, i: F.when((F.col("y") == 8) & (i == 8), 1.0).otherwise(0.0)))
+    kernels, taps = [f"k{n}" for n in (3, 5, 7, 9)], {}
     for i, n in enumerate((3, 5, 7, 9)):
-        one = stencil.correlate_cells(impulse, stencil.derivative_taps(f"sobel_{n}x{n}"), ["k", "l"], "replicate")
-        one = one.select("raster_id", "h", "w", F.lit(i).alias("band"), "y", "x", (-F.col("k")).alias("v"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        for dy, dx, (across, _) in stencil.derivative_taps(f"sobel_{n}x{n}"):
+            taps.setdefault((dy, dx), [0.0] * 4)[i] = across
+    out = scanlines.split_cells(scanlines.correlate(impulse, [([(*at, ks) for at, ks in taps.items()], kernels)], "replicate"), kernels)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), (-F.col(k)).alias("v")) for i, k in enumerate(kernels)]))
+    return out.select("raster_id", "h", "w", "y", "x", each.alias("one")).select("raster_id", "h", "w", "one.band", "y", "x", "one.v")
 
 
 _TAPS9 = stencil.derivative_taps("blended_sobel")

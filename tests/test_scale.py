@@ -36,3 +36,37 @@ def test_rotation_is_that_of_its_taps_without_a_join(spark, shape, degrees):
     out = geometry.rotate(cells_of(spark, image), degrees)
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert np.allclose(image_of(out), turned(image, degrees), atol=1e-6)
+
+
+def shuffled_by(df):
+    """Numbers of partitions named in exchanges of the executed plan."""
+    import re
+
+    return [int(n) for n in re.findall(r"hashpartitioning\([^\n]*?, (\d+)\), REPARTITION_BY_NUM", df._jdf.queryExecution().executedPlan().toString())]
+
+
+def test_lines_of_sums_are_not_merged_into_few_tasks(spark, sf):
+    """Few bytes of sums become many samples, so that their partitions are given, not left to the bytes."""
+    from rastermill.fixtures import lineitem_cells, table
+    from rastermill.layout import spread
+
+    assert spread(table(spark, sf, "lineitem")) in shuffled_by(lineitem_cells(spark, sf))
+
+
+def test_kernels_are_one_exchange_of_blocks(spark, sf):
+    """No cell is spread over taps: the four kernels are made where a block of lines is."""
+    from rastermill import catalog
+
+    plan = catalog.queries()["kernel_build"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and "tap" not in plan
+
+
+def test_grays_of_all_sources_share_one_pass(spark):
+    from rastermill.operators import tone
+
+    cells = cells_of(spark, np.random.default_rng(2).uniform(0, 255, (3, 5, 4)))
+    both = tone.grays(cells, ["luminance", "max_rgb"])
+    assert "Union" not in both._jdf.queryExecution().optimizedPlan().toString()
+    found = image_of(both)
+    for i, source in enumerate(("luminance", "max_rgb")):
+        assert np.allclose(found[..., i], image_of(tone.gray(cells, source))[..., 0])
