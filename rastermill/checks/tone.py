@@ -56,9 +56,7 @@ def export_depth(spark, sf):
 @query(_WIDE + ",\nresult AS (SELECT raster_id, h, w, n AS band, y, x, CASE n WHEN 0 THEN (b + g + r) / 3 WHEN 1 THEN b * 0.0722::DOUBLE + g * 0.7152::DOUBLE + r * 0.2126::DOUBLE WHEN 2 THEN greatest(b, g, r) ELSE b * 0.114::DOUBLE + g * 0.587::DOUBLE + r * 0.299::DOUBLE END AS v FROM wide, range(4) k(n))")
 def gray(spark, sf):
     """Average, luminance, largest and video gray as bands 0 to 3."""
-    cells = lineitem_cells(spark, sf)
-    out = [tone.gray(cells, s).withColumn("band", F.lit(i)) for i, s in enumerate(("average_rgb", "luminance", "max_rgb", "video"))]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+    return tone.grays(lineitem_cells(spark, sf), ["average_rgb", "luminance", "max_rgb", "video"])
 
 
 @query(f"result AS (SELECT raster_id, h, w, n AS band, y, x, CASE n WHEN 0 THEN v / 255 WHEN 1 THEN {clip('0.5::DOUBLE + (v / 255 - 0.5::DOUBLE) * 0.65::DOUBLE')} ELSE {clip('0.5::DOUBLE + (v / 255 - 0.5::DOUBLE) * 1.65::DOUBLE')} END AS v FROM cells, range(3) k(n) WHERE band = 0)")

@@ -64,9 +64,18 @@ def export_depth(cells: DataFrame, dtype: str, fmt: str = "png", bits: int = 8)
 
 def gray(cells: DataFrame, source: str = "average_rgb") -> DataFrame:
     """One band, 0, of a pixel's bands by the named source; a raster of one band stays as it is."""
+    return grays(cells, [source])
+
+
+def grays(cells: DataFrame, sources: list[str]) -> DataFrame:
+    """``gray`` by each source as a band of its own, in order; a pixel's bands meet once for all."""
     wide = bands_wide(cells, 4)
     b, g, r = F.col("b0"), F.coalesce("b1", "b0"), F.coalesce("b2", "b0")
-    return wide.select("raster_id", "h", "w", F.lit(0).alias("band"), "y", "x", F.when(F.col("b1").isNull(), b).otherwise(color.gray(b, g, r, source, F.col("b3"))).alias("v"))
+    value = lambda s: F.when(F.col("b1").isNull(), b).otherwise(color.gray(b, g, r, s, F.col("b3")))
+    if len(sources) == 1:
+        return wide.select("raster_id", "h", "w", F.lit(0).alias("band"), "y", "x", value(sources[0]).alias("v"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), value(s).alias("v")) for i, s in enumerate(sources)]))
+    return wide.select("raster_id", "h", "w", "y", "x", each.alias("one")).select("raster_id", "h", "w", "one.band", "y", "x", "one.v")
 
 
 def point(cells: DataFrame, f) -> DataFrame:
