@@ -70,3 +70,40 @@ def test_grays_of_all_sources_share_one_pass(spark):
     found = image_of(both)
     for i, source in enumerate(("luminance", "max_rgb")):
         assert np.allclose(found[..., i], image_of(tone.gray(cells, source))[..., 0])
+
+
+@pytest.mark.parametrize("block", [40, 1 << 17])
+@pytest.mark.parametrize("shape, to", [((24, 32), (7, 9)), ((13, 37), (13, 37)), ((40, 9), (3, 1))])
+def test_resampled_lines_are_resized_cells(spark, monkeypatch, shape, to, block):
+    from rastermill.operators import scanlines
+
+    monkeypatch.setattr(scanlines, "BLOCK", block)
+    monkeypatch.setattr(scanlines, "LEAST", 2)
+    cells = cells_of(spark, np.random.default_rng(3).uniform(0, 255, (*shape, 2)))
+    lines, size = scanlines.from_cells(cells), lambda e: F.lit(to["hw".index(e)])
+    small = scanlines.resampled(lines, size("h"), size("w"), scanlines.area_taps)
+    assert np.allclose(image_of(scanlines.to_cells(small)), image_of(geometry.resize_area(cells, size)))
+    back = scanlines.resampled(small, F.lit(shape[0]), F.lit(shape[1]), scanlines.cubic_taps)
+    plain = geometry.resize_cubic(geometry.resize_area(cells, size), lambda e: F.lit(shape["hw".index(e)]))
+    assert np.allclose(image_of(scanlines.to_cells(back)), image_of(plain))
+
+
+def test_scales_are_one_plan_on_lines(spark):
+    """A line is shuffled as an array; no sample is spread over the targets that it reaches."""
+    from rastermill.plans import jobs
+
+    cells = cells_of(spark, np.random.default_rng(4).uniform(0, 255, (16, 16, 1)))
+    for df in (geometry.multi_scale(cells), jobs.multi_scale_fill(cells, 4, 3)):
+        assert "__k" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_batches_are_cut_by_their_samples():
+    """A task's arrays follow from the slice, not from the number of rows that Arrow batches hold."""
+    import pyarrow as pa
+
+    from rastermill.operators import scanlines
+
+    batch = pa.RecordBatch.from_pydict({"w": [5] * 10 + [100] + [5] * 4})
+    parts = list(scanlines._bounded([batch], lambda b: scanlines._ints(b, "w"), 20))
+    assert pa.Table.from_batches(parts).column("w").to_pylist() == batch.column("w").to_pylist()
+    assert all(sum(p.column("w").to_pylist()[1:]) < 20 for p in parts) and len(parts) > 4
