@@ -111,21 +111,28 @@ def seam_fill(cells: DataFrame, width: int = 30, radius: int | None = None, larg
 
 
 def multi_scale_fill(cells: DataFrame, width: int = 30, radius: int = 5, scales: tuple[float, ...] = (1.0, 0.5, 0.25)) -> DataFrame:
-    """The centre cross filled at each scale and mixed in from the largest on, a smaller scale with a smaller share; one fold by pixel.
+    """The centre cross filled at each scale and mixed in from the largest on, a smaller scale with a smaller share; one fold by line.
 
-    The radius goes down with the scale, to 3 at least (where it isn't smaller from the start).
+    The radius goes down with the scale, to 3 at least (where it isn't smaller from the start). All scales are one plan on
+    lines: a line's scale and size to go back to ride along as its raster's key.
     """
-    mask, steps = masks.over(cells, masks.seam(width)), None
-    for i, scale in enumerate(scales):
-        down = lambda e, s=scale: F.greatest(F.lit(1), F.floor(F.col(e) * s))
-        small = stencil.gap_fill(geometry.resize_area(cells, down), geometry.resize_nearest(mask, down), max(min(3, radius), int(radius * scale)))
-        keyed = small.join(cells.groupBy("raster_id").agg(F.max("h").alias("to_h"), F.max("w").alias("to_w")), "raster_id").withColumn("raster_id", F.struct("raster_id", F.col("to_h").alias("h"), F.col("to_w").alias("w")))
-        up = geometry.resize_cubic(keyed.select(*COLUMNS), lambda e: F.col(f"raster_id.{e}"))
-        one = up.select("raster_id.raster_id", "band", "y", "x", F.struct(F.lit(i).alias("i"), F.lit(0.3 * scale).alias("k"), F.col("v").alias("s")).alias("step"))
-        steps = one if steps is None else steps.unionByName(one)
-    gathered = steps.groupBy("raster_id", "band", "y", "x").agg(F.array_sort(F.collect_list("step")).alias("steps"))
-    met = cells.join(gathered, ["raster_id", "band", "y", "x"])
-    return sized(met.withColumn("v", F.aggregate("steps", F.col("v"), lambda acc, s: (1 - s["k"]) * acc + s["k"] * s["s"])))
+    lines, half = saved(scanlines.from_cells(cells)), width // 2
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(s)).alias("scale"), F.lit(max(min(3, radius), int(radius * s))).alias("radius")) for i, s in enumerate(scales)]))
+    keyed = lines.withColumn("__at", each).withColumn("raster_id", F.struct("raster_id", "__at.i", "__at.scale", "__at.radius", "h", "w"))
+    own = lambda n: F.col(f"raster_id.{n}")
+    down = lambda e: F.greatest(F.lit(1), F.floor(F.col(e) * own("scale")))
+    small = scanlines.resampled(keyed, down("h"), down("w"), scanlines.area_taps)
+    # the cross as it is at the nearest place of the whole size
+    on = lambda p, n: (p >= F.floor(n / 2) - half) & (p < F.floor(n / 2) + half)
+    crossed = lambda p, e: on(F.floor(p * own(e) / F.col(e)), own(e))
+    gap = F.transform("data", lambda v, x: crossed(F.col("y"), "h") | crossed(x, "w"))
+    up = scanlines.resampled(stencil.gap_fill_lines(small.withColumn("gap", gap), own("radius")), own("h"), own("w"), scanlines.cubic_taps)
+    step = lambda i, k: F.struct(i.alias("i"), k.alias("k"), "data").alias("step")
+    steps = lines.select("raster_id", "h", "w", "band", "y", step(F.lit(-1), F.lit(1.0)))
+    steps = steps.unionByName(up.select(own("raster_id").alias("raster_id"), "h", "w", "band", "y", step(own("i"), own("scale") * 0.3)))
+    gathered = steps.groupBy("raster_id", "h", "w", "band", "y").agg(F.array_sort(F.collect_list("step")).alias("steps"))
+    mixed = F.aggregate(F.slice("steps", 2, len(scales)), F.col("steps")[0]["data"], lambda acc, s: F.zip_with(acc, s["data"], lambda a, b: (1 - s["k"]) * a + s["k"] * b))
+    return scanlines.to_cells(gathered.withColumn("data", mixed))
 
 
 def export_package(cells: DataFrame, edge: int, renderer: str = "generic", source: str = "average_rgb", smooth: float = 0.0, packing: bool = True, glossiness: bool = False, clamp: bool = False) -> DataFrame:
