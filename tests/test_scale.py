@@ -107,3 +107,31 @@ def test_batches_are_cut_by_their_samples():
     parts = list(scanlines._bounded([batch], lambda b: scanlines._ints(b, "w"), 20))
     assert pa.Table.from_batches(parts).column("w").to_pylist() == batch.column("w").to_pylist()
     assert all(sum(p.column("w").to_pylist()[1:]) < 20 for p in parts) and len(parts) > 4
+
+
+def test_seam_ratio_is_one_exchange_of_lines(spark):
+    from rastermill.operators import quality
+
+    image = np.random.default_rng(5).uniform(0, 255, (5, 7, 2))
+    ratio = quality.seam_ratio(cells_of(spark, image))
+    assert "pair" not in ratio._jdf.queryExecution().optimizedPlan().toString()
+    row = ratio.first()
+    for found, axis in ((row.x_ratio, 1), (row.y_ratio, 0)):
+        d = np.abs(np.roll(image, -1, axis) - image).swapaxes(0, axis)
+        assert np.isclose(found, d[-1].mean() / d[:-1].mean())
+    flat = quality.seam_ratio(cells_of(spark, image[:1])).first()
+    assert flat.y_ratio is None and flat.x_ratio is not None and quality.seam_ratio(cells_of(spark, image[:1, :1])).count() == 0
+
+
+def test_many_small_files_are_many_partitions(spark):
+    """Neither written nor read by one task because their bytes are few."""
+    from pyspark.sql.types import StructType
+
+    from rastermill.operators import scanlines
+    from rastermill.sources import images
+
+    reader = images.ImageReader({"path": "file:///none"}, StructType.fromDDL("path string, band int, y int, data array<double>"))
+    parts = reader.planned([(0, f"{i}.png", 400) for i in range(6000)])
+    assert len(parts) > 20 and sum(len(p.files) for p in parts) == 6000
+    out = images.write_lines(scanlines.from_cells(cells_of(spark, np.zeros((2, 2, 1)))), "file:///none", F.lit("a.png"))
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
