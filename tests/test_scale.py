@@ -135,3 +135,51 @@ def test_many_small_files_are_many_partitions(spark):
     assert len(parts) > 20 and sum(len(p.files) for p in parts) == 6000
     out = images.write_lines(scanlines.from_cells(cells_of(spark, np.zeros((2, 2, 1)))), "file:///none", F.lit("a.png"))
     assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("square", [3, 256])
+@pytest.mark.parametrize("shape", [(8, 8), (5, 17), (17, 5), (1, 9), (1, 1)])
+@pytest.mark.parametrize("degrees", [0, 30, 90, -135.5])
+def test_lines_are_turned_in_squares(spark, monkeypatch, shape, degrees, square):
+    """A square takes the parts of lines that it is made of; no sample is spread over targets."""
+    from rastermill.operators import scanlines
+
+    monkeypatch.setattr(scanlines, "SQUARE", square)
+    image = np.random.default_rng(6).uniform(0, 255, (*shape, 2))
+    out = scanlines.rotated(scanlines.from_cells(cells_of(spark, image)), degrees)
+    assert np.allclose(image_of(scanlines.to_cells(out)), turned(image, degrees), atol=1e-6)
+
+
+@pytest.mark.parametrize("block", [24, 1 << 17])
+def test_patches_meet_blocks_of_lines(spark, monkeypatch, block):
+    """Sums are those of each placement, and a patch's line is not shuffled once for each placement of it."""
+    from rastermill.operators import scanlines, splat
+
+    monkeypatch.setattr(scanlines, "BLOCK", block)
+    monkeypatch.setattr(scanlines, "LEAST", 2)
+    rng, h, w = np.random.default_rng(7), 13, 11
+    patches, alpha = rng.uniform(0, 255, (3, 4, 5, 2)), rng.uniform(0, 1, (3, 4, 5))
+    spots = [(1, i, int(rng.integers(-4, h)), int(rng.integers(-5, w)), int(rng.integers(0, 3))) for i in range(40)]
+    placed = spark.createDataFrame(spots, "raster_id long, splat_id int, top int, left int, patch_id int")
+    lines = spark.createDataFrame([(1, p, b, y, patches[p, y, :, b].tolist(), alpha[p, y].tolist()) for p in range(3) for b in range(2) for y in range(4)], "raster_id long, patch_id int, band int, py int, v array<double>, alpha array<double>")
+    canvas = rng.uniform(0, 255, (h, w, 2))
+    total, weight = np.zeros((h, w, 2)), np.zeros((h, w, 2))
+    for _, _, top, left, p in spots:
+        at = np.ix_((top + np.arange(4)) % h, (left + np.arange(5)) % w)
+        total[at] += patches[p] * alpha[p][..., None]
+        weight[at] += alpha[p][..., None]
+    sizes = spark.createDataFrame([(1, h, w, 4)], "raster_id long, h int, w int, ph int")
+    laid = splat.lay(placed, lines, scanlines.from_cells(cells_of(spark, canvas)), sizes, 0.7)
+    assert np.allclose(image_of(scanlines.to_cells(laid)), np.where(weight > 0.7, total / np.maximum(weight, 0.7), canvas))
+    sums = splat.accumulate_lines(placed, lines, sizes)
+    assert np.allclose(image_of(scanlines.to_cells(sums.withColumn("data", F.col("weight")))), weight)
+    assert "REPARTITION_BY_NUM" in sums._jdf.queryExecution().executedPlan().toString()
+
+
+def test_splats_are_made_of_lines(spark, sf):
+    """No cell is a row before the result; cells were spread over the targets of a turn and joined again."""
+    from rastermill import catalog
+
+    for name in ("splat_synthesis", "splat_accumulate", "splat_resolve"):
+        plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("posexplode") + plan.count("arrays_zip") <= 2 and "__k" not in plan, name
