@@ -81,11 +81,17 @@ def pbr_maps(gray: DataFrame, depth: float = 0.5, smooth: float = 0.1, rough: fl
 
 def chunked_overlap(cells: DataFrame, chunk: int, overlap: int, share: float = 0.2, falloff: float = 0.1) -> DataFrame:
     """Overlap synthesis of each chunk by itself, merged back with feathered edges; a chunk's number is part of its raster's key."""
-    parts = geometry.split_tiles(cells, chunk, overlap)
-    keyed = parts.withColumn("raster_id", F.struct("raster_id", "cy", "cx", "y0", "x0"))
-    done = seams.overlap_synthesis(keyed.select(*COLUMNS), share, share, falloff)
+    return scanlines.to_cells(chunked_overlap_lines(saved(scanlines.from_cells(cells)), chunk, overlap, share, falloff))
+
+
+def chunked_overlap_lines(lines: DataFrame, chunk: int, overlap: int, share: float = 0.2, falloff: float = 0.1) -> DataFrame:
+    """``chunked_overlap`` of lines: parts of lines are worked on, and meet the source's line that they are laid over."""
+    if share > 0.5:
+        raise ValueError("an overlap is at most half the edge")
     names = ("raster_id", "cy", "cx", "y0", "x0")
-    return geometry.merge_feathered(done.select(*[F.col(f"raster_id.{n}").alias(n) for n in names], "h", "w", "band", "y", "x", "v"), cells, overlap)
+    keyed = scanlines.chunks(lines, chunk, overlap).withColumn("raster_id", F.struct(*names)).select(*scanlines.LINE)
+    done = scanlines.overlap(keyed, share, share, falloff)
+    return scanlines.merged(done.select(*[F.col(f"raster_id.{n}").alias(n) for n in names], "h", "w", "band", "y", "data"), lines, overlap)
 
 
 def seam_fill(cells: DataFrame, width: int = 30, radius: int | None = None, largest: int = 2048) -> DataFrame:

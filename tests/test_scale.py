@@ -183,3 +183,18 @@ def test_splats_are_made_of_lines(spark, sf):
     for name in ("splat_synthesis", "splat_accumulate", "splat_resolve"):
         plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("posexplode") + plan.count("arrays_zip") <= 2 and "__k" not in plan, name
+
+
+def test_chunks_are_parts_of_lines(spark):
+    """Chunks of lines, merged on lines, are those of cells; no cell is a row on the way."""
+    from rastermill.operators import scanlines, seams
+    from rastermill.plans import jobs
+
+    image = np.random.default_rng(8).uniform(0, 255, (21, 30, 2))
+    cells = cells_of(spark, image)
+    keyed = geometry.split_tiles(cells, 8, 3).withColumn("raster_id", F.struct("raster_id", "cy", "cx", "y0", "x0"))
+    laid = seams.overlap_synthesis(keyed, 0.25, 0.25, 0.5)
+    plain = geometry.merge_feathered(laid.select("raster_id.*", "h", "w", "band", "y", "x", "v"), cells, 3)
+    lines = jobs.chunked_overlap_lines(scanlines.from_cells(cells), 8, 3, 0.25, 0.5)
+    assert "posexplode" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    assert np.allclose(image_of(scanlines.to_cells(lines)), image_of(plain))
