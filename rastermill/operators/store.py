@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,13 +61,46 @@ def fingerprint(cells: DataFrame, whole: bool = False) -> DataFrame:
     """
     step = F.greatest(F.floor(F.col("h") / 16), F.floor(F.col("w") / 16), F.lit(1))
     sample = cells if whole else cells.where((F.col("y") % step == 0) & (F.col("x") % step == 0))
-    size = F.concat_ws("x", F.max("h").cast("string"), F.max("w").cast("string"), (F.max("band") + 1).cast("string"))
+    size = _size()
     text = F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "band", F.col("v").cast("long").alias("v")))), lambda s: s["v"].cast("string")))
     if not whole:
         return sample.groupBy("raster_id").agg(F.substring(F.md5(F.concat(size, F.lit("_"), text).cast("binary")), 1, 8).alias("image_hash"))
     rows = sample.groupBy("raster_id", "h", "w", "y").agg(F.max("band").alias("band"), F.md5(text.cast("binary")).alias("digest"))
+    return _whole(rows)
+
+
+def _size() -> Column:
+    return F.concat_ws("x", F.max("h").cast("string"), F.max("w").cast("string"), (F.max("band") + 1).cast("string"))
+
+
+def _whole(rows: DataFrame) -> DataFrame:
+    """Prints of rows (raster_id, h, w, y, band, digest), by a sum of their digests."""
     parts = [F.sum(F.conv(F.substring(F.md5(F.concat(F.col("y").cast("string"), F.lit(":"), F.col("digest")).cast("binary")), 1 + 12 * i, 12), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(2)]
-    return rows.groupBy("raster_id").agg(F.md5(F.concat_ws("_", size, *parts).cast("binary")).alias("image_hash"))
+    return rows.groupBy("raster_id").agg(F.md5(F.concat_ws("_", _size(), *parts).cast("binary")).alias("image_hash"))
+
+
+def fingerprint_lines(lines: DataFrame) -> DataFrame:
+    """The whole ``fingerprint`` of lines: a line's bands meet as arrays and are digested in a batch."""
+    kind = dict(lines.dtypes)["raster_id"]
+    keys = ["raster_id", "h", "w", "y"]
+    ints = [F.col(c).cast("int").alias(c) for c in keys[1:]]
+    met = lines.select("raster_id", *ints, F.struct(F.col("band").cast("int").alias("band"), F.transform("data", lambda v: v.cast("long")).alias("data")).alias("b"))
+    met = met.groupBy(*keys).agg(F.array_sort(F.collect_list("b")).alias("bands"))
+
+    def run(batches):
+        for batch in batches:
+            bands, last, digests = batch.column("bands"), [], []
+            at, flat = bands.offsets.to_numpy(), bands.flatten()
+            numbers, data = flat.field("band").to_numpy(), flat.field("data")
+            start, values = data.offsets.to_numpy(), data.flatten().to_numpy(zero_copy_only=False)
+            at, start = at - at[0], start - start[0]
+            for low, high in zip(at[:-1], at[1:]):
+                rows = values[start[low] : start[high]].reshape(high - low, -1)
+                last.append(int(numbers[high - 1]))
+                digests.append(md5(",".join(map(str, rows.T.ravel().tolist())).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(last, pa.int32()), pa.array(digests, pa.string())], [*keys, "band", "digest"])
+
+    return _whole(met.mapInArrow(run, f"raster_id {kind}, h int, w int, y int, band int, digest string"))
 
 
 def result_key(jobs: DataFrame, kind: str = "pipe") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..layout import saved
-from ..operators import scanlines, store
+from ..operators import store
 from ..sources import images
 from ..sources.results import Results
 
@@ -72,7 +72,7 @@ def ingest_folder(spark: SparkSession, path: str, checkpoint: str, handle: Calla
 
 def image_jobs(lines: DataFrame, method: str, params: dict[str, float] | None = None) -> DataFrame:
     """A job (raster_id, image_hash, method, parameters, result_key) for each raster, keyed by all its samples."""
-    prints = store.fingerprint(scanlines.to_cells(lines), whole=True)
+    prints = store.fingerprint_lines(lines)
     given = F.create_map(*[F.lit(x) for kv in (params or {}).items() for x in kv]).cast("map<string,double>")
     return store.result_key(store.normalize_params(prints.withColumns({"method": F.lit(method), "params": given})))
 

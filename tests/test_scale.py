@@ -198,3 +198,23 @@ def test_chunks_are_parts_of_lines(spark):
     lines = jobs.chunked_overlap_lines(scanlines.from_cells(cells), 8, 3, 0.25, 0.5)
     assert "posexplode" not in lines._jdf.queryExecution().optimizedPlan().toString()
     assert np.allclose(image_of(scanlines.to_cells(lines)), image_of(plain))
+
+
+def test_small_files_share_batches(spark, tmp_path):
+    """Read in few batches; and prints of lines are those of cells, without a row for each cell."""
+    from pyspark.sql.types import StructType
+
+    from rastermill.operators import scanlines, store
+    from rastermill.sources import images
+    from rastermill.streaming import requests
+
+    image = np.random.default_rng(9).integers(0, 255, (4, 5, 3)).astype(float)
+    lines = scanlines.from_cells(cells_of(spark, image, 1).unionByName(cells_of(spark, 255 - image[:3], 2)))
+    many = lines.withColumn("raster_id", F.explode(F.array(*[F.col("raster_id") + 2 * i for i in range(20)])))
+    images.write_lines(many, f"file://{tmp_path}", F.concat(F.col("raster_id").cast("string"), F.lit(".png"))).collect()
+    reader = images.ImageReader({"path": f"file://{tmp_path}"}, StructType.fromDDL("path string, band int, y int, data array<double>"))
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert len(batches) == 1 and batches[0].num_rows == 20 * 3 * (4 + 3)
+    prints = lambda df: dict(df.collect())
+    assert prints(store.fingerprint_lines(lines)) == prints(store.fingerprint(scanlines.to_cells(lines), whole=True))
+    assert "posexplode" not in requests.image_jobs(lines, "mirror")._jdf.queryExecution().optimizedPlan().toString()
