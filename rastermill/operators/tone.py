@@ -45,21 +45,24 @@ def coerce_for_save(cells: DataFrame, dtype: str = "float32", fmt: str = "png")
     return sized(clean.withColumn("v", F.floor(clip(F.when(F.col("__max") <= 1, F.col("v") * 255).otherwise(F.col("v")), 0, 255)).cast("double")))
 
 
-def export_depth(cells: DataFrame, dtype: str, fmt: str = "png", bits: int = 8) -> DataFrame:
-    """Samples at an export's bit depth; dtype is that of the map: uint8, uint16 or float32."""
-    v = F.col("v")
+def at_depth(v: Column, dim: Column, dtype: str, fmt: str = "png", bits: int = 8) -> Column:
+    """A sample, a number, at an export's bit depth; dtype is that of the map: uint8, uint16 or float32. dim: none of the raster is above 1."""
     if fmt == "exr":
-        if dtype != "float32":
-            return sized(cells.withColumn("v", v / (65535 if dtype == "uint16" else 255)))
-        clean = _with_max(cells.withColumn("v", color.finite("v")))
-        return sized(clean.withColumn("v", clip(F.when(F.col("__max") > 1, v / 255).otherwise(v), 0, 1)))
+        return v / (65535 if dtype == "uint16" else 255) if dtype != "float32" else clip(v / F.when(dim, 1.0).otherwise(255.0), 0, 1)
     if dtype == "uint16":
-        return sized(cells if bits == 16 else cells.withColumn("v", F.floor(v / 257).cast("double")))
+        return v if bits == 16 else F.floor(v / 257).cast("double")
     if bits == 8 and dtype == "uint8":
-        return sized(cells)
+        return v
+    unit, other, most = (65535.0, 257.0, 65535) if bits == 16 else (255.0, 1.0, 255)
+    return F.floor(clip(v * F.when(dim, unit).otherwise(other), 0, most)).cast("double")
+
+
+def export_depth(cells: DataFrame, dtype: str, fmt: str = "png", bits: int = 8) -> DataFrame:
+    """Samples at an export's bit depth, see ``at_depth``."""
+    if dtype == "uint16" or (dtype == "uint8" and (fmt == "exr" or bits == 8)):
+        return point(cells, lambda v: at_depth(v, F.lit(False), dtype, fmt, bits))
     clean = _with_max(cells.withColumn("v", color.finite("v")))
-    unit, other, most = (65535, 257, 65535) if bits == 16 else (255, 1, 255)
-    return sized(clean.withColumn("v", F.floor(clip(F.when(F.col("__max") <= 1, v * unit).otherwise(v * other), 0, most)).cast("double")))
+    return sized(clean.withColumn("v", at_depth(F.col("v"), F.col("__max") <= 1, dtype, fmt, bits)))
 
 
 def gray(cells: DataFrame, source: str = "average_rgb") -> DataFrame:
@@ -78,6 +81,15 @@ def grays(cells: DataFrame, sources: list[str]) -> DataFrame:
     return wide.select("raster_id", "h", "w", "y", "x", each.alias("one")).select("raster_id", "h", "w", "one.band", "y", "x", "one.v")
 
 
+def gray_lines(lines: DataFrame, source: str = "average_rgb") -> DataFrame:
+    """``gray`` of lines: the bands of a line meet once, as arrays."""
+    of = lambda b: F.first(F.when(F.col("band") == b, F.col("data")), True)
+    met = lines.groupBy("raster_id", "h", "w", "y").agg(*[of(b).alias(f"b{b}") for b in range(4)])
+    zipped = F.transform(F.arrays_zip("b0", "g", "r", "a"), lambda c: color.gray(c["b0"], c["g"], c["r"], source, c["a"]))
+    met = met.withColumns({"g": F.coalesce("b1", "b0"), "r": F.coalesce("b2", "b0"), "a": F.coalesce("b3", F.array().cast("array<double>"))})
+    return met.select("raster_id", "h", "w", F.lit(0).alias("band"), "y", F.when(F.col("b1").isNull(), F.col("b0")).otherwise(zipped).alias("data"))
+
+
 def point(cells: DataFrame, f) -> DataFrame:
     """v replaced by f(v)."""
     return sized(cells.withColumn("v", f(F.col("v")).cast("double")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import color
@@ -62,21 +64,58 @@ def seamless(cells: DataFrame, jobs: DataFrame, light: dict | None = None, limit
 def pbr_maps(gray: DataFrame, depth: float = 0.5, smooth: float = 0.1, rough: float = 0.5, scale: float = 4.266, kind: str = "4_sample", ao: float = 0.5, spread: float = 0.3, threshold: float = 1.0, softness: float = 0.0, alpha: DataFrame | None = None) -> DataFrame:
     """Rows (map, cells) of Normal (whole 16-bit) and Displacement, Roughness, AO and Opacity (whole 8-bit, three bands) of heights from 0 to 1.
 
-    alpha (0 to 1), if given, becomes the fourth band of every map. Branches share the height field and the displacement, which are saved for them.
+    alpha (0 to 1), if given, becomes the fourth band of every map. Heights are worked on as lines (``stencil.relief``); a
+    sample becomes those of all maps at once.
+    """
+    made = stencil.relief(scanlines.from_cells(sized(gray)), depth, smooth, scale, kind, round(4 + spread * 28), ao)
+    kinds = _kinds(rough, threshold, softness)
+    maps = {"Normal": ["nz", "ny", "nx"]} | {m: [m] * 3 for m in ("Displacement", "Roughness", "AO", "Opacity")}
+    out = _mapped(made, maps, kinds)
+    if alpha is None:
+        return out
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("map"), (color.to_u16 if m == "Normal" else color.to_u8)(F.col("v")).alias("v")) for m in maps]))
+    fourth = alpha.select("raster_id", "h", "w", F.lit(3).alias("band"), "y", "x", each.alias("one"))
+    return out.unionByName(fourth.select("raster_id", "h", "w", "band", "y", "x", "one.v", "one.map"))
+
+
+Kinds = dict[str, tuple[str, Callable[[Column], Column]]]
+
+
+def _kinds(rough: float = 0.5, threshold: float = 1.0, softness: float = 0.0) -> Kinds:
+    """For each kind of band the array of ``stencil.relief`` that it is made of and how, whole 16-bit for normals, else 8-bit.
+
+    All but the normals' rise or fall with their one value.
+    """
+    whole = lambda f: lambda v: color.to_u8(f(v) + 1e-9)
+    plain = whole(lambda v: v)
+    return {
+        "Displacement": ("height", plain), "Roughness": ("gray", whole(lambda v: color.roughness(v, rough))), "AO": ("shade", plain),
+        "Opacity": ("gray", whole(lambda v: color.opacity(v, threshold, softness))), **{n: (n, stencil.packed) for n in ("nz", "ny", "nx")},
+    }
+
+
+def _mapped(made: DataFrame, maps: dict[str, list[str]], kinds: Kinds, dim: dict[str, Column] | None = None, end: Callable[[Column, Column, str], Column] = lambda v, dim, dtype: v) -> DataFrame:
+    """Cells (with ``map``) of all bands of maps (their kinds, in order), from lines of ``stencil.relief``.
+
+    A line becomes those of all bands as arrays first, so that a sample's value is one choice by kind. end: what becomes
+    of a sample (value, whether its map is dim, dtype).
     """
-    gray = saved(sized(gray))
-    height = saved(stencil.displacement_map(gray, depth, smooth))
-    alpha = saved(sized(alpha)) if alpha is not None else None
-    normal = stencil.normal_map(gray, kind, scale)
-    shade = stencil.ao_map(height, normal, radius=round(4 + spread * 28), strength=ao)
-    scalar = {"Displacement": height, "Roughness": tone.point(gray, lambda v: color.roughness(v, rough)), "AO": shade, "Opacity": tone.point(gray, lambda v: color.opacity(v, threshold, softness))}
-    if alpha is not None:
-        normal = normal.unionByName(sized(alpha.withColumns({"band": F.lit(3), "v": color.to_u16(F.col("v"))})))
-    out = normal.withColumn("map", F.lit("Normal"))
-    for name, cells in scalar.items():
-        whole = tone.gray_to_bgr_u8(tone.point(cells, lambda v: v + 1e-9), alpha)
-        out = out.unionByName(whole.withColumn("map", F.lit(name)))
-    return out
+    used = list(dict.fromkeys(k for bands in maps.values() for k in bands))
+    band = lambda m, b, k: F.struct(F.lit(m).alias("map"), F.lit(b).alias("band"), F.lit(used.index(k)).alias("kind"), (dim or {}).get(m, F.lit(False)).alias("dim"), F.col(kinds[k][0]).alias("data"))
+    each = F.explode(F.array(*[band(m, b, k) for m, bands in maps.items() for b, k in enumerate(bands)]))
+    lines = made.select("raster_id", "h", "w", "y", each.alias("one"))
+    cells = lines.select("raster_id", "h", "w", "one.band", "y", "one.map", "one.kind", "one.dim", F.posexplode("one.data").alias("x", "v"))
+    deep = lambda k: kinds[k][0] in ("nz", "ny", "nx")
+
+    def value(some: list[str], dtype: str) -> Column:
+        out = F.lit(None).cast("double")
+        for f in {id(kinds[k][1]): kinds[k][1] for k in some}.values():
+            out = F.when(F.col("kind").isin([used.index(k) for k in some if kinds[k][1] is f]), f(F.col("v"))).otherwise(out)
+        return end(out, F.col("dim"), dtype)
+
+    normals = [k for k in used if deep(k)]
+    v = F.when(F.col("kind").isin([used.index(k) for k in normals]), value(normals, "uint16")).otherwise(value([k for k in used if not deep(k)], "uint8"))
+    return cells.select("raster_id", "h", "w", "band", "y", "x", v.alias("v"), "map")
 
 
 def chunked_overlap(cells: DataFrame, chunk: int, overlap: int, share: float = 0.2, falloff: float = 0.1) -> DataFrame:
@@ -147,31 +186,52 @@ def export_package(cells: DataFrame, edge: int, renderer: str = "generic", sourc
     packing: for ue5, occlusion and roughness as one map ORM. glossiness: for others, roughness turned over, as one band.
     clamp: displacement within 8 to 247. Write them with ``write_package``.
     """
+    return export_lines(scanlines.from_cells(cells), edge, renderer, source, smooth, packing, glossiness, clamp)
+
+
+def export_lines(lines: DataFrame, edge: int, renderer: str = "generic", source: str = "average_rgb", smooth: float = 0.0, packing: bool = True, glossiness: bool = False, clamp: bool = False) -> DataFrame:
+    """``export_package`` of lines; samples are rows only in the result.
+
+    What depends on the whole raster is whether a map of it is dim, no sample of it above 1, which follows from the ends of
+    what it is made of. As dim maps are rare, they are joined only where there are any.
+    """
     _, fmt, convention, bits = RENDERERS[renderer]
-    longest = F.greatest("h", "w")
-    scaled = lambda e: F.greatest(F.lit(1), F.floor(F.col(e) * (edge / longest) + 1e-9))
-    base = saved(geometry.resize_cubic(cells.where(longest < edge), scaled).unionByName(geometry.resize_area(cells.where(longest >= edge), scaled)))
-    maps = saved(pbr_maps(tone.gray(tone.point(base, lambda v: v / 255), source), smooth=smooth))
-    of = lambda name: maps.where(F.col("map") == name).select(*COLUMNS)
-    normal = of("Normal")
-    if convention.startswith("DirectX"):
-        normal = tone.flip_green(normal)
-    out = tone.export_depth(tone.point(base, lambda v: clip(v, 0, 255)), "float32", fmt, bits).withColumn("map", F.lit("BaseColor"))
-    out = out.unionByName(tone.export_depth(normal, "uint16", fmt, bits).withColumn("map", F.lit("Normal")))
-    rest = {"Roughness": of("Roughness"), "AO": of("AO"), "Displacement": of("Displacement"), "Opacity": of("Opacity")}
+    scaled = lambda e: F.greatest(F.lit(1), F.floor(F.col(e) * (edge / F.greatest("h", "w")) + 1e-9))
+    base = saved(scanlines.resampled(lines, scaled("h"), scaled("w"), lambda n, m: scanlines.cubic_taps(n, m) if m > n else scanlines.area_taps(n, m)))
+    gray = tone.gray_lines(base.withColumn("data", F.transform("data", lambda v: v / 255)), source)
+    made = saved(stencil.relief(gray, smooth=smooth, radius=12, strength=0.5))
+
+    kinds = _kinds()
+    kinds |= {"Zero": ("gray", lambda v: F.lit(0.0)), "Glossiness": ("gray", lambda v: 255 - kinds["Roughness"][1](v)), "down": ("ny", lambda v: 65535 - stencil.packed(v))}
+    if clamp:
+        kinds["Displacement"] = ("height", lambda v: clip(color.to_u8(v + 1e-9), 8, 247))
+    maps = {m: [m] * 3 for m in ("Roughness", "AO", "Displacement", "Opacity")}
     if renderer == "ue5" and packing:
-        both = maps.where("map IN ('AO', 'Roughness') AND band = 0")
-        rest = {"ORM": seams.pack_bands(both, {2: "AO", 1: "Roughness", 0: None}), "Displacement": rest["Displacement"], "Opacity": rest["Opacity"]}
+        maps = {"ORM": ["Zero", "Roughness", "AO"], "Displacement": maps["Displacement"], "Opacity": maps["Opacity"]}
     elif renderer != "ue5" and glossiness:
-        rest["Roughness"] = tone.glossiness(rest["Roughness"].where("band = 0"))
-    if clamp:
-        rest["Displacement"] = tone.clamp_displacement(rest["Displacement"])
-    small = None
-    for name, one in rest.items():
-        one = one.withColumn("raster_id", F.struct("raster_id", F.lit(name).alias("map")))
-        small = one if small is None else small.unionByName(one)
-    small = tone.export_depth(small, "uint8", fmt, bits)
-    return out.unionByName(small.select("raster_id.raster_id", "h", "w", "band", "y", "x", "v", "raster_id.map"))
+        maps["Roughness"] = ["Glossiness"]
+    small, dim = _dimmed(made, {m: [kinds[k] for k in dict.fromkeys(bands)] for m, bands in maps.items()})
+    maps["Normal"] = ["nz", "down" if convention.startswith("DirectX") else "ny", "nx"]
+    out = _mapped(small, maps, kinds, dim, lambda v, dim, dtype: tone.at_depth(v, dim, dtype, fmt, bits))
+    limited = lambda v: clip(v, 0, 255)
+    whole, dim = _dimmed(base, {"BaseColor": [("data", limited)]})
+    first = whole.select("raster_id", "h", "w", "band", "y", dim["BaseColor"].alias("dim"), F.posexplode("data").alias("x", "v"))
+    first = first.withColumn("v", tone.at_depth(limited("v"), F.col("dim"), "float32", fmt, bits))
+    return first.select(*COLUMNS, F.lit("BaseColor").alias("map")).unionByName(out)
+
+
+def _dimmed(lines: DataFrame, maps: dict[str, list[tuple[str, Callable]]]) -> tuple[DataFrame, dict[str, Column]]:
+    """Lines with what says of each map whether it is dim in its raster: not all 0, and no sample above 1.
+
+    maps: the arrays that a map is made of and how; as that rises or falls with a sample, the ends of an array are enough.
+    """
+    arrays = list(dict.fromkeys(a for made in maps.values() for a, _ in made))
+    ends = lines.groupBy("raster_id").agg(*[f(g(a)).alias(f"{end}_{a}") for a in arrays for end, f, g in (("low", F.min, F.array_min), ("high", F.max, F.array_max))])
+    tops = {m: F.greatest(F.lit(0.0), *[f(F.col(f"{end}_{a}")) for a, f in made for end in ("low", "high")]) for m, made in maps.items()}
+    dim = saved(ends.select("raster_id", *[((t > 0) & (t <= 1)).alias(f"dim_{m}") for m, t in tops.items()]).where(" OR ".join(f"dim_{m}" for m in tops)))
+    if dim.isEmpty():
+        return lines, {m: F.lit(False) for m in tops}
+    return lines.join(dim, "raster_id", "left"), {m: F.coalesce(f"dim_{m}", F.lit(False)) for m in tops}
 
 
 def write_package(package: DataFrame, materials: DataFrame, folder: str, renderer: str = "generic", packing: bool = True, glossiness: bool = False, maps: dict[str, bool] | None = None) -> DataFrame:

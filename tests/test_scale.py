@@ -218,3 +218,21 @@ def test_small_files_share_batches(spark, tmp_path):
     prints = lambda df: dict(df.collect())
     assert prints(store.fingerprint_lines(lines)) == prints(store.fingerprint(scanlines.to_cells(lines), whole=True))
     assert "posexplode" not in requests.image_jobs(lines, "mirror")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_exports_are_made_of_lines(spark, monkeypatch):
+    """No cell is saved or shuffled on the way to the maps; a raster that is dim is still spread by itself."""
+    from rastermill.operators import stencil
+    from rastermill.plans import jobs
+
+    kept = []
+    for module in (jobs, stencil):
+        monkeypatch.setattr(module, "saved", lambda df, was=module.saved: kept.append(df.columns) or was(df))
+    rng = np.random.default_rng(10)
+    dim, light = rng.uniform(0, 1, (6, 8, 3)), rng.uniform(0, 255, (6, 8, 3))
+    out = jobs.export_package(cells_of(spark, dim, 1).unionByName(cells_of(spark, light, 2)), 8)
+    assert kept and not any("x" in columns for columns in kept)
+    base = {i: image_of(out.where(f"map = 'BaseColor' AND raster_id = {i}")) for i in (1, 2)}
+    assert np.array_equal(base[1], np.floor(dim * 65535)) and np.array_equal(base[2], np.floor(light * 257))
+    maps = {r.map: (r.n, r.bands) for r in out.groupBy("map").agg(F.count("v").alias("n"), F.countDistinct("band").alias("bands")).collect()}
+    assert maps == {m: (2 * 6 * 8 * 3, 3) for m in ("BaseColor", "Normal", "Roughness", "AO", "Displacement", "Opacity")}
