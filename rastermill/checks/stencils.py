@@ -240,7 +240,7 @@ def _delight(strength: float, flatness: float, shadow: float, highlight: float,
 @query(_delight(0.5, 0.3, 0.2, 0.2, 0.2, 0.2, 0.2))
 def delight(spark, sf):
     """All steps of light removal on every supplier raster."""
-    return stencil.delight(lineitem_cells(spark, sf), strength=0.5, flatness=0.3, shadow=0.2, highlight=0.2, contrast=0.2, ao=0.2, edges=0.2)
+    return stencil.delight_lines(lineitem_lines(spark, sf), strength=0.5, flatness=0.3, shadow=0.2, highlight=0.2, contrast=0.2, ao=0.2, edges=0.2)
 
 
 def _levels(edge: int, f: str) -> str:

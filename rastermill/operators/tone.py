@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color
 from ..layout import COLUMNS, bands_long, bands_wide, clip, sized
+from . import scanlines
 
 
 def _with_max(cells: DataFrame) -> DataFrame:
@@ -131,6 +132,29 @@ def lab_to_bgr(cells: DataFrame) -> DataFrame:
     return _wide(cells, lambda x, a, b: [F.rint(clip(c, 0, 255)) for c in color.lab_to_bgr(x, a, b)])
 
 
+def _pixels(lines: DataFrame) -> DataFrame:
+    """One row per pixel with columns b0, b1 and b2, from lines whose bands meet once, as arrays."""
+    of = lambda b: F.first(F.when(F.col("band") == b, F.col("data")), True)
+    keys = ["raster_id", "h", "w", "y"]
+    met = scanlines.dealt(lines, *keys).groupBy(*keys).agg(*[of(b).alias(f"b{b}") for b in range(3)])
+    return met.select(*keys, F.posexplode(F.arrays_zip("b0", "b1", "b2")).alias("x", "c")).select(*keys, "x", "c.*")
+
+
+def lab_lines(lines: DataFrame) -> DataFrame:
+    """``bgr_to_lab`` of lines; pixels are gathered to lines again where they are."""
+    lab = [F.rint(clip(c, 0, 255)).alias(f"n{i}") for i, c in enumerate(color.bgr_to_lab(F.col("b0"), F.col("b1"), F.col("b2")))]
+    keys = ["raster_id", "h", "w", "y"]
+    whole = _pixels(lines).select(*keys, "x", *lab).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "n0", "n1", "n2"))).alias("all"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.col(f"all.n{i}").alias("data")) for i in range(3)]))
+    return whole.select(*keys, each.alias("one")).select("raster_id", "h", "w", "one.band", "y", "one.data")
+
+
+def bgr_cells(lines: DataFrame) -> DataFrame:
+    """Cells of ``lab_to_bgr`` of lines."""
+    new = [F.rint(clip(c, 0, 255)).alias(f"b{i}") for i, c in enumerate(color.lab_to_bgr(F.col("b0"), F.col("b1"), F.col("b2")))]
+    return bands_long(_pixels(lines).select("raster_id", "h", "w", "y", "x", *new))
+
+
 def premultiply(cells: DataFrame, back: bool = False) -> DataFrame:
     """Colour bands (0 to 1) times alpha, band 3, or divided by it again."""
     factor = (lambda x, a: x / F.greatest(a, F.lit(1e-6))) if back else (lambda x, a: x * a)

@@ -236,3 +236,24 @@ def test_exports_are_made_of_lines(spark, monkeypatch):
     assert np.array_equal(base[1], np.floor(dim * 65535)) and np.array_equal(base[2], np.floor(light * 257))
     maps = {r.map: (r.n, r.bands) for r in out.groupBy("map").agg(F.count("v").alias("n"), F.countDistinct("band").alias("bands")).collect()}
     assert maps == {m: (2 * 6 * 8 * 3, 3) for m in ("BaseColor", "Normal", "Roughness", "AO", "Displacement", "Opacity")}
+
+
+def test_light_is_removed_on_lines(spark, monkeypatch):
+    """No step saves or shuffles cells, and no block of columns is a call of its own."""
+    from rastermill.operators import scanlines, stencil
+
+    kept = []
+    monkeypatch.setattr(stencil, "saved", lambda df, was=stencil.saved: kept.append(df.columns) or was(df))
+    image = np.random.default_rng(11).uniform(0, 255, (9, 14, 3))
+    amounts = {"strength": 0.5, "flatness": 0.3, "shadow": 0.2, "highlight": 0.2, "contrast": 0.2, "ao": 0.2, "edges": 0.2}
+    out = stencil.delight(cells_of(spark, image), **amounts)
+    assert kept and not any("x" in columns for columns in kept)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
+    found = image_of(out)
+    assert found.shape == image.shape and np.isfinite(found).all()
+    # beside a raster of another size the result stays
+    beside = stencil.delight(cells_of(spark, image).unionByName(cells_of(spark, 255 - image[:4, :5], 2)), **amounts)
+    assert np.array_equal(image_of(beside.where("raster_id = 1")), found)
+    lines = scanlines.from_cells(cells_of(spark, image))
+    means = {(r.raster_id, r.band): r["mean"] for r in scanlines.means(lines).collect()}
+    assert np.allclose([means[1, b] for b in range(3)], image.mean((0, 1)))
