@@ -257,3 +257,25 @@ def test_light_is_removed_on_lines(spark, monkeypatch):
     lines = scanlines.from_cells(cells_of(spark, image))
     means = {(r.raster_id, r.band): r["mean"] for r in scanlines.means(lines).collect()}
     assert np.allclose([means[1, b] for b in range(3)], image.mean((0, 1)))
+
+
+def test_rasters_of_rows_are_filled_in_batches(spark, sf):
+    """No sample is looked up by itself in a map of its line, and the flagship saves no lines."""
+    from rastermill import catalog
+    from rastermill.fixtures import lineitem_lines
+
+    assert "lambda" not in lineitem_lines(spark, sf, 64)._jdf.queryExecution().optimizedPlan().toString()
+    plan = catalog.queries()[catalog.FLAGSHIP](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RDD" not in plan
+
+
+def test_lines_to_write_are_slices_of_their_batch():
+    """Also where a batch is itself a slice, and without a call of Arrow for each line."""
+    import pyarrow as pa
+
+    from rastermill.sources import images
+
+    data = [[0.0], [1.0, 2.0], [3.0, 4.0], [5.0, 6.0]]
+    batch = pa.RecordBatch.from_pydict({"name": ["z", "a", "a", "b"], "h": [1] * 4, "w": [1, 2, 2, 2], "y": [0] * 4, "data": data}).slice(1)
+    found = [(key, [r.tolist() for r in rows]) for key, rows in images._by_line([batch])]
+    assert found == [(("a", 1, 2, 0), data[1:3]), (("b", 1, 2, 0), data[3:])]
